@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_url_filter, op5_mixing, op9_exact_dedup, op10_token_files
+from . import op1_packing, op2_url_filter, op3_jaccard, op4_substring, op5_mixing, op9_exact_dedup, op10_token_files
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_url_filter.url_filter(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_substring.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -40,9 +48,82 @@ def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filters": op2_url_filters,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing_sources": op5_mixing_sources,
     "op9_exact_dedup": op9_exact_dedup_query,
     "op10_token_files": op10_token_files_query,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = r"""
+WITH parsed AS (
+  SELECT page_id,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+outcomes AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+hosts0 AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k, regexp_replace(host, '(^.*@)|(:[0-9]*$)', '') AS name FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY 1),
+hosts1 AS (SELECT *, string_split(name, '.') AS l, len(string_split(name, '.')) AS m FROM hosts0),
+hosts2 AS (SELECT *, array_to_string(l[greatest(m - 1, 1):], '.') AS two FROM hosts1),
+hosts AS (SELECT host, n, k, CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'co.za', 'com.cn') THEN two ELSE l[m] END AS suffix,
+    CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'co.za', 'com.cn') THEN array_to_string(l[greatest(m - 2, 1):], '.') ELSE two END AS domain FROM hosts2),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+s0 AS (SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS p FROM suffixes),
+s1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM s0),
+s2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / r - 1) END::DOUBLE AS m FROM s1),
+s AS (SELECT suffix, (k + m * p) / (k + m * p + (n - k + m * (1 - p))) AS p_suffix FROM s0, s2),
+d0 AS (SELECT domains.*, p_suffix AS p FROM domains JOIN s USING (suffix)),
+d1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM d0),
+d2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / r - 1) END::DOUBLE AS m FROM d1),
+d AS (SELECT domain, (k + m * p) / (k + m * p + (n - k + m * (1 - p))) AS p_domain FROM d0, d2),
+h0 AS (SELECT hosts.*, p_domain AS p FROM hosts JOIN d USING (domain)),
+h1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM h0),
+h2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / r - 1) END::DOUBLE AS m FROM h1),
+h3 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h0, h2),
+h AS (SELECT host, a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper FROM h3),
+ruled AS (SELECT page_id, host, path, (SELECT max({'n': length(r.h || r.p), 'rule': r.h || r.p, 'verdict': r.verdict}) FROM rules r
+    WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)) AS r FROM parsed)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN upper < 0.6 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN h USING (host)
+"""
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS.format(text=LOWERED)} AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = d.doc_id
+"""
+
+OP4_SQL = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY 1),
+starts AS (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE doc_id > m),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM starts, range(50) t(k) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: g IS NULL OR NOT list_contains(g, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_url_filters": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
