@@ -90,8 +90,8 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batch: pa.RecordBatch, most: int = 8_000_000):
-    """Parts of an Arrow batch of about `most` bytes, so that copies of it stay small; a longer row is a part of its own."""
+def slices(batch: pa.RecordBatch, most: int = 8_000_000, rows: int = 5000):
+    """Parts of an Arrow batch of about `most` bytes, and of `rows` rows at most, so that copies stay small; a longer row is a part of its own."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for c in batch.columns:
         if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
@@ -99,7 +99,7 @@ def slices(batch: pa.RecordBatch, most: int = 8_000_000):
     ends = np.cumsum(sizes)
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + most, "right")))
+        b = max(a + 1, min(a + rows, int(np.searchsorted(ends, ends[a] - sizes[a] + most, "right"))))
         yield batch.slice(a, b - a)
         a = b
 

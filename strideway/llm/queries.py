@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_url_filter, op3_jaccard, op4_substring, op5_mixing, op9_exact_dedup, op10_token_files
+from . import op1_packing, op2_url_filter, op3_jaccard, op4_substring, op5_mixing, op6_quality, op7_line_dedup, op8_language, op9_exact_dedup, op10_token_files
 from .common import table
 
 
@@ -29,6 +29,20 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op6_quality.quality(docs, op6_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_line_dedup.line_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op8_language.predict(docs, op8_language.fit(docs))
+
+
 def op9_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower half of the doc_ids is the history, the rest comes new."""
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +65,9 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing_sources": op5_mixing_sources,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup_query,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup_query,
     "op10_token_files": op10_token_files_query,
 }
