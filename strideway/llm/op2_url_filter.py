@@ -17,7 +17,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: A host is blocked when mean + Z standard deviations of its posterior stay below LEAST_GOOD.
 Z, LEAST_GOOD = 1.645, 0.6
 #: Priors are worth so many pages at least and at most.
-WEAKEST, STRONGEST = 1.0, 1000.0
+WEAKEST, STRONGEST = 4.0, 1000.0
 #: Suffixes of two labels under which names are registered; any other suffix is the last label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn")
 
@@ -53,7 +53,7 @@ def prior_strength(rows: DataFrame, mean: str) -> float:
     chance = F.col(mean) * (1 - F.col(mean))
     beyond = F.sum((F.col("k") - F.col("n") * F.col(mean)) ** 2 - F.col("n") * chance)
     room = F.sum(F.col("n") * (F.col("n") - 1) * chance)
-    r = rows.agg(F.floor(beyond / room * 1e6 + 0.5).alias("r")).first()["r"]
+    r = rows.agg(F.floor(beyond / F.nullif(room, F.lit(0.0)) * 1e6 + 0.5).alias("r")).first()["r"]
     share = (r or 0) / 1e6
     return STRONGEST if share <= 1 / (STRONGEST + 1) else max(WEAKEST, 1 / share - 1)
 

@@ -92,15 +92,15 @@ domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 s0 AS (SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS p FROM suffixes),
 s1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM s0),
-s2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / r - 1) END::DOUBLE AS m FROM s1),
+s2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(4.0, 1 / r - 1) END::DOUBLE AS m FROM s1),
 s AS (SELECT suffix, (k + m * p) / (k + m * p + (n - k + m * (1 - p))) AS p_suffix FROM s0, s2),
 d0 AS (SELECT domains.*, p_suffix AS p FROM domains JOIN s USING (suffix)),
 d1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM d0),
-d2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / r - 1) END::DOUBLE AS m FROM d1),
+d2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(4.0, 1 / r - 1) END::DOUBLE AS m FROM d1),
 d AS (SELECT domain, (k + m * p) / (k + m * p + (n - k + m * (1 - p))) AS p_domain FROM d0, d2),
 h0 AS (SELECT hosts.*, p_domain AS p FROM hosts JOIN d USING (domain)),
 h1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM h0),
-h2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / r - 1) END::DOUBLE AS m FROM h1),
+h2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(4.0, 1 / r - 1) END::DOUBLE AS m FROM h1),
 h3 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h0, h2),
 h AS (SELECT host, a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper FROM h3),
 ruled AS (SELECT page_id, host, path, (SELECT max({'n': length(r.h || r.p), 'rule': r.h || r.p, 'verdict': r.verdict}) FROM rules r
