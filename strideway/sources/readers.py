@@ -69,7 +69,7 @@ def routing_responses(responses: DataFrame, body: str = "body") -> DataFrame:
 
     valid is false where geometry or summary is missing; such rows keep their other columns.
     """
-    f = F.element_at(F.from_json(body, RESPONSE).getField("features"), 1)
+    f = F.try_element_at(F.from_json(body, RESPONSE).getField("features"), F.lit(1))
     steep = F.filter(f["properties"]["extras"]["steepness"]["values"], lambda v: F.abs(v[2]) >= STEEP)
     seconds = f["properties"]["summary"]["duration"]
     points = F.transform(f["geometry"]["coordinates"], lambda c: F.struct(c[1].alias("lat"), c[0].alias("lon")))
@@ -100,7 +100,7 @@ def snapshot_problems(routes: DataFrame, request: DataFrame, profiles: tuple[str
     from strideway.functions.geo import haversine
 
     r = routes.crossJoin(F.broadcast(request))  # one row
-    first, last = F.element_at("points", 1), F.element_at("points", -1)
+    first, last = F.try_element_at("points", F.lit(1)), F.try_element_at("points", F.lit(-1))
     finite = F.forall("points", lambda p: p.lat.isNotNull() & p.lon.isNotNull() & ~F.isnan(p.lat) & ~F.isnan(p.lon))
     rules = {
         "duplicate_id": F.col("_n") > 1,
