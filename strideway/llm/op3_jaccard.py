@@ -4,7 +4,7 @@
    classes are counted, packed as arrays. Two sets can be similar only if 80 % of a set's shingles occur in others too, so
    most classes end here.
 2. The shingles of the rest are put in order of frequency. Similar sets share one of their first (rarest) few, the
-   prefix. Sets with the same prefix and size are one group, and pairs of groups are filtered by size and position.
+   prefix. Sets with the same prefix and size are one group, and pairs of groups are filtered by size, position and bits.
 3. Within a shingle's list the group with the fewest shingles of its own is tested against the others, and every group
    against its members. What that connects needs no more tests. Then each pair of groups whose members are not all
    connected yet is expanded, and its members verified. So a large group of near copies needs about as many tests as it
@@ -27,6 +27,7 @@ from .graph import components
 SHINGLE, PERCENT = 5, 80
 #: Lists of so many ids at most are broadcast to pick documents; longer ones are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+SKETCH = ("b0", "b1", "b2", "b3")
 PACKED = "bucket int, keys binary, counts binary, tokens binary, docs binary"
 FACTS = "kind int, doc_id long, n long, fp1 long, fp2 long, r long"
 DOC = np.dtype([("known", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("fp1", "<i8"), ("fp2", "<i8")])
@@ -120,6 +121,8 @@ def count_shared(packed: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
+    """sid (the doc_id), n, tokens, and 256 bits: whether an odd number of the set's hashes begin with each byte."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -127,9 +130,11 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                 n = np.array([len(s) for s in sets])
                 flat = pa.array(np.concatenate(sets).view("<i8"))
                 lists = pa.ListArray.from_arrays(pa.array([0, *np.cumsum(n)], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), lists], ["sid", "n", "tokens"])
+                odd = [np.packbits(np.bincount(s >> np.uint64(56), minlength=256).astype(np.uint8) & 1) for s in sets]
+                bits = np.concatenate(odd).view("<i8").reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), lists, *(pa.array(bits[:, i].copy()) for i in range(4))], ["sid", "n", "tokens", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sid long, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "sid long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
 def chosen(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -143,59 +148,77 @@ def similar_enough(common: Column, n1: Column, n2: Column, percent: int) -> Colu
 
 
 def may_match(a: str, b: str, percent: int) -> Column:
-    """Size and position: before the shared shingle at most as many match as either has shared ones, after it as many as follow."""
+    """Filters by size and position, which are the same for all members of a group and lose no similar pair.
+
+    Before the shared shingle at most as many match as either has shared ones, after it as many as follow.
+    """
+    c = lambda s, x: F.col(f"{s}.{x}")
+    before, after = F.least(c(a, "pos") - c(a, "u"), c(b, "pos") - c(b, "u")), F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
+    sizes = F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent
+    return sizes & similar_enough(before + after, c(a, "n"), c(b, "n"), percent)
+
+
+def bits_allow(a: str, b: str, percent: int) -> Column:
+    """A filter of two single sets that loses no similar pair: each bit that differs takes a shingle that only one has."""
     c = lambda s, x: F.col(f"{s}.{x}")
-    before = F.least(c(a, "pos") - c(a, "u"), c(b, "pos") - c(b, "u"))
-    after = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & similar_enough(before + after, c(a, "n"), c(b, "n"), percent)
+    apart = sum((F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in SKETCH), F.lit(0))
+    return apart * (100 + percent) <= (c(a, "n") + c(b, "n")) * (100 - percent)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+    bits = sets.select("sid", "n", *SKETCH)
+    told = pairs.join(bits.withColumnRenamed("sid", "a").alias("x").hint("merge"), "a").join(bits.withColumnRenamed("sid", "b").alias("y").hint("merge"), "b")
+    both = told.where(bits_allow("x", "y", percent)).select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     return both.where(similar_enough(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def set_links(sets: DataFrame, percent: int) -> DataFrame:
-    """sid and component over sets (sid, n, tokens) that are linked with any other."""
+    """sid and component over sets (sid, n, tokens, bits; a row for each sid) that are linked with any other."""
     postings = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # written out, so that the joins below are between two shuffles, which are split where a shingle is hot
+    df = stash(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     order = F.sort_array(F.collect_list(F.struct("df", "token")))
-    ordered = postings.join(df.hint("merge"), "token").groupBy("sid", "n").agg(order.alias("t"))
+    ordered = postings.join(df.hint("merge"), "token").groupBy("sid", "n").agg(order.alias("t"), F.sum("df").alias("common"))
     # u shingles are the set's own; they come first and match nothing
     need = F.floor((F.col("n") * percent + 99) / 100)
     prefixes = ordered.withColumn("u", F.col("n") - F.size("t")).withColumn("of", (F.col("n") - need + 1 - F.col("u")).cast("int"))
-    prefixes = stash(prefixes.where("of > 0").select("sid", "n", "u", F.slice(F.col("t.token"), F.lit(1), F.col("of")).alias("prefix")), "prefixes")
+    prefixes = stash(prefixes.where("of > 0").select("sid", "n", "u", "common", F.slice(F.col("t.token"), F.lit(1), F.col("of")).alias("prefix")), "prefixes")
 
     # the same prefix and size: one group, named after its least member
     key = [F.col("n"), F.col("u"), F.when(F.col("u") == 0, F.xxhash64("prefix")).otherwise(F.col("sid")).alias("key")]
     keyed = prefixes.select("sid", *key)
-    groups = keyed.groupBy("n", "u", "key").agg(F.min("sid").alias("gid"))
-    members = stash(keyed.join(groups.hint("merge"), ["n", "u", "key"]).select("gid", "sid"), "members")
-    heads = prefixes.join(members.where("gid = sid").select("sid").hint("merge"), "sid", "left_semi")
-    lists = stash(heads.select(F.col("sid").alias("gid"), "n", "u", F.posexplode("prefix").alias("at", "token")).select("token", "gid", "n", "u", (F.col("u") + F.col("at")).alias("pos")), "prefix-lists")
+    groups = keyed.groupBy("n", "u", "key").agg(F.min("sid").alias("gid"), (F.count("*") == 1).alias("single"))
+    members = stash(keyed.join(groups.hint("merge"), ["n", "u", "key"]).select("gid", "sid", "single"), "members")
+    heads = prefixes.join(members.where("gid = sid").select("sid", "single").hint("merge"), "sid")
+    heads = heads.join(sets.select("sid", *SKETCH).hint("merge"), "sid")
+    lists = stash(heads.select(F.col("sid").alias("gid"), "n", "u", "single", "common", *SKETCH, F.posexplode("prefix").alias("at", "token")).select("token", "gid", "n", "u", "single", "common", *SKETCH, (F.col("u") + F.col("at")).alias("pos")), "prefix-lists")
 
     # first tests: the most typical group of each list against the others, and each group against its members
-    typical = F.struct((F.col("u") / F.col("n")).alias("own"), "gid", "n", "u", "pos")
-    pivots = lists.groupBy("token").agg(F.min(typical).alias("p"), F.count("*").alias("df")).where("df > 1").select("token", "p")
-    star = lists.alias("x").join(pivots.hint("merge"), "token").where((F.col("x.gid") != F.col("p.gid")) & may_match("x", "p", percent))
+    # (fewest shingles of its own, then the most of what others have too)
+    typical = F.struct((F.col("u") / F.col("n")).alias("own"), (-F.col("common")).alias("common"), "gid", "n", "u", "pos", *SKETCH)
+    pivots = stash(lists.groupBy("token").agg(F.min(typical).alias("p"), F.count("*").alias("df")).where("df > 1").select("token", "p"), "pivots")
+    star = lists.alias("x").join(pivots.hint("merge"), "token").where((F.col("x.gid") != F.col("p.gid")) & may_match("x", "p", percent) & bits_allow("x", "p", percent))
     star = star.select(F.least("x.gid", "p.gid").alias("a"), F.greatest("x.gid", "p.gid").alias("b"))
     tested = stash(star.unionByName(members.where("gid <> sid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))).distinct(), "first-pairs")
     links = stash(verified(tested, sets, percent), "first-links")
 
     # then what these tests left apart
     found = stash(components(links), "first-components")
-    placed = members.join(found.withColumnRenamed("v", "sid").hint("merge"), "sid", "left").select("gid", "sid", F.coalesce("c", "sid").alias("c"))
+    placed = members.select("gid", "sid").join(found.withColumnRenamed("v", "sid").hint("merge"), "sid", "left").select("gid", "sid", F.coalesce("c", "sid").alias("c"))
     placed = stash(placed, "placed")
     units = lists.join(placed.groupBy("gid", "c").agg(F.lit(1).alias("_")).drop("_").hint("merge"), "gid")
     units = stash(units, "units")
     main = units.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1").select("token", "main")
+    main = stash(main, "main-components")
     apart = stash(units.join(main.hint("merge"), "token"), "apart")
     x, y = apart.where("c <> main").alias("x"), apart.alias("y")
     crossed = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.struct("x.c", "x.gid") < F.struct("y.c", "y.gid")))
-    pairs = x.join(y.hint("merge"), "token").where(crossed & may_match("x", "y", percent))
+    # bits are those of a group's first member, so they tell only of groups of one
+    told = ~(F.col("x.single") & F.col("y.single")) | bits_allow("x", "y", percent)
+    pairs = x.join(y.hint("merge"), "token").where(crossed & may_match("x", "y", percent) & told)
     pairs = pairs.select(F.col("x.gid").alias("g"), F.col("x.c").alias("c"), F.col("y.gid").alias("h"), F.col("y.c").alias("d")).distinct()
     pairs = pairs.join(placed.select(F.col("gid").alias("g"), "c", F.col("sid").alias("a")).hint("merge"), ["g", "c"])
     pairs = pairs.join(placed.select(F.col("gid").alias("h"), F.col("c").alias("d"), F.col("sid").alias("b")).hint("merge"), ["h", "d"])
@@ -212,7 +235,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     docs: doc_id and text; other columns are ignored. Two documents link where intersection / union of their shingle sets
     is at least percent / 100. class_id is the smallest doc_id with the same set; component_id the smallest that links
     lead to. A text that is null or has no words has no shingles and no links, so both are its own doc_id. Rows that
-    share a doc_id are one document; those with a null doc_id have null for both and link with nothing. Sets are of 64-bit
+    share a doc_id are one document (if their texts differ, the smallest set stands for it); those with a null doc_id have null for both and link with nothing. Sets are of 64-bit
     hashes, and equal sets are found by 128 bits of hash. An empty table gives no rows.
     """
     ship(docs.sparkSession)
@@ -223,11 +246,14 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     shared = facts.where("kind = 1").select("fp1", "r")
     classes = classes.join(shared.hint("merge"), "fp1", "left").withColumn("alive", F.coalesce(F.col("r") * 100 >= F.col("n") * percent, F.lit(False)))
     classes = stash(classes.select("fp1", "fp2", "sid", "size", "alive"), "set-classes")
-    alive = stash(classes.where("alive").select("sid").distinct(), "alive-sets")
-    n_alive = alive.count()
+    alive = stash(classes.where("alive").groupBy("sid").agg(F.count("*").alias("sets")), "alive-sets")
+    n_alive, twice = alive.count(), alive.where("sets > 1").limit(1).count()
     named = classes.where("size > 1 or alive").select("fp1", "fp2", "sid")
     if n_alive:
-        sets = stash(sets_of(chosen(docs, alive, n_alive), shingle), "sets")
+        sets = sets_of(chosen(docs, alive.select("sid"), n_alive), shingle)
+        if twice:
+            sets = sets.groupBy("sid").agg(F.min(F.struct("n", "tokens", *SKETCH)).alias("s")).select("sid", "s.*")
+        sets = stash(sets if twice else sets.dropDuplicates(["sid"]), "sets")
         found = set_links(sets, percent).withColumnRenamed("v", "sid")
         named = named.join(found.hint("merge"), "sid", "left")
     else:
