@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import DEGREE_M, PLANE_M_PER_LAT, PLANE_M_PER_LON, haversine, planar
@@ -39,21 +39,26 @@ def route_lengths(segs: DataFrame, route: str = "route_id") -> DataFrame:
     return segs.groupBy(route).agg(F.sum("length_m").alias("length_m"), F.count("*").cast("int").alias("n_segments"))
 
 
-def projected(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Distance to the segment of a row and the place along it (0 to 1), on the plane of the three points' mean latitude."""
-    k = F.cos(F.radians((lat + F.col("a_lat") + F.col("b_lat")) / 3)) * DEGREE_M
-    px, py = (lon - F.col("a_lon")) * k, (lat - F.col("a_lat")) * DEGREE_M
-    dx, dy = (F.col("b_lon") - F.col("a_lon")) * k, (F.col("b_lat") - F.col("a_lat")) * DEGREE_M
-    size = dx * dx + dy * dy
-    t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(size, F.lit(0.0)))))
-    ex, ey = px - t * dx, py - t * dy
-    return F.when(size == 0, haversine(lat, lon, F.col("a_lat"), F.col("a_lon"))).otherwise(F.sqrt(ex * ex + ey * ey)), t
+def projected(rows: DataFrame) -> DataFrame:
+    """rows (a point's lat and lon, a segment's ends) with distance_m and t, the place of the nearest point along it (0 to 1).
 
+    On the plane of the three points' mean latitude. Each step is a column of its own, so that none is worked out twice.
+    """
+    k = F.cos(F.radians((F.col("lat") + F.col("a_lat") + F.col("b_lat")) / 3)) * DEGREE_M
+    out = rows.withColumn("_k", k)
+    out = out.withColumns({"_px": (F.col("lon") - F.col("a_lon")) * F.col("_k"), "_py": (F.col("lat") - F.col("a_lat")) * DEGREE_M, "_dx": (F.col("b_lon") - F.col("a_lon")) * F.col("_k"), "_dy": (F.col("b_lat") - F.col("a_lat")) * DEGREE_M})
+    out = out.withColumn("_s", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_px") * F.col("_dx") + F.col("_py") * F.col("_dy")) / F.nullif("_s", F.lit(0.0))))
+    out = out.withColumn("t", F.when(F.col("_s") == 0, 0.0).otherwise(t))
+    out = out.withColumns({"_ex": F.col("_px") - F.col("t") * F.col("_dx"), "_ey": F.col("_py") - F.col("t") * F.col("_dy")})
+    distance = F.when(F.col("_s") == 0, haversine(*map(F.col, ("lat", "lon", "a_lat", "a_lon")))).otherwise(F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")))
+    return out.withColumn("distance_m", distance).drop("_k", "_px", "_py", "_dx", "_dy", "_s", "_ex", "_ey")
 
-def near_segments(points: DataFrame, segs: DataFrame, metres: float, max_latitude: float = 60.0) -> DataFrame:
-    """Each point with the segments at most so many metres away: all columns of both, distance_m and t.
 
-    Both must lie within max_latitude of the equator: cells are made for where a degree of longitude is shortest.
+def boxed_segments(points: DataFrame, segs: DataFrame, metres: float, max_latitude: float = 60.0) -> DataFrame:
+    """Each point with the segments whose boxes, grown by so many metres, hold it: all columns of both, distance_m and t.
+
+    Every segment within that distance is among them, and some that are farther. Both tables must lie within max_latitude of the equator: cells are made for where a degree of longitude is shortest.
     """
     cell_y, cell_x = metres / 2 / DEGREE_M, metres / 2 / (DEGREE_M * math.cos(math.radians(max_latitude)))
     grow_y, grow_x = 2.001 * cell_y, 2.001 * cell_x
@@ -72,15 +77,23 @@ def near_segments(points: DataFrame, segs: DataFrame, metres: float, max_latitud
     boxes = boxes.withColumn("_cy", cells("_y0", "_y1", cell_y)).withColumn("_cx", cells("_x0", "_x1", cell_x))
     own = points.withColumn("_cy", F.floor(F.col("lat") / cell_y)).withColumn("_cx", F.floor(F.col("lon") / cell_x))
     met = own.join(boxes.hint("merge"), ["_cy", "_cx"]).where("lat between _y0 and _y1 and lon between _x0 and _x1")
-    distance, t = projected(F.col("lat"), F.col("lon"))
-    return met.drop("_cy", "_cx", "_y0", "_y1", "_x0", "_x1").withColumn("distance_m", distance).withColumn("t", t).where(F.col("distance_m") <= metres)
+    # a long segment's pieces overlap; one row of them is enough, and more do no harm to a minimum
+    return projected(met.drop("_cy", "_cx", "_y0", "_y1", "_x0", "_x1"))
+
+
+def near_segments(points: DataFrame, segs: DataFrame, metres: float, max_latitude: float = 60.0) -> DataFrame:
+    """Each point with the segments at most so many metres away, once each."""
+    return boxed_segments(points, segs, metres, max_latitude).where(F.col("distance_m") <= metres).distinct()
 
 
 def project_points(points: DataFrame, segs: DataFrame, metres: float, point: str = "facility_id", route: str = "route_id", max_latitude: float = 60.0) -> DataFrame:
     """Each point on each route that passes within so many metres: distance_m, progress_m, seq of the nearest segment."""
-    near = near_segments(points.select(point, "lat", "lon"), segs, metres, max_latitude)
-    best = F.min(F.struct("distance_m", "seq", (F.col("start_m") + F.col("length_m") * F.col("t")).alias("progress_m"))).alias("n")
-    return near.groupBy(point, route).agg(best).select(point, route, "n.distance_m", "n.progress_m", "n.seq")
+    near = boxed_segments(points.select(point, "lat", "lon"), segs, metres, max_latitude)
+    # whole micrometres, then the place in the route: equally near segments go to the earlier one; all sums stay plain numbers
+    near = near.select(point, route, "seq", "distance_m", (F.col("start_m") + F.col("length_m") * F.col("t")).alias("progress_m"), (F.floor(F.col("distance_m") * 1e6) * (1 << 24) + F.col("seq")).alias("_order"))
+    best = near.groupBy(point, route).agg(F.min("distance_m").alias("distance_m"), F.min_by("progress_m", "_order").alias("progress_m"), F.min_by("seq", "_order").alias("seq"))
+    # a point whose nearest segment is too far is dropped here, after the minimum
+    return best.where(F.col("distance_m") <= metres)
 
 
 def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame, first_metres: float = 400.0, rounds: int = 8, point: str = "facility_id", route: str = "route_id") -> DataFrame:

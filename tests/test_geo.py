@@ -58,11 +58,12 @@ def test_grid_join_finds_what_all_pairs_find(spark, metres):
         at = at if i == 7 else (at[0] + (r.random() - 0.5) * 0.004, at[1] + (r.random() - 0.5) * (0.004 if i % 9 else 0.06))
         walk.append(at)
     segs = spatial.segments(line(spark, *walk))
-    distance, t = spatial.projected(F.col("lat"), F.col("lon"))
-    every = spots.crossJoin(segs).withColumn("distance_m", distance).withColumn("t", t).where(F.col("distance_m") <= metres)
+    every = spatial.projected(spots.crossJoin(segs)).where(F.col("distance_m") <= metres)
     want = {(x["facility_id"], round(x["m"], 6)) for x in every.groupBy("facility_id").agg(F.min("distance_m").alias("m")).collect()}
     got = {(x["facility_id"], round(x["distance_m"], 6)) for x in spatial.project_points(spots, segs, metres).collect()}
     assert got == want and want
+    near = spatial.near_segments(spots, segs, metres)
+    assert near.count() == every.count() == near.select("facility_id", "seq").distinct().count()
     shuffled = spatial.project_points(spots.orderBy(F.rand(3)).repartition(5), segs.repartition(3), metres)
     assert {(x["facility_id"], round(x["distance_m"], 6)) for x in shuffled.collect()} == want
 
