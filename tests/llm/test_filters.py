@@ -121,8 +121,12 @@ def test_quality_counts_and_verdicts(docs, spark, sf_dir):
         assert x["base_failed"] == (c[0] < 50 or 2 * c[4] > c[0]) and not (x["base_failed"] and x["kept"])
         assert len(x["line_labels"]) == len((t or "").split("\n"))
     assert op6_quality.quality(docs([]), field).count() == 0
-    judged = op6_quality.quality(real, field).join(labels, "doc_id").where("not base_failed").collect()
+    more = "/root/testdata/sf0.01"
+    whole, marks = spark.read.parquet(f"{more}/documents.parquet"), spark.read.parquet(f"{more}/labels.parquet")
+    half = op6_quality.fit(whole, marks.where("doc_id % 2 = 0"))
+    judged = op6_quality.quality(whole, half).join(marks.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
     assert np.mean([x["kept"] == (x["quality"] == 1) for x in judged]) > 0.9
+    assert np.mean([x["kept"] for x in judged if x["quality"] == 1]) > 0.97
     assert op6_quality.fit(real, labels.where("quality = 1")) is None
     assert all(x["kept"] != x["base_failed"] for x in op6_quality.quality(real, None).collect())
 
