@@ -28,8 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, wherever the driver found it."""
+    """Make this package importable in the Python workers, wherever the driver found it, and keep Arrow batches short.
+
+    Spark's 10,000 rows to a batch suit numbers; rows here are whole texts. A session's own setting stays.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)

@@ -45,7 +45,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4_000_000):
                 ids, at = with_end(*encoder(tokenizer).encode(part.column("text")))
                 own = [ids[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(own, pa.binary())], ["doc_id", "ids"])
@@ -79,7 +79,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, s
         index, at, total = [], len(MAGIC), 0
         target, base = opened(uri)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4_000_000):
                 if name is None:
                     name = f"{shard:06d}-{uuid.uuid4().hex}.tokens"
                     out = target.open_output_stream(f"{base}/{name}")

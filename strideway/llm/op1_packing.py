@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4_000_000):
                 ids, bounds = with_end(*encoder(path).encode(part.column("text")))
                 n = np.diff(bounds)
                 pieces = -(-n // capacity)

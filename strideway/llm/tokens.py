@@ -25,18 +25,18 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder(dict):
-    """Ids of texts as little-endian 32-bit integers, from a bounded cache of their words.
+    """Ids of texts as little-endian 32-bit integers, from a bounded cache of their words: `most` of late, and as many older.
 
     The tokenizer drops white space and never joins what stands on two sides of it, so a text's ids are those of its
     words in turn. New words are encoded together: those of plain letters, digits and signs are cut into pieces here and
     go to the vocabulary's merges once for each piece, all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.pieces = Tokenizer.from_file(path), most, {"\n": b""}
+        self.whole, self.most, self.pieces, self.older = Tokenizer.from_file(path), most, {"\n": b""}, {}
         rules = json.loads(self.whole.to_str())
         self.merges = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,9 +51,12 @@ class WordEncoder(dict):
         distinct = words.dictionary.cast(pa.binary()).to_pylist()
         new = {w for w in distinct if w not in self}
         if len(self) + len(new) > self.most and self:
+            self.older = dict(self)
             self.clear()
             new = set(distinct)
-        self.learn(new)
+        known = new & self.older.keys()
+        self.update((w, self.older[w]) for w in known)
+        self.learn(new - known)
         own = list(map(self.__getitem__, distinct))
         ids = np.frombuffer(b"".join(own), "<u4")
         n = np.fromiter(map(len, own), np.int64, len(own)) // 4
@@ -75,7 +78,7 @@ class WordEncoder(dict):
             else:
                 self[word] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found, known = PIECES.findall("\n".join(plain).lower()), self.pieces
-        if len(known) > self.most:
+        if len(known) > self.most // 2:
             known = self.pieces = {"\n": b""}
         new = list({p for p in found if p not in known})
         for i in range(0, len(new), 1000):
