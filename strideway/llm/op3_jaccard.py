@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, column, mixed, rolled, ship, slices, stash, word_hashes
+from .common import buckets, column, drop_stash, mixed, rolled, ship, slices, stash, word_hashes
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -224,8 +224,11 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(placed.select(F.col("gid").alias("h"), F.col("c").alias("d"), F.col("sid").alias("b")).hint("merge"), ["h", "d"])
     rest = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "last-pairs")
     more = stash(verified(rest, sets, percent), "last-links")
+    first = found
     if more.limit(1).count():
         found = stash(components(links.unionByName(more)), "components")
+        drop_stash(first)
+    drop_stash(df, prefixes, members, lists, pivots, tested, links, placed, units, main, apart, rest, more)
     return found
 
 

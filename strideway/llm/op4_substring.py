@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, buckets, column, rolled, ship, slices, stash, word_hashes
+from .common import buckets, column, drop_stash, rolled, ship, slices, stash, word_hashes
 
 WINDOW, PERIOD = 50, 21
 OTHER_BASE = 0xD6E8FEB86659FD93
@@ -180,4 +180,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     # lists of places are far smaller than texts, and no doc_id has many rows: they are the side to build from
     found = rows.join(anchors.hint("shuffle_hash"), "doc_id")
     repeats = stash(gathered(repeated(window_hashes(found, window, period), False), "repeats"), "repeats")
+    drop_stash(anchors)
     return without_repeats(rows.join(repeats.hint("shuffle_hash"), "doc_id", "left"), window, keep_text)

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stash
+from .common import drop_stash, n_words, stash
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Blocks of all sources together, at most; fewer on small inputs, for BLOCK_DOCS documents each.
@@ -149,6 +149,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     slots = ranges.select("source_no", "shard", F.explode(F.sequence("first", "last")).alias("draw"))
     placed = draws.join(slots.hint("merge"), ["source_no", "draw"]).select("source_no", "block", "copy", "shard")
     taken = stash(taken.select("doc_id", "source", "source_no", "size", "source_size", "target", "block", "copies"), "mix-taken")
+    drop_stash(sized, sources, found)
     copies = taken.where("copies > 0").select("doc_id", "source_no", "block", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     drawn = copies.join(placed.hint("merge"), ["source_no", "block", "copy"]).withColumn("place", F.xxhash64(F.lit(seed + 2), "shard", "doc_id", "copy"))
     return taken, drawn
