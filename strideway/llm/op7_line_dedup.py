@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mixed, rolled, ship, slices, stash, word_hashes
+from .common import column, drop_stash, rolled, ship, slices, stash, word_hashes
 
 #: Lines in the rolling hash, and lines in a chunk on average.
 ROLL, SPACING = 2, 3
@@ -97,14 +97,17 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "first")
     chunks = stash(hashed_chunks(docs), "chunks")
     often = chunks.groupBy("h", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h", "h2")
-    # one chunk may stand in most documents: a merge join is split where it is hot
-    often = chunks.join(often.hint("merge"), ["h", "h2"], "left_semi")
-    often = stash(often.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lines", "h", "h2")).alias("chunks")), "candidates")
-    found = docs.select("doc_id", "text").join(often.hint("shuffle_hash"), "doc_id")
+    # one chunk may stand in most documents: a merge join of written tables is split where it is hot
+    often = stash(often, "repeated-hashes")
+    candidates = chunks.join(often.hint("merge"), ["h", "h2"], "left_semi")
+    candidates = stash(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lines", "h", "h2")).alias("chunks")), "candidates")
+    found = docs.select("doc_id", "text").join(candidates.hint("shuffle_hash"), "doc_id")
     texts = stash(chunk_texts(found), "chunk-texts")
-    same = texts.groupBy("h", "h2", "chunk").agg(F.min(place).alias("keep"))
+    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(place).alias("keep")), "same-chunks")
     gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.col("keep"))
-    return stash(gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
+    gone = stash(gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
+    drop_stash(chunks, often, candidates, texts, same)
+    return gone
 
 
 def line_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
