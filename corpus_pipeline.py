@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand before go; so does a document with nothing left."""
-    kept = op7_line_dedup.line_dedup_texts(docs)
+    """Chunks of lines that stand before go, with the equal lines around them; so does a document with nothing left."""
+    kept = op7_line_dedup.line_dedup_texts(docs, extend=True)
     text = F.col("text")
     return kept.where("text is null or trim(text) <> ''").withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
 

@@ -2,18 +2,20 @@
 
 A rolling hash over the last few line hashes ends a chunk where it is a multiple of SPACING. The same lines thus make the
 same chunks wherever they stand, but for the first and last of them. A chunk of several lines that stands anywhere before
-(in a smaller doc_id, or further up) is removed: hashes pick candidates, and their bytes decide.
+(in a smaller doc_id, or further up) is removed: hashes pick candidates, and their bytes decide. From such a chunk the
+removal can be extended line by line, both ways, as far as the lines equal those around the occurrence that stays.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, drop_stash, rolled, ship, slices, stash, word_hashes
@@ -21,6 +23,11 @@ from .common import column, drop_stash, rolled, ship, slices, stash, word_hashes
 #: Lines in the rolling hash, and lines in a chunk on average.
 ROLL, SPACING = 2, 3
 CHUNK = "doc_id long, first int, lines int, h long, h2 long"
+#: Lines that are compared on each side of a chunk at first; twice as many in each further round, for what is equal so far.
+WINDOW = 8
+AROUND = ", before array<binary>, after array<binary>"
+#: Up to so many document ids are sent to all executors.
+BROADCAST_IDS = 1_000_000
 
 
 def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -52,8 +59,15 @@ def hashed_chunks(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, CHUNK)
 
 
+def around(lines: list[bytes], first: int, n: int, skip: int, size: int) -> tuple[list[bytes], list[bytes]]:
+    """128-bit digests of `size` lines before a chunk, nearest first, and of as many after it, without the nearest `skip`."""
+    end = first + n + skip
+    sides = lines[max(0, first - skip - size) : max(0, first - skip)][::-1], lines[end : end + size]
+    return tuple([hashlib.blake2b(x, digest_size=16).digest() for x in side] for side in sides)
+
+
 def chunk_texts(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, chunks (first, lines, h, h2); their bytes."""
+    """docs: doc_id, text, chunks (first, lines, h, h2); their bytes, and digests of the lines around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,11 +75,79 @@ def chunk_texts(docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc, text, chunks in zip(column(part, "doc_id"), column(part, "text"), column(part, "chunks"), strict=True):
                     lines = text.split(b"\n")
-                    rows += [(doc, c["first"], c["lines"], c["h"], c["h2"], b"\n".join(lines[c["first"] : c["first"] + c["lines"]])) for c in chunks]
-                doc, first, n, h, h2, chunk = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(chunk, pa.binary())], ["doc_id", "first", "lines", "h", "h2", "chunk"])
+                    rows += [(doc, c["first"], c["lines"], c["h"], c["h2"], b"\n".join(lines[c["first"] : c["first"] + c["lines"]]), *around(lines, c["first"], c["lines"], 0, WINDOW)) for c in chunks]
+                doc, first, n, h, h2, chunk, before, after = zip(*rows, strict=True)
+                own = [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(chunk, pa.binary())]
+                sides = [pa.array(x, pa.list_(pa.binary())) for x in (before, after)]
+                yield pa.RecordBatch.from_arrays(own + sides, ["doc_id", "first", "lines", "h", "h2", "chunk", "before", "after"])
+
+    return docs.select("doc_id", "text", "chunks").mapInArrow(run, CHUNK + ", chunk binary" + AROUND)
+
+
+def farther(docs: DataFrame, skip: int, size: int) -> DataFrame:
+    """docs: doc_id, text, chunks (first, lines, h, h2); digests of the lines around them, where the chunk stands in the row."""
 
-    return docs.select("doc_id", "text", "chunks").mapInArrow(run, CHUNK + ", chunk binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for doc, text, chunks in zip(column(part, "doc_id"), column(part, "text"), column(part, "chunks"), strict=True):
+                    lines = text.split(b"\n")
+                    for c in chunks:
+                        print_ = xxhash.xxh3_128_digest(b"\n".join(lines[c["first"] : c["first"] + c["lines"]]))
+                        if np.frombuffer(print_, "<i8").tolist() == [c["h"], c["h2"]]:  # rows may share a doc_id
+                            rows.append((doc, c["first"], c["h"], c["h2"], *around(lines, c["first"], c["lines"], skip, size)))
+                if rows:
+                    doc, first, h, h2, before, after = zip(*rows, strict=True)
+                    own = [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64())]
+                    sides = [pa.array(x, pa.list_(pa.binary())) for x in (before, after)]
+                    yield pa.RecordBatch.from_arrays(own + sides, ["doc_id", "first", "h", "h2", "before", "after"])
+
+    return docs.select("doc_id", "text", "chunks").mapInArrow(run, "doc_id long, first int, h long, h2 long" + AROUND)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from their beginnings."""
+    n = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    return F.when(n == 0, F.size(a)).otherwise(n - 1).cast("int")
+
+
+def extended(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, first and lines of removed chunks with the lines around them that equal those around the chunk that stays.
+
+    gone: doc_id, first, lines, h, h2, before, after and keep (doc_id, first, before, after). Whatever goes equals lines at a
+    smaller place, so the first of equal lines stays. A side ends at an unlike line, an end of either document, or the next
+    removed chunk; rounds with windows twice as long go on until every side has ended.
+    """
+    key = ["doc_id", "first", "lines", "h", "h2"]
+    rows = gone.select(*key, F.col("keep.doc_id").alias("k_doc"), F.col("keep.first").alias("k_first"), agreement(F.col("before"), F.col("keep.before")).alias("up"), agreement(F.col("after"), F.col("keep.after")).alias("down"))
+    rows = rows.groupBy(*key, "k_doc", "k_first").agg(F.min("up").alias("up"), F.min("down").alias("down"))
+    by = Window.partitionBy("doc_id").orderBy("first", "lines")
+    rows = rows.withColumn("floor", F.coalesce(F.lag(F.col("first") + F.col("lines")).over(by), F.lit(0))).withColumn("ceiling", F.lead("first").over(by))
+    found, reached, used = [stash(rows, "reach")], WINDOW, []
+    while True:
+        up = (F.col("up") == reached) & (F.col("first") - F.col("up") > F.col("floor"))
+        down = (F.col("down") == reached) & (F.col("ceiling").isNull() | (F.col("first") + F.col("lines") + F.col("down") < F.col("ceiling")))
+        left = found[-1].where(up | down)
+        if not left.limit(1).count():
+            break
+        places = left.select(*key).union(left.select("k_doc", "k_first", "lines", "h", "h2")).distinct()
+        places = stash(places.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lines", "h", "h2")).alias("chunks")), "reach-places")
+        few = places.count() <= BROADCAST_IDS
+        texts = docs.join(F.broadcast(places.select("doc_id")), "doc_id", "left_semi") if few else docs
+        size = 2 * reached
+        sides = farther(texts.join(places.hint("shuffle_hash"), "doc_id"), reached, size)
+        sides = stash(sides.groupBy("doc_id", "first", "h", "h2").agg(F.min(F.struct("before", "after")).alias("s")), "reach-sides")
+        kept = sides.select(F.col("doc_id").alias("k_doc"), F.col("first").alias("k_first"), "h", "h2", F.col("s").alias("k"))
+        met = left.join(sides.hint("merge"), ["doc_id", "first", "h", "h2"]).join(kept.hint("merge"), ["k_doc", "k_first", "h", "h2"])
+        grown = [(F.col(c) + F.when(open_, agreement(F.col(f"s.{side}"), F.col(f"k.{side}"))).otherwise(0)).alias(c) for c, open_, side in (("up", up, "before"), ("down", down, "after"))]
+        found.append(stash(met.select(*key, "k_doc", "k_first", *grown, "floor", "ceiling"), "reach"))
+        used += [places, sides]
+        reached += size
+    out = [f.select("doc_id", (F.col("first") - F.col("up")).alias("first"), (F.col("lines") + F.col("up") + F.col("down")).alias("lines")) for f in found]
+    out = stash(functools.reduce(DataFrame.unionByName, out), "extended")
+    drop_stash(*found, *used)
+    return out
 
 
 def without_chunks(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -92,8 +174,8 @@ def without_chunks(docs: DataFrame, keep_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "gone").mapInArrow(run, schema)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id to gone, its chunks that stand before, as (first, lines)."""
+def repeated_chunks(docs: DataFrame, extend: bool = False) -> DataFrame:
+    """doc_id to gone, its chunks that stand before, as (first, lines); with extend, with the equal lines around them."""
     place = F.struct("doc_id", "first")
     chunks = stash(hashed_chunks(docs), "chunks")
     often = chunks.groupBy("h", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h", "h2")
@@ -103,28 +185,30 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     candidates = stash(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lines", "h", "h2")).alias("chunks")), "candidates")
     found = docs.select("doc_id", "text").join(candidates.hint("shuffle_hash"), "doc_id")
     texts = stash(chunk_texts(found), "chunk-texts")
-    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(place).alias("keep")), "same-chunks")
-    gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.col("keep"))
-    gone = stash(gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
-    drop_stash(chunks, often, candidates, texts, same)
+    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct("doc_id", "first", "before", "after")).alias("keep")), "same-chunks")
+    gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.struct("keep.doc_id", "keep.first"))
+    ranges = extended(docs, gone) if extend else gone
+    gone = stash(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
+    drop_stash(chunks, often, candidates, texts, same, *[ranges] * extend)
     return gone
 
 
-def line_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, keep_text: bool = True, extend: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, n_lines, n_removed, kept_sha256, and with keep_text kept_text.
 
     docs: doc_id and text; other columns are ignored. Lines end at \\n and are compared byte by byte. Of equal chunks of
-    two lines or more the one with the smallest (doc_id, place) stays. An empty text is one empty line; a null text has
+    two lines or more the one with the smallest (doc_id, place) stays; with extend, the lines next to a removed chunk go too,
+    as far as they equal those next to the one that stays (by 128 bits of digest). An empty text is one empty line; a null text has
     none, stays null, and hashes like an empty one. Rows that share a doc_id are one document, whose equal chunks at one
     place don't repeat each other; a null doc_id is not compared. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    return without_chunks(rows.join(repeated_chunks(rows).hint("shuffle_hash"), "doc_id", "left"), keep_text)
+    return without_chunks(rows.join(repeated_chunks(rows, extend).hint("shuffle_hash"), "doc_id", "left"), keep_text)
 
 
-def line_dedup_texts(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, and text without the chunks that stand before."""
+def line_dedup_texts(docs: DataFrame, extend: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, and text without the chunks that stand before (extend: see line_dedup)."""
     ship(docs.sparkSession)
     schema = docs.schema
 
@@ -140,6 +224,6 @@ def line_dedup_texts(docs: DataFrame) -> DataFrame:
                 part = part.drop_columns(["_gone"])
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    gone = repeated_chunks(docs.select("doc_id", "text")).withColumnRenamed("gone", "_gone")
+    gone = repeated_chunks(docs.select("doc_id", "text"), extend).withColumnRenamed("gone", "_gone")
     found = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_gone")
     return found.mapInArrow(run, schema)

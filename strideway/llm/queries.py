@@ -35,7 +35,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7_line_dedup.line_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    return op7_line_dedup.line_dedup(table(spark, sf_dir, "documents"), keep_text=False, extend=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,6 +204,49 @@ def test_line_chunks_against_brute_force(docs):
     assert op7_line_dedup.line_dedup(docs([])).count() == 0
 
 
+def repeated_runs(rows):
+    """By doc_id, the lines that stand in a run of two or more lines that stands at a smaller (doc_id, place)."""
+    first, gone = {}, {}
+    for i, t in sorted(x for x in rows if x[0] is not None and x[1] is not None):
+        lines, gone[i] = t.split("\n"), set()
+        for k in range(len(lines) - 1):
+            if first.setdefault((lines[k], lines[k + 1]), (i, k)) != (i, k):
+                gone[i] |= {k, k + 1}
+    return gone
+
+
+def test_removal_is_extended_to_whole_passages(docs):
+    """Every run that holds a repeated chunk goes whole, and nothing goes but repeated runs."""
+    r = random.Random(4)
+    passages = [[f"passage {p} line {i}" for i in range(n)] for p, n in enumerate((3, 4, 5, 6, 8, 12, 40))]
+    rows = []
+    for i in range(60):
+        own = [f"{i} own {k}" for k in range(6)]
+        rows.append((i, "\n".join(own[:3] + passages[i % 7] + own[3:])))
+    whole = [f"whole {i}" for i in range(40)]
+    # a run of one-line chunks, longer than two windows, after a passage with a chunk
+    single = []
+    while len(single) < 60:
+        x = f"single {r.random()}"
+        if len(op7_line_dedup.chunk_bounds([b.encode() for b in [*single[-1:], x, "end"]])) > (len(single) > 0):
+            single.append(x)
+    rows += [(100 + i, "\n".join([f"{i} a", f"{i} b", *whole, *single, f"{i} c", f"{i} d"])) for i in range(3)]
+    rows += [(200, None), (201, ""), (None, "\n".join(passages[6]))]
+    d = docs(rows)
+    plain = {x["doc_id"]: x["n_removed"] for x in op7_line_dedup.line_dedup(d).collect()}
+    found = {x["doc_id"]: x for x in op7_line_dedup.line_dedup(d, extend=True).collect()}
+    brute = repeated_runs(rows)
+    for i, t in rows:
+        if i in brute and found[i]["n_removed"]:
+            kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in brute[i])
+            assert (found[i]["kept_text"], found[i]["n_removed"]) == (kept, len(brute[i]))
+        assert (found[i]["n_removed"] > 0) == (plain[i] > 0)
+    assert sum(x["n_removed"] for x in found.values()) > sum(plain.values())
+    assert [found[100 + i]["n_removed"] for i in (1, 2)] == [100, 100] and found[None]["n_removed"] == 0
+    texts = {x["doc_id"]: x["text"] for x in op7_line_dedup.line_dedup_texts(d, extend=True).collect()}
+    assert texts == {i: x["kept_text"] for i, x in found.items()}
+
+
 def test_boundaries_shift_with_the_lines():
     lines = [f"line {i}".encode() for i in range(60)]
     ends = {a + n for a, n in op7_line_dedup.chunk_bounds(lines)}
