@@ -140,7 +140,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     # the draws of a source in order: pass by pass, block by block; a shard takes as many as its quota from where the last ended
     part = F.col("_need") > 0
-    draws = rows.select("source_no", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes") + part.cast("long"))).alias("copy")).where((F.col("copy") <= F.col("passes")) | part)
+    # sequence(1, 0) would count down: a block without draws has no row
+    draws = rows.withColumn("n", F.col("passes") + part.cast("long")).where("n > 0").select("source_no", "block", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     draws = draws.withColumn("draw", F.row_number().over(Window.partitionBy("source_no").orderBy("copy", "block")))
     quotas = draws.groupBy("source_no").agg(F.count("*").alias("quota"))
     ends = Window.partitionBy("source_no").orderBy("shard")

@@ -86,6 +86,22 @@ def test_mix(docs, seed):
     assert op5_mixing.mix_report(docs([])).count() == 0
 
 
+def test_shards_share_real_draws_only(docs):
+    """With equal words a block is one draw or none: shards hold as many draws of each source as split_quotas says."""
+    rows = [(i, "w " * 10, None, "hot") for i in range(6000)] + [(10000 + i, "w " * 10, None, "b") for i in range(1500)]
+    d = docs(rows)
+    taken, drawn = op5_mixing.mix_plan(d, weights=(5, 1), share=0.5)
+    got = drawn.select("source_no", "shard", "block", "copy").distinct().groupBy("source_no", "shard").count().collect()
+    got = {(x["source_no"], x["shard"]): x["count"] for x in got}
+    target = {x["source"]: (x["target"], x["source_size"]) for x in taken.select("source", "target", "source_size").distinct().collect()}
+    assert target["hot"][0] < target["hot"][1] / 2
+    quota = Counter()
+    for (no, _), n in got.items():
+        quota[no] += n
+    quotas = d.sparkSession.createDataFrame(sorted(quota.items()), "source_no int, quota long")
+    assert got == {(x["source_no"], x["shard"]): x["draws"] for x in op5_mixing.split_quotas(quotas).collect()}
+
+
 def test_quotas_add_up_and_draws_follow_the_distribution(spark):
     q = spark.createDataFrame([(1, 700), (2, 250), (3, 51), (4, 1)], "source_no int, quota long")
     found = op5_mixing.split_quotas(q, 8, seed=4).collect()
