@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -492,5 +493,26 @@ def geojson_features(t):
     line = t.segments.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", writers.lon_lat(F.col("a_lat"), F.col("a_lon")).alias("c")))).alias("v"))
     shape = line.select("route_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), writers.feature("LineString", F.transform("v", lambda x: x.c), route=F.col("route_id")).alias("feature"))
     spots = t.strict.select("route_id", "facility_id", "position_m", "confidence").join(t.facilities.select("facility_id", "lat", "lon"), "facility_id")
-    points = spots.select("route_id", F.lit(1).alias("kind"), F.col("facility_id").alias("place"), writers.feature("Point", writers.lon_lat(F.col("lat"), F.col("lon")), facility=F.col("facility_id"), confidence=F.col("confidence"), progress=rounded(F.col("position_m"), 3)).alias("feature"))
-    return writers.feature_collections(shape.unionByName(points), "route_id", ["kind", "place"])
+    points = spots.select("route_id", F.lit(2).alias("kind"), F.col("facility_id").alias("place"), writers.feature("Point", writers.lon_lat(F.col("lat"), F.col("lon")), facility=F.col("facility_id"), confidence=F.col("confidence"), progress=rounded(F.col("position_m"), 3)).alias("feature"))
+
+    # the longest gaps, on the geometry's scale to be sliced; a route without length keeps its whole line
+    r = t.routes.select("route_id", "stated_m", "length_m")
+    kinds = [("rest_gap", t.strict), ("public_toilet_gap", t.placed.where((F.col("kind") == "toilet") & (F.col("distance_m") <= routes.TOILET_M))), ("drinking_water_gap", t.strict.where("kind = 'water'"))]
+    at = functools.reduce(DataFrame.unionByName, [p.select("route_id", F.lit(n).alias("gap"), F.lit(k).cast("long").alias("place"), "facility_id", "position_m") for k, (n, p) in enumerate(kinds)])
+    each = r.crossJoin(F.broadcast(t.spark.createDataFrame([(n, k) for k, (n, _) in enumerate(kinds)], "gap string, place long")))  # three rows
+    keys = ["route_id", "gap", "place"]
+    top = linear.two_largest(linear.gaps(at, each, route=keys), keys).join(r, "route_id").persist()
+    on_line = lambda m: F.when(F.col("stated_m") > 0, m / F.nullif("stated_m", F.lit(0.0)) * F.col("length_m")).otherwise(0.0)
+    spans = top.select(*keys, "gap_start_m", "gap_end_m", "longest_m", on_line(F.col("gap_start_m")).alias("from_m"), on_line(F.col("gap_end_m")).alias("to_m"))
+    cut = spatial.slice_route(spans, t.segments).select(*keys, F.transform("points", lambda p: writers.lon_lat(p.lat, p.lon)).alias("cut"))
+    gone = spans.join(cut, keys, "left").join(line, "route_id")
+    origin = {"sourceType": F.lit("derived"), "generatedBy": F.lit("strideway"), "sourceDatasetIds": F.array(F.lit("events"), F.lit("customer"))}
+    gaps = gone.select(
+        "route_id", F.lit(1).alias("kind"), "place",
+        writers.feature("LineString", F.coalesce("cut", F.transform("v", lambda x: x.c)), featureType=F.col("gap"), route=F.col("route_id"), start=rounded(F.col("gap_start_m"), 3), end=rounded(F.col("gap_end_m"), 3), gap=rounded(F.col("longest_m"), 3), **origin).alias("feature"),
+    )
+    stop = linear.insertion_suggestion(top.where("gap = 'rest_gap'")).withColumn("target_m", on_line(F.col("insert_m")))
+    stop = spatial.at_progress(stop.select("route_id", "insert_m", "improved_m", "improved_ratio", "longest_m", "target_m"), t.segments)
+    stops = stop.select("route_id", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("place"), writers.feature("Point", writers.lon_lat(F.col("lat"), F.col("lon")), featureType=F.lit("theoretical_rest_insertion"), route=F.col("route_id"), progress=rounded(F.col("insert_m"), 3), improvement=rounded(F.col("longest_m") - F.col("improved_m"), 3), ratio=rounded(F.col("improved_ratio"), 6), **origin).alias("feature"))
+    features = functools.reduce(DataFrame.unionByName, [shape, gaps, points, stops])
+    return writers.feature_collections(features, "route_id", ["kind", "place"])
