@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -96,19 +97,30 @@ def project_points(points: DataFrame, segs: DataFrame, metres: float, point: str
     return best.where(F.col("distance_m") <= metres)
 
 
-def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame, first_metres: float = 400.0, rounds: int = 8, point: str = "facility_id", route: str = "route_id") -> DataFrame:
+def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame, first_metres: float = 400.0, rounds: int | None = None, point: str = "facility_id", route: str = "route_id") -> DataFrame:
     """Each route's nearest point at whatever distance: the radius doubles for routes that have found none.
 
-    A point within the radius is nearer than any that the radius leaves out, so the first found is the nearest. After
-    `rounds` doublings (about 100 km) a route without any point has null.
+    A point within the radius is nearer than any that the radius leaves out, so the first found is the nearest. The last
+    radius covers the box around all points and segments, so a route has null only where there are no points, it has no
+    segments, or `rounds`, if given, ends the search before.
     """
+    finite = "abs(lat) < double('infinity') and abs(lon) < double('infinity')"
+    ends = segs.select(F.explode(F.array(*[F.struct(F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for e in "ab"])).alias("p")).select("p.*")
+    box = points.select("lat", "lon").where(finite).unionByName(ends.where(finite)).agg(*[f(c).alias(f.__name__ + c) for c in ("lat", "lon") for f in (F.min, F.max)]).first()
+    if box["minlat"] is None or not points.where(finite).limit(1).count():
+        return routes.select(route, F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast(points.schema[point].dataType).alias(point))
+    reach = 1.01 * DEGREE_M * math.hypot(box["maxlat"] - box["minlat"], box["maxlon"] - box["minlon"])
+    highest = min(89.9, max(60.0, abs(box["minlat"]), abs(box["maxlat"])))
+    spark = routes.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
     found, left, metres = None, routes.select(route), first_metres
-    for _ in range(rounds):
-        own = project_points(points, segs.join(left, route, "left_semi"), metres, point, route).groupBy(route).agg(F.min(F.struct("distance_m", point)).alias("n"))
-        own = own.select(route, F.col("n.distance_m").alias("distance_m"), F.col(f"n.{point}").alias(point)).persist()
+    for n in itertools.count(1):
+        own = project_points(points, segs.join(left, route, "left_semi"), metres, point, route, highest).groupBy(route).agg(F.min(F.struct("distance_m", point)).alias("n"))
+        own = own.select(route, F.col("n.distance_m").alias("distance_m"), F.col(f"n.{point}").alias(point)).checkpoint()
         found = own if found is None else found.unionByName(own)
-        left = left.join(own.select(route), route, "left_anti").persist()
-        if not left.limit(1).count():
+        left = left.join(own.select(route), route, "left_anti").checkpoint()
+        if metres >= reach or n == rounds or not left.limit(1).count():
             break
         metres *= 2
     return routes.select(route).join(found, route, "left")

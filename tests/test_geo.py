@@ -85,6 +85,13 @@ def test_nearest_at_any_distance(spark):
     assert spatial.nearest_any_distance(routes_, places(spark).limit(0), segs, rounds=2).first()["distance_m"] is None
 
 
+@pytest.mark.parametrize("lat", [37.0, 68.0])
+def test_nearest_has_no_last_radius(spark, lat):
+    segs = spatial.segments(line(spark, (35.0, 139.0), (35.0, 139.01)))
+    found = spatial.nearest_any_distance(segs.select("route_id").distinct(), places(spark, (lat, 139.0)), segs).first()
+    assert found["facility_id"] == 0 and found["distance_m"] == pytest.approx((lat - 35) * 111195, rel=0.01)
+
+
 def test_slice_and_place_along(spark):
     segs = spatial.segments(line(spark, (0, 0), (0, 0.01), (0, 0.02)))
     half = spatial.at_progress(spark.createDataFrame([(1, 1112.0), (1, 1e9)], "route_id long, target_m double"), segs)
