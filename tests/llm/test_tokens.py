@@ -102,3 +102,13 @@ def test_token_files_of_nothing(docs, spark):
     uri = op10_token_files.new_folder(spark)
     op10_token_files.write_token_files(docs([]), uri)
     assert op10_token_files.read_token_files(spark, uri).count() == 0
+
+
+def test_tokenizers_of_other_rules_encode_whole_texts():
+    import public_tokenizers
+
+    e = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.by_words
+    ids, at = e.encode(pa.array(TEXTS, pa.string()))
+    for i, t in enumerate(TEXTS):
+        assert ids[at[i] : at[i + 1]].tolist() == e.whole.encode(t or "", add_special_tokens=False).ids
