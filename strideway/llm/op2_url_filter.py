@@ -2,7 +2,8 @@
 
 Labelled pages make a host's share of good pages. It is shrunk towards its registered domain's, that towards its
 suffix's, that towards the share over all pages, each time with a beta prior whose strength is fitted by moments to how
-much the children of one parent differ. A page is blocked when even the upper bound of its host's posterior is low.
+much the children of one parent differ. A page is blocked when even the upper bound of its host's posterior is below the share of
+good pages over all hosts, so the limit moves with the outcomes and not with how strict their labels are.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from .common import ascii_lower, stash
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path begins with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: A host is blocked when mean + Z standard deviations of its posterior stay below LEAST_GOOD.
-Z, LEAST_GOOD = 1.645, 0.6
+#: A host is blocked when mean + Z standard deviations of its posterior stay below the overall share of good pages, times MARGIN.
+Z, MARGIN = 1.0, 1.0
+#: A page is good when fewer than one of so many visible words' worth of signs like # * $ % | stand in it.
+WORDS_PER_SIGN = 10
 #: Priors are worth so many pages at least and at most.
 WEAKEST, STRONGEST = 4.0, 1000.0
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
+#: Suffixes of two labels under which names are registered, unless the caller gives a longer list; any other suffix is the last label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn")
 
 
@@ -31,11 +34,11 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def levels(hosts: DataFrame) -> DataFrame:
+def levels(hosts: DataFrame, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """suffix and domain of each host: its last label (or a known pair of labels), and one label more."""
     name = F.regexp_replace("host", r"(^.*@)|(:[0-9]*$)", "")
     two = F.substring_index(name, ".", -2)
-    suffix = F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    suffix = F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(name, ".", -1))
     labels = F.size(F.split(suffix, r"\."))
     return hosts.withColumn("suffix", suffix).withColumn("domain", F.when(labels == 2, F.substring_index(name, ".", -3)).otherwise(two))
 
@@ -58,8 +61,8 @@ def prior_strength(rows: DataFrame, mean: str) -> float:
     return STRONGEST if share <= 1 / (STRONGEST + 1) else max(WEAKEST, 1 / share - 1)
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host to mean and upper bound of its share of good pages.
+def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+    """host to n, k, mean and upper bound of its share of good pages, and the share over all hosts.
 
     pages: page_id and url; outcomes: page_id and good (boolean), at most a row for each page, any of them missing. A host
     without labelled pages has its prior for a posterior.
@@ -67,7 +70,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     seen = pages.select("page_id", url_host(F.col("url")).alias("host"))
     best = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     counted = seen.join(best.hint("merge"), "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.count_if(F.col("good")).alias("k"))
-    hosts = stash(levels(counted), "hosts")
+    hosts = stash(levels(counted, long_suffixes), "hosts")
     domains = stash(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = stash(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -80,7 +83,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     h = stash(hosts.join(d.hint("merge"), "domain"), "host-priors")
     h = posterior(h, "p_domain", prior_strength(h, "p_domain"))
     mean, size = F.col("a") / (F.col("a") + F.col("b")), F.col("a") + F.col("b")
-    return h.select("host", "n", mean.alias("mean"), (mean + Z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("upper"))
+    return h.select("host", "n", "k", F.lit((k + 1) / (n + 2)).alias("overall"), mean.alias("mean"), (mean + Z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("upper"))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
@@ -92,14 +95,14 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return fits[0] if len(fits) == 1 else F.greatest(*fits)
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
-    """page_id, host, path, rule, verdict and the reputation behind it, a row for each row of pages.
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, margin: float = MARGIN, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict and the reputation behind it (mean, upper, overall), a row for each row of pages.
 
     A url that is null or has no :// has an empty host and path, and the reputation of the empty host. Repeated rows and
     null page_ids are judged like any other. Other columns of either table are ignored; empty tables give no rows, and no
-    outcomes at all leave every host at one half, which is blocked only if least_good is far above that.
+    outcomes at all leave every host at the overall share of one half, with an upper bound above it, which is allowed.
     """
-    reputation = stash(host_reputation(pages, outcomes), "reputation")
+    reputation = stash(host_reputation(pages, outcomes, long_suffixes), "reputation")
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     # one host may have most pages: a merge join is split where it is hot
@@ -108,12 +111,18 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, st
         "host",
         "path",
         F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("upper") < least_good, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("_rule.verdict", F.when(F.col("upper") < F.col("overall") * margin, "block").otherwise("allow")).alias("verdict"),
         "mean",
         "upper",
+        "overall",
     )
 
 
-def labelled_outcomes(labels: DataFrame) -> DataFrame:
-    """The labels table as outcomes: the page of the label's number is good when it has quality and nothing toxic."""
-    return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+def page_outcomes(pages: DataFrame) -> DataFrame:
+    """page_id and good: whether few signs stand among a page's visible words; null html has no outcome.
+
+    Visible is what is left without scripts, styles and tags. A page without words is good.
+    """
+    seen = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</(script|style)>|<[^>]*>", " ")
+    few = F.regexp_count(seen, F.lit("[#*$%|]")) * WORDS_PER_SIGN <= F.regexp_count(seen, F.lit(r"[^\x20\x09-\x0D]+"))
+    return pages.select("page_id", few.alias("good"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import op1_packing, op2_url_filter, op3_jaccard, op4_substring, op5_mixing, op6_quality, op7_line_dedup, op8_language, op9_exact_dedup, op10_token_files
 from .common import table
@@ -13,8 +14,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = op2_url_filter.labelled_outcomes(table(spark, sf_dir, "labels"))
-    return op2_url_filter.url_filter(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+    """Pages are labelled by what their own html shows; nothing else in the tables tells of pages."""
+    pages = table(spark, sf_dir, "pages")
+    found = op2_url_filter.url_filter(pages, op2_url_filter.page_outcomes(pages))
+    mean, upper = (F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("mean", "upper"))
+    return found.select("page_id", "host", "path", "rule", "verdict", mean.alias("mean"), upper.alias("upper"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,8 @@ WITH parsed AS (
     CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages),
 rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-outcomes AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+seen AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>|<[^>]*>', ' ', 'g') AS t FROM pages WHERE html IS NOT NULL AND page_id IS NOT NULL),
+outcomes AS (SELECT page_id, min(CASE WHEN len(regexp_extract_all(t, '[#*$%|]')) * 10 <= len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) THEN 1 ELSE 0 END) AS good FROM seen GROUP BY 1),
 hosts0 AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k, regexp_replace(host, '(^.*@)|(:[0-9]*$)', '') AS name FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY 1),
 hosts1 AS (SELECT *, string_split(name, '.') AS l, len(string_split(name, '.')) AS m FROM hosts0),
 hosts2 AS (SELECT *, array_to_string(l[greatest(m - 1, 1):], '.') AS two FROM hosts1),
@@ -102,10 +107,10 @@ h0 AS (SELECT hosts.*, p_domain AS p FROM hosts JOIN d USING (domain)),
 h1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM h0),
 h2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(4.0, 1 / r - 1) END::DOUBLE AS m FROM h1),
 h3 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h0, h2),
-h AS (SELECT host, a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper FROM h3),
+h AS (SELECT host, a / (a + b) AS mean, a / (a + b) + 1.0 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS overall FROM h3),
 ruled AS (SELECT page_id, host, path, (SELECT max({'n': length(r.h || r.p), 'rule': r.h || r.p, 'verdict': r.verdict}) FROM rules r
     WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)) AS r FROM parsed)
-SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN upper < 0.6 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN upper < overall THEN 'block' ELSE 'allow' END) AS verdict, floor(mean * 1e6 + 0.5) / 1e6 AS mean, floor(upper * 1e6 + 0.5) / 1e6 AS upper
 FROM ruled JOIN h USING (host)
 """
 

@@ -44,6 +44,24 @@ def test_reputation_shrinks_and_blocks(spark):
     assert found["one.info"]["verdict"] == "allow"  # one bad page is no reputation
 
 
+def test_real_tables_get_both_verdicts(spark):
+    """At a tenth of the driver's largest scale some pages that no rule fits are blocked by their host, and most are not."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = op2_url_filter.url_filter(pages, op2_url_filter.page_outcomes(pages)).where("rule is null").collect()
+    blocked = sum(x["verdict"] == "block" for x in found)
+    assert 0 < blocked < len(found) / 2
+    assert all((x["verdict"] == "block") == (x["upper"] < x["overall"]) for x in found)
+
+
+def test_of_rules_as_long_the_verdict_of_the_last_in_order_wins(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, good boolean")
+    rules = (("block", "a.org", "/"), ("allow", "a.org", "/"))
+    for own in (rules, rules[::-1]):
+        x = op2_url_filter.url_filter(pages, none, rules=own).first()
+        assert (x["rule"], x["verdict"]) == ("a.org/", "block")
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % 3] for i, s in enumerate(names)}
