@@ -100,15 +100,41 @@ def test_mix(docs, seed):
     mixed = op5_mixing.mix_sources(d)
     assert mixed.columns[: len(d.columns)] == d.columns
     shards = Counter(x["mix_shard"] for x in mixed.collect())
-    assert len(shards) == op5_mixing.SHARDS
+    assert len(shards) == op5_mixing.LEAST_SHARDS
     assert op5_mixing.mix_report(docs([])).count() == 0
 
 
+def test_mix_of_null_and_repeated_ids_and_clashing_columns(spark):
+    """Sources made of null ids, of one id, and of an id that another source has too; every row is a document of its own."""
+    rows = [(None, "w " * 20, "nulls", i) for i in range(50)] + [(7, f"x{i} " * 21, "one", i) for i in range(41)] + [(7, "y " * 10, "third", i) for i in range(40)] + [(7, None, None, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int").selectExpr("*", "1 AS _shard", "2 AS row", "'x' AS mix_row", "3 AS mix_shard", "4 AS order", "5 AS block")
+    found = op5_mixing.mix_report(d).collect()
+    sizes, taken = {"nulls": 1000, "one": 861, "third": 400, None: 0}, Counter()
+    targets = brute_targets(sizes)
+    size_to_source = {v: k for k, v in sizes.items()}
+    for x in found:
+        s = size_to_source[x["source_size"]]
+        assert x["target"] == pytest.approx(targets[s]) and x["taken"] in (0, x["size"], 2 * x["size"])
+        assert len(x["shards"]) == len(x["places"]) == (x["taken"] // x["size"] if x["size"] else 0)
+        taken[s] += x["taken"]
+    assert len(found) == len(rows) and all(abs(taken[s] - t) <= 11 for s, t in targets.items())
+    mixed = op5_mixing.mix_sources(d)
+    assert Counter(mixed.columns) == Counter([c for c in d.columns if c != "mix_shard"] + ["mix_copy", "mix_shard", "mix_place"])
+    mixed = mixed.collect()
+    words = Counter()
+    for x in mixed:
+        words[x["source"]] += len(x["text"].split())
+    assert all(abs(words[s] - t) <= 11 for s, t in targets.items())
+    assert Counter(s for x in found for s in x["shards"]) == Counter(x["mix_shard"] for x in mixed)
+    copies = Counter((x["source"], x["copy"]) for x in mixed)  # copy: the rows' own column, which tells them apart
+    assert max(copies.values()) == 2
+
+
 def test_shards_share_real_draws_only(docs):
     """With equal words a block is one draw or none: shards hold as many draws of each source as split_quotas says."""
     rows = [(i, "w " * 10, None, "hot") for i in range(6000)] + [(10000 + i, "w " * 10, None, "b") for i in range(1500)]
     d = docs(rows)
-    taken, drawn = op5_mixing.mix_plan(d, weights=(5, 1), share=0.5)
+    taken, drawn = op5_mixing.mix_plan(d.withColumnRenamed("doc_id", "row").withColumn("doc_id", F.col("row")), weights=(5, 1), share=0.5)
     got = drawn.select("source_no", "shard", "block", "copy").distinct().groupBy("source_no", "shard").count().collect()
     got = {(x["source_no"], x["shard"]): x["count"] for x in got}
     target = {x["source"]: (x["target"], x["source_size"]) for x in taken.select("source", "target", "source_size").distinct().collect()}
@@ -116,12 +142,12 @@ def test_shards_share_real_draws_only(docs):
     quota = Counter()
     for (no, _), n in got.items():
         quota[no] += n
-    quotas = d.sparkSession.createDataFrame(sorted(quota.items()), "source_no int, quota long")
+    quotas = d.sparkSession.createDataFrame(sorted(quota.items()), "source_no long, quota long")
     assert got == {(x["source_no"], x["shard"]): x["draws"] for x in op5_mixing.split_quotas(quotas).collect()}
 
 
 def test_quotas_add_up_and_draws_follow_the_distribution(spark):
-    q = spark.createDataFrame([(1, 700), (2, 250), (3, 51), (4, 1)], "source_no int, quota long")
+    q = spark.createDataFrame([(1, 700), (2, 250), (3, 51), (4, 1)], "source_no long, quota long")
     found = op5_mixing.split_quotas(q, 8, seed=4).collect()
     by_source, by_shard = Counter(), Counter()
     for x in found:
