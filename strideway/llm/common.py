@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
+#: Lists of so many keys at most are sent to all executors to pick rows by; longer ones meet the rows by shuffling.
+BROADCAST_KEYS = 1_000_000
 _shipped: set[str] = set()
 
 
@@ -87,6 +89,24 @@ def buckets(spark: SparkSession) -> int:
     return max(64, partitions(spark))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def parted(rows: DataFrame, lists: DataFrame, key: str = "print") -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key is in lists, and the others, so that only the first need to meet the lists.
+
+    The keys are broadcast where a count says that there are few; else the first are all rows, and the others None.
+    """
+    if lists.count() > BROADCAST_KEYS:
+        return rows, None
+    keys = F.broadcast(lists.select(key))
+    return rows.join(keys, key, "left_semi"), rows.join(keys, key, "left_anti")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

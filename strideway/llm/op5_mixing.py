@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stash, n_words, partitions, stash
+from .common import drop_stash, fresh, n_words, partitions, stash
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents to a block, about.
@@ -197,9 +197,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """
     new = ("mix_copy", "mix_shard", "mix_place")
     kept = [c for c in docs.columns if c.lower() not in new]
-    row = "mix_row"
-    while row in map(str.lower, docs.columns):
-        row += "_"
+    row = fresh(docs, "mix_row")
     # rows get their numbers once, in a written table, so that both readings agree
     numbered = stash(docs.select(*kept, F.monotonically_increasing_id().alias(row)), "mix-documents")
     _, drawn = mix_plan(numbered.select(F.col(row).alias("row"), "doc_id", "text", "source"), **options)

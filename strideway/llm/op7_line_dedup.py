@@ -1,9 +1,13 @@
 """Removal of repeated chunks of lines, with boundaries that the lines themselves choose.
 
-A rolling hash over the last few line hashes ends a chunk where it is a multiple of SPACING. The same lines thus make the
-same chunks wherever they stand, but for the first and last of them. A chunk of several lines that stands anywhere before
-(in a smaller doc_id, or further up) is removed: hashes pick candidates, and their bytes decide. From such a chunk the
-removal can be extended line by line, both ways, as far as the lines equal those around the occurrence that stays.
+A rolling hash over the hashes of a line and its next one says whether a chunk begins there: of SPARED places all but one.
+The same lines thus make the same chunks wherever they stand, and a chunk holds the lines that chose it and no others, so a
+run of two equal lines is missed only where its own hash spares it. Chunks overlap, and longer passages are runs of them. A
+chunk that stands anywhere before (in a smaller doc_id, or further up) is removed: hashes pick candidates, and their bytes
+decide. From the ends of such a run the removal can be extended line by line, as far as the lines equal those around the
+occurrence that stays.
+
+Rows are told apart by doc_id and a hash of their text.
 """
 
 from __future__ import annotations
@@ -18,92 +22,88 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, drop_stash, rolled, ship, slices, stash, word_hashes
+from .common import column, drop_stash, fresh, parted, rolled, ship, slices, stash, word_hashes
 
-#: Lines in the rolling hash, and lines in a chunk on average.
-ROLL, SPACING = 2, 3
-CHUNK = "doc_id long, first int, lines int, h long, h2 long"
-#: Lines that are compared on each side of a chunk at first; twice as many in each further round, for what is equal so far.
-WINDOW = 8
+#: Lines in the rolling hash and in a chunk; one place in so many begins no chunk.
+ROLL, SPARED = 2, 16
+KEY = ["doc_id", "print"]
+CHUNK = "doc_id long, print long, first int, h long, h2 long"
+#: Lines that are compared on each side of a run of chunks at first; twice as many in each further round, for what is equal so far.
+WINDOW = 2
 AROUND = ", before array<binary>, after array<binary>"
-#: Up to so many document ids are sent to all executors.
-BROADCAST_IDS = 1_000_000
 
 
-def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk."""
-    h = rolled(word_hashes(lines), ROLL)
-    ends = (np.flatnonzero(h % np.uint64(SPACING) == 0) + ROLL).tolist()
-    ends = [*ends, len(lines)] if not ends or ends[-1] < len(lines) else ends
-    return [(a, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def chunk_starts(lines: list[bytes]) -> np.ndarray:
+    """The first lines of the chunks."""
+    return np.flatnonzero(rolled(word_hashes(lines), ROLL) % np.uint64(SPARED))
 
 
 def hashed_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of two lines or more with 128 bits of hash."""
+    """Chunks with 128 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows, prints = [], []
-                for doc, text in zip(column(part, "doc_id"), column(part, "text"), strict=True):
+                n, first, prints = [], [], []
+                for text in column(part, "text"):
                     lines = text.split(b"\n")
-                    for first, n in chunk_bounds(lines):
-                        if n > 1:
-                            rows.append((doc, first, n))
-                            prints.append(xxhash.xxh3_128_digest(b"\n".join(lines[first : first + n])))
-                if rows:
-                    doc, first, n = zip(*rows, strict=True)
+                    own = chunk_starts(lines).tolist()
+                    n.append(len(own))
+                    first += own
+                    prints += [xxhash.xxh3_128_digest(b"\n".join(lines[a : a + ROLL])) for a in own]
+                if first:
                     h = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "first", "lines", "h", "h2"])
+                    own = [part.column(c).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))) for c in KEY]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(first, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], [*KEY, "first", "h", "h2"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, CHUNK)
+    return docs.where("doc_id is not null").select(*KEY, "text").mapInArrow(run, CHUNK)
 
 
-def around(lines: list[bytes], first: int, n: int, skip: int, size: int) -> tuple[list[bytes], list[bytes]]:
+def around(lines: list[bytes], first: int, skip: int, size: int) -> tuple[list[bytes], list[bytes]]:
     """128-bit digests of `size` lines before a chunk, nearest first, and of as many after it, without the nearest `skip`."""
-    end = first + n + skip
+    end = first + ROLL + skip
     sides = lines[max(0, first - skip - size) : max(0, first - skip)][::-1], lines[end : end + size]
     return tuple([hashlib.blake2b(x, digest_size=16).digest() for x in side] for side in sides)
 
 
 def chunk_texts(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, chunks (first, lines, h, h2); their bytes, and digests of the lines around them."""
+    """docs: doc_id, print, text, chunks (first, h, h2); their bytes, and digests of the lines around them.
+
+    Where the next chunk on a side is repeated too there are none: that chunk tells about those lines itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, text, chunks in zip(column(part, "doc_id"), column(part, "text"), column(part, "chunks"), strict=True):
-                    lines = text.split(b"\n")
-                    rows += [(doc, c["first"], c["lines"], c["h"], c["h2"], b"\n".join(lines[c["first"] : c["first"] + c["lines"]]), *around(lines, c["first"], c["lines"], 0, WINDOW)) for c in chunks]
-                doc, first, n, h, h2, chunk, before, after = zip(*rows, strict=True)
-                own = [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(chunk, pa.binary())]
-                sides = [pa.array(x, pa.list_(pa.binary())) for x in (before, after)]
-                yield pa.RecordBatch.from_arrays(own + sides, ["doc_id", "first", "lines", "h", "h2", "chunk", "before", "after"])
+                for doc, print_, text, chunks in zip(*(column(part, c) for c in (*KEY, "text", "chunks")), strict=True):
+                    lines, firsts = text.split(b"\n"), {c["first"] for c in chunks}
+                    for c in chunks:
+                        a = c["first"]
+                        before, after = around(lines, a, 0, WINDOW)
+                        rows.append((doc, print_, a, c["h"], c["h2"], b"\n".join(lines[a : a + ROLL]), [] if a - 1 in firsts else before, [] if a + 1 in firsts else after))
+                cols = list(zip(*rows, strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*KEY, "first", "h", "h2", "chunk", "before", "after"])
 
-    return docs.select("doc_id", "text", "chunks").mapInArrow(run, CHUNK + ", chunk binary" + AROUND)
+    return docs.select(*KEY, "text", "chunks").mapInArrow(run, CHUNK + ", chunk binary" + AROUND)
 
 
 def farther(docs: DataFrame, skip: int, size: int) -> DataFrame:
-    """docs: doc_id, text, chunks (first, lines, h, h2); digests of the lines around them, where the chunk stands in the row."""
+    """docs: doc_id, print, text, firsts (of chunks); digests of the lines around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, text, chunks in zip(column(part, "doc_id"), column(part, "text"), column(part, "chunks"), strict=True):
+                for doc, print_, text, firsts in zip(*(column(part, c) for c in (*KEY, "text", "firsts")), strict=True):
                     lines = text.split(b"\n")
-                    for c in chunks:
-                        print_ = xxhash.xxh3_128_digest(b"\n".join(lines[c["first"] : c["first"] + c["lines"]]))
-                        if np.frombuffer(print_, "<i8").tolist() == [c["h"], c["h2"]]:  # rows may share a doc_id
-                            rows.append((doc, c["first"], c["h"], c["h2"], *around(lines, c["first"], c["lines"], skip, size)))
-                if rows:
-                    doc, first, h, h2, before, after = zip(*rows, strict=True)
-                    own = [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64())]
-                    sides = [pa.array(x, pa.list_(pa.binary())) for x in (before, after)]
-                    yield pa.RecordBatch.from_arrays(own + sides, ["doc_id", "first", "h", "h2", "before", "after"])
+                    rows += [(doc, print_, a, *around(lines, a, skip, size)) for a in firsts]
+                cols = list(zip(*rows, strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*KEY, "first", "before", "after"])
 
-    return docs.select("doc_id", "text", "chunks").mapInArrow(run, "doc_id long, first int, h long, h2 long" + AROUND)
+    return docs.select(*KEY, "text", "firsts").mapInArrow(run, "doc_id long, print long, first int" + AROUND)
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -113,38 +113,37 @@ def agreement(a: Column, b: Column) -> Column:
 
 
 def extended(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """doc_id, first and lines of removed chunks with the lines around them that equal those around the chunk that stays.
+    """doc_id, print, first and lines of removed chunks with the lines around them that equal those around the chunk that stays.
 
-    gone: doc_id, first, lines, h, h2, before, after and keep (doc_id, first, before, after). Whatever goes equals lines at a
+    gone: doc_id, print, first, before, after and keep (doc_id, print, first, before, after). Whatever goes equals lines at a
     smaller place, so the first of equal lines stays. A side ends at an unlike line, an end of either document, or the next
     removed chunk; rounds with windows twice as long go on until every side has ended.
     """
-    key = ["doc_id", "first", "lines", "h", "h2"]
-    rows = gone.select(*key, F.col("keep.doc_id").alias("k_doc"), F.col("keep.first").alias("k_first"), agreement(F.col("before"), F.col("keep.before")).alias("up"), agreement(F.col("after"), F.col("keep.after")).alias("down"))
-    rows = rows.groupBy(*key, "k_doc", "k_first").agg(F.min("up").alias("up"), F.min("down").alias("down"))
-    by = Window.partitionBy("doc_id").orderBy("first", "lines")
-    rows = rows.withColumn("floor", F.coalesce(F.lag(F.col("first") + F.col("lines")).over(by), F.lit(0))).withColumn("ceiling", F.lead("first").over(by))
+    key, kept_key = [*KEY, "first"], ["k_doc", "k_print", "k_first"]
+    of_keep = [F.col(f"keep.{c}").alias(k) for c, k in zip(key, kept_key, strict=True)]
+    rows = gone.select(*key, *of_keep, agreement(F.col("before"), F.col("keep.before")).alias("up"), agreement(F.col("after"), F.col("keep.after")).alias("down"))
+    rows = rows.groupBy(*key).agg(F.min(F.struct(*kept_key, "up", "down")).alias("m")).select(*key, "m.*")
+    by = Window.partitionBy(*KEY).orderBy("first")
+    rows = rows.withColumn("floor", F.coalesce(F.lag(F.col("first") + ROLL).over(by), F.lit(0))).withColumn("ceiling", F.lead("first").over(by))
     found, reached, used = [stash(rows, "reach")], WINDOW, []
     while True:
         up = (F.col("up") == reached) & (F.col("first") - F.col("up") > F.col("floor"))
-        down = (F.col("down") == reached) & (F.col("ceiling").isNull() | (F.col("first") + F.col("lines") + F.col("down") < F.col("ceiling")))
+        down = (F.col("down") == reached) & (F.col("ceiling").isNull() | (F.col("first") + ROLL + F.col("down") < F.col("ceiling")))
         left = found[-1].where(up | down)
         if not left.limit(1).count():
             break
-        places = left.select(*key).union(left.select("k_doc", "k_first", "lines", "h", "h2")).distinct()
-        places = stash(places.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lines", "h", "h2")).alias("chunks")), "reach-places")
-        few = places.count() <= BROADCAST_IDS
-        texts = docs.join(F.broadcast(places.select("doc_id")), "doc_id", "left_semi") if few else docs
+        places = left.select(*key).union(left.select(*kept_key)).distinct()
+        places = stash(places.groupBy(*KEY).agg(F.collect_list("first").alias("firsts")), "reach-places")
         size = 2 * reached
-        sides = farther(texts.join(places.hint("shuffle_hash"), "doc_id"), reached, size)
-        sides = stash(sides.groupBy("doc_id", "first", "h", "h2").agg(F.min(F.struct("before", "after")).alias("s")), "reach-sides")
-        kept = sides.select(F.col("doc_id").alias("k_doc"), F.col("first").alias("k_first"), "h", "h2", F.col("s").alias("k"))
-        met = left.join(sides.hint("merge"), ["doc_id", "first", "h", "h2"]).join(kept.hint("merge"), ["k_doc", "k_first", "h", "h2"])
+        sides = farther(parted(docs, places)[0].join(places.hint("shuffle_hash"), KEY), reached, size)
+        sides = stash(sides.groupBy(*key).agg(F.min(F.struct("before", "after")).alias("s")), "reach-sides")
+        kept = sides.select(*[F.col(c).alias(k) for c, k in zip(key, kept_key, strict=True)], F.col("s").alias("k"))
+        met = left.join(sides.hint("merge"), key).join(kept.hint("merge"), kept_key)
         grown = [(F.col(c) + F.when(open_, agreement(F.col(f"s.{side}"), F.col(f"k.{side}"))).otherwise(0)).alias(c) for c, open_, side in (("up", up, "before"), ("down", down, "after"))]
-        found.append(stash(met.select(*key, "k_doc", "k_first", *grown, "floor", "ceiling"), "reach"))
+        found.append(stash(met.select(*key, *kept_key, *grown, "floor", "ceiling"), "reach"))
         used += [places, sides]
         reached += size
-    out = [f.select("doc_id", (F.col("first") - F.col("up")).alias("first"), (F.col("lines") + F.col("up") + F.col("down")).alias("lines")) for f in found]
+    out = [f.select(*KEY, (F.col("first") - F.col("up")).alias("first"), (F.lit(ROLL) + F.col("up") + F.col("down")).alias("lines")) for f in found]
     out = stash(functools.reduce(DataFrame.unionByName, out), "extended")
     drop_stash(*found, *used)
     return out
@@ -174,56 +173,62 @@ def without_chunks(docs: DataFrame, keep_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "gone").mapInArrow(run, schema)
 
 
-def repeated_chunks(docs: DataFrame, extend: bool = False) -> DataFrame:
-    """doc_id to gone, its chunks that stand before, as (first, lines); with extend, with the equal lines around them."""
-    place = F.struct("doc_id", "first")
+def repeated_chunks(docs: DataFrame, extend: bool = True) -> DataFrame:
+    """docs: doc_id, print, text. doc_id and print to gone, the chunks that stand before, as (first, lines); with extend, with
+    the equal lines around them."""
+    place = F.struct(*KEY, "first")
     chunks = stash(hashed_chunks(docs), "chunks")
     often = chunks.groupBy("h", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h", "h2")
     # one chunk may stand in most documents: a merge join of written tables is split where it is hot
     often = stash(often, "repeated-hashes")
     candidates = chunks.join(often.hint("merge"), ["h", "h2"], "left_semi")
-    candidates = stash(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lines", "h", "h2")).alias("chunks")), "candidates")
-    found = docs.select("doc_id", "text").join(candidates.hint("shuffle_hash"), "doc_id")
+    candidates = stash(candidates.groupBy(*KEY).agg(F.collect_set(F.struct("first", "h", "h2")).alias("chunks")), "candidates")
+    found = parted(docs, candidates)[0].join(candidates.hint("shuffle_hash"), KEY)
     texts = stash(chunk_texts(found), "chunk-texts")
-    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct("doc_id", "first", "before", "after")).alias("keep")), "same-chunks")
-    gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.struct("keep.doc_id", "keep.first"))
-    ranges = extended(docs, gone) if extend else gone
-    gone = stash(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
+    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct(*KEY, "first", "before", "after")).alias("keep")), "same-chunks")
+    gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.struct("keep.doc_id", "keep.print", "keep.first"))
+    ranges = extended(docs, gone) if extend else gone.withColumn("lines", F.lit(ROLL))
+    gone = stash(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
     drop_stash(chunks, often, candidates, texts, same, *[ranges] * extend)
     return gone
 
 
-def line_dedup(docs: DataFrame, keep_text: bool = True, extend: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, keep_text: bool = True, extend: bool = True) -> DataFrame:
     """A row for each row of docs: doc_id, n_lines, n_removed, kept_sha256, and with keep_text kept_text.
 
-    docs: doc_id and text; other columns are ignored. Lines end at \\n and are compared byte by byte. Of equal chunks of
-    two lines or more the one with the smallest (doc_id, place) stays; with extend, the lines next to a removed chunk go too,
+    docs: doc_id and text; other columns are ignored. Lines end at \\n and are compared byte by byte. Of equal chunks the one
+    with the smallest (doc_id, hash of the text, place) stays; with extend, the lines next to a removed chunk go too,
     as far as they equal those next to the one that stays (by 128 bits of digest). An empty text is one empty line; a null text has
-    none, stays null, and hashes like an empty one. Rows that share a doc_id are one document, whose equal chunks at one
-    place don't repeat each other; a null doc_id is not compared. An empty table gives no rows.
+    none, stays null, and hashes like an empty one. Rows that share a doc_id are documents of their own, but for those whose
+    texts are equal too: they are one, and don't repeat each other. A null doc_id is not compared. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    return without_chunks(rows.join(repeated_chunks(rows, extend).hint("shuffle_hash"), "doc_id", "left"), keep_text)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    gone = repeated_chunks(rows, extend)
+    hit, rest = parted(rows, gone)
+    out = without_chunks(hit.join(gone.hint("shuffle_hash"), KEY, "left"), keep_text)
+    return out if rest is None else out.unionByName(without_chunks(rest.withColumn("gone", F.lit(None).cast("array<struct<first:int,lines:int>>")), keep_text))
 
 
-def line_dedup_texts(docs: DataFrame, extend: bool = False) -> DataFrame:
-    """The rows of docs, with all their columns, and text without the chunks that stand before (extend: see line_dedup)."""
+def line_dedup_texts(docs: DataFrame, extend: bool = True) -> DataFrame:
+    """The rows of docs, with all their columns, and text without the chunks that stand before (see line_dedup)."""
     ship(docs.sparkSession)
-    schema = docs.schema
+    schema, print_, ranges = docs.schema, fresh(docs, "_print"), fresh(docs, "_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 at = part.schema.get_field_index("text")
-                texts, gone = part.column(at).to_pylist(), part.column("_gone").to_pylist()
+                texts, gone = part.column(at).to_pylist(), part.column(ranges).to_pylist()
                 for i, g in enumerate(gone):
                     if g and texts[i] is not None:
                         drop = {k for x in g for k in range(x["first"], x["first"] + x["lines"])}
                         texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in drop])
-                part = part.drop_columns(["_gone"])
+                part = part.drop_columns([ranges])
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    gone = repeated_chunks(docs.select("doc_id", "text"), extend).withColumnRenamed("gone", "_gone")
-    found = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_gone")
-    return found.mapInArrow(run, schema)
+    gone = repeated_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("print")), extend)
+    gone = gone.select(F.col("doc_id"), F.col("print").alias(print_), F.col("gone").alias(ranges))
+    hit, rest = parted(docs.withColumn(print_, F.xxhash64("text")), gone, print_)
+    out = hit.join(gone.hint("shuffle_hash"), ["doc_id", print_], "left").select(*docs.columns, ranges).mapInArrow(run, schema)
+    return out if rest is None else out.unionByName(rest.select(*docs.columns))
