@@ -1,8 +1,9 @@
 """Near copies by the Jaccard similarity of their word shingles: an exact grouped prefix join.
 
 1. Documents with the same set are one class. In one pass over the texts every shingle is dealt by its hash to where its
-   classes are counted, packed as arrays. Two sets can be similar only if 80 % of a set's shingles occur in others too, so
-   most classes end here.
+   classes are counted, packed as arrays. A part of a batch settles what it can before: of the sets there that hold a shingle
+   two are dealt, and the others are known to share it, so a common shingle comes to its task twice for each part and not
+   once for each document. Two sets can be similar only if 80 % of a set's shingles occur in others too, so most classes end here.
 2. The shingles of the rest are put in order of frequency. Similar sets share one of their first (rarest) few, the
    prefix. Sets with the same prefix and size are one group, and pairs of groups are filtered by size, position and bits.
 3. Within a shingle's list the group with the fewest shingles of its own is tested against the others, and every group
@@ -21,16 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, column, drop_stash, mixed, rolled, ship, slices, stash, word_hashes
+from .common import BROADCAST_KEYS, buckets, column, drop_stash, fresh, mixed, rolled, ship, slices, stash, word_hashes
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
-#: Lists of so many ids at most are broadcast to pick documents; longer ones are joined by shuffling.
-BROADCAST_IDS = 1_000_000
 SKETCH = ("b0", "b1", "b2", "b3")
-PACKED = "bucket int, keys binary, counts binary, tokens binary, docs binary"
-FACTS = "kind int, doc_id long, n long, fp1 long, fp2 long, r long"
-DOC = np.dtype([("known", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("fp1", "<i8"), ("fp2", "<i8")])
+PACKED = "bucket int, keys binary, counts binary, tokens binary, docs binary, known binary"
+FACTS = "kind int, doc_id long, print long, n long, fp1 long, fp2 long, r long"
+DOC = np.dtype([("known", "<i8"), ("doc_id", "<i8"), ("print", "<i8"), ("n", "<i8"), ("fp1", "<i8"), ("fp2", "<i8")])
+KNOWN = np.dtype([("fp1", "<i8"), ("r", "<i8")])
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -44,44 +44,47 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def pack_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Shingles by bucket: the sets' keys, how many shingles of each set follow, and 32 bits of each shingle's hash."""
+    """Shingles by bucket: the sets' keys, how many shingles of each set follow, and 32 bits of each shingle's hash; and the
+    rows' own facts, with what is known here already of how many of a set's shingles others have."""
     n_buckets = buckets(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(t, k) for t in column(part, "text")]
-                n = np.array([len(s) for s in sets])
-                prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 info = np.zeros(len(sets), DOC)
                 ids = part.column("doc_id").cast(pa.int64())
-                info["known"], info["doc_id"], info["n"] = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), n
-                both = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
+                info["known"], info["doc_id"], info["print"] = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.asarray(part.column("print"))
+                info["n"] = [len(s) for s in sets]
+                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
                 info["fp1"], info["fp2"] = both[:, 0], both[:, 1]
-                tokens = np.concatenate(sets)
+                # equal sets once, then the shingles in order, with the sets that have them
+                keys, at = np.unique(info["fp1"], return_index=True)
+                tokens = np.concatenate([sets[i] for i in at])
+                owner = np.repeat(np.arange(len(at)), info["n"][at])
+                order = np.argsort(tokens, kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
+                sent = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.r_[starts, len(tokens)])) < 2
+                known = np.zeros(len(keys), KNOWN)
+                known["fp1"], known["r"] = keys, np.bincount(owner[~sent], minlength=len(keys))
+                tokens, owner = tokens[sent], owner[sent]
                 bucket = ((tokens >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, owner = bucket[order], np.repeat(np.arange(len(n)), n)[order]
-                low = tokens[order].astype("<u4")
+                order = np.lexsort((owner, bucket))
+                bucket, owner, low = bucket[order], owner[order], tokens[order].astype("<u4")
                 # runs of one owner in one bucket, and where each bucket's runs and shingles begin
                 starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]) if len(owner) else np.empty(0, int)
-                counts, keys, run_bucket = np.diff(np.r_[starts, len(owner)]).astype("<u4"), info["fp1"][owner[starts]], bucket[starts]
+                counts, run_keys, run_bucket = np.diff(np.r_[starts, len(owner)]).astype("<u4"), keys[owner[starts]], bucket[starts]
                 home = int(info["fp2"][0]) % n_buckets
                 present = np.union1d(run_bucket, [home]).astype(np.int32)
                 a, b = np.searchsorted(run_bucket, present), np.searchsorted(run_bucket, present, "right")
                 c, d = np.searchsorted(bucket, present), np.searchsorted(bucket, present, "right")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(present),
-                        pa.array([keys[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary()),
-                        pa.array([counts[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary()),
-                        pa.array([low[i:j].tobytes() for i, j in zip(c, d, strict=True)], pa.binary()),
-                        pa.array([info.tobytes() if p == home else b"" for p in present], pa.binary()),
-                    ],
-                    ["bucket", "keys", "counts", "tokens", "docs"],
-                )
+                cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
+                at_home = lambda x: pa.array([x.tobytes() if p == home else b"" for p in present], pa.binary())
+                cols = [pa.array(present), cut(run_keys, a, b), cut(counts, a, b), cut(low, c, d), at_home(info), at_home(known[known["r"] > 0])]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "keys", "counts", "tokens", "docs", "known"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "print", "text").mapInArrow(run, PACKED)
 
 
 def joined(t: pa.Table, name: str, kind) -> np.ndarray:
@@ -89,7 +92,8 @@ def joined(t: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def count_shared(packed: DataFrame) -> DataFrame:
-    """Of each set in each bucket, r: how many of its shingles another set has too; and the documents' own rows."""
+    """The rows' own facts (kind 0), and of each set in each bucket r, how many of its shingles another set has too (kind 1),
+    and what parts knew of that before (kind 2)."""
 
     def run(t: pa.Table) -> pa.Table:
         keys, dense = np.unique(joined(t, "keys", "<i8"), return_inverse=True)
@@ -102,18 +106,18 @@ def count_shared(packed: DataFrame) -> DataFrame:
         same = token[1:] == token[:-1]
         shared = np.r_[False, same] | np.r_[same, False] if len(codes) else np.empty(0, bool)
         r = np.bincount((codes & np.uint64(0xFFFFFFFF)).astype(np.int64)[shared], minlength=len(keys))
-        keys, r = keys[r > 0], r[r > 0]
-        docs = joined(t, "docs", DOC)
-        some, none = len(docs), len(keys)
+        docs, known = joined(t, "docs", DOC), joined(t, "known", KNOWN)
+        some, none = len(docs), int((r > 0).sum()) + len(known)
         col = lambda name: pa.concat_arrays([pa.array(docs[name]), pa.nulls(none, pa.int64())])
         return pa.table(
             {
-                "kind": pa.array(np.r_[np.zeros(some, np.int32), np.ones(none, np.int32)]),
+                "kind": pa.array(np.repeat(np.arange(3, dtype=np.int32), [some, none - len(known), len(known)])),
                 "doc_id": pa.concat_arrays([pa.array(docs["doc_id"], mask=docs["known"] == 0), pa.nulls(none, pa.int64())]),
+                "print": col("print"),
                 "n": col("n"),
-                "fp1": pa.array(np.r_[docs["fp1"], keys]),
+                "fp1": pa.array(np.r_[docs["fp1"], keys[r > 0], known["fp1"]]),
                 "fp2": col("fp2"),
-                "r": pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(r.astype("<i8"))]),
+                "r": pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(np.r_[r[r > 0], known["r"]].astype("<i8"))]),
             }
         )
 
@@ -121,7 +125,7 @@ def count_shared(packed: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """sid (the doc_id), n, tokens, and 256 bits: whether an odd number of the set's hashes begin with each byte."""
+    """sid, n, tokens, and 256 bits: whether an odd number of the set's hashes begin with each byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,15 +136,16 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array([0, *np.cumsum(n)], pa.int32()), flat)
                 odd = [np.packbits(np.bincount(s >> np.uint64(56), minlength=256).astype(np.uint8) & 1) for s in sets]
                 bits = np.concatenate(odd).view("<i8").reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), lists, *(pa.array(bits[:, i].copy()) for i in range(4))], ["sid", "n", "tokens", *SKETCH])
+                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(n, pa.int64()), lists, *(pa.array(bits[:, i].copy()) for i in range(4))], ["sid", "n", "tokens", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sid long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
+    return docs.select("sid", "text").mapInArrow(run, "sid long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
-def chosen(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of docs whose doc_id is among the n ids."""
-    ids = ids.withColumnRenamed(ids.columns[0], "doc_id")
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and print are among ids, with the sid there."""
+    rows, few = docs.select("doc_id", "print", "text"), ids.count() <= BROADCAST_KEYS
+    ids = ids.withColumnRenamed("doc_id", "_doc")
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), "print").where("doc_id = _doc").select("sid", "text")
 
 
 def similar_enough(common: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -232,50 +237,69 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def row_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs: doc_id, text, print. For each doc_id and print: rows (how many there are), n, class_id, component_id and
+    component_print (the row that the component is named after)."""
+    facts = count_shared(pack_sets(docs, shingle))
+    r = F.when(F.col("kind") == 2, F.max("r")).otherwise(F.sum("r"))  # parts that hold the same set know of the same shingles
+    facts = stash(facts.groupBy("kind", "doc_id", "print", "n", "fp1", "fp2").agg(r.alias("r"), F.count("*").alias("rows")), "set-facts")
+    rows = facts.where("kind = 0").drop("kind", "r")
+    first = F.min(F.struct("doc_id", "print"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(first.alias("rep"), F.count("*").alias("size"))
+    shared = facts.where("kind > 0").groupBy("fp1").agg(F.sum("r").alias("r"))
+    classes = classes.join(shared.hint("merge"), "fp1", "left").withColumn("alive", F.coalesce(F.col("r") * 100 >= F.col("n") * percent, F.lit(False)))
+    # classes get their numbers in a written table
+    classes = stash(classes.select("fp1", "fp2", "rep", "size", "alive", F.monotonically_increasing_id().alias("sid")), "set-classes")
+    alive = stash(classes.where("alive").select("rep.doc_id", "rep.print", "sid"), "alive-sets")
+    named = classes.where("size > 1 or alive").select("fp1", "fp2", "rep", "sid")
+    if alive.limit(1).count():
+        # wholly equal rows give a set twice
+        sets = stash(sets_of(chosen(docs, alive), shingle).dropDuplicates(["sid"]), "sets")
+        found = set_links(sets, percent).withColumnRenamed("v", "sid")
+        named = stash(named.join(found.hint("merge"), "sid", "left"), "set-components")
+        heads = stash(named.where("c is not null").groupBy("c").agg(F.min("rep").alias("head")), "component-heads")
+        named = named.join(heads.hint("merge"), "c", "left").select("fp1", "fp2", "rep", F.coalesce("head", "rep").alias("head"))
+    else:
+        named = named.select("fp1", "fp2", "rep", F.col("rep").alias("head"))
+    named = stash(named, "named-sets")
+    out = rows.where("n > 0 and doc_id is not null").join(named.hint("merge"), ["fp1", "fp2"], "left")
+    own = F.struct("doc_id", "print")
+    out = out.withColumn("rep", F.coalesce("rep", own)).withColumn("head", F.coalesce("head", own))
+    alone = rows.where("n = 0 or doc_id is null").withColumn("rep", own).withColumn("head", own)
+    return out.select(*alone.columns).unionByName(alone).select("doc_id", "print", "rows", "n", F.col("rep.doc_id").alias("class_id"), F.col("head.doc_id").alias("component_id"), F.col("head.print").alias("component_print"))
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, class_id, component_id.
 
     docs: doc_id and text; other columns are ignored. Two documents link where intersection / union of their shingle sets
     is at least percent / 100. class_id is the smallest doc_id with the same set; component_id the smallest that links
     lead to. A text that is null or has no words has no shingles and no links, so both are its own doc_id. Rows that
-    share a doc_id are one document (if their texts differ, the smallest set stands for it); those with a null doc_id have null for both and link with nothing. Sets are of 64-bit
-    hashes, and equal sets are found by 128 bits of hash. An empty table gives no rows.
+    share a doc_id are documents of their own, each with its own set; those with a null doc_id have null for both and link
+    with nothing. Sets are of 64-bit hashes, and equal sets are found by 128 bits of hash. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    facts = count_shared(pack_sets(docs, shingle))
-    facts = stash(facts.groupBy("kind", "doc_id", "n", "fp1", "fp2").agg(F.sum("r").alias("r"), F.count("*").alias("rows")), "set-facts")
-    rows = facts.where("kind = 0").drop("kind", "r")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("sid"), F.count("*").alias("size"))
-    shared = facts.where("kind = 1").select("fp1", "r")
-    classes = classes.join(shared.hint("merge"), "fp1", "left").withColumn("alive", F.coalesce(F.col("r") * 100 >= F.col("n") * percent, F.lit(False)))
-    classes = stash(classes.select("fp1", "fp2", "sid", "size", "alive"), "set-classes")
-    alive = stash(classes.where("alive").groupBy("sid").agg(F.count("*").alias("sets")), "alive-sets")
-    n_alive, twice = alive.count(), alive.where("sets > 1").limit(1).count()
-    named = classes.where("size > 1 or alive").select("fp1", "fp2", "sid")
-    if n_alive:
-        sets = sets_of(chosen(docs, alive.select("sid"), n_alive), shingle)
-        if twice:
-            sets = sets.groupBy("sid").agg(F.min(F.struct("n", "tokens", *SKETCH)).alias("s")).select("sid", "s.*")
-        sets = stash(sets if twice else sets.dropDuplicates(["sid"]), "sets")
-        found = set_links(sets, percent).withColumnRenamed("v", "sid")
-        named = named.join(found.hint("merge"), "sid", "left")
-    else:
-        named = named.withColumn("c", F.lit(None).cast("long"))
-    named = stash(named.select("fp1", "fp2", "sid", F.coalesce("c", "sid").alias("c")), "set-components")
-    out = rows.join(named.hint("merge"), ["fp1", "fp2"], "left")
-    known = F.col("doc_id").isNotNull()
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(known, F.coalesce("sid", "doc_id")).alias("class_id"),
-        F.when(known, F.coalesce("c", "doc_id")).alias("component_id"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row"),
-    ).drop("_row")
+    found = row_components(docs.select("doc_id", "text", F.xxhash64("text").alias("print")), shingle, percent)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", each).drop("_row")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays. Null doc_ids stay."""
-    found = jaccard_components(docs, shingle, percent)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(stay.hint("merge"), "doc_id", "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs without near copies: of each component one row of the smallest doc_id stays. Rows without a doc_id or without
+    words are in no component, and stay."""
+    ship(docs.sparkSession)
+    print_, id_ = fresh(docs, "_print"), fresh(docs, "_id")
+    found = row_components(docs.select("doc_id", "text", F.xxhash64("text").alias("print")), shingle, percent)
+    found = stash(found.where("n > 0 and doc_id is not null"), "near-copies")
+    key = [F.col("doc_id").alias(id_), F.col("print").alias(print_)]
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("print") == F.col("component_print"))
+    gone, twice = found.where(~stays).select(*key), found.where(stays & (F.col("rows") > 1)).select(*key)
+    own = docs.withColumn(print_, F.xxhash64("text"))
+    same = lambda keys: (own["doc_id"] == keys[id_]) & (own[print_] == keys[print_])
+    near = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+    own = own.join(near(gone), same(gone), "left_anti")
+    if twice.limit(1).count():
+        # equal rows are one document
+        many = near(twice)
+        own = own.join(many, same(twice), "left_anti").unionByName(own.join(many, same(twice), "left_semi").dropDuplicates(["doc_id", print_]))
+    return own.select(*docs.columns)

@@ -89,6 +89,26 @@ def test_jaccard_repeated_rows_and_empty_table(docs):
     assert op3_jaccard.jaccard_components(docs([(1, None), (2, "")])).count() == 2
 
 
+def test_jaccard_of_rows_that_share_a_doc_id(docs):
+    """Each row has its own set, and one row of each component stays."""
+    a, b = words(60, 1), words(60, 2)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join([*a, "x"])), (7, " ".join(["x", *b])), (7, " ".join(["x", *b])), (8, None), (8, None), (5, "alone here"), (5, "alone here")]
+    d = docs(rows)
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op3_jaccard.jaccard_components(d).collect())
+    assert found == [(5, 1, 5), (5, 1, 5), (5, 56, 5), (5, 56, 5), (6, 57, 5), (7, 57, 5), (7, 57, 5), (8, 0, 8), (8, 0, 8)]
+    kept = [(r["doc_id"], r["text"]) for r in op3_jaccard.one_of_each(d.withColumn("_print", F.lit(1))).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(5, " ".join(a)), (5, " ".join(b)), (8, None), (8, None), (5, "alone here")]))
+
+
+def test_a_shingle_of_all_documents_is_dealt_a_few_times_for_each_part(spark):
+    base = " ".join(words(80, 1))
+    d = spark.range(0, 3000, 1, 3).selectExpr("id AS doc_id", f"concat('{base} own', id, ' and', id) AS text").withColumn("print", F.xxhash64("text"))
+    dealt = op3_jaccard.pack_sets(d, 5).agg(F.sum(F.length("tokens") / 4)).first()[0]
+    assert dealt == 3 * 2 * 76 + 2 * 3000  # two documents of each of three parts for what all share, and what each has itself
+    found = op3_jaccard.jaccard_components(d).groupBy("component_id").count().collect()
+    assert [(x["component_id"], x["count"]) for x in found] == [(0, 3000)]
+
+
 def test_one_of_each_keeps_columns(docs):
     d = docs(corpus())
     kept = op3_jaccard.one_of_each(d)
