@@ -26,8 +26,8 @@ from .tokens import default_tokenizer, encoder, with_end
 
 MAGIC = b"STRDTOK1"
 INDEX = np.dtype([("known", "<u1"), ("doc_id", "<i8"), ("offset", "<i8"), ("bytes", "<i8"), ("n_tokens", "<i8")])
-#: The dictionary is trained on so many documents' first ids at most, and has so many bytes at most.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 65536
+#: The dictionary is trained on so many documents at most, on so many slices of each with so many ids, and has so many bytes at most.
+SAMPLE_DOCS, SAMPLE_SLICES, SAMPLE_IDS, DICTIONARY_BYTES = 512, 8, 512, 65536
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, index_at long, dictionary_sha256 string"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -36,8 +36,16 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def spaced(ids: np.ndarray) -> np.ndarray:
+    """All ids, or SAMPLE_SLICES slices of SAMPLE_IDS each, evenly spaced."""
+    if len(ids) <= SAMPLE_SLICES * SAMPLE_IDS:
+        return ids
+    starts = np.linspace(0, len(ids) - SAMPLE_IDS, SAMPLE_SLICES).astype(int)
+    return ids[(starts[:, None] + np.arange(SAMPLE_IDS)).ravel()]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """From the ids of a bounded sample: the SAMPLE_DOCS documents whose doc_id hashes lowest, SAMPLE_IDS of each.
+    """From the ids of a bounded sample: the SAMPLE_DOCS documents whose doc_id hashes lowest, evenly spaced slices of each.
 
     Without enough documents to train on, the sample itself serves, and for an empty table a fixed byte.
     """
@@ -47,7 +55,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
         for batch in batches:
             for part in slices(batch, 4_000_000):
                 ids, at = with_end(*encoder(tokenizer).encode(part.column("text")))
-                own = [ids[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                own = [spaced(ids[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(own, pa.binary())], ["doc_id", "ids"])
 
     sample = docs.where(F.col("doc_id").isin(chosen)).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")

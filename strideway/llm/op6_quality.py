@@ -31,8 +31,8 @@ BINS = {
 }
 FLAGS = ("capitals", "repeated", "sentence", "address")
 N_BINS = sum(len(b) + 1 for b in BINS.values()) + 2 * len(FLAGS)
-#: Labelled documents to learn from at most, and lines to a training sequence.
-SAMPLE_DOCS, SEQUENCE = 4000, 64
+#: Labelled documents to learn from at most, lines to a training sequence, and such sequences of one document at most.
+SAMPLE_DOCS, SEQUENCE, SEQUENCES = 4000, 64, 8
 STEPS, RATE, RIDGE = 150, 0.3, 1e-3
 CONTENT_SHARE = 0.5
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -143,10 +143,19 @@ def decode(field: LineField, bins: np.ndarray) -> list[int]:
     return labels[::-1]
 
 
+def spaced(bins: np.ndarray) -> np.ndarray:
+    """All lines, or SEQUENCES sequences of them, evenly spaced."""
+    if len(bins) <= SEQUENCES * SEQUENCE:
+        return bins
+    starts = np.linspace(0, len(bins) - SEQUENCE, SEQUENCES).astype(int)
+    return bins[(starts[:, None] + np.arange(SEQUENCE)).ravel()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> LineField | None:
     """Learn from the SAMPLE_DOCS labelled documents whose doc_id hashes lowest; None unless both labels occur.
 
-    labels: doc_id and quality (1 content, 0 boilerplate); a document with both counts as boilerplate.
+    labels: doc_id and quality (1 content, 0 boilerplate); a document with both counts as boilerplate. Of rows that share a
+    doc_id one is learnt from, and of a text of more than SEQUENCES * SEQUENCE lines so many sequences, evenly spaced.
     """
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -155,11 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = [line_features(t.split(b"\n"))[0].tobytes() for t in column(part, "text")]
+                rows = [spaced(line_features(t.split(b"\n"))[0]).tobytes() for t in column(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "bins"])
 
     drawn = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")  # SAMPLE_DOCS rows
-    rows = drawn.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, bins binary").collect()
+    drawn = drawn.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").cast("int").alias("quality"))
+    rows = drawn.mapInArrow(run, "doc_id long, quality int, bins binary").collect()
     rows = sorted((r["doc_id"], r["quality"], bytes(r["bins"])) for r in rows)
     sequences = [(np.frombuffer(b, np.int16).reshape(-1, len(BINS) + len(FLAGS)), int(q != 1)) for _, q, b in rows]
     return train(sequences) if len({y for _, y in sequences}) == 2 else None

@@ -79,6 +79,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame) -> LanguageModel | None:
     """Learn from text and lang of documents that aren't held out. The sample is drawn by a hash of doc_id, so reruns agree.
+    Its size is about SAMPLE_DOCS vectors of DIMENSIONS counts, however long the texts are or often an id repeats.
 
     None without any labelled text.
     """
@@ -90,17 +91,19 @@ def fit(docs: DataFrame) -> LanguageModel | None:
     each = SAMPLE_DOCS // len(n)
     share = F.create_map(*[F.lit(v) for lang, size in n.items() for v in (lang, each / size)])
     drawn = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < F.element_at(share, F.col("lang")))
+    # one row of each doc_id, so that a repeated id is one sample
+    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("doc_id", "s.lang", "s.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2_000_000, 1000):
                 rows = counts(column(part, "text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in rows], pa.binary())], ["doc_id", "lang", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["doc_id", "lang", "tf"])
 
     sample = sorted(drawn.mapInArrow(run, "doc_id long, lang string, tf binary").collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["tf"])))
     if not sample:
         return None
-    tf = np.vstack([np.frombuffer(r["tf"], "<u2") for r in sample]).astype(np.float32)
+    tf = np.vstack([np.frombuffer(r["tf"], "<f4") for r in sample])
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x, languages = weighted(tf, idf), tuple(sorted({r["lang"] for r in sample}))
     of = np.array([languages.index(r["lang"]) for r in sample])

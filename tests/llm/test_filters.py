@@ -219,3 +219,41 @@ def test_language(docs, spark):
     d = docs(rows)
     assert op8_language.recognised(d, model).columns == d.columns
     assert op8_language.fit(docs(rows)) is None
+
+
+def brute_language(text, model):
+    """The language, cosine and rejection of one text, gram by gram."""
+    if text is None or model is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    b = " ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).split()).encode()
+    tf = Counter()
+    for n in op8_language.SIZES:
+        for i in range(len(b) - n + 1):
+            h = 0
+            for x in b[i : i + n]:
+                h = (h * 257 + x) % 2**32
+            tf[(h * 2654435761 % 2**32) >> 20] += 1
+    weights = {k: v**0.5 * float(model.idf[k]) for k, v in tf.items()}
+    size = sum(w * w for w in weights.values()) ** 0.5
+    cosines = [sum(w * float(c[k]) for k, w in weights.items()) / max(size, 1e-12) for c in model.centroids]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    return model.languages[model.owner[best]], cosines[best], cosines[best] < model.least[best]
+
+
+def test_language_against_brute_force(docs, spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = op8_language.fit(real)
+    rows = [(x["doc_id"], x["text"]) for x in real.collect()] + [(-1, None), (-2, "1 2"), (-3, "a"), (None, "été Été"), (-4, "ab " * 70000), (-5, "日本語")]
+    found = {x["doc_id"]: x for x in op8_language.predict(docs(rows), model).collect()}
+    for i, text in rows:
+        lang, score, rejected = brute_language(text, model)
+        assert (found[i]["lang_pred"], found[i]["rejected"]) == (lang, rejected) and found[i]["score"] == pytest.approx(score, abs=1e-5)
+
+
+def test_fits_are_bounded(docs, spark, sf_dir):
+    """A repeated id and a very long text are one bounded sample each."""
+    lines = "\n".join(f"line {i}" for i in range(5000)).encode().split(b"\n")
+    assert op6_quality.spaced(op6_quality.line_features(lines)[0]).shape[0] == op6_quality.SEQUENCES * op6_quality.SEQUENCE
+    rows = [(1, "one two three " * 30000, "en")] * 300 + [(i, f"uno dos tres {i}", "es") for i in range(2, 9)]
+    model = op8_language.fit(docs(rows))
+    assert model.languages == ("en", "es") and len(model.owner) <= 8
