@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that stand before go, with the equal lines around them; so does a document with nothing left."""
-    kept = op7_line_dedup.line_dedup_texts(docs, extend=True)
+    kept = op7_line_dedup.line_dedup_texts(docs)
     text = F.col("text")
     return kept.where("text is null or trim(text) <> ''").withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
 
@@ -39,8 +39,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents (by their places and digests, not the ids themselves) with the sequences that hold them."""
-    return op1_packing.pack_documents(docs, keep_ids=False)
+    """Pieces of documents, with their ids, and the sequences that hold them."""
+    return op1_packing.pack_documents(docs)
 
 
 STAGES = [("language", language), ("repeated_lines", repeated_lines), ("near_copies", near_copies), ("source_mix", source_mix), ("sequences", sequences)]
