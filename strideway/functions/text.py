@@ -78,7 +78,9 @@ def opening_hours(*days: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column, note: Column) -> Column:
-    span = F.when(nullable(start).isNotNull() & nullable(end).isNotNull(), F.concat(F.trim(start), F.lit("〜"), F.trim(end)))
+    """From start to end, where either is known, with 不明 for one that isn't, and the note behind."""
+    known = lambda c: F.coalesce(nullable(c), F.lit("不明"))
+    span = F.when(nullable(start).isNotNull() | nullable(end).isNotNull(), F.concat(known(start), F.lit("〜"), known(end)))
     return F.concat(span, F.coalesce(F.concat(F.lit("（"), nullable(note), F.lit("）")), F.lit("")))
 
 

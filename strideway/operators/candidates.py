@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import rounded
+from strideway.sources.staging import staged
 
 #: Access categories with their prior, penalty, need for caution and eligibility.
 POLICIES = (
@@ -18,8 +19,8 @@ POLICIES = (
     ("official_public_access", 65, 15, True, True),
     ("commercial_facility", 45, 35, True, True),
     ("private_hospitality", 10, 220, True, True),
-    ("restricted_facility", 0, 250, True, False),
-    ("uncertain_access", 20, 80, True, True),
+    ("restricted_or_sensitive", 0, 250, True, False),
+    ("uncertain_facility", 20, 80, True, True),
 )
 #: Words in a name or address that decide its category.
 RESTRICTED_WORDS = "学校|幼稚園|保育|こども園|児童|養護|福祉|障害"
@@ -31,6 +32,9 @@ SHORTLIST_EXCLUDED_WORDS = "学校|幼稚園|保育|こども園|児童|福祉"
 WEIGHTS = {"improvement_m": 0.6, "improvement_ratio": 200.0, "proximity": 0.2, "access_prior": 1.0, "category_penalty": 1.0, "covered_routes": 40.0, "source_quality": 12.0}
 MEANINGFUL_M, MEANINGFUL_RATIO = 30.0, 0.025
 MARGINAL_M, MARGINAL_RATIO = 50.0, 0.05
+#: Datasets that make a source good, and why a candidate isn't ranked, the first of these that holds.
+BEST_DATASETS, GOOD_PREFIX = ("shinjuku-public-facilities", "daredemo-parks"), "daredemo-"
+EXCLUSIONS = ("EXISTING_STRICT_REST_DUPLICATE", "COORDINATE_SOURCE_ANOMALY", "RESTRICTED_OR_SENSITIVE_FACILITY", "NO_DYNAMIC_ROUTE_WITHIN_DISTANCE", "NO_GROSS_GAP_IMPROVEMENT", "DETOUR_ADJUSTED_IMPROVEMENT_BELOW_THRESHOLD")
 VARIATION, TOP = 0.2, 5
 PUBLIC = ("public_outdoor_space", "public_service_facility")
 OFFICIAL = ("commercial_facility", "official_public_access")
@@ -40,25 +44,31 @@ def policies(spark) -> DataFrame:
     return spark.createDataFrame(POLICIES, "category string, access_prior int, category_penalty int, needs_caution boolean, eligible boolean")
 
 
-def access_category(text: Column, datasets: Column, rules: dict[str, str] | None = None) -> Column:
-    """The first category whose words the text has or whose datasets the group has."""
+def access_category(text: Column, datasets: Column, rules: dict[str, str] | None = None, barrier_free: Column | None = None) -> Column:
+    """The first category whose words the text has or whose datasets the group has; barrier_free: any record is listed as such."""
     words = {"restricted": RESTRICTED_WORDS, "outdoor": OUTDOOR_WORDS, "service": SERVICE_WORDS, "hospitality": HOSPITALITY_WORDS} | (rules or {})
     has = lambda *names: F.arrays_overlap(datasets, F.array(*map(F.lit, names)))
     return (
-        F.when(text.rlike(words["restricted"]), "restricted_facility")
-        .when(has("parks") | text.rlike(words["outdoor"]), "public_outdoor_space")
+        F.when(text.rlike(words["restricted"]), "restricted_or_sensitive")
+        .when(has("daredemo-parks") | text.rlike(words["outdoor"]), "public_outdoor_space")
         .when(text.rlike(words["service"]), "public_service_facility")
-        .when(has("city-facilities", "public-facilities", "transport"), "official_public_access")
-        .when(has("accommodation") | text.rlike(words["hospitality"]), "private_hospitality")
-        .when(has("shopping", "dining", "leisure"), "commercial_facility")
-        .when(has("barrier-free"), "official_public_access")
-        .otherwise("uncertain_access")
+        .when(has("shinjuku-public-facilities", "daredemo-public_facilities", "daredemo-transport"), "official_public_access")
+        .when(has("daredemo-accommodation") | text.rlike(words["hospitality"]), "private_hospitality")
+        .when(has("daredemo-shopping", "daredemo-dining", "daredemo-leisure"), "commercial_facility")
+        .when(F.lit(False) if barrier_free is None else barrier_free, "official_public_access")
+        .otherwise("uncertain_facility")
     )
 
 
-def classify(groups: DataFrame, text: Column, datasets: Column, rules: dict[str, str] | None = None) -> DataFrame:
+def source_quality(datasets: Column) -> Column:
+    """3 for official lists of facilities and parks, 2 for other barrier-free lists, else 1."""
+    best = F.arrays_overlap(datasets, F.array(*map(F.lit, BEST_DATASETS)))
+    return F.when(best, 3).when(F.exists(datasets, lambda d: d.startswith(GOOD_PREFIX)), 2).otherwise(1)
+
+
+def classify(groups: DataFrame, text: Column, datasets: Column, rules: dict[str, str] | None = None, barrier_free: Column | None = None) -> DataFrame:
     """groups with category and its policy; the policy table has a row for each category."""
-    own = groups.withColumn("category", access_category(text, datasets, rules))
+    own = groups.withColumn("category", access_category(text, datasets, rules, barrier_free))
     return own.join(F.broadcast(policies(groups.sparkSession)), "category")
 
 
@@ -72,10 +82,11 @@ def route_metrics(gains: DataFrame) -> DataFrame:
 
 
 def best_route(metrics: DataFrame, key: str = "facility_id") -> DataFrame:
-    """Each candidate's primary route, and how many routes it covers."""
+    """Each candidate's primary route, the first of those that count (of all, where none does), how many routes count, and
+    whether any has a gain at all."""
     by = Window.partitionBy(key)
-    first = by.orderBy(F.desc("adjusted_r"), F.desc("ratio_r"), F.desc("gross_r"), "distance_r", "route_id")
-    out = metrics.withColumn("covered_routes", F.count_if("counts").over(by).cast("int")).withColumn("_n", F.row_number().over(first))
+    first = by.orderBy(F.desc("counts"), F.desc("adjusted_r"), F.desc("ratio_r"), F.desc("gross_r"), "distance_r", "route_id")
+    out = metrics.withColumn("covered_routes", F.count_if("counts").over(by).cast("int")).withColumn("any_gain", F.bool_or(F.col("gross_m") > 0).over(by)).withColumn("_n", F.row_number().over(first))
     return out.where("_n = 1").drop("_n")
 
 
@@ -113,16 +124,10 @@ def rank_candidates(scored: DataFrame, key: str = "facility_id", region: str | N
     return out.where(F.col("priority") <= most) if most else out
 
 
-def exclusion(duplicate: Column, anomaly: Column, eligible: Column, near: Column, gross: Column, counts: Column) -> Column:
+def exclusion(duplicate: Column, anomaly: Column, eligible: Column, near: Column, gain: Column, counts: Column) -> Column:
     """Why a candidate isn't ranked, the first reason in a fixed order; null for those that are."""
-    return (
-        F.when(duplicate, "STRICT_DUPLICATE")
-        .when(anomaly, "COORDINATE_ANOMALY")
-        .when(~eligible, "RESTRICTED_FACILITY")
-        .when(~near, "NO_ROUTE_NEARBY")
-        .when(gross <= 0, "NO_GROSS_IMPROVEMENT")
-        .when(~counts, "BELOW_THRESHOLD")
-    )
+    holds = (duplicate, anomaly, ~eligible, ~near, ~gain, ~counts)
+    return F.coalesce(*[F.when(h, code) for h, code in zip(holds, EXCLUSIONS, strict=True)])
 
 
 def detour_scenarios(candidates: DataFrame) -> DataFrame:
@@ -209,13 +214,13 @@ def skyline(rows: DataFrame, key: str, most: list[str], least: list[str], region
             for _, part in batch.groupby("_region"):
                 yield part[undominated(part[names].to_numpy())]
 
-    left = own.mapInPandas(local, own.schema)
+    left = staged(own.mapInPandas(local, own.schema), "skyline")
     a, b = left.alias("a"), left.select("_region", *[F.col(n).alias(f"o{n}") for n in names]).distinct().alias("b")
     as_good = F.lit(True)
     better = F.lit(False)
     for n in names:
         as_good, better = as_good & (F.col(f"b.o{n}") >= F.col(f"a.{n}")), better | (F.col(f"b.o{n}") > F.col(f"a.{n}"))
-    best = a.join(b, (F.col("a._region") == F.col("b._region")) & as_good & better, "left_anti").select("_key")
+    best = a.join(b.hint("merge"), (F.col("a._region") == F.col("b._region")) & as_good & better, "left_anti").select("_key")
     return rows.join(best.withColumn("on_skyline", F.lit(True)), rows[key] == F.col("_key"), "left").drop("_key").withColumn("on_skyline", F.coalesce("on_skyline", F.lit(False)))
 
 
@@ -226,7 +231,7 @@ def shortlist(candidates: DataFrame, key: str = "facility_id", region: str | Non
     """
     by = [region] if region else [F.lit(0)]
     order = [F.desc("top_rate"), F.desc("conservative_m"), F.asc("baseline_rank"), F.asc(key)]
-    fit = F.col("on_skyline") & (F.col("detour_class") != "ineffective") & (F.col("category") != "restricted_facility")
+    fit = F.col("on_skyline") & (F.col("detour_class") != "ineffective") & (F.col("category") != "restricted_or_sensitive")
     fit = fit & ~F.col(name).rlike(SHORTLIST_EXCLUDED_WORDS) if name else fit
     rows = candidates.where(fit).withColumn("_public", F.col("category").isin(*PUBLIC)).withColumn("_robust", F.col("detour_class") == "robust")
     nth = lambda flag: F.sum(F.col(flag).cast("int")).over(Window.partitionBy(*by).orderBy(*order))
@@ -235,7 +240,7 @@ def shortlist(candidates: DataFrame, key: str = "facility_id", region: str | Non
     rows = rows.withColumn("_tier", tier).withColumn("_hotel", (F.col("category") == "private_hospitality").cast("int"))
     in_order = Window.partitionBy(*by).orderBy("_tier", *order)
     rows = rows.withColumn("_hotels", F.sum("_hotel").over(in_order)).where((F.col("_hotel") == 0) | (F.col("_hotels") <= hospitality))
-    role = F.when(F.col("_tier") == 1, "clear_public_verification").when(F.col("_robust"), "robust_improvement").when(F.col("_public"), "clear_public_verification").otherwise("complementary")
+    role = F.when(F.col("_tier") == 1, "clear_public_verification").when(F.col("_robust"), "robust_improvement").when(F.col("_public"), "clear_public_verification").otherwise("boundary_model_check")
     rows = rows.withColumn("visit_priority", F.row_number().over(in_order)).where(F.col("visit_priority") <= size).withColumn("role", role)
     return rows.drop("_public", "_robust", "_p", "_r", "_tier", "_hotel", "_hotels")
 

@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideway.functions.geo import haversine
 from strideway.operators.spatial import close_pairs
+from strideway.sources.staging import staged
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key and place_id, the smallest key that pairs (a, b) connect it with; nodes without pairs stand alone.
 
-    Least labels of neighbours and of labels, round by round, with a checkpoint in the shared folder that Spark names;
-    the rounds follow the logarithm of the longest chain.
+    Least labels of neighbours and of labels, round by round, each written to the shared folder that Spark names; the
+    rounds follow the logarithm of the longest chain, and only nodes that have pairs take part.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    labels = nodes.select(F.col(key).alias("v"), F.col(key).alias("c"))
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
-        lower = labels.join(near, "v", "left").select("v", F.least("c", F.coalesce("n", "c")).alias("c"), F.col("c").alias("was"))
+        near = both.join(labels.hint("merge"), both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
+        lower = labels.join(near.hint("merge"), "v").select("v", F.least("c", "n").alias("c"), F.col("c").alias("was"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("to"))
-        new = lower.join(jump, "c").select("v", F.least("c", "to").alias("c"), (F.least("c", "to") < F.col("was")).alias("changed")).checkpoint()
+        new = staged(lower.join(jump.hint("merge"), "c").select("v", F.least("c", "to").alias("c"), (F.least("c", "to") < F.col("was")).alias("changed")), "labels")
         labels = new.select("v", "c")
         if not new.where("changed").limit(1).count():
-            return labels.select(F.col("v").alias(key), F.col("c").alias("place_id"))
+            found = labels.select(F.col("v").alias(key), F.col("c").alias("place_id"))
+            return nodes.select(key).join(found.hint("merge"), key, "left").select(key, F.coalesce("place_id", key).alias("place_id"))
+
 
+def same_text(column: str) -> Column:
+    """Equal on both sides of a pair, and not blank."""
+    return F.coalesce((F.col(f"a_{column}") == F.col(f"b_{column}")) & (F.col(f"a_{column}") != ""), F.lit(False))
 
-def same_place(names: Callable[[str], Column], metres: Column) -> Column:
-    """At most a metre apart, or equal names that aren't blank."""
-    return (metres <= 1) | ((names("a_") == names("b_")) & (names("a_") != ""))
 
+def cluster_places(records: DataFrame, key: str, match: str, address: str, metres: float = 10.0) -> DataFrame:
+    """key and place_id: records within so many metres with equal names or equal addresses, or within one metre, transitively.
 
-def cluster_places(records: DataFrame, key: str, match: str, metres: float = 10.0) -> DataFrame:
-    """key and place_id: records within so many metres whose match texts are equal, or within one, transitively."""
-    pairs = close_pairs(records.select(key, match, "lat", "lon"), key, metres)
-    edges = pairs.where(same_place(lambda side: F.coalesce(F.col(side + match), F.lit("")), F.col("metres")))
+    match, address: normalised texts; blank ones equal nothing.
+    """
+    pairs = close_pairs(records.select(key, match, address, "lat", "lon"), key, metres)
+    edges = pairs.where((F.col("metres") <= 1) | same_text(match) | same_text(address))
     return components(records, edges.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")), key)
 
 
@@ -58,18 +59,24 @@ def duplicates_across(records: DataFrame, key: str, dataset: str, match: str, me
     """Pairs of different datasets within so many metres with equal names, or equal addresses that aren't blank."""
     cols = [key, dataset, match, "lat", "lon", *([address] if address else [])]
     pairs = close_pairs(records.select(*dict.fromkeys(cols)), key, metres).where(F.col(f"a_{dataset}") != F.col(f"b_{dataset}"))
-    equal = lambda c: F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
-    reason = F.when(equal(match), "same_name")
-    return pairs.withColumn("reason", reason.when(equal(address), "same_address") if address else reason).where("reason is not null")
+    reason = F.when(same_text(match), "same_name")
+    return pairs.withColumn("reason", reason.when(same_text(address), "same_address") if address else reason).where("reason is not null")
 
 
-def same_facility_pairs(records: DataFrame, key: str, name: str, address: str, metres: float = 25.0, prefix: int = 8) -> DataFrame:
-    """Pairs within so many metres with equal names, equal addresses, or one (long enough) address beginning with the other."""
-    pairs = close_pairs(records.select(key, name, address, "lat", "lon"), key, metres)
+def same_facility_pairs(records: DataFrame, key: str, name: str, address: str, metres: float = 25.0, prefix: int = 8, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within so many metres on the sphere with equal names, equal addresses, or one (long enough) address beginning with
+    the other; name and address are normalised texts. Columns of `more` come along."""
+    pairs = close_pairs(records.select(key, name, address, "lat", "lon", *more), key, 1.05 * metres)
+    pairs = pairs.where(haversine(*map(F.col, ("a_lat", "a_lon", "b_lat", "b_lon"))) <= metres)
     a, b = F.coalesce(f"a_{address}", F.lit("")), F.coalesce(f"b_{address}", F.lit(""))
     begins = (F.length(a) >= prefix) & (F.length(b) >= prefix) & (a.startswith(b) | b.startswith(a))
-    named = (F.col(f"a_{name}") == F.col(f"b_{name}")) & (F.col(f"a_{name}") != "")
-    return pairs.where(F.coalesce(named, F.lit(False)) | ((a == b) & (a != "")) | begins)
+    return pairs.where(same_text(name) | same_text(address) | begins)
+
+
+def strict_duplicates(pairs: DataFrame, key: str, possible: str = "possible", strict: str = "strict") -> DataFrame:
+    """key of the possible candidates that make a pair with a strict one; pairs carry both flags."""
+    side = lambda x, y: pairs.where(F.col(f"{x}_{possible}") & F.col(f"{y}_{strict}")).select(F.col(f"{x}_{key}").alias(key))
+    return side("a", "b").unionByName(side("b", "a")).distinct()
 
 
 def groups_by(records: DataFrame, key: str, by: list[Column], least: int = 2) -> DataFrame:
@@ -106,7 +113,7 @@ def ambiguous_pairs(records: DataFrame, members: DataFrame, key: str, metres: fl
     pairs = close_pairs(records.select(key, "lat", "lon"), key, metres)
     a = members.select(F.col(key).alias(f"a_{key}"), F.col("place_id").alias("a_place"))
     b = members.select(F.col(key).alias(f"b_{key}"), F.col("place_id").alias("b_place"))
-    return pairs.join(a, f"a_{key}").join(b, f"b_{key}").where("a_place <> b_place")
+    return pairs.join(a.hint("merge"), f"a_{key}").join(b.hint("merge"), f"b_{key}").where("a_place <> b_place")
 
 
 def audit(records: DataFrame, members: DataFrame, key: str, dataset: str, match: str) -> DataFrame:

@@ -49,7 +49,12 @@ def insertion_suggestion(largest: DataFrame) -> DataFrame:
 
 def walking_segments(positions: DataFrame, routes: DataFrame, point: str = "facility_id", route: str = "route_id") -> DataFrame:
     """Routes cut at their rests: each walk's metres, its share of the minutes, and the rest where it ends, but for the last."""
-    rows = gaps(positions, routes, point, route).join(routes.select(route, "stated_m", "minutes"), route)
+    return walks_of(gaps(positions, routes, point, route), routes, route)
+
+
+def walks_of(gap_rows: DataFrame, routes: DataFrame, route: str = "route_id") -> DataFrame:
+    """The gaps between rests as walks (see walking_segments)."""
+    rows = gap_rows.join(routes.select(route, "stated_m", "minutes"), route)
     share = F.when(F.col("stated_m") > 0, F.col("gap_m") / F.nullif("stated_m", F.lit(0.0)) * F.col("minutes")).otherwise(0.0)
     return rows.select(
         route,

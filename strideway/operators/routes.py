@@ -11,12 +11,23 @@ from strideway.functions.geo import rounded_away
 OVER_MINUTE, MISSING_TOILET, STEEP_SLOPE, MISSING_INDOOR = 12.0, 120.0, 35.0, 45.0
 REST_M, TOILET_M = 350.0, 250.0
 REASONS_SHOWN = 4
+#: How a route's walks stand to the limit; the first two are within it.
+CONTINUITY = ("WHOLE_ROUTE_WITHIN_LIMIT_WITHOUT_STRICT_REST", "STRICT_REST_POINTS_MAKE_ROUTE_FEASIBLE", "NO_STRICT_REST_AND_OVER_LIMIT", "STRICT_REST_POINTS_PRESENT_BUT_STILL_OVER_LIMIT")
+#: What speaks against a route, in order; the last is told but not counted among the wishes.
+VIOLATIONS = ("MAX_CONTINUOUS_WALK_EXCEEDED", "PUBLIC_TOILET_REQUIRED_MISSING", "STEEP_SLOPE_REQUIREMENT_NOT_MET", "INDOOR_REST_REQUIREMENT_NOT_MET", "STRICT_REST_NETWORK_NOT_FEASIBLE")
+#: Profiles that avoid steps or suit wheelchairs.
+STEP_AVOIDING, WHEELCHAIR = "step_avoiding", "wheelchair_profile"
 
 
 def network_level(confirmed_ok: Column, n_confirmed: Column, strict_ok: Column, n_supported: Column) -> Column:
+    """confirmed where confirmed points alone keep the route within the limit, supported where all strict ones do."""
     return F.when((n_confirmed > 0) & confirmed_ok, "confirmed").when((n_supported > 0) & strict_ok, "supported").otherwise("none")
 
 
+def present(*codes: Column) -> Column:
+    return F.filter(F.array(*codes), lambda x: x.isNotNull())
+
+
 def evaluate(routes: DataFrame) -> DataFrame:
     """Violations, score and its parts, for routes with their metrics and their request's wishes on the same row.
 
@@ -32,8 +43,7 @@ def evaluate(routes: DataFrame) -> DataFrame:
         "slope_points": F.when(F.col("avoid_steep"), STEEP_SLOPE * F.col("steep_count")).otherwise(0.0),
         "indoor_points": F.when(indoor, MISSING_INDOOR).otherwise(0.0),
     }
-    wrong = {"walk_limit": over > 0, "toilet": toilet, "slope": slope, "indoor": indoor}
-    codes = F.filter(F.array(*[F.when(c, n) for n, c in wrong.items()]), lambda x: x.isNotNull())
+    codes = present(*[F.when(c, n) for n, c in zip(VIOLATIONS[:4], (over > 0, toilet, slope, indoor), strict=True)])
     out = routes.withColumns(parts).withColumn("violations", codes)
     score = F.col("minutes") + sum((F.col(p) for p in parts), F.lit(0.0))
     return out.withColumn("score", score).withColumn("n_violations", F.size("violations")).withColumn("meets", F.size("violations") == 0)
@@ -47,7 +57,7 @@ def rank_routes(evaluated: DataFrame, request: str = "request_id") -> DataFrame:
 
 def baseline_deltas(ranked: DataFrame, request: str = "request_id") -> DataFrame:
     """The baseline of each request (its first standard route, else its shortest) and the differences to it."""
-    standard = F.struct((F.col("profile") != "standard").alias("other"), F.when(F.col("profile") != "standard", F.col("stated_m")).otherwise(0.0).alias("m"), "route_id", "stated_m", "seconds", F.col("longest_m").alias("gap"))
+    standard = F.struct((F.col("profile") != "standard").alias("other"), F.when(F.col("profile") != "standard", F.col("stated_m")).otherwise(0.0).alias("m"), "route_id", "stated_m", "seconds", F.col("longest_m").alias("gap"), F.col("max_minutes").alias("walk"))
     base = F.min(standard).over(Window.partitionBy(request))
     out = ranked.withColumn("_b", base)
     return out.select(
@@ -56,6 +66,7 @@ def baseline_deltas(ranked: DataFrame, request: str = "request_id") -> DataFrame
         rounded_away(F.col("stated_m") - F.col("_b.stated_m")).alias("delta_m"),
         rounded_away((F.col("seconds") - F.col("_b.seconds")) / 60, 1).alias("delta_minutes"),
         rounded_away(F.col("longest_m") - F.col("_b.gap")).alias("delta_gap_m"),
+        F.col("_b.walk").alias("baseline_minutes"),
     )
 
 
@@ -71,26 +82,49 @@ def least_flags(ranked: DataFrame, metrics: tuple[str, ...] = ("n_violations", "
 
 
 def reasons(flagged: DataFrame) -> DataFrame:
-    """The first few reasons for a route and what speaks against it, in a fixed order, as code arrays."""
-    tied = lambda m, code: F.when(F.col(f"least_{m}"), F.when(F.col(f"tied_{m}"), f"{code}_tie").otherwise(code))
-    found = [
-        F.when(F.col("meets"), "all_met"),
-        tied("n_violations", "fewest_violations"),
-        tied("score", "lowest_score"),
-        F.when(F.col("avoid_steep") & (F.col("profile") == "stepfree"), "avoids_steps"),
-        tied("max_minutes", "shortest_walk"),
-        F.when((F.col("route_id") != F.col("baseline_id")) & (F.col("delta_gap_m") < 0), "better_than_baseline"),
-        tied("longest_m", "lowest_rest_gap"),
-        tied("toilet_gap_m", "lowest_toilet_gap"),
-        tied("stated_m", "shortest"),
-        tied("seconds", "fastest"),
-        F.when(F.col("require_toilet") & (F.col("n_toilets") > 0), "toilets_near"),
-        F.when(F.col("network_ok"), "network_feasible"),
-        F.when(F.col("minutes") <= F.col("limit_minutes"), "whole_route_within_limit"),
-    ]
-    codes = F.slice(F.filter(F.array(*found), lambda x: x.isNotNull()), 1, REASONS_SHOWN)
-    against = F.concat(F.col("violations"), F.filter(F.array(F.when(~F.col("network_ok"), "rest_network")), lambda x: x.isNotNull()))
-    return flagged.withColumn("reasons", codes).withColumn("against", against)
+    """The first few reasons for a route and what speaks against it, in a fixed order, as code arrays.
+
+    flagged: the columns of least_flags and baseline_deltas, avoid_steps, n_toilets and continuity (see continuity_class).
+    The codes are fixed values.
+    """
+    least = lambda m, code: F.when(F.col(f"least_{m}"), code)
+    codes = present(
+        F.when(F.col("meets"), "MEETS_ALL_REQUIRED_PREFERENCES"),
+        least("n_violations", "FEWER_CONSTRAINT_VIOLATIONS"),
+        least("score", "LOWEST_CONDITION_BURDEN_SCORE"),
+        F.when(F.col("avoid_steps") & (F.col("profile") == STEP_AVOIDING), "STEP_AVOIDING_PROFILE"),
+        least("max_minutes", "LOWEST_MAX_CONTINUOUS_WALK"),
+        F.when((F.col("route_id") != F.col("baseline_id")) & (F.col("max_minutes") < F.col("baseline_minutes")), "BETTER_CONTINUITY_THAN_STANDARD"),
+        least("longest_m", "LOWEST_REST_GAP"),
+        least("toilet_gap_m", "LOWEST_PUBLIC_TOILET_GAP"),
+        least("stated_m", "SHORTEST_DISTANCE"),
+        least("seconds", "FASTEST_DURATION"),
+        F.when(F.col("require_toilet") & (F.col("n_toilets") > 0), "PUBLIC_TOILET_CANDIDATES_NEAR_ROUTE"),
+        F.when(F.col("continuity") == CONTINUITY[1], "STRICT_REST_NETWORK_FEASIBLE"),
+        F.when(F.col("continuity") == CONTINUITY[0], "WHOLE_ROUTE_WITHIN_LIMIT"),
+    )
+    against = F.concat(F.col("violations"), present(F.when(~F.col("continuity").isin(*CONTINUITY[:2]), VIOLATIONS[4])))
+    return flagged.withColumn("reasons", F.slice(codes, 1, REASONS_SHOWN)).withColumn("against", against)
+
+
+def explanations(flagged: DataFrame) -> DataFrame:
+    """What is good about a route, what it costs against the baseline, and what to check on the spot, as code arrays.
+
+    flagged: as in reasons. The codes are fixed values.
+    """
+    good = present(
+        F.when(F.col("least_stated_m"), "SHORTEST_DISTANCE"),
+        F.when(F.col("least_seconds"), "FASTEST_DURATION"),
+        F.when(F.col("profile") == STEP_AVOIDING, "STEP_AVOIDING_PROFILE"),
+        F.when(F.col("profile") == WHEELCHAIR, "WHEELCHAIR_PROFILE"),
+        F.when(F.col("meets"), "MEETS_ALL_REQUIRED_PREFERENCES"),
+        F.when(F.col("require_toilet") & (F.col("n_toilets") > 0), "PUBLIC_TOILET_CANDIDATES_NEAR_ROUTE"),
+        F.when(F.col("continuity") == CONTINUITY[1], "STRICT_REST_NETWORK_FEASIBLE"),
+        F.when(F.col("continuity") == CONTINUITY[0], "WHOLE_ROUTE_WITHIN_LIMIT"),
+    )
+    costs = present(F.when(F.col("delta_m") > 0, "LONGER_DISTANCE"), F.when(F.col("delta_minutes") > 0, "LONGER_DURATION"), F.when(F.col("delta_gap_m") > 0, "LONGER_REST_GAP"))
+    warnings = present(F.when(F.col("profile").isin(STEP_AVOIDING, WHEELCHAIR), "SOURCE_WARNING"))
+    return flagged.withColumn("advantages", good).withColumn("tradeoffs", costs).withColumn("warnings", warnings)
 
 
 def preference_summary(ranked: DataFrame, request: str = "request_id") -> DataFrame:
@@ -101,7 +135,7 @@ def preference_summary(ranked: DataFrame, request: str = "request_id") -> DataFr
 def continuity_class(n_splits: Column, max_minutes: Column, total_minutes: Column, limit: Column) -> Column:
     split = n_splits > 0
     within = F.when(split, max_minutes).otherwise(total_minutes) <= limit
-    return F.when(~split & within, "whole_route_within_limit").when(split & within, "split_within_limit").when(~split, "whole_route_over_limit").otherwise("split_over_limit")
+    return F.when(~split & within, CONTINUITY[0]).when(split & within, CONTINUITY[1]).when(~split, CONTINUITY[2]).otherwise(CONTINUITY[3])
 
 
 def request_problem(requests: DataFrame, south: float = 35.0, north: float = 36.0, west: float = 139.0, east: float = 140.0, most_m: float = 8000.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import DEGREE_M, PLANE_M_PER_LAT, PLANE_M_PER_LON, haversine, planar
+from strideway.sources.staging import staged
 
 #: A segment that is longer than so many cells is cut, so that its box stays narrow.
 CELLS_PER_PIECE = 10
@@ -111,15 +112,13 @@ def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame,
         return routes.select(route, F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast(points.schema[point].dataType).alias(point))
     reach = 1.01 * DEGREE_M * math.hypot(box["maxlat"] - box["minlat"], box["maxlon"] - box["minlon"])
     highest = min(89.9, max(60.0, abs(box["minlat"]), abs(box["maxlat"])))
-    spark = routes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
     found, left, metres = None, routes.select(route), first_metres
     for n in itertools.count(1):
         own = project_points(points, segs.join(left, route, "left_semi"), metres, point, route, highest).groupBy(route).agg(F.min(F.struct("distance_m", point)).alias("n"))
-        own = own.select(route, F.col("n.distance_m").alias("distance_m"), F.col(f"n.{point}").alias(point)).checkpoint()
+        own = own.select(route, F.col("n.distance_m").alias("distance_m"), F.col(f"n.{point}").alias(point))
+        own = staged(own, "nearest")
         found = own if found is None else found.unionByName(own)
-        left = left.join(own.select(route), route, "left_anti").checkpoint()
+        left = staged(left.join(own.select(route), route, "left_anti"), "left")
         if metres >= reach or n == rounds or not left.limit(1).count():
             break
         metres *= 2

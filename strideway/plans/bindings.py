@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.operators import candidates, linear, routes, spatial
+from strideway.functions.text import STRIPPED_FOR_FACILITIES, ascii_match_text
+from strideway.operators import candidates, cluster, linear, routes, spatial
+from strideway.sources.staging import staged
 
 ROUTE_VERTEX = """
 SELECT user_id AS route_id, CAST(seq AS INT) AS seq, lat_u / CAST(1e6 AS DOUBLE) AS lat, lon_u / CAST(1e6 AS DOUBLE) AS lon FROM (
@@ -19,14 +21,16 @@ SELECT user_id AS route_id, CAST(seq AS INT) AS seq, lat_u / CAST(1e6 AS DOUBLE)
 """
 FACILITY = """
 SELECT c_custkey AS facility_id, c_name AS name, c_mktsegment AS segment,
-  (35670000 + (c_custkey * 7919) % 40001) / CAST(1e6 AS DOUBLE) AS lat, (139680000 + (c_custkey * 104729) % 40001) / CAST(1e6 AS DOUBLE) AS lon,
+  concat(CASE WHEN c_custkey % 9 = 0 THEN 'outer ' ELSE 'inner ' END, c_mktsegment, ' ', CAST(c_nationkey AS STRING)) AS address,
+  CASE c_custkey % 8 WHEN 0 THEN 'shinjuku-public-facilities' WHEN 1 THEN 'daredemo-parks' WHEN 2 THEN 'daredemo-shopping' WHEN 3 THEN 'daredemo-accommodation' WHEN 4 THEN 'daredemo-transport' ELSE 'other-facilities' END AS dataset,
+  (35670000 + (place * 7919) % 40001) / CAST(1e6 AS DOUBLE) AS lat, (139680000 + (place * 104729) % 40001) / CAST(1e6 AS DOUBLE) AS lon,
   CASE c_custkey % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'supported' WHEN 4 THEN 'estimated' ELSE 'possible' END AS confidence,
-  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'toilet' WHEN 'MACHINERY' THEN 'water' WHEN 'BUILDING' THEN 'indoor' ELSE 'rest' END AS kind,
-  CAST(1 + c_custkey % 3 AS INT) AS source_quality, CAST(1 + c_custkey % 4 AS INT) AS group_size
-FROM customer
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'toilet' WHEN 'MACHINERY' THEN 'water' WHEN 'BUILDING' THEN 'indoor' ELSE 'rest' END AS kind
+FROM (SELECT *, CASE WHEN CAST(floor(c_custkey / 5) AS BIGINT) % 41 < 3 THEN c_custkey - CAST(floor(c_custkey / 5) AS BIGINT) % 41 * 5 ELSE c_custkey END AS place FROM customer) c
 """
 TOILET_RECORD = """
 SELECT p_partkey AS record_id, p_name AS name, p_brand AS dataset, lower(split_part(p_name, ' ', 2)) AS match_name, p_type AS kind, p_size AS size,
+  CASE WHEN p_size % 10 = 0 THEN '' ELSE concat(lower(p_type), CAST(p_size % 10 AS STRING)) END AS match_address,
   (35670000 + (CAST(floor(p_partkey / 3) AS BIGINT) * 7919) % 40001 + (p_partkey % 3) * 40) / CAST(1e6 AS DOUBLE) AS lat,
   (139680000 + (CAST(floor(p_partkey / 3) AS BIGINT) * 104729) % 40001) / CAST(1e6 AS DOUBLE) AS lon
 FROM part
@@ -67,6 +71,10 @@ FROM part
 
 #: All coordinates made here lie south of it.
 MAX_LATITUDE = 36.0
+#: What an address of the area has in it.
+WARD = "inner"
+#: Points of interest whose gaps are worked out in one pass.
+GAP_KINDS = ("strict", "rest", "water", "indoor", "near_toilet", "inside", "confirmed")
 
 
 class Tables:
@@ -125,57 +133,92 @@ class Tables:
         own = own.withColumns(
             {
                 "request_id": group,
-                "profile": F.element_at(F.array(F.lit("standard"), F.lit("quiet"), F.lit("stepfree")), (F.col("route_id") % 3 + 1).cast("int")),
+                "profile": F.element_at(F.array(F.lit("standard"), F.lit("step_avoiding"), F.lit("wheelchair_profile")), (F.col("route_id") % 3 + 1).cast("int")),
                 "steep_count": (F.col("route_id") % 4).cast("int"),
                 "limit_minutes": F.element_at(F.array(F.lit(5), F.lit(10), F.lit(15)), (group % 3 + 1).cast("int")),
                 "require_toilet": group % 2 == 0,
                 "avoid_steep": group % 3 == 0,
+                "avoid_steps": group % 4 < 2,
                 "prefer_indoor": group % 5 == 0,
             }
         )
-        return self.once("routes", own.persist)
+        return self.once("routes", lambda: staged(own, "routes"))
 
     @property
     def placed(self) -> DataFrame:
-        """Facilities on the routes within reach, with position_m on the stated scale and their own columns.
-
-        Every query about routes reads it several times, so it is kept.
-        """
+        """Facilities on the routes within reach, with position_m on the stated scale and their own columns."""
 
         def make() -> DataFrame:
             near = spatial.project_points(self.facilities, self.segments, routes.REST_M, max_latitude=MAX_LATITUDE)
-            return linear.on_stated_scale(near, self.routes).join(self.facilities.drop("lat", "lon"), "facility_id").persist()
+            return staged(linear.on_stated_scale(near, self.routes).join(self.facilities.drop("lat", "lon").hint("merge"), "facility_id"), "placed")
 
         return self.once("placed", make)
 
     @property
     def strict(self) -> DataFrame:
+        """Confirmed and supported points of any kind: where walks end, and what candidates are measured against."""
         return self.placed.where("confidence in ('confirmed', 'supported')")
 
     @property
-    def rest_gaps(self) -> DataFrame:
-        return self.once("rest_gaps", lambda: linear.gaps(self.strict, self.routes))
+    def strict_rest(self) -> DataFrame:
+        """The rest network's strict points: a drinking station isn't one."""
+        return self.strict.where("kind <> 'water'")
+
+    @property
+    def gaps(self) -> DataFrame:
+        """The gaps of each of GAP_KINDS along each route, in one pass. Water and indoor points count whatever their confidence."""
+
+        def make() -> DataFrame:
+            strict, kind, end = F.col("confidence").isin("confirmed", "supported"), F.col("kind"), F.col("stated_m")
+            rest = strict & (kind != "water")
+            near = (kind == "toilet") & (F.col("distance_m") <= routes.TOILET_M)
+            belongs = (strict, rest, kind == "water", kind == "indoor", near, strict & (F.col("position_m") > 0) & (F.col("position_m") < end), rest & (F.col("confidence") == "confirmed"))
+            kinds = F.explode(routes.present(*[F.when(c, n) for n, c in zip(GAP_KINDS, belongs, strict=True)])).alias("poi")
+            positions = self.placed.select("route_id", "facility_id", "position_m", kinds)
+            every = self.routes.select("route_id", "stated_m", F.explode(F.array(*map(F.lit, GAP_KINDS))).alias("poi"))
+            return staged(linear.gaps(positions, every, route=["route_id", "poi"]), "gaps")
+
+        return self.once("gaps", make)
+
+    def gaps_of(self, kind: str) -> DataFrame:
+        return self.gaps.where(F.col("poi") == kind).drop("poi")
 
     @property
     def walks(self) -> DataFrame:
-        return self.once("walks", lambda: linear.walking_segments(self.strict, self.routes))
+        return self.once("walks", lambda: linear.walks_of(self.gaps_of("strict"), self.routes))
 
     @property
     def evaluated(self) -> DataFrame:
+        """Routes with their metrics, how their walks and their rest network stand to the limit, and their score."""
         if "evaluated" in self.made:
             return self.made["evaluated"]
         r = self.routes
         walks = linear.continuity(self.walks, r).select("route_id", "max_minutes", "max_walk_m")
-        rest = linear.two_largest(self.rest_gaps, ["route_id"]).select("route_id", "longest_m")
-        toilets = self.placed.where("kind = 'toilet'").where(F.col("distance_m") <= routes.TOILET_M)
-        toilet = linear.two_largest(linear.gaps(toilets, r), ["route_id"]).select("route_id", F.col("longest_m").alias("toilet_gap_m"))
+        longest = lambda kind, name: linear.two_largest(self.gaps_of(kind), ["route_id"]).select("route_id", F.col("longest_m").alias(name))
+        strict = F.col("confidence").isin("confirmed", "supported")
+        rest = strict & (F.col("kind") != "water")
         near = self.placed.groupBy("route_id").agg(
             F.count_if((F.col("kind") == "toilet") & (F.col("distance_m") <= routes.TOILET_M)).alias("n_toilets"),
-            F.count_if((F.col("kind") == "indoor") & F.col("confidence").isin("confirmed", "supported")).alias("n_indoor"),
+            F.count_if((F.col("kind") == "indoor") & strict).alias("n_indoor"),
+            F.count_if(rest).alias("n_strict"),
+            F.count_if(rest & (F.col("confidence") == "confirmed")).alias("n_confirmed"),
+            F.count_if((F.col("kind") != "water") & (F.col("confidence") == "possible")).alias("n_possible"),
         )
-        joined = r.join(walks, "route_id").join(rest, "route_id").join(toilet, "route_id").join(near, "route_id", "left").fillna(0, ["n_toilets", "n_indoor"])
-        joined = joined.withColumn("network_ok", F.col("longest_m") / F.col("stated_m") * F.col("minutes") <= F.col("limit_minutes"))
-        return self.once("evaluated", lambda: routes.evaluate(joined))
+        counts = ["n_toilets", "n_indoor", "n_strict", "n_confirmed", "n_possible"]
+        joined = r.join(near.hint("merge"), "route_id", "left").fillna(0, counts)
+        splits = linear.strict_splits(self.walks, joined.select("route_id", "n_strict"), least_m=0.001)
+        for more in (walks, longest("rest", "network_gap_m"), longest("confirmed", "confirmed_gap_m"), longest("near_toilet", "toilet_gap_m"), longest("water", "water_gap_m"), splits):
+            joined = joined.join(more.hint("merge"), "route_id")
+        share = lambda m: F.when(F.col("stated_m") > 0, F.col(m) / F.nullif("stated_m", F.lit(0.0)) * F.col("seconds") / 60).otherwise(0.0)
+        joined = joined.withColumns(
+            {
+                "longest_m": F.when(F.col("n_strict") > 0, F.col("network_gap_m")).otherwise(F.col("max_walk_m")),
+                "uncovered_minutes": share("network_gap_m"),
+                "confirmed_minutes": share("confirmed_gap_m"),
+                "continuity": routes.continuity_class(F.col("n_splits"), F.col("max_minutes"), F.col("seconds") / 60, F.col("limit_minutes")),
+            }
+        ).withColumn("network_ok", F.col("uncovered_minutes") <= F.col("limit_minutes"))
+        return self.once("evaluated", lambda: staged(routes.evaluate(joined), "evaluated"))
 
     @property
     def ranked(self) -> DataFrame:
@@ -183,20 +226,78 @@ class Tables:
 
     @property
     def largest(self) -> DataFrame:
-        inner = linear.gaps(self.strict, self.routes, inside=True)
-        return self.once("largest", lambda: linear.two_largest(inner, ["route_id"]).join(self.routes.select("route_id", "stated_m"), "route_id"))
+        return self.once("largest", lambda: linear.two_largest(self.gaps_of("inside"), ["route_id"]).join(self.routes.select("route_id", "stated_m").hint("merge"), "route_id"))
+
+    @property
+    def pool(self) -> DataFrame:
+        """Possible places of the area that could become rest points, with normalised name and address."""
+        own = self.facilities.withColumns({f"match_{c}": ascii_match_text(F.col(c), STRIPPED_FOR_FACILITIES) for c in ("name", "address")})
+        own = own.withColumn("possible", (F.col("confidence") == "possible") & (F.col("kind") != "water") & F.contains("address", F.lit(WARD)))
+        return self.once("pool", lambda: own.withColumn("strict", F.col("confidence").isin("confirmed", "supported")))
+
+    @property
+    def same_facility(self) -> DataFrame:
+        rows = self.pool.where("possible or strict")
+        return self.once("same", lambda: staged(cluster.same_facility_pairs(rows, "facility_id", "match_name", "match_address", more=("possible", "strict")), "same-facility"))
+
+    @property
+    def duplicates(self) -> DataFrame:
+        """Possible places that stand for a strict point which is there already."""
+        return self.once("duplicates", lambda: staged(cluster.strict_duplicates(self.same_facility, "facility_id"), "duplicates"))
+
+    @property
+    def members(self) -> DataFrame:
+        """facility_id and place_id of the possible places that are no duplicates: records of one facility are one place."""
+
+        def make() -> DataFrame:
+            left = self.pool.where("possible").join(self.duplicates.hint("merge"), "facility_id", "left_anti")
+            edges = self.same_facility.where("a_possible and b_possible").select(F.col("a_facility_id").alias("a"), F.col("b_facility_id").alias("b"))
+            for side in ("a", "b"):
+                edges = edges.join(self.duplicates.withColumnRenamed("facility_id", side).hint("merge"), side, "left_anti")
+            return staged(cluster.components(left, edges, "facility_id"), "members")
+
+        return self.once("members", make)
+
+    @property
+    def groups(self) -> DataFrame:
+        """A row for each place, as its first record: how many it has, its datasets and what they are worth, its category and
+        policy. The market segment stands for what a name tells."""
+
+        def make() -> DataFrame:
+            rules = {"restricted": "^HOUSEHOLD", "outdoor": "^BUILDING", "service": "^MACHINERY", "hospitality": "^AUTOMOBILE"}
+            of = self.members.join(self.facilities.select("facility_id", "dataset").hint("merge"), "facility_id")
+            of = of.groupBy(F.col("place_id").alias("facility_id")).agg(F.count("*").cast("int").alias("group_size"), F.array_sort(F.collect_set("dataset")).alias("datasets"))
+            own = of.join(self.pool.drop("dataset").hint("merge"), "facility_id").withColumn("source_quality", candidates.source_quality(F.col("datasets")))
+            return staged(candidates.classify(own, F.col("segment"), F.col("datasets"), rules), "groups")
+
+        return self.once("groups", make)
+
+    @property
+    def anomalies(self) -> DataFrame:
+        """Places at one coordinate that three or more unlike places share."""
+        return self.once("anomalies", lambda: staged(cluster.coordinate_anomalies(self.groups, "facility_id", "match_name", "match_address").select("facility_id"), "anomalies"))
 
     @property
     def metrics(self) -> DataFrame:
-        possible = self.placed.where("confidence = 'possible'").drop("stated_m", "length_m")
-        return self.once("metrics", lambda: candidates.route_metrics(linear.insertion_gain(possible, self.largest)))
+        """Each place on each route within reach."""
+
+        def make() -> DataFrame:
+            places = self.groups.select("facility_id").join(self.anomalies.hint("merge"), "facility_id", "left_anti")
+            possible = self.placed.join(places.hint("merge"), "facility_id", "left_semi").drop("stated_m", "length_m")
+            return staged(candidates.route_metrics(linear.insertion_gain(possible, self.largest)), "metrics")
+
+        return self.once("metrics", make)
 
     @property
     def candidates(self) -> DataFrame:
-        """Candidates with their primary route, category and policy. The market segment stands for what a name tells."""
-        rules = {"restricted": "^HOUSEHOLD", "outdoor": "^BUILDING", "service": "^MACHINERY", "hospitality": "^AUTOMOBILE"}
-        none = F.array(F.when(F.col("facility_id") % 2 == 0, "shopping").otherwise("other"))
-        return self.once("candidates", lambda: candidates.classify(candidates.best_route(self.metrics), F.col("segment"), none, rules))
+        """Places with their primary route and its request, category and policy."""
+
+        def make() -> DataFrame:
+            more = self.groups.select("facility_id", "group_size", "datasets", "source_quality", "category", "access_prior", "category_penalty", "needs_caution", "eligible")
+            best = candidates.best_route(self.metrics).join(more.hint("merge"), "facility_id")
+            return staged(best.join(self.routes.select("route_id", "request_id").hint("merge"), "route_id"), "candidates")
+
+        return self.once("candidates", make)
 
     @property
     def scored(self) -> DataFrame:
@@ -204,10 +305,15 @@ class Tables:
 
     @property
     def sensitivity(self) -> DataFrame:
-        return self.once("sensitivity", lambda: candidates.detour_scenarios(self.candidates.where("counts and eligible")))
+        return self.once("sensitivity", lambda: staged(candidates.detour_scenarios(self.candidates.where("counts and eligible")), "sensitivity"))
 
     @property
     def stability(self) -> DataFrame:
-        ranks = candidates.scenario_ranks(self.sensitivity, region="category")
-        own = self.sensitivity.join(candidates.rank_stability(ranks, region="category"), ["category", "facility_id"])
-        return self.once("stability", lambda: own.withColumn("clarity", candidates.purpose_clarity(F.col("category"))))
+        """Ranks are those among the candidates of one request."""
+
+        def make() -> DataFrame:
+            ranks = candidates.scenario_ranks(self.sensitivity, region="request_id")
+            own = self.sensitivity.join(candidates.rank_stability(ranks, region="request_id").hint("merge"), ["request_id", "facility_id"])
+            return staged(own.withColumn("clarity", candidates.purpose_clarity(F.col("category"))), "stability")
+
+        return self.once("stability", make)

@@ -38,8 +38,8 @@ CTES = {
     "seg": """SELECT *, coalesce(sum(length_m) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m FROM (
   SELECT *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b_lat - a_lat) / 2), 2) + cos(radians(a_lat)) * cos(radians(b_lat)) * pow(sin(radians(b_lon - a_lon) / 2), 2))) AS length_m FROM (
   SELECT route_id, seq, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon FROM route_vertex WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE b_lat IS NOT NULL)""",
-    "route": """SELECT *, stated_m / 1.2 AS seconds, greatest(1.0, floor(stated_m / 72 + 0.5)) AS minutes, route_id // 3 AS request_id, ['standard', 'quiet', 'stepfree'][route_id % 3 + 1] AS profile,
-  route_id % 4 AS steep_count, [5, 10, 15][(route_id // 3) % 3 + 1] AS limit_minutes, (route_id // 3) % 2 = 0 AS require_toilet, (route_id // 3) % 3 = 0 AS avoid_steep, (route_id // 3) % 5 = 0 AS prefer_indoor
+    "route": """SELECT *, stated_m / 1.2 AS seconds, greatest(1.0, floor(stated_m / 72 + 0.5)) AS minutes, route_id // 3 AS request_id, ['standard', 'step_avoiding', 'wheelchair_profile'][route_id % 3 + 1] AS profile,
+  route_id % 4 AS steep_count, [5, 10, 15][(route_id // 3) % 3 + 1] AS limit_minutes, (route_id // 3) % 2 = 0 AS require_toilet, (route_id // 3) % 3 = 0 AS avoid_steep, (route_id // 3) % 4 < 2 AS avoid_steps, (route_id // 3) % 5 = 0 AS prefer_indoor
   FROM (SELECT route_id, sum(length_m) AS length_m, count(*) AS n_segments, floor(sum(length_m) + 0.5) AS stated_m FROM seg GROUP BY 1)""",
     "pair": """SELECT facility_id, route_id, seq, start_m + length_m * t AS progress_m, CASE WHEN size = 0 THEN 0 ELSE sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) END AS distance_m FROM (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(1, (px * dx + py * dy) / size)) END AS t FROM (
@@ -48,35 +48,57 @@ CTES = {
   SELECT f.facility_id, f.lat, f.lon, s.*, cos(radians((f.lat + a_lat + b_lat) / 3)) * (6371000.0 * pi() / 180) AS k, 6371000.0 * pi() / 180 AS d
   FROM facility f JOIN seg s ON f.lat BETWEEN least(a_lat, b_lat) - 0.00322 AND greatest(a_lat, b_lat) + 0.00322 AND f.lon BETWEEN least(a_lon, b_lon) - 0.0045 AND greatest(a_lon, b_lon) + 0.0045) f)))""",
     "proj": "SELECT facility_id, route_id, n.distance_m AS distance_m, n.progress_m AS progress_m FROM (SELECT facility_id, route_id, min({'distance_m': distance_m, 'seq': seq, 'progress_m': progress_m}) AS n FROM pair WHERE distance_m <= 350 GROUP BY 1, 2)",
-    "placed": "SELECT p.*, r.length_m, r.stated_m, progress_m / length_m * stated_m AS position_m, f.segment, f.confidence, f.kind, f.source_quality, f.group_size FROM proj p JOIN route r USING (route_id) JOIN facility f USING (facility_id)",
+    "placed": "SELECT p.*, r.length_m, r.stated_m, progress_m / length_m * stated_m AS position_m, f.segment, f.confidence, f.kind FROM proj p JOIN route r USING (route_id) JOIN facility f USING (facility_id)",
     "strict": "SELECT * FROM placed WHERE confidence IN ('confirmed', 'supported')",
+    "strict_rest": "SELECT * FROM strict WHERE kind <> 'water'",
     "gap": """SELECT route_id, kind, row_number() OVER w AS ordinal, coalesce(lag(end_m) OVER w, 0) AS start_m, end_m, end_m - coalesce(lag(end_m) OVER w, 0) AS gap_m, ends_at FROM (
-  SELECT route_id, 'strict' AS kind, position_m AS end_m, facility_id AS ends_at, 0 AS last FROM strict UNION ALL SELECT route_id, kind, position_m, facility_id, 0 FROM strict
+  SELECT route_id, 'strict' AS kind, position_m AS end_m, facility_id AS ends_at, 0 AS last FROM strict UNION ALL SELECT route_id, 'rest', position_m, facility_id, 0 FROM strict_rest
+  UNION ALL SELECT route_id, 'confirmed', position_m, facility_id, 0 FROM strict_rest WHERE confidence = 'confirmed'
+  UNION ALL SELECT route_id, kind, position_m, facility_id, 0 FROM placed WHERE kind IN ('water', 'indoor')
   UNION ALL SELECT route_id, 'near_toilet', position_m, facility_id, 0 FROM placed WHERE kind = 'toilet' AND distance_m <= 250
   UNION ALL SELECT route_id, 'inside', position_m, facility_id, 0 FROM strict WHERE position_m > 0 AND position_m < stated_m
-  UNION ALL SELECT route_id, kind, stated_m, NULL, 1 FROM route, (VALUES ('strict'), ('rest'), ('water'), ('indoor'), ('toilet'), ('near_toilet'), ('inside')) k(kind))
+  UNION ALL SELECT route_id, kind, stated_m, NULL, 1 FROM route, (VALUES ('strict'), ('rest'), ('water'), ('indoor'), ('near_toilet'), ('inside'), ('confirmed')) k(kind))
   WINDOW w AS (PARTITION BY route_id, kind ORDER BY last, end_m, ends_at)""",
     "top": """SELECT route_id, kind, max(CASE WHEN n = 1 THEN start_m END) AS gap_start_m, max(CASE WHEN n = 1 THEN end_m END) AS gap_end_m, max(CASE WHEN n = 1 THEN gap_m END) AS longest_m, coalesce(max(CASE WHEN n = 2 THEN gap_m END), 0) AS second_m
   FROM (SELECT *, row_number() OVER (PARTITION BY route_id, kind ORDER BY gap_m DESC, start_m, end_m) AS n FROM gap) WHERE n <= 2 GROUP BY 1, 2""",
     "walk": "SELECT g.route_id, concat(g.route_id, '-walk-', ordinal) AS walk_id, ordinal, gap_m AS walk_m, gap_m / stated_m * minutes AS walk_minutes, ends_at IS NOT NULL AS ends_at_rest, ends_at AS rest_id FROM gap g JOIN route r USING (route_id) WHERE kind = 'strict'",
-    "metric": """SELECT r.*, w.max_minutes, w.max_walk_m, w.n_walks, t.longest_m, u.longest_m AS toilet_gap_m, coalesce(p.n_toilets, 0) AS n_toilets, coalesce(p.n_indoor, 0) AS n_indoor, t.longest_m / stated_m * minutes <= limit_minutes AS network_ok
-  FROM route r JOIN (SELECT route_id, max(walk_minutes) AS max_minutes, max(walk_m) AS max_walk_m, count(*) AS n_walks FROM walk GROUP BY 1) w USING (route_id) JOIN top t ON t.route_id = r.route_id AND t.kind = 'strict' JOIN top u ON u.route_id = r.route_id AND u.kind = 'near_toilet'
-  LEFT JOIN (SELECT route_id, count(*) FILTER (kind = 'toilet' AND distance_m <= 250) AS n_toilets, count(*) FILTER (kind = 'indoor' AND confidence IN ('confirmed', 'supported')) AS n_indoor FROM placed GROUP BY 1) p ON p.route_id = r.route_id""",
+    "split": "SELECT route_id, count(*) FILTER (ends_at_rest AND walk_m > 0.001 AND next > 0.001) AS k FROM (SELECT *, lead(walk_m) OVER (PARTITION BY route_id ORDER BY ordinal) AS next FROM walk) GROUP BY 1",
+    "metric": """SELECT *, uncovered_minutes <= limit_minutes AS network_ok, CASE WHEN n_splits > 0 THEN CASE WHEN max_minutes <= limit_minutes THEN 'STRICT_REST_POINTS_MAKE_ROUTE_FEASIBLE' ELSE 'STRICT_REST_POINTS_PRESENT_BUT_STILL_OVER_LIMIT' END
+  WHEN seconds / 60 <= limit_minutes THEN 'WHOLE_ROUTE_WITHIN_LIMIT_WITHOUT_STRICT_REST' ELSE 'NO_STRICT_REST_AND_OVER_LIMIT' END AS continuity FROM (
+  SELECT r.*, w.max_minutes, w.max_walk_m, w.n_walks, CASE WHEN coalesce(p.n_strict, 0) > 0 THEN t.longest_m ELSE w.max_walk_m END AS longest_m, t.longest_m AS network_gap_m, u.longest_m AS toilet_gap_m, v.longest_m AS water_gap_m,
+  t.longest_m / stated_m * seconds / 60 AS uncovered_minutes, c.longest_m / stated_m * seconds / 60 AS confirmed_minutes, least(s.k, coalesce(p.n_strict, 0)) AS n_splits,
+  coalesce(p.n_toilets, 0) AS n_toilets, coalesce(p.n_indoor, 0) AS n_indoor, coalesce(p.n_strict, 0) AS n_strict, coalesce(p.n_confirmed, 0) AS n_confirmed, coalesce(p.n_possible, 0) AS n_possible
+  FROM route r JOIN (SELECT route_id, max(walk_minutes) AS max_minutes, max(walk_m) AS max_walk_m, count(*) AS n_walks FROM walk GROUP BY 1) w USING (route_id) JOIN top t ON t.route_id = r.route_id AND t.kind = 'rest' JOIN top u ON u.route_id = r.route_id AND u.kind = 'near_toilet'
+  JOIN top v ON v.route_id = r.route_id AND v.kind = 'water' JOIN top c ON c.route_id = r.route_id AND c.kind = 'confirmed' JOIN split s ON s.route_id = r.route_id
+  LEFT JOIN (SELECT route_id, count(*) FILTER (kind = 'toilet' AND distance_m <= 250) AS n_toilets, count(*) FILTER (kind = 'indoor' AND confidence IN ('confirmed', 'supported')) AS n_indoor, count(*) FILTER (kind <> 'water' AND confidence IN ('confirmed', 'supported')) AS n_strict,
+  count(*) FILTER (kind <> 'water' AND confidence = 'confirmed') AS n_confirmed, count(*) FILTER (kind <> 'water' AND confidence = 'possible') AS n_possible FROM placed GROUP BY 1) p ON p.route_id = r.route_id)""",
     "evaluated": """SELECT *, len(violations) AS n_violations, len(violations) = 0 AS meets, minutes + over_points + toilet_points + slope_points + indoor_points AS score FROM (
   SELECT *, 12 * greatest(0, max_minutes - limit_minutes) AS over_points, CASE WHEN require_toilet AND n_toilets = 0 THEN 120 ELSE 0 END AS toilet_points, CASE WHEN avoid_steep THEN 35 * steep_count ELSE 0 END AS slope_points, CASE WHEN prefer_indoor AND n_indoor = 0 THEN 45 ELSE 0 END AS indoor_points,
-  list_filter([CASE WHEN max_minutes > limit_minutes THEN 'walk_limit' END, CASE WHEN require_toilet AND n_toilets = 0 THEN 'toilet' END, CASE WHEN avoid_steep AND steep_count > 0 THEN 'slope' END, CASE WHEN prefer_indoor AND n_indoor = 0 THEN 'indoor' END], lambda x: x IS NOT NULL) AS violations FROM metric)""",
+  list_filter([CASE WHEN max_minutes > limit_minutes THEN 'MAX_CONTINUOUS_WALK_EXCEEDED' END, CASE WHEN require_toilet AND n_toilets = 0 THEN 'PUBLIC_TOILET_REQUIRED_MISSING' END, CASE WHEN avoid_steep AND steep_count > 0 THEN 'STEEP_SLOPE_REQUIREMENT_NOT_MET' END, CASE WHEN prefer_indoor AND n_indoor = 0 THEN 'INDOOR_REST_REQUIREMENT_NOT_MET' END], lambda x: x IS NOT NULL) AS violations FROM metric)""",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, meets DESC, n_violations, max_minutes, longest_m, seconds, stated_m, route_id) AS rank FROM evaluated",
-    "based": """SELECT r.*, b.route_id AS baseline_id, r.stated_m - b.stated_m AS d_m, (r.seconds - b.seconds) / 60 AS d_min, r.longest_m - b.longest_m AS d_gap FROM ranked r JOIN
+    "based": """SELECT r.*, b.route_id AS baseline_id, r.stated_m - b.stated_m AS d_m, (r.seconds - b.seconds) / 60 AS d_min, r.longest_m - b.longest_m AS d_gap, b.max_minutes AS baseline_minutes FROM ranked r JOIN
   (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY profile <> 'standard', CASE WHEN profile = 'standard' THEN 0 ELSE stated_m END, route_id) = 1) b USING (request_id)""",
-    "gain": """SELECT *, greatest(0, longest_m - improved_m) AS gross_m FROM (SELECT p.facility_id, p.route_id, p.distance_m, p.position_m, p.segment, p.source_quality, p.group_size, t.longest_m,
+    "fac": "SELECT *, lower(name) AS match_name, replace(lower(address), ' ', '') AS match_address, confidence = 'possible' AND kind <> 'water' AND contains(address, 'inner') AS possible, confidence IN ('confirmed', 'supported') AS strict FROM facility",
+    "samefac": """SELECT a.facility_id AS a, b.facility_id AS b, a.possible AS a_possible, b.possible AS b_possible, b.strict AS b_strict FROM fac a JOIN fac b ON a.facility_id <> b.facility_id AND abs(a.lat - b.lat) < 0.0004 AND abs(a.lon - b.lon) < 0.0004
+  WHERE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) <= 25
+  AND (a.match_name = b.match_name OR a.match_address = b.match_address OR (length(a.match_address) >= 8 AND length(b.match_address) >= 8 AND (starts_with(a.match_address, b.match_address) OR starts_with(b.match_address, a.match_address))))""",
+    "dup": "SELECT DISTINCT a AS facility_id FROM samefac WHERE a_possible AND b_strict",
+    "mem": """SELECT v AS facility_id, min(c) AS place_id FROM (WITH RECURSIVE own AS (SELECT facility_id FROM fac WHERE possible AND facility_id NOT IN (SELECT facility_id FROM dup)), e AS (SELECT a, b FROM samefac WHERE a IN (SELECT facility_id FROM own) AND b IN (SELECT facility_id FROM own)),
+  reach(v, c) AS (SELECT facility_id, facility_id FROM own UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.c = e.a) SELECT * FROM reach) GROUP BY 1""",
+    "policy": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p}, {n}, {k}, {e})" for c, p, n, k, e in candidates.POLICIES) + ") v(category, access_prior, category_penalty, needs_caution, eligible)",
+    "grp": """SELECT * FROM (SELECT f.*, n AS group_size, ds, CASE WHEN len(list_intersect(ds, ['shinjuku-public-facilities', 'daredemo-parks'])) > 0 THEN 3 WHEN len(list_filter(ds, lambda d: starts_with(d, 'daredemo-'))) > 0 THEN 2 ELSE 1 END AS source_quality,
+  CASE WHEN segment LIKE 'HOUSEHOLD%' THEN 'restricted_or_sensitive' WHEN list_contains(ds, 'daredemo-parks') OR segment LIKE 'BUILDING%' THEN 'public_outdoor_space' WHEN segment LIKE 'MACHINERY%' THEN 'public_service_facility'
+  WHEN len(list_intersect(ds, ['shinjuku-public-facilities', 'daredemo-public_facilities', 'daredemo-transport'])) > 0 THEN 'official_public_access' WHEN list_contains(ds, 'daredemo-accommodation') OR segment LIKE 'AUTOMOBILE%' THEN 'private_hospitality'
+  WHEN len(list_intersect(ds, ['daredemo-shopping', 'daredemo-dining', 'daredemo-leisure'])) > 0 THEN 'commercial_facility' ELSE 'uncertain_facility' END AS category
+  FROM (SELECT place_id, count(*) AS n, list(DISTINCT dataset) AS ds FROM mem JOIN facility USING (facility_id) GROUP BY 1) g JOIN fac f ON f.facility_id = place_id) JOIN policy USING (category)""",
+    "anomaly": """SELECT facility_id FROM grp JOIN (SELECT floor(lat * 1e6 + 0.5) AS y, floor(lon * 1e6 + 0.5) AS x FROM grp GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT match_name) >= 3 AND count(DISTINCT match_address) >= 3) o ON floor(lat * 1e6 + 0.5) = y AND floor(lon * 1e6 + 0.5) = x""",
+    "gain": """SELECT *, greatest(0, longest_m - improved_m) AS gross_m FROM (SELECT p.facility_id, p.route_id, p.distance_m, p.position_m, p.segment, t.longest_m,
   CASE WHEN position_m > 0 AND position_m < stated_m AND position_m > gap_start_m AND position_m < gap_end_m THEN greatest(second_m, position_m - gap_start_m, gap_end_m - position_m) ELSE longest_m END AS improved_m
-  FROM placed p JOIN top t ON t.route_id = p.route_id AND t.kind = 'inside' WHERE confidence = 'possible')""",
+  FROM placed p JOIN top t ON t.route_id = p.route_id AND t.kind = 'inside' WHERE p.facility_id IN (SELECT facility_id FROM grp) AND p.facility_id NOT IN (SELECT facility_id FROM anomaly))""",
     "measured": """SELECT *, gross_m > 0 AND adjusted_r >= 30 AND ratio_r >= 0.025 AS counts FROM (SELECT *, floor(distance_m + 0.5) AS distance_r, floor(longest_m + 0.5) AS gap_r, floor(gross_m + 0.5) AS gross_r,
   floor(greatest(0, gross_m - floor(distance_m + 0.5)) + 0.5) AS adjusted_r, coalesce(floor(greatest(0, gross_m - floor(distance_m + 0.5)) / nullif(longest_m, 0) * 10000 + 0.5) / 10000, 0) AS ratio_r FROM gain)""",
-    "policy": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p}, {n}, {k}, {e})" for c, p, n, k, e in candidates.POLICIES) + ") v(category, access_prior, category_penalty, needs_caution, eligible)",
-    "candidate": """SELECT c.*, access_prior, category_penalty, eligible, r.request_id FROM (SELECT *, CASE WHEN segment LIKE 'HOUSEHOLD%' THEN 'restricted_facility' WHEN segment LIKE 'BUILDING%' THEN 'public_outdoor_space' WHEN segment LIKE 'MACHINERY%' THEN 'public_service_facility'
-  WHEN segment LIKE 'AUTOMOBILE%' THEN 'private_hospitality' WHEN facility_id % 2 = 0 THEN 'commercial_facility' ELSE 'uncertain_access' END AS category, count(*) FILTER (counts) OVER (PARTITION BY facility_id) AS covered_routes FROM measured
-  QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY adjusted_r DESC, ratio_r DESC, gross_r DESC, distance_r, route_id) = 1) c JOIN policy USING (category) JOIN route r USING (route_id)""",
+    "candidate": """SELECT c.*, g.group_size, g.source_quality, g.category, g.access_prior, g.category_penalty, g.eligible, r.request_id FROM (SELECT *, count(*) FILTER (counts) OVER (PARTITION BY facility_id) AS covered_routes, bool_or(gross_m > 0) OVER (PARTITION BY facility_id) AS any_gain FROM measured
+  QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY counts DESC, adjusted_r DESC, ratio_r DESC, gross_r DESC, distance_r, route_id) = 1) c JOIN grp g USING (facility_id) JOIN route r USING (route_id)""",
     "parts": """SELECT *, improvement_points + ratio_points + proximity_points + prior_points + coverage_points + quality_points - category_minus - duplicate_minus AS total FROM (SELECT *,
   floor(adjusted_r * 0.6 * 100 + 0.5) / 100 AS improvement_points, floor(ratio_r * 200 * 100 + 0.5) / 100 AS ratio_points, floor(greatest(0, 350 - distance_r) * 0.2 * 100 + 0.5) / 100 AS proximity_points, access_prior AS prior_points,
   40 * greatest(0, covered_routes - 1) AS coverage_points, 12 * source_quality AS quality_points, category_penalty AS category_minus, least(10.0, 2.0 * (group_size - 1)) AS duplicate_minus FROM candidate WHERE counts AND eligible)""",
@@ -85,7 +107,7 @@ CTES = {
   CASE WHEN g2 >= 30 AND q2 >= 0.025 THEN 'robust' WHEN g1 >= 30 AND q1 >= 0.025 AND (g1 < 50 OR q1 < 0.05) THEN 'marginal' WHEN g1 >= 30 AND q1 >= 0.025 THEN 'sensitive' ELSE 'ineffective' END AS detour_class FROM (
   SELECT *, g0 / nullif(gap_r, 0) AS q0, g1 / nullif(gap_r, 0) AS q1, g2 / nullif(gap_r, 0) AS q2 FROM (SELECT *, gross_r AS g0, greatest(0, gross_r - distance_r) AS g1, greatest(0, gross_r - 2 * distance_r) AS g2 FROM candidate WHERE counts AND eligible))""",
     "scenario": "SELECT * FROM (VALUES " + ", ".join("('" + n + "', " + ", ".join(f"{w!r}::DOUBLE" for w in ws) + ")" for n, *ws in [("baseline", *candidates.WEIGHTS.values()), *[(f"{k}_{s}", *[v * f if k == x else v for x, v in candidates.WEIGHTS.items()]) for k in candidates.WEIGHTS for s, f in (("minus_20_percent", 0.8), ("plus_20_percent", 1.2))]]) + ") v(scenario, w1, w2, w3, w4, w5, w6, w7)",
-    "scenario_rank": """SELECT category, facility_id, scenario, score, row_number() OVER (PARTITION BY scenario, category ORDER BY score DESC, lower_m DESC, lower_ratio DESC, covered_routes DESC, distance_r, facility_id) AS rank FROM (
+    "scenario_rank": """SELECT request_id, facility_id, scenario, score, row_number() OVER (PARTITION BY scenario, request_id ORDER BY score DESC, lower_m DESC, lower_ratio DESC, covered_routes DESC, distance_r, facility_id) AS rank FROM (
   SELECT *, floor((floor(lower_m * w1 * 100 + 0.5) / 100 + floor(lower_ratio * w2 * 100 + 0.5) / 100 + floor(greatest(0, 350 - distance_r) * w3 * 100 + 0.5) / 100 + floor(access_prior * w4 * 100 + 0.5) / 100 + floor(greatest(0, covered_routes - 1) * w6 * 100 + 0.5) / 100 + floor(source_quality * w7 * 100 + 0.5) / 100
    - floor(category_penalty * w5 * 100 + 0.5) / 100 - least(10.0, 2.0 * (group_size - 1))) * 100 + 0.5) / 100 AS score FROM detour, scenario)""",
     "stable": """SELECT d.*, s.*, CASE WHEN top_rate = 1 THEN 'stable_top5' WHEN top_rate >= 0.75 THEN 'resilient_top5' WHEN top_rate > 0 THEN 'variable' ELSE 'consistently_outside_top5' END AS stability,
@@ -96,11 +118,11 @@ CTES = {
     "short": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, top_rate DESC, conservative_m DESC, baseline_rank, facility_id) AS visit_priority FROM (
   SELECT *, sum(hotel) OVER (PARTITION BY request_id ORDER BY tier, top_rate DESC, conservative_m DESC, baseline_rank, facility_id) AS hotels FROM (
   SELECT *, CASE WHEN clarity = 3 AND p = 1 THEN 1 WHEN detour_class = 'robust' AND r <= 3 THEN 2 ELSE 3 END AS tier, CASE WHEN category = 'private_hospitality' THEN 1 ELSE 0 END AS hotel FROM (
-  SELECT *, sum(CASE WHEN clarity = 3 THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN detour_class = 'robust' THEN 1 ELSE 0 END) OVER w AS r FROM sky WHERE on_skyline AND detour_class <> 'ineffective' AND category <> 'restricted_facility'
+  SELECT *, sum(CASE WHEN clarity = 3 THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN detour_class = 'robust' THEN 1 ELSE 0 END) OVER w AS r FROM sky WHERE on_skyline AND detour_class <> 'ineffective' AND category <> 'restricted_or_sensitive'
   WINDOW w AS (PARTITION BY request_id ORDER BY top_rate DESC, conservative_m DESC, baseline_rank, facility_id)))) WHERE hotel = 0 OR hotels <= 3) WHERE visit_priority <= 5""",
-    "close": """SELECT a.record_id AS a_record_id, b.record_id AS b_record_id, a.match_name AS a_match_name, b.match_name AS b_match_name, a.dataset AS a_dataset, b.dataset AS b_dataset, sqrt(pow((b.lon - a.lon) * 91000.0, 2) + pow((b.lat - a.lat) * 111320.0, 2)) AS metres
+    "close": """SELECT a.record_id AS a_record_id, b.record_id AS b_record_id, a.match_name AS a_match_name, b.match_name AS b_match_name, a.match_address AS a_match_address, b.match_address AS b_match_address, a.dataset AS a_dataset, b.dataset AS b_dataset, sqrt(pow((b.lon - a.lon) * 91000.0, 2) + pow((b.lat - a.lat) * 111320.0, 2)) AS metres
   FROM record a JOIN record b ON a.record_id < b.record_id AND abs(a.lat - b.lat) < 0.0003 AND abs(a.lon - b.lon) < 0.0003""",
-    "member": """SELECT v AS record_id, min(c) AS place_id FROM (WITH RECURSIVE e AS (SELECT a_record_id AS a, b_record_id AS b FROM close WHERE metres <= 10 AND (metres <= 1 OR (a_match_name = b_match_name AND a_match_name <> ''))), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    "member": """SELECT v AS record_id, min(c) AS place_id FROM (WITH RECURSIVE e AS (SELECT a_record_id AS a, b_record_id AS b FROM close WHERE metres <= 10 AND (metres <= 1 OR (a_match_name = b_match_name AND a_match_name <> '') OR (a_match_address = b_match_address AND a_match_address <> ''))), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach(v, c) AS (SELECT record_id, record_id FROM record UNION SELECT reach.v, both_ways.b FROM reach JOIN both_ways ON reach.c = both_ways.a) SELECT * FROM reach) GROUP BY 1""",
     "checked": """SELECT *, list_sort(list_filter([CASE WHEN vid IS NULL THEN 'missing_verification_id' END, CASE WHEN vid IS NOT NULL AND copies > 1 THEN 'duplicate_verification_id' END, CASE WHEN cid IS NULL THEN 'missing_candidate_id' END,
   CASE WHEN cid IS NOT NULL AND known IS NULL THEN 'unknown_candidate_id' END, CASE WHEN trim(coalesce(name, '')) = '' THEN 'missing_name' END, CASE WHEN coalesce(try_cast(lat AS DOUBLE), 0) NOT BETWEEN 20 AND 50 THEN 'invalid_latitude' END, CASE WHEN coalesce(try_cast(lon AS DOUBLE), 0) NOT BETWEEN 120 AND 155 THEN 'invalid_longitude' END,
@@ -188,14 +210,14 @@ def proximity_pairs(t):
 @query("record member", """SELECT place_id, CAST(count(*) AS INT) AS n_records, floor(avg(lat) * 1e7 + 0.5) / 1e7 AS lat, floor(avg(lon) * 1e7 + 0.5) / 1e7 AS lon, array_to_string(list_sort(list(record_id)), ',') AS members, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds
 FROM record JOIN member USING (record_id) GROUP BY 1""")
 def place_clusters(t):
-    members = cluster.cluster_places(t.records, "record_id", "match_name")
+    members = cluster.cluster_places(t.records, "record_id", "match_name", "match_address")
     rolled = cluster.place_rollup(t.records, members, "record_id", "kind")
     return rolled.select("place_id", "n_records", rounded(F.col("lat"), 7).alias("lat"), rounded(F.col("lon"), 7).alias("lon"), F.array_join("members", ",").alias("members"), F.array_join("kinds", ",").alias("kinds"))
 
 
-@query("close", f"SELECT a_record_id, b_record_id, {d3('metres')}, 'same_name' AS reason FROM close WHERE metres <= 25 AND a_dataset <> b_dataset AND a_match_name = b_match_name AND a_match_name <> ''")
+@query("close", f"SELECT a_record_id, b_record_id, {d3('metres')}, CASE WHEN a_match_name = b_match_name AND a_match_name <> '' THEN 'same_name' ELSE 'same_address' END AS reason FROM close WHERE metres <= 25 AND a_dataset <> b_dataset AND ((a_match_name = b_match_name AND a_match_name <> '') OR (a_match_address = b_match_address AND a_match_address <> ''))")
 def cross_dataset_duplicates(t):
-    return cluster.duplicates_across(t.records, "record_id", "dataset", "match_name").select("a_record_id", "b_record_id", r3("metres"), "reason")
+    return cluster.duplicates_across(t.records, "record_id", "dataset", "match_name", address="match_address").select("a_record_id", "b_record_id", r3("metres"), "reason")
 
 
 @query("record", """SELECT record_id, y AS lat_r, x AS lon_r FROM (SELECT *, CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS y, CAST(floor(lon * 1000 + 0.5) AS BIGINT) AS x FROM record)
@@ -219,7 +241,7 @@ def dataset_profile(t):
 
 @query("record member close", """SELECT a_record_id, b_record_id FROM close JOIN member a ON a.record_id = a_record_id JOIN member b ON b.record_id = b_record_id WHERE metres <= 25 AND a.place_id <> b.place_id""")
 def ambiguous_pairs(t):
-    return cluster.ambiguous_pairs(t.records, cluster.cluster_places(t.records, "record_id", "match_name"), "record_id").select("a_record_id", "b_record_id")
+    return cluster.ambiguous_pairs(t.records, cluster.cluster_places(t.records, "record_id", "match_name", "match_address"), "record_id").select("a_record_id", "b_record_id")
 
 
 @query("record member close", """SELECT (SELECT count(*) FROM record) AS n_records, (SELECT min(lat) FROM record) AS south, (SELECT max(lat) FROM record) AS north, (SELECT min(lon) FROM record) AS west, (SELECT max(lon) FROM record) AS east,
@@ -228,27 +250,26 @@ count(*) AS n_places, count(*) FILTER (n > 1) AS n_merged, count(*) FILTER (d >
 (SELECT count(*) FROM close JOIN member a ON a.record_id = a_record_id JOIN member b ON b.record_id = b_record_id WHERE metres <= 25 AND a.place_id <> b.place_id) AS n_ambiguous
 FROM (SELECT place_id, count(*) AS n, count(DISTINCT dataset) AS d FROM record JOIN member USING (record_id) GROUP BY 1)""")
 def record_audit(t):
-    return cluster.audit(t.records, cluster.cluster_places(t.records, "record_id", "match_name"), "record_id", "dataset", "match_name")
+    return cluster.audit(t.records, cluster.cluster_places(t.records, "record_id", "match_name", "match_address"), "record_id", "dataset", "match_name")
 
 
-@query("gap", f"SELECT route_id, kind, CAST(ordinal AS INT) AS ordinal, {d3('start_m')}, {d3('end_m')}, {d3('gap_m')} FROM gap WHERE kind IN ('rest', 'water', 'indoor', 'toilet')")
+@query("gap", f"SELECT route_id, kind, CAST(ordinal AS INT) AS ordinal, {d3('start_m')}, {d3('end_m')}, {d3('gap_m')} FROM gap WHERE kind IN ('rest', 'water', 'indoor', 'near_toilet')")
 def poi_gaps(t):
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("rest", "water", "indoor", "toilet")])).alias("kind")
-    own = linear.gaps(t.strict, t.routes.select("route_id", "stated_m", kinds), route=["route_id", "kind"])
-    return own.select("route_id", "kind", "ordinal", r3("start_m"), r3("end_m"), r3("gap_m"))
+    own = t.gaps.where(F.col("poi").isin("rest", "water", "indoor", "near_toilet"))
+    return own.select("route_id", F.col("poi").alias("kind"), "ordinal", r3("start_m"), r3("end_m"), r3("gap_m"))
 
 
-@query("top", f"SELECT route_id, {d3('gap_start_m')}, {d3('gap_end_m')}, {d3('longest_m')}, {d3('second_m')} FROM top WHERE kind = 'strict'")
+@query("top", f"SELECT route_id, {d3('gap_start_m')}, {d3('gap_end_m')}, {d3('longest_m')}, {d3('second_m')} FROM top WHERE kind = 'rest'")
 def longest_gap(t):
-    return linear.two_largest(t.rest_gaps, ["route_id"]).select("route_id", *map(r3, ("gap_start_m", "gap_end_m", "longest_m", "second_m")))
+    return linear.two_largest(t.gaps_of("rest"), ["route_id"]).select("route_id", *map(r3, ("gap_start_m", "gap_end_m", "longest_m", "second_m")))
 
 
 @query("top route seg", """SELECT i.route_id, floor(insert_m * 1000 + 0.5) / 1000 AS insert_m, floor(improved_m * 1000 + 0.5) / 1000 AS improved_m, floor((longest_m - improved_m) / longest_m * 1e6 + 0.5) / 1e6 AS improved_ratio,
 floor((a_lat + (b_lat - a_lat) * (target_m - start_m) / s.length_m) * 1e6 + 0.5) / 1e6 AS lat, floor((a_lon + (b_lon - a_lon) * (target_m - start_m) / s.length_m) * 1e6 + 0.5) / 1e6 AS lon
-FROM (SELECT t.route_id, (gap_start_m + gap_end_m) / 2 AS insert_m, greatest(longest_m / 2, second_m) AS improved_m, longest_m, (gap_start_m + gap_end_m) / 2 / stated_m * length_m AS target_m FROM top t JOIN route USING (route_id) WHERE kind = 'strict') i
+FROM (SELECT t.route_id, (gap_start_m + gap_end_m) / 2 AS insert_m, greatest(longest_m / 2, second_m) AS improved_m, longest_m, (gap_start_m + gap_end_m) / 2 / stated_m * length_m AS target_m FROM top t JOIN route USING (route_id) WHERE kind = 'rest') i
 JOIN seg s ON s.route_id = i.route_id AND target_m <= s.start_m + s.length_m QUALIFY row_number() OVER (PARTITION BY i.route_id ORDER BY seq) = 1""")
 def insertion_suggestion(t):
-    own = linear.insertion_suggestion(linear.two_largest(t.rest_gaps, ["route_id"])).join(t.routes.select("route_id", "stated_m", "length_m"), "route_id")
+    own = linear.insertion_suggestion(linear.two_largest(t.gaps_of("rest"), ["route_id"])).join(t.routes.select("route_id", "stated_m", "length_m"), "route_id")
     own = own.select("route_id", r3("insert_m"), r3("improved_m"), rounded(F.col("improved_ratio"), 6).alias("improved_ratio"), (F.col("insert_m") / F.col("stated_m") * F.col("length_m")).alias("target_m"))
     return spatial.at_progress(own, t.segments).select("route_id", "insert_m", "improved_m", "improved_ratio", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lon"), 6).alias("lon"))
 
@@ -263,32 +284,39 @@ def continuity_metrics(t):
     return linear.continuity(t.walks, t.routes).select("route_id", r3("max_minutes"), r3("max_walk_m"), "n_walks", r3("over_minutes"), "feasible")
 
 
-@query("walk metric strict", """SELECT route_id, CAST(least(coalesce(k, 0), coalesce(s, 0)) AS INT) AS n_splits, CASE WHEN least(coalesce(k, 0), coalesce(s, 0)) > 0 THEN CASE WHEN max_minutes <= limit_minutes THEN 'split_within_limit' ELSE 'split_over_limit' END
-WHEN minutes <= limit_minutes THEN 'whole_route_within_limit' ELSE 'whole_route_over_limit' END AS continuity FROM metric LEFT JOIN (SELECT route_id, count(*) FILTER (ends_at_rest AND walk_m > 0.001 AND next > 0.001) AS k FROM (SELECT *, lead(walk_m) OVER (PARTITION BY route_id ORDER BY ordinal) AS next FROM walk) GROUP BY 1) USING (route_id)
-LEFT JOIN (SELECT route_id, count(*) AS s FROM strict GROUP BY 1) USING (route_id)""")
+@query("metric", "SELECT route_id, CAST(n_splits AS INT) AS n_splits, continuity FROM metric")
 def continuity_classes(t):
-    n = t.strict.groupBy("route_id").agg(F.count("*").alias("n_strict"))
-    own = linear.strict_splits(t.walks, n, least_m=0.001).join(linear.continuity(t.walks, t.routes).select("route_id", "max_minutes"), "route_id").join(t.routes, "route_id")
-    kind = routes.continuity_class(F.col("n_splits"), F.col("max_minutes"), F.col("minutes"), F.col("limit_minutes"))
-    return own.select("route_id", "n_splits", kind.alias("continuity"))
+    return t.evaluated.select("route_id", "n_splits", "continuity")
 
 
-@query("metric placed", """SELECT route_id, floor(longest_m * 1000 + 0.5) / 1000 AS longest_m, network_ok, floor(greatest(0, 1 - longest_m / stated_m) * 1e6 + 0.5) / 1e6 AS coverage, coalesce(n_confirmed, 0) AS n_confirmed, coalesce(n_supported, 0) AS n_supported, coalesce(n_possible, 0) AS n_possible
-FROM metric LEFT JOIN (SELECT route_id, count(*) FILTER (confidence = 'confirmed') AS n_confirmed, count(*) FILTER (confidence = 'supported') AS n_supported, count(*) FILTER (confidence = 'possible') AS n_possible FROM placed GROUP BY 1) USING (route_id)""")
+@query("metric", """SELECT route_id, floor(network_gap_m * 1000 + 0.5) / 1000 AS network_gap_m, floor(longest_m * 1000 + 0.5) / 1000 AS longest_m, network_ok, floor(greatest(0, 1 - network_gap_m / stated_m) * 1e6 + 0.5) / 1e6 AS coverage, n_confirmed, n_strict - n_confirmed AS n_supported, n_possible,
+CASE WHEN n_confirmed > 0 AND confirmed_minutes <= limit_minutes THEN 'confirmed' WHEN n_strict > n_confirmed AND network_ok THEN 'supported' ELSE 'none' END AS network_level, CASE WHEN NOT network_ok THEN CAST(ceil(floor(uncovered_minutes * 1e6 + 0.5) / 1e6) AS BIGINT) END AS failure_minutes, CASE WHEN NOT network_ok THEN n_strict > 0 END AS failure_despite_rest FROM metric""")
 def rest_network(t):
-    n = t.placed.groupBy("route_id").agg(*[F.count_if(F.col("confidence") == c).alias(f"n_{c}") for c in ("confirmed", "supported", "possible")])
-    own = t.evaluated.join(n, "route_id", "left").fillna(0, ["n_confirmed", "n_supported", "n_possible"])
-    cover = rounded(linear.coverage(F.col("longest_m"), F.col("stated_m")), 6).alias("coverage")
-    return own.select("route_id", r3("longest_m"), "network_ok", cover, "n_confirmed", "n_supported", "n_possible")
-
-
-@query("gap strict route", """SELECT r.route_id, floor(a.g * 1000 + 0.5) / 1000 AS after_m, floor(b.g * 1000 + 0.5) / 1000 AS before_m, floor(greatest(0, b.g - a.g) * 1000 + 0.5) / 1000 AS improved_m FROM route r
-JOIN (SELECT route_id, max(gap_m) AS g FROM gap WHERE kind = 'strict' GROUP BY 1) a USING (route_id)
-JOIN (SELECT route_id, max(end_m - start_m) AS g FROM (SELECT route_id, end_m, coalesce(lag(end_m) OVER (PARTITION BY route_id ORDER BY end_m), 0) AS start_m FROM (SELECT route_id, position_m AS end_m FROM strict WHERE confidence = 'confirmed' UNION ALL SELECT route_id, stated_m FROM route)) GROUP BY 1) b USING (route_id)""")
+    cover = rounded(linear.coverage(F.col("network_gap_m"), F.col("stated_m")), 6).alias("coverage")
+    level = routes.network_level(F.col("confirmed_minutes") <= F.col("limit_minutes"), F.col("n_confirmed"), F.col("network_ok"), F.col("n_strict") - F.col("n_confirmed"))
+    fails = lambda c: F.when(~F.col("network_ok"), c)
+    minutes = F.ceil(rounded(F.col("uncovered_minutes"), 6)).cast("long")
+    return t.evaluated.select("route_id", r3("network_gap_m"), r3("longest_m"), "network_ok", cover, "n_confirmed", (F.col("n_strict") - F.col("n_confirmed")).alias("n_supported"), "n_possible", level.alias("network_level"), fails(minutes).alias("failure_minutes"), fails(F.col("n_strict") > 0).alias("failure_despite_rest"))
+
+
+@query("strict_rest route latest", """SELECT r.route_id, seen > 0 AS has_verified, floor(a.g * 1000 + 0.5) / 1000 AS after_m, floor(b.g * 1000 + 0.5) / 1000 AS before_m, floor(greatest(0, b.g - a.g) * 1000 + 0.5) / 1000 AS improved_m, floor(coalesce(greatest(0, b.g - a.g) / nullif(b.g, 0), 0) * 1e6 + 0.5) / 1e6 AS improved_ratio,
+a.g / stated_m * seconds / 60 <= limit_minutes AS after_ok, b.g / stated_m * seconds / 60 <= limit_minutes AS before_ok FROM route r
+JOIN (SELECT route_id, max(end_m - start_m) AS g FROM (SELECT route_id, end_m, coalesce(lag(end_m) OVER (PARTITION BY route_id ORDER BY end_m), 0) AS start_m FROM (SELECT route_id, position_m AS end_m FROM strict_rest UNION ALL SELECT route_id, stated_m FROM route)) GROUP BY 1) a USING (route_id)
+JOIN (SELECT route_id, max(end_m - start_m) AS g FROM (SELECT route_id, end_m, coalesce(lag(end_m) OVER (PARTITION BY route_id ORDER BY end_m), 0) AS start_m FROM (SELECT route_id, position_m AS end_m FROM strict_rest WHERE facility_id NOT IN (SELECT CAST(candidate_id AS BIGINT) FROM latest) UNION ALL SELECT route_id, stated_m FROM route)) GROUP BY 1) b USING (route_id)
+LEFT JOIN (SELECT route_id, count(*) FILTER (facility_id IN (SELECT CAST(candidate_id AS BIGINT) FROM latest)) AS seen FROM strict_rest GROUP BY 1) s USING (route_id)""".replace("seen > 0 AS", "coalesce(seen, 0) > 0 AS"))
 def verification_impact(t):
-    longest = lambda p, name: linear.gaps(p, t.routes).groupBy("route_id").agg(F.max("gap_m").alias(name))
-    own = longest(t.strict, "after_m").join(longest(t.strict.where("confidence = 'confirmed'"), "before_m"), "route_id")
-    return own.select("route_id", r3("after_m"), r3("before_m"), rounded(F.greatest(F.lit(0.0), F.col("before_m") - F.col("after_m")), 3).alias("improved_m"))
+    """The rest network with all strict points, and with those that no field verification stands behind."""
+    seen = verify.latest(effective(t)).select(F.col("candidate_id").try_cast("long").alias("facility_id"), F.lit(True).alias("seen")).distinct()
+    own = t.strict_rest.select("route_id", "facility_id", "position_m").join(seen.hint("merge"), "facility_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    kinds = ("after", "before")
+    positions = own.select("*", F.explode(F.when(F.col("seen"), F.array(F.lit("after"))).otherwise(F.array(*map(F.lit, kinds)))).alias("poi"))
+    every = t.routes.select("route_id", "stated_m", F.explode(F.array(*map(F.lit, kinds))).alias("poi"))
+    g = linear.gaps(positions, every, route=["route_id", "poi"]).groupBy("route_id").agg(*[F.max(F.when(F.col("poi") == k, F.col("gap_m"))).alias(f"{k}_m") for k in kinds])
+    n = own.groupBy("route_id").agg(F.bool_or("seen").alias("has_verified"))
+    out = g.join(t.routes.hint("merge"), "route_id").join(n.hint("merge"), "route_id", "left")
+    better = F.greatest(F.lit(0.0), F.col("before_m") - F.col("after_m"))
+    ok = lambda k: (F.col(f"{k}_m") / F.col("stated_m") * F.col("seconds") / 60 <= F.col("limit_minutes")).alias(f"{k}_ok")
+    return out.select("route_id", F.coalesce("has_verified", F.lit(False)).alias("has_verified"), r3("after_m"), r3("before_m"), rounded(better, 3).alias("improved_m"), rounded(F.coalesce(better / F.nullif("before_m", F.lit(0.0)), F.lit(0.0)), 6).alias("improved_ratio"), ok("after"), ok("before"))
 
 
 @query("evaluated", f"SELECT request_id, route_id, minutes, {d3('max_minutes')}, n_toilets, n_indoor, {d3('over_points')}, {d3('score')}, CAST(n_violations AS INT) AS n_violations, meets, array_to_string(violations, ',') AS violations FROM evaluated")
@@ -314,15 +342,34 @@ def tied_minimum_flags(t):
     return routes.least_flags(t.ranked).select("request_id", "route_id", *[f"{k}_{m}" for m in LEAST for k in ("least", "tied")])
 
 
-@query("based", "SELECT request_id, route_id, array_to_string(list_filter([CASE WHEN meets THEN 'all_met' END, "
- + "".join(f"{x}, " for x in [*(f"CASE WHEN {m} = min({m}) OVER w THEN CASE WHEN count(*) FILTER ({m} = m_{m}) OVER w > 1 THEN '{c}_tie' ELSE '{c}' END END" for m, c in (("n_violations", "fewest_violations"), ("score", "lowest_score"))), "CASE WHEN avoid_steep AND profile = 'stepfree' THEN 'avoids_steps' END", "CASE WHEN max_minutes = m_max_minutes THEN CASE WHEN count(*) FILTER (max_minutes = m_max_minutes) OVER w > 1 THEN 'shortest_walk_tie' ELSE 'shortest_walk' END END", "CASE WHEN route_id <> baseline_id AND CASE WHEN d_gap < 0 THEN -floor(-d_gap + 0.5) ELSE floor(d_gap + 0.5) END < 0 THEN 'better_than_baseline' END", *(f"CASE WHEN {m} = m_{m} THEN CASE WHEN count(*) FILTER ({m} = m_{m}) OVER w > 1 THEN '{c}_tie' ELSE '{c}' END END" for m, c in (("longest_m", "lowest_rest_gap"), ("toilet_gap_m", "lowest_toilet_gap"), ("stated_m", "shortest"), ("seconds", "fastest"))), "CASE WHEN require_toilet AND n_toilets > 0 THEN 'toilets_near' END", "CASE WHEN network_ok THEN 'network_feasible' END"])
- + "CASE WHEN minutes <= limit_minutes THEN 'whole_route_within_limit' END], lambda x: x IS NOT NULL)[:4], ',') AS reasons, array_to_string(list_concat(violations, CASE WHEN network_ok THEN [] ELSE ['rest_network'] END), ',') AS against FROM (SELECT *, "
- + ", ".join(f"min({m}) OVER (PARTITION BY request_id) AS m_{m}" for m in LEAST) + " FROM based) WINDOW w AS (PARTITION BY request_id)")
+def code_list(*codes: str) -> str:
+    return "list_filter([" + ", ".join(codes) + "], lambda x: x IS NOT NULL)"
+
+
+def least(m: str, code: str) -> str:
+    return f"CASE WHEN {m} = m_{m} THEN '{code}' END"
+
+
+WITH_LEAST = "(SELECT *, " + ", ".join(f"min({m}) OVER (PARTITION BY request_id) AS m_{m}" for m in LEAST) + " FROM based)"
+NEAR_TOILETS, FEASIBLE, WHOLE = "CASE WHEN require_toilet AND n_toilets > 0 THEN 'PUBLIC_TOILET_CANDIDATES_NEAR_ROUTE' END", "CASE WHEN continuity = 'STRICT_REST_POINTS_MAKE_ROUTE_FEASIBLE' THEN 'STRICT_REST_NETWORK_FEASIBLE' END", "CASE WHEN continuity = 'WHOLE_ROUTE_WITHIN_LIMIT_WITHOUT_STRICT_REST' THEN 'WHOLE_ROUTE_WITHIN_LIMIT' END"
+ALL_MET = "CASE WHEN meets THEN 'MEETS_ALL_REQUIRED_PREFERENCES' END"
+REASONS = code_list(ALL_MET, least("n_violations", "FEWER_CONSTRAINT_VIOLATIONS"), least("score", "LOWEST_CONDITION_BURDEN_SCORE"), "CASE WHEN avoid_steps AND profile = 'step_avoiding' THEN 'STEP_AVOIDING_PROFILE' END", least("max_minutes", "LOWEST_MAX_CONTINUOUS_WALK"), "CASE WHEN route_id <> baseline_id AND max_minutes < baseline_minutes THEN 'BETTER_CONTINUITY_THAN_STANDARD' END",
+    least("longest_m", "LOWEST_REST_GAP"), least("toilet_gap_m", "LOWEST_PUBLIC_TOILET_GAP"), least("stated_m", "SHORTEST_DISTANCE"), least("seconds", "FASTEST_DURATION"), NEAR_TOILETS, FEASIBLE, WHOLE)
+ADVANTAGES = code_list(least("stated_m", "SHORTEST_DISTANCE"), least("seconds", "FASTEST_DURATION"), "CASE WHEN profile = 'step_avoiding' THEN 'STEP_AVOIDING_PROFILE' END", "CASE WHEN profile = 'wheelchair_profile' THEN 'WHEELCHAIR_PROFILE' END", ALL_MET, NEAR_TOILETS, FEASIBLE, WHOLE)
+
+
+@query("based", f"SELECT request_id, route_id, array_to_string(({REASONS})[:4], ',') AS reasons, array_to_string(list_concat(violations, CASE WHEN continuity IN ('WHOLE_ROUTE_WITHIN_LIMIT_WITHOUT_STRICT_REST', 'STRICT_REST_POINTS_MAKE_ROUTE_FEASIBLE') THEN [] ELSE ['STRICT_REST_NETWORK_NOT_FEASIBLE'] END), ',') AS against FROM {WITH_LEAST}")
 def reason_codes(t):
     own = routes.reasons(routes.least_flags(routes.baseline_deltas(t.ranked)))
     return own.select("request_id", "route_id", F.array_join("reasons", ",").alias("reasons"), F.array_join("against", ",").alias("against"))
 
 
+@query("based", f"SELECT request_id, route_id, array_to_string({ADVANTAGES}, ',') AS advantages, array_to_string({code_list(*(f"CASE WHEN {c} * {f} >= 0.5 THEN '{n}' END" for c, f, n in (('d_m', 1, 'LONGER_DISTANCE'), ('d_min', 10, 'LONGER_DURATION'), ('d_gap', 1, 'LONGER_REST_GAP'))))}, ',') AS tradeoffs, CASE WHEN profile = 'standard' THEN '' ELSE 'SOURCE_WARNING' END AS warnings FROM {WITH_LEAST}")
+def route_explanations(t):
+    own = routes.explanations(routes.least_flags(routes.baseline_deltas(t.ranked)))
+    return own.select("request_id", "route_id", *[F.array_join(c, ",").alias(c) for c in ("advantages", "tradeoffs", "warnings")])
+
+
 @query("ranked", "SELECT request_id, bool_or(meets) AS any_meets, arg_min(meets, rank) AS top_meets, NOT bool_or(meets) AS none_meets FROM ranked GROUP BY 1")
 def preference_summary(t):
     return routes.preference_summary(t.ranked)
@@ -370,9 +417,9 @@ def verified_replacement(t):
     return verify.replace_verified(t.facilities.select("facility_id", "confidence", F.lit(False).alias("verified")), seen, "facility_id", "related")
 
 
-@query("candidate", "SELECT facility_id, category, CAST(access_prior AS INT) AS access_prior, CAST(category_penalty AS INT) AS category_penalty, eligible FROM candidate")
+@query("grp", "SELECT facility_id, category, CAST(access_prior AS INT) AS access_prior, CAST(category_penalty AS INT) AS category_penalty, eligible FROM grp")
 def access_class(t):
-    return t.candidates.select("facility_id", "category", "access_prior", "category_penalty", "eligible")
+    return t.groups.select("facility_id", "category", "access_prior", "category_penalty", "eligible")
 
 
 @query("measured", f"SELECT facility_id, route_id, {d3('longest_m')}, {d3('improved_m')}, {d3('gross_m')}, distance_r, adjusted_r, ratio_r, counts FROM measured")
@@ -390,16 +437,46 @@ def candidate_scores(t):
 
 @query("scored", "SELECT request_id, facility_id, route_id, CAST(covered_routes AS INT) AS covered_routes, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, adjusted_r DESC, ratio_r DESC, covered_routes DESC, distance_r, facility_id) AS INT) AS priority FROM scored QUALIFY priority <= 8")
 def candidate_rank(t):
-    own = candidates.rank_candidates(t.scored.join(t.routes.select("route_id", "request_id"), "route_id"), region="request_id", most=8)
+    own = candidates.rank_candidates(t.scored, region="request_id", most=8)
     return own.select("request_id", "facility_id", "route_id", "covered_routes", "score", "priority")
 
 
-@query("facility candidate", """SELECT coalesce(reason, 'RANKED') AS reason, count(*) AS n FROM (SELECT CASE WHEN f.facility_id % 53 = 0 THEN 'STRICT_DUPLICATE' WHEN f.facility_id % 59 = 0 THEN 'COORDINATE_ANOMALY' WHEN NOT coalesce(eligible, true) THEN 'RESTRICTED_FACILITY' WHEN c.facility_id IS NULL THEN 'NO_ROUTE_NEARBY' WHEN gross_m <= 0 THEN 'NO_GROSS_IMPROVEMENT' WHEN NOT counts THEN 'BELOW_THRESHOLD' END AS reason
-FROM facility f LEFT JOIN candidate c USING (facility_id) WHERE confidence = 'possible') GROUP BY 1""")
+EXCLUDED = """SELECT f.facility_id, CASE WHEN d.facility_id IS NOT NULL THEN 'EXISTING_STRICT_REST_DUPLICATE' WHEN a.facility_id IS NOT NULL THEN 'COORDINATE_SOURCE_ANOMALY' WHEN NOT g.eligible THEN 'RESTRICTED_OR_SENSITIVE_FACILITY' WHEN c.facility_id IS NULL THEN 'NO_DYNAMIC_ROUTE_WITHIN_DISTANCE' WHEN NOT any_gain THEN 'NO_GROSS_GAP_IMPROVEMENT' WHEN NOT counts THEN 'DETOUR_ADJUSTED_IMPROVEMENT_BELOW_THRESHOLD' END AS reason
+FROM fac f LEFT JOIN dup d USING (facility_id) LEFT JOIN grp g ON g.facility_id = f.facility_id LEFT JOIN anomaly a ON a.facility_id = f.facility_id LEFT JOIN candidate c ON c.facility_id = f.facility_id WHERE f.possible AND (d.facility_id IS NOT NULL OR g.facility_id IS NOT NULL)"""
+
+
+def excluded(t):
+    """The duplicates and the places, each with the first reason not to rank it, or null."""
+    flag = lambda df, name: df.select("facility_id", F.lit(True).alias(name)).hint("merge")
+    own = t.pool.where("possible").select("facility_id").join(flag(t.duplicates, "duplicate"), "facility_id", "left").join(t.groups.select("facility_id", "eligible").hint("merge"), "facility_id", "left")
+    own = own.where("duplicate or eligible is not null").join(flag(t.anomalies, "anomaly"), "facility_id", "left").join(t.candidates.select("facility_id", "any_gain", "counts").hint("merge"), "facility_id", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    why = candidates.exclusion(no("duplicate"), no("anomaly"), F.coalesce("eligible", F.lit(True)), F.col("any_gain").isNotNull(), no("any_gain"), no("counts"))
+    return own.select("facility_id", why.alias("reason"))
+
+
+@query("fac dup grp anomaly candidate", f"SELECT * FROM ({EXCLUDED}) WHERE reason IS NOT NULL")
+def candidate_exclusions(t):
+    return excluded(t).where("reason is not null")
+
+
+@query("fac dup grp anomaly candidate", f"SELECT v.reason, count(e.facility_id) AS n FROM (VALUES ('RANKED'), {', '.join(f"('{c}')" for c in candidates.EXCLUSIONS)}) v(reason) LEFT JOIN ({EXCLUDED}) e ON coalesce(e.reason, 'RANKED') = v.reason GROUP BY 1")
 def exclusion_counts(t):
-    own = t.facilities.where("confidence = 'possible'").select("facility_id").join(t.candidates.select("facility_id", "eligible", "gross_m", "counts"), "facility_id", "left")
-    why = candidates.exclusion(F.col("facility_id") % 53 == 0, F.col("facility_id") % 59 == 0, F.coalesce("eligible", F.lit(True)), F.col("gross_m").isNotNull(), F.col("gross_m"), F.col("counts"))
-    return own.groupBy(F.coalesce(why, F.lit("RANKED")).alias("reason")).agg(F.count("*").alias("n"))
+    """Every reason has a row, with 0 where it doesn't occur."""
+    n = excluded(t).groupBy(F.coalesce("reason", F.lit("RANKED")).alias("reason")).agg(F.count("*").alias("n"))
+    names = t.spark.createDataFrame([(c,) for c in ("RANKED", *candidates.EXCLUSIONS)], "reason string")
+    return names.join(n, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("dup", "SELECT facility_id FROM dup")
+def strict_duplicates(t):
+    return t.duplicates
+
+
+@query("grp mem", "SELECT m.facility_id, m.place_id, g.group_size, array_to_string(list_sort(g.ds), ',') AS datasets, g.source_quality FROM mem m JOIN grp g ON g.facility_id = m.place_id")
+def candidate_groups(t):
+    own = t.groups.select(F.col("facility_id").alias("place_id"), "group_size", F.array_join("datasets", ",").alias("datasets"), "source_quality")
+    return t.members.join(own.hint("merge"), "place_id").select("facility_id", "place_id", "group_size", "datasets", "source_quality")
 
 
 @query("detour", "SELECT facility_id, optimistic_m, lower_m AS adjusted_m, conservative_m, optimistic_ratio, lower_ratio AS adjusted_ratio, conservative_ratio, detour_class FROM detour")
@@ -407,9 +484,9 @@ def detour_scenarios(t):
     return t.sensitivity.select("facility_id", *[f"{n}_{k}" for k in ("m", "ratio") for n in ("optimistic", "adjusted", "conservative")], "detour_class")
 
 
-@query("scenario_rank", "SELECT category, facility_id, scenario, score, CAST(rank AS INT) AS rank FROM scenario_rank")
+@query("scenario_rank", "SELECT request_id, facility_id, scenario, score, CAST(rank AS INT) AS rank FROM scenario_rank")
 def scenario_ranks(t):
-    return candidates.scenario_ranks(t.sensitivity, region="category")
+    return candidates.scenario_ranks(t.sensitivity, region="request_id")
 
 
 @query("stable", """SELECT facility_id, CAST(baseline_rank AS INT) AS baseline_rank, CAST(best_rank AS INT) AS best_rank, CAST(worst_rank AS INT) AS worst_rank, mean_rank, top_rate, stability, CASE WHEN detour_class = 'robust' AND clarity = 3 THEN 'high_improvement_verification_priority' WHEN detour_class = 'robust' THEN 'high_improvement_access_uncertain'
@@ -424,11 +501,10 @@ def skyline(t):
 
 
 def regional(t):
-    own = t.stability.join(t.routes.select("route_id", "request_id"), "route_id")
-    return candidates.skyline(own, "facility_id", ["conservative_m", "conservative_ratio", "top_rate", "clarity", "source_quality"], ["distance_r"], region="request_id")
+    return candidates.skyline(t.stability, "facility_id", ["conservative_m", "conservative_ratio", "top_rate", "clarity", "source_quality"], ["distance_r"], region="request_id")
 
 
-@query("short", "SELECT request_id, facility_id, CAST(visit_priority AS INT) AS visit_priority, category, CASE WHEN tier = 1 THEN 'clear_public_verification' WHEN detour_class = 'robust' THEN 'robust_improvement' WHEN clarity = 3 THEN 'clear_public_verification' ELSE 'complementary' END AS role FROM short")
+@query("short", "SELECT request_id, facility_id, CAST(visit_priority AS INT) AS visit_priority, category, CASE WHEN tier = 1 THEN 'clear_public_verification' WHEN detour_class = 'robust' THEN 'robust_improvement' WHEN clarity = 3 THEN 'clear_public_verification' ELSE 'boundary_model_check' END AS role FROM short")
 def shortlist(t):
     return candidates.shortlist(regional(t), region="request_id").select("request_id", "facility_id", "visit_priority", "category", "role")
 
@@ -474,10 +550,13 @@ def reject_counts(t):
     return ingest.reject_counts(raw_typed(t))
 
 
-@query("raw_record", f"SELECT *, max(retrieved_at) OVER () AS generated_at FROM (SELECT dataset, md5(dataset) AS content_sha256, CAST(length(dataset) AS BIGINT) AS byte_size, count(*) FILTER (problem IS NULL) AS n_records, count(*) FILTER (problem IS NOT NULL) AS n_rejected, CASE WHEN ends_with(dataset, '1') THEN '2026-01-01' ELSE '2026-03-03' END AS retrieved_at FROM ({RAW_PROBLEM}) GROUP BY 1)")
+@query("raw_record", f"SELECT *, max(retrieved_at) OVER () AS generated_at FROM (SELECT dataset, sha256(concat(count(*), ':', sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)))) AS content_sha256, CAST(sum(strlen(line)) AS BIGINT) AS byte_size, count(*) FILTER (problem IS NULL) AS n_records, count(*) FILTER (problem IS NOT NULL) AS n_rejected, CASE WHEN ends_with(dataset, '1') THEN '2026-01-01' ELSE '2026-03-03' END AS retrieved_at FROM (SELECT *, concat_ws(',', record_id, name, lat, lon) AS line FROM ({RAW_PROBLEM})) GROUP BY 1)")
 def manifest_retention(t):
+    """A dataset's rows stand for its file: their number and the sum of their hashes tell whether it has changed."""
     names = t.raw_records.select("dataset").distinct()
-    snaps = names.select("dataset", F.md5("dataset").alias("content_sha256"), F.length("dataset").cast("long").alias("byte_size"))
+    line = F.concat_ws(",", "record_id", "name", "lat", "lon")
+    total = F.sum(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long"))
+    snaps = t.raw_records.groupBy("dataset").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), total.cast("string")), 256).alias("content_sha256"), F.sum(F.octet_length(line)).alias("byte_size"))
     old = snaps.select("dataset", F.when(F.col("dataset").endswith("1"), F.col("content_sha256")).otherwise("changed").alias("content_sha256"), F.lit("2026-01-01").alias("retrieved_at"))
     return ingest.manifest(raw_typed(t), snaps, names, old, F.lit("2026-03-03")).select("dataset", "content_sha256", "byte_size", "n_records", "n_rejected", "retrieved_at", "generated_at")
 
@@ -497,7 +576,7 @@ def geojson_features(t):
 
     # the longest gaps, on the geometry's scale to be sliced; a route without length keeps its whole line
     r = t.routes.select("route_id", "stated_m", "length_m")
-    kinds = [("rest_gap", t.strict), ("public_toilet_gap", t.placed.where((F.col("kind") == "toilet") & (F.col("distance_m") <= routes.TOILET_M))), ("drinking_water_gap", t.strict.where("kind = 'water'"))]
+    kinds = [("rest_gap", t.strict_rest), ("public_toilet_gap", t.placed.where((F.col("kind") == "toilet") & (F.col("distance_m") <= routes.TOILET_M))), ("drinking_water_gap", t.placed.where("kind = 'water'"))]
     at = functools.reduce(DataFrame.unionByName, [p.select("route_id", F.lit(n).alias("gap"), F.lit(k).cast("long").alias("place"), "facility_id", "position_m") for k, (n, p) in enumerate(kinds)])
     each = r.crossJoin(F.broadcast(t.spark.createDataFrame([(n, k) for k, (n, _) in enumerate(kinds)], "gap string, place long")))  # three rows
     keys = ["route_id", "gap", "place"]

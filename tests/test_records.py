@@ -33,10 +33,11 @@ def test_text_functions(spark):
 
 def test_clusters_are_transitive_and_do_not_depend_on_order(spark):
     rows = [(i, "x" if i < 6 else "y", 35.0 + i * 6e-5, 139.0) for i in range(12)] + [(20, "", 36.0, 139.0), (21, "", 36.0, 139.0), (30, "z", 37.0, 139.0)]
-    table = spark.createDataFrame(rows, "id long, name string, lat double, lon double")
-    want = {i: 0 for i in range(6)} | {i: 6 for i in range(6, 12)} | {20: 20, 21: 20, 30: 30}
+    rows = [(i, n, a, y, x) for (i, n, y, x), a in zip(rows, [*"abcdefghijkl", "", "", "z"])] + [(40, "p", "one address", 38.0, 139.0), (41, "q", "one address", 38.00007, 139.0), (42, "q", "", 38.00014, 139.0), (43, "", "", 38.00021, 139.0)]
+    table = spark.createDataFrame(rows, "id long, name string, address string, lat double, lon double")
+    want = {i: 0 for i in range(6)} | {i: 6 for i in range(6, 12)} | {20: 20, 21: 20, 30: 30} | {40: 40, 41: 40, 42: 40, 43: 43}
     for t in (table, table.orderBy(F.rand(1)).repartition(5)):
-        assert {r["id"]: r["place_id"] for r in cluster.cluster_places(t, "id", "name").collect()} == want
+        assert {r["id"]: r["place_id"] for r in cluster.cluster_places(t, "id", "name", "address").collect()} == want
 
 
 def test_same_facility_and_anomalies(spark):
