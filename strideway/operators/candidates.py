@@ -245,6 +245,11 @@ def shortlist(candidates: DataFrame, key: str = "facility_id", region: str | Non
     return rows.drop("_public", "_robust", "_p", "_r", "_tier", "_hotel", "_hotels")
 
 
+def others(candidates: DataFrame, short: DataFrame, keys: tuple[str, ...] = ("request_id", "facility_id")) -> DataFrame:
+    """The candidates that are not on the shortlist."""
+    return candidates.join(short.select(*keys).hint("merge"), list(keys), "left_anti")
+
+
 VISIT_RESULT_COLUMNS = ("visited_at", "visitor", "method", "publicly_accessible", "seating", "covered", "water", "toilet", "wheelchair", "hours_observed", "restrictions", "walk_metres", "evidence", "notes")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideway.functions.text import number
+from strideway.functions.text import mark, number
 
 #: Where coordinates of a national dataset can lie.
 SOUTH, NORTH, WEST, EAST = 20.0, 50.0, 120.0, 155.0
@@ -32,6 +35,42 @@ def either(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How one source's columns make records: for each value the columns that may hold it, the first that isn't blank counts."""
+
+    dataset: str
+    category: str
+    lat: tuple[str, ...]
+    lon: tuple[str, ...]
+    record_id: tuple[str, ...]
+    name: tuple[str, ...]
+    address: tuple[str, ...] = ()
+    #: Columns of marks (yes or no signs), by the name they get; any that a source lacks is unknown.
+    marks: tuple[tuple[str, str], ...] = ()
+
+
+MARKS = ("seating", "water", "wheelchair")
+
+
+def normalised(rows: DataFrame, shape: Shape) -> DataFrame:
+    """The rows of one source as records, with problem; rows that are no records keep their reason."""
+    missing = {c for f in (shape.lat, shape.lon, shape.record_id, shape.name, shape.address) for c in f} - set(rows.columns)
+    if missing:
+        raise ValueError(f"{shape.dataset} lacks the columns {sorted(missing)}")
+    marks = dict(shape.marks)
+    of = lambda names: either(*map(F.col, names)) if names else F.lit(None).cast("string")
+    more = {m: mark(F.col(marks[m])) if m in marks else F.lit(None).cast("boolean") for m in MARKS}
+    own = rows.withColumn("dataset", F.lit(shape.dataset))
+    own = typed_records(own, of(shape.lat), of(shape.lon), of(shape.record_id), of(shape.name), address=of(shape.address), **more)
+    return own.withColumn("category", F.lit(shape.category)).withColumn("record_id", F.concat("dataset", F.lit(":"), "record_id"))
+
+
+def all_records(sources: dict[str, DataFrame], shapes: tuple[Shape, ...]) -> DataFrame:
+    """The records of all sources of a catalogue in one table; each source is read once, by its own shape."""
+    return functools.reduce(DataFrame.unionByName, [normalised(sources[s.dataset], s) for s in shapes])
+
+
 def reject_counts(records: DataFrame) -> DataFrame:
     return records.where("problem is not null").groupBy("dataset", "problem").agg(F.count("*").alias("n"))
 

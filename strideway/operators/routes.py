@@ -127,6 +127,21 @@ def explanations(flagged: DataFrame) -> DataFrame:
     return flagged.withColumn("advantages", good).withColumn("tradeoffs", costs).withColumn("warnings", warnings)
 
 
+#: What stands for several licences, and for none.
+MANY_LICENCES, NO_LICENCE = "複数ライセンス（sourcesを参照）", "ライセンス情報なし"
+
+
+def source_summary(near: DataFrame, manifest: DataFrame, route: str = "route_id") -> DataFrame:
+    """The datasets behind the points near each route, in order, with their licences: one licence is named itself.
+
+    near: route and dataset; manifest: dataset and licence, maybe null. A dataset that the manifest lacks has no licence.
+    """
+    own = near.select(route, "dataset").where("dataset is not null").distinct().join(manifest.select("dataset", "licence").hint("merge"), "dataset", "left")
+    out = own.groupBy(route).agg(F.array_sort(F.collect_set("dataset")).alias("datasets"), F.array_sort(F.collect_set("licence")).alias("licences"))
+    n = F.size("licences")
+    return out.withColumn("licence", F.when(n == 1, F.element_at("licences", 1)).when(n > 1, MANY_LICENCES).otherwise(NO_LICENCE))
+
+
 def preference_summary(ranked: DataFrame, request: str = "request_id") -> DataFrame:
     """Whether any route, and whether the top one, meets the wishes of a request."""
     return ranked.groupBy(request).agg(F.bool_or("meets").alias("any_meets"), F.min_by("meets", "rank").alias("top_meets"), (~F.bool_or("meets")).alias("none_meets"))

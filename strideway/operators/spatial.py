@@ -98,6 +98,16 @@ def project_points(points: DataFrame, segs: DataFrame, metres: float, point: str
     return best.where(F.col("distance_m") <= metres)
 
 
+def nearest_places(near: DataFrame, k: int = 30, route: str = "route_id", point: str = "facility_id") -> DataFrame:
+    """The k nearest places of each route, with place from 1: by distance, public toilets first, then wheelchair ones, then id.
+
+    near: route, point, distance_m, public and wheelchair (booleans, null is no).
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)).desc()
+    by = Window.partitionBy(route).orderBy("distance_m", yes("public"), yes("wheelchair"), point)
+    return near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+
+
 def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame, first_metres: float = 400.0, rounds: int | None = None, point: str = "facility_id", route: str = "route_id") -> DataFrame:
     """Each route's nearest point at whatever distance: the radius doubles for routes that have found none.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.functions.text import STRIPPED_FOR_FACILITIES, ascii_match_text
-from strideway.operators import candidates, cluster, linear, routes, spatial
+from strideway.operators import candidates, cluster, ingest, linear, routes, spatial
 from strideway.sources.staging import staged
 
 ROUTE_VERTEX = """
@@ -21,12 +21,12 @@ SELECT user_id AS route_id, CAST(seq AS INT) AS seq, lat_u / CAST(1e6 AS DOUBLE)
 """
 FACILITY = """
 SELECT c_custkey AS facility_id, c_name AS name, c_mktsegment AS segment,
-  concat(CASE WHEN c_custkey % 9 = 0 THEN 'outer ' ELSE 'inner ' END, c_mktsegment, ' ', CAST(c_nationkey AS STRING)) AS address,
+  concat(CASE WHEN c_custkey % 9 = 0 THEN 'outer ' ELSE 'inner ' END, c_mktsegment, CASE c_nationkey % 3 WHEN 0 THEN ' 1' WHEN 1 THEN ' 12' ELSE ' 3' END) AS address,
   CASE c_custkey % 8 WHEN 0 THEN 'shinjuku-public-facilities' WHEN 1 THEN 'daredemo-parks' WHEN 2 THEN 'daredemo-shopping' WHEN 3 THEN 'daredemo-accommodation' WHEN 4 THEN 'daredemo-transport' ELSE 'other-facilities' END AS dataset,
   (35670000 + (place * 7919) % 40001) / CAST(1e6 AS DOUBLE) AS lat, (139680000 + (place * 104729) % 40001) / CAST(1e6 AS DOUBLE) AS lon,
   CASE c_custkey % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'supported' WHEN 4 THEN 'estimated' ELSE 'possible' END AS confidence,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'toilet' WHEN 'MACHINERY' THEN 'water' WHEN 'BUILDING' THEN 'indoor' ELSE 'rest' END AS kind
-FROM (SELECT *, CASE WHEN CAST(floor(c_custkey / 5) AS BIGINT) % 41 < 3 THEN c_custkey - CAST(floor(c_custkey / 5) AS BIGINT) % 41 * 5 ELSE c_custkey END AS place FROM customer) c
+FROM (SELECT *, CASE WHEN CAST(floor(c_custkey / 5) AS BIGINT) % 41 < 3 THEN c_custkey - CAST(floor(c_custkey / 5) AS BIGINT) % 41 * 5 WHEN c_custkey % 7 = 1 THEN c_custkey - 1 ELSE c_custkey END AS place FROM customer) c
 """
 TOILET_RECORD = """
 SELECT p_partkey AS record_id, p_name AS name, p_brand AS dataset, lower(split_part(p_name, ' ', 2)) AS match_name, p_type AS kind, p_size AS size,
@@ -67,6 +67,17 @@ SELECT p_brand AS dataset, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey %
   CASE WHEN p_partkey % 29 = 0 THEN ' ' ELSE '139.7' END AS lon, CAST(p_partkey AS STRING) AS record_id, CASE WHEN p_partkey % 31 = 0 THEN ' ' ELSE p_name END AS name
 FROM part
 """
+#: Three sources of different columns: the second has a fallback for its coordinates, the third has no marks.
+SOURCES = {
+    "toilets": """SELECT CAST(p_partkey AS STRING) AS id, p_name AS title, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE CAST(35 + p_size AS STRING) END AS y, '139.7' AS x, p_type AS place, CASE p_partkey % 4 WHEN 0 THEN '○' WHEN 1 THEN '×' WHEN 2 THEN '有' ELSE '' END AS wide FROM part""",
+    "facilities": """SELECT CAST(c_custkey AS STRING) AS no, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '35.6' END AS y, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '139.7' END AS x, CASE WHEN c_custkey % 6 = 0 THEN '35.5' ELSE '' END AS y_fixed, CASE WHEN c_custkey % 6 = 0 THEN '139.5' ELSE '' END AS x_fixed, c_mktsegment AS city, CASE WHEN c_custkey % 2 = 0 THEN '有' ELSE '無' END AS seats FROM customer""",
+    "stations": """SELECT CAST(s_suppkey AS STRING) AS id, s_name AS title, CASE WHEN s_suppkey % 7 = 0 THEN 'abc' ELSE '35.65' END AS y, CASE WHEN s_suppkey % 5 = 0 THEN '10' ELSE '139.75' END AS x FROM supplier""",
+}
+SHAPES = (
+    ingest.Shape("toilets", "public_toilet", ("y",), ("x",), ("id",), ("title",), ("place",), (("wheelchair", "wide"),)),
+    ingest.Shape("facilities", "public_facility", ("y", "y_fixed"), ("x", "x_fixed"), ("no",), ("title",), ("city",), (("seating", "seats"),)),
+    ingest.Shape("stations", "drinking_station", ("y",), ("x",), ("id",), ("title",)),
+)
 
 
 #: All coordinates made here lie south of it.
@@ -118,6 +129,10 @@ class Tables:
     def raw_records(self) -> DataFrame:
         return self.once("raw_records", lambda: self.bound(RAW_RECORD, "part"))
 
+    @property
+    def sources(self) -> dict[str, DataFrame]:
+        return {n: self.bound(q, t) for (n, q), t in zip(SOURCES.items(), ("part", "customer", "supplier"), strict=True)}
+
     @property
     def segments(self) -> DataFrame:
         return self.once("segments", lambda: spatial.segments(self.vertices))
@@ -194,7 +209,8 @@ class Tables:
             return self.made["evaluated"]
         r = self.routes
         walks = linear.continuity(self.walks, r).select("route_id", "max_minutes", "max_walk_m")
-        longest = lambda kind, name: linear.two_largest(self.gaps_of(kind), ["route_id"]).select("route_id", F.col("longest_m").alias(name))
+        names = {"rest": "network_gap_m", "confirmed": "confirmed_gap_m", "near_toilet": "toilet_gap_m", "water": "water_gap_m"}
+        longest = self.gaps.groupBy("route_id").agg(*[F.max(F.when(F.col("poi") == k, F.col("gap_m"))).alias(n) for k, n in names.items()])
         strict = F.col("confidence").isin("confirmed", "supported")
         rest = strict & (F.col("kind") != "water")
         near = self.placed.groupBy("route_id").agg(
@@ -207,7 +223,7 @@ class Tables:
         counts = ["n_toilets", "n_indoor", "n_strict", "n_confirmed", "n_possible"]
         joined = r.join(near.hint("merge"), "route_id", "left").fillna(0, counts)
         splits = linear.strict_splits(self.walks, joined.select("route_id", "n_strict"), least_m=0.001)
-        for more in (walks, longest("rest", "network_gap_m"), longest("confirmed", "confirmed_gap_m"), longest("near_toilet", "toilet_gap_m"), longest("water", "water_gap_m"), splits):
+        for more in (walks, longest, splits):
             joined = joined.join(more.hint("merge"), "route_id")
         share = lambda m: F.when(F.col("stated_m") > 0, F.col(m) / F.nullif("stated_m", F.lit(0.0)) * F.col("seconds") / 60).otherwise(0.0)
         joined = joined.withColumns(

@@ -191,6 +191,12 @@ def nearest_per_route_topk(t):
     return near.withColumn("place", n).where("place <= 5").select("route_id", "facility_id", "place", r3("distance_m"))
 
 
+@query("placed", f"SELECT route_id, facility_id, CAST(n AS INT) AS place, {d3('distance_m')} FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY distance_m, (confidence = 'confirmed') DESC, (facility_id % 2 = 0) DESC, facility_id) AS n FROM placed WHERE kind = 'toilet') WHERE n <= 30")
+def nearest_places(t):
+    near = t.placed.where("kind = 'toilet'").select("route_id", "facility_id", "distance_m", (F.col("confidence") == "confirmed").alias("public"), (F.col("facility_id") % 2 == 0).alias("wheelchair"))
+    return spatial.nearest_places(near).select("route_id", "facility_id", "place", r3("distance_m"))
+
+
 @query("facility proj", """SELECT b.band, count(p.facility_id) AS n FROM (VALUES ('000-050', 0, 50), ('050-100', 50, 100), ('100-150', 100, 150), ('150-250', 150, 250), ('250-350', 250, 350)) b(band, lo, hi)
 LEFT JOIN (SELECT facility_id, min(distance_m) AS m FROM proj GROUP BY 1) p ON m >= lo AND m < hi GROUP BY 1""")
 def distance_bands(t):
@@ -403,6 +409,13 @@ def latest_verification(t):
     return verify.latest(effective(t)).select("candidate_id", "verification_id", F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"), "publicly_accessible", "seating", "level")
 
 
+@query("mem latest", """SELECT coalesce(CAST(m.place_id AS VARCHAR), l.candidate_id) AS group_id, l.candidate_id, l.verification_id, l.level FROM latest l LEFT JOIN mem m ON CAST(m.facility_id AS VARCHAR) = l.candidate_id
+QUALIFY row_number() OVER (PARTITION BY coalesce(CAST(m.place_id AS VARCHAR), l.candidate_id) ORDER BY l.seen_at DESC NULLS LAST, l.verification_id) = 1""")
+def latest_of_groups(t):
+    groups = t.members.select(F.col("facility_id").cast("string").alias("candidate_id"), F.col("place_id").cast("string").alias("group_id"))
+    return verify.latest_of_groups(effective(t), groups).select("group_id", "candidate_id", "verification_id", "level")
+
+
 @query("facility latest", "SELECT f.facility_id, coalesce(l.seat, f.facility_id % 2 = 0) AS seating, coalesce(l.level, f.confidence) AS confidence, l.candidate_id IS NOT NULL AS verified FROM facility f LEFT JOIN latest l ON l.candidate_id = CAST(f.facility_id AS VARCHAR)")
 def verification_overlay(t):
     base = t.facilities.select("facility_id", (F.col("facility_id") % 2 == 0).alias("seating"), "confidence")
@@ -514,6 +527,40 @@ def visit_plan(t):
     return candidates.visit_plan(candidates.shortlist(regional(t), region="request_id")).select("facility_id", "visit_priority", "verification_id", "detour_class", "conservative_m", "notes")
 
 
+@query("stable short", "SELECT request_id, facility_id, baseline_rank FROM (SELECT request_id, facility_id, CAST(baseline_rank AS INT) AS baseline_rank FROM stable) s WHERE NOT EXISTS (SELECT 1 FROM short x WHERE x.request_id = s.request_id AND x.facility_id = s.facility_id)")
+def shortlist_others(t):
+    return candidates.others(t.stability, candidates.shortlist(regional(t), region="request_id")).select("request_id", "facility_id", "baseline_rank")
+
+
+LICENCES = {"shinjuku-public-facilities": "CC BY 4.0", "daredemo-parks": "CC BY 4.0", "daredemo-shopping": "CC BY 4.0", "daredemo-accommodation": "ODbL 1.0"}
+
+
+@query("metric placed facility top", f"""SELECT route_id, floor(stated_m * 100 + 0.5) / 100 AS stated_m, floor(seconds / 60 * 100 + 0.5) / 100 AS minutes, floor(max_minutes * 100 + 0.5) / 100 AS max_minutes, floor(longest_m * 100 + 0.5) / 100 AS rest_gap_m, floor(toilet_gap_m * 100 + 0.5) / 100 AS toilet_gap_m, floor(water_gap_m * 100 + 0.5) / 100 AS water_gap_m,
+max_minutes <= limit_minutes AS feasible, network_ok, n_strict, n_possible, floor((gap_start_m + gap_end_m) / 2 * 100 + 0.5) / 100 AS insert_m, coalesce(array_to_string(ds, ','), '') AS datasets, CASE WHEN coalesce(len(ls), 0) = 0 THEN 'ライセンス情報なし' WHEN len(ls) = 1 THEN ls[1] ELSE '複数ライセンス（sourcesを参照）' END AS licence
+FROM metric JOIN (SELECT route_id, gap_start_m, gap_end_m FROM top WHERE kind = 'rest') i USING (route_id) LEFT JOIN (SELECT route_id, list_sort(list(DISTINCT dataset)) AS ds, list_sort(list(DISTINCT licence) FILTER (licence IS NOT NULL)) AS ls FROM placed JOIN (SELECT facility_id, dataset FROM facility) f USING (facility_id)
+LEFT JOIN (VALUES {', '.join(f"('{d}', '{c}')" for d, c in LICENCES.items())}) v(name, licence) ON name = dataset GROUP BY 1) s USING (route_id)""")
+def route_snapshot(t):
+    """The rounded analysis row of each route, with the sources of what lies near it."""
+    manifest = t.spark.createDataFrame(list(LICENCES.items()), "dataset string, licence string")
+    own = t.evaluated.join(routes.source_summary(t.placed, manifest).hint("merge"), "route_id", "left")
+    stop = linear.insertion_suggestion(linear.two_largest(t.gaps_of("rest"), ["route_id"])).select("route_id", "insert_m")
+    two = lambda c, name: rounded(c, 2).alias(name)
+    named = {"stated_m": F.col("stated_m"), "minutes": F.col("seconds") / 60, "max_minutes": F.col("max_minutes"), "rest_gap_m": F.col("longest_m"), "toilet_gap_m": F.col("toilet_gap_m"), "water_gap_m": F.col("water_gap_m"), "insert_m": F.col("insert_m")}
+    return own.join(stop.hint("merge"), "route_id").select("route_id", *[two(c, n) for n, c in named.items()], (F.col("max_minutes") <= F.col("limit_minutes")).alias("feasible"), "network_ok", "n_strict", "n_possible", F.coalesce(F.array_join("datasets", ","), F.lit("")).alias("datasets"), F.coalesce("licence", F.lit(routes.NO_LICENCE)).alias("licence"))
+
+
+MARKED = {"wheelchair": "CASE WHEN wide IN ('○', '有') THEN true WHEN wide = '×' THEN false END", "seating": "seats = '有'"}
+
+
+@query("", f"""SELECT 'toilets' AS dataset, 'toilets:' || id AS record_id, title AS name, try_cast(y AS DOUBLE) AS lat, try_cast(x AS DOUBLE) AS lon, place AS address, CAST(NULL AS BOOLEAN) AS seating, CAST(NULL AS BOOLEAN) AS water, {MARKED['wheelchair']} AS wheelchair, 'public_toilet' AS category,
+CASE WHEN y = '' THEN 'coordinate_blank' WHEN try_cast(y AS DOUBLE) NOT BETWEEN 20 AND 50 THEN 'coordinate_out_of_area' END AS problem FROM ({b.SOURCES['toilets']})
+UNION ALL SELECT 'facilities', 'facilities:' || no, title, try_cast(coalesce(nullif(trim(y), ''), y_fixed) AS DOUBLE), try_cast(coalesce(nullif(trim(x), ''), x_fixed) AS DOUBLE), city, {MARKED['seating']}, NULL, NULL, 'public_facility', CASE WHEN trim(y) = '' AND y_fixed = '' THEN 'coordinate_blank' END FROM ({b.SOURCES['facilities']})
+UNION ALL SELECT 'stations', 'stations:' || id, title, try_cast(y AS DOUBLE), try_cast(x AS DOUBLE), NULL, NULL, NULL, NULL, 'drinking_station', CASE WHEN y = 'abc' THEN 'coordinate_not_numeric' WHEN x = '10' THEN 'coordinate_out_of_area' END FROM ({b.SOURCES['stations']})""")
+def source_records(t):
+    """All sources of the catalogue in one table, each by its own columns; what is no record keeps its reason."""
+    return ingest.all_records(t.sources, b.SHAPES)
+
+
 @query("request", """SELECT request_id, CAST(CASE WHEN from_lat IS NULL THEN 400 WHEN to_lat > 90 THEN 400 WHEN to_lat > 36 THEN 422 WHEN m < 1 THEN 400 WHEN m > 8000 THEN 422 WHEN limit_minutes NOT IN (5, 10, 15) THEN 400 WHEN prefer_indoor IS NULL THEN 400 END AS INT) AS code,
 CASE WHEN from_lat IS NULL THEN 'not_finite' WHEN to_lat > 90 THEN 'out_of_range' WHEN to_lat > 36 THEN 'outside_area' WHEN m < 1 THEN 'same_place' WHEN m > 8000 THEN 'too_far' WHEN limit_minutes NOT IN (5, 10, 15) THEN 'limit_minutes' WHEN prefer_indoor IS NULL THEN 'preferences' END AS problem
 FROM (SELECT *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(to_lat - from_lat) / 2), 2) + cos(radians(from_lat)) * cos(radians(to_lat)) * pow(sin(radians(to_lon - from_lon) / 2), 2))) AS m FROM request)""")

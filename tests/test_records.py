@@ -177,3 +177,43 @@ def test_manifest_keeps_retrieval_time(spark):
     assert (got["a"]["retrieved_at"], got["a"]["n_records"], got["a"]["n_rejected"]) == ("2026-01-01", 1, 1)
     assert got["b"]["retrieved_at"] == got["a"]["generated_at"] == "2026-02-02"
     assert ingest.require_rows(records).count() == 0
+
+
+def test_hours_with_one_end_missing(spark):
+    rows = [("9:00", "17:00", None), ("9:00", " ", "closed on Monday"), ("", "17:00", ""), (None, None, "by appointment")]
+    table = spark.createDataFrame(rows, "a string, b string, n string")
+    got = [r[0] for r in table.select(text.hours_between(F.col("a"), F.col("b"), F.col("n"))).collect()]
+    assert got == ["9:00〜17:00", "9:00〜不明（closed on Monday）", "不明〜17:00", None]
+
+
+def test_primary_route_is_one_that_counts(spark):
+    """The route with the larger gain is too long for the ratio; the other one counts, and is the primary one."""
+    rows = [(1, 10, 20.0, 5000.0, 120.0), (1, 11, 20.0, 1000.0, 90.0), (2, 10, 20.0, 5000.0, 0.0)]
+    table = spark.createDataFrame(rows, "facility_id long, route_id long, distance_m double, longest_m double, gross_m double")
+    found = {r["facility_id"]: r for r in candidates.best_route(candidates.route_metrics(table)).collect()}
+    assert (found[1]["route_id"], found[1]["counts"], found[1]["covered_routes"], found[1]["any_gain"]) == (11, True, 1, True)
+    assert (found[2]["counts"], found[2]["any_gain"]) == (False, False)
+
+
+def test_strict_duplicates_by_address_beginnings(spark):
+    rows = [(1, "a", "1-2-3 east road", 35.0, 139.0, True, False), (2, "b", "1-2-3 east road 4f", 35.0001, 139.0, False, True), (3, "c", "1-2-3 east road", 35.01, 139.0, True, False), (4, "b", "", 35.0001, 139.0001, True, False)]
+    table = spark.createDataFrame(rows, "id long, name string, address string, lat double, lon double, possible boolean, strict boolean")
+    pairs = cluster.same_facility_pairs(table, "id", "name", "address", more=("possible", "strict"))
+    assert {r["id"] for r in cluster.strict_duplicates(pairs, "id").collect()} == {1, 4}
+
+
+def test_latest_of_groups(spark):
+    rows = [("v1", "c1", "2026-01-01"), ("v2", "c1", "2026-02-01"), ("v3", "c2", "2026-03-01"), ("v4", "c3", None), ("v5", "c4", "2026-01-01"), ("v6", "c2", None)]
+    table = spark.createDataFrame(rows, "verification_id string, candidate_id string, verified_at string")
+    groups = spark.createDataFrame([("c1", "g"), ("c2", "g"), ("c3", "h")], "candidate_id string, group_id string")
+    found = {(r["group_id"], r["verification_id"]) for r in verify.latest_of_groups(table, groups).collect()}
+    assert found == {("g", "v3"), ("h", "v4"), ("c4", "v5")}
+
+
+def test_a_source_without_its_columns_is_refused(spark):
+    shape = ingest.Shape("d", "public_toilet", ("lat", "lat2"), ("lon",), ("id",), ("name",))
+    rows = spark.createDataFrame([("", "35", "139", "1", "n"), ("", " ", "139", "2", "n"), ("36", "35", "139", "", "n")], "lat string, lat2 string, lon string, id string, name string")
+    found = [(r["record_id"], r["lat"], r["problem"], r["wheelchair"]) for r in ingest.normalised(rows, shape).orderBy("lat2", "record_id").collect()]
+    assert found == [("d:2", None, "coordinate_blank", None), (None, 36.0, "id_or_name_blank", None), ("d:1", 35.0, None, None)]
+    with pytest.raises(ValueError, match="lat2"):
+        ingest.normalised(rows.drop("lat2"), shape)
