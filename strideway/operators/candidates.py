@@ -250,6 +250,21 @@ def others(candidates: DataFrame, short: DataFrame, keys: tuple[str, ...] = ("re
     return candidates.join(short.select(*keys).hint("merge"), list(keys), "left_anti")
 
 
+def visit_plan_problems(plan: DataFrame, key: str = "facility_id", region: str = "request_id", size: int = 5) -> DataFrame:
+    """What is wrong with a region's plan: how many places it has, a place twice, or priorities other than 1 to size."""
+    n = plan.groupBy(region).agg(F.count("*").alias("n"), F.count_distinct(key).alias("k"), F.count_distinct("visit_priority").alias("p"), F.min("visit_priority").alias("lo"), F.max("visit_priority").alias("hi"))
+    priorities = (F.col("p") == F.col("n")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n"))
+    wrong = {"count": F.col("n") != size, "repeated_place": F.col("k") < F.col("n"), "priorities": ~F.coalesce(priorities, F.lit(False))}
+    found = F.filter(F.array(*[F.when(c, name) for name, c in wrong.items()]), lambda x: x.isNotNull())
+    return n.select(region, F.col("n").alias("n_places"), F.explode(found).alias("problem"))
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, code: str, label: str = "label") -> DataFrame:
+    """rows with the text of their code; a code that the table of labels (one row for each code) lacks is its own text."""
+    own = labels.select(F.col("code").alias(code), F.col("text").alias(label))
+    return rows.join(own.hint("merge"), code, "left").withColumn(label, F.coalesce(label, code))
+
+
 VISIT_RESULT_COLUMNS = ("visited_at", "visitor", "method", "publicly_accessible", "seating", "covered", "water", "toilet", "wheelchair", "hours_observed", "restrictions", "walk_metres", "evidence", "notes")
 
 

@@ -44,17 +44,29 @@ def cluster_places(records: DataFrame, key: str, match: str, address: str, metre
     return components(records, edges.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")), key)
 
 
-def place_rollup(records: DataFrame, members: DataFrame, key: str, kind: str) -> DataFrame:
-    """A row for each place: how many records, their mean coordinates, members and kinds in order."""
-    return records.join(members, key).groupBy("place_id").agg(
+def place_rollup(records: DataFrame, members: DataFrame, key: str, kind: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each place: how many records, their mean coordinates, members and kinds in order.
+
+    any_<flag>: whether a member is known to have it; false where none is.
+    """
+    return records.join(members.hint("merge"), key).groupBy("place_id").agg(
         F.count("*").cast("int").alias("n_records"),
         F.avg("lat").alias("lat"),
         F.avg("lon").alias("lon"),
         F.sort_array(F.collect_list(key)).alias("members"),
         F.array_sort(F.collect_set(kind)).alias("kinds"),
+        *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f"any_{f}") for f in flags],
     )
 
 
+def proximity_groups(records: DataFrame, key: str, metres: float = 25.0) -> DataFrame:
+    """key and place_id of the records that lie, step by step, within so many metres of others; lone ones are left out."""
+    pairs = close_pairs(records.select(key, "lat", "lon"), key, metres)
+    edges = staged(pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")), "near")
+    nodes = edges.select(F.col("a").alias(key)).union(edges.select("b")).distinct()
+    return components(nodes, edges, key)
+
+
 def duplicates_across(records: DataFrame, key: str, dataset: str, match: str, metres: float = 25.0, address: str | None = None) -> DataFrame:
     """Pairs of different datasets within so many metres with equal names, or equal addresses that aren't blank."""
     cols = [key, dataset, match, "lat", "lon", *([address] if address else [])]

@@ -75,6 +75,42 @@ def reject_counts(records: DataFrame) -> DataFrame:
     return records.where("problem is not null").groupBy("dataset", "problem").agg(F.count("*").alias("n"))
 
 
+#: The reasons of record_problem, in its order.
+PROBLEMS = ("coordinate_blank", "coordinate_not_numeric", "coordinate_out_of_area", "id_or_name_blank")
+
+
+def reject_profile(records: DataFrame) -> DataFrame:
+    """A row for each dataset and each reason, with 0 where a dataset has none; one pass over the records."""
+    n = records.groupBy("dataset").agg(*[F.count_if(F.col("problem") == p).alias(p) for p in PROBLEMS])
+    return n.unpivot("dataset", list(PROBLEMS), "problem", "n")
+
+
+#: Fixed value: the category of spots that nobody has listed officially.
+ESTIMATED_SPOT = "estimated_rest_spot"
+
+
+def official_confidence(category: Column) -> Column:
+    """What a listing alone can tell of a place: an estimated spot stays estimated, any other is possible."""
+    return F.when(category == ESTIMATED_SPOT, "estimated").otherwise("possible")
+
+
+def rest_candidates(records: DataFrame, estimated: DataFrame) -> DataFrame:
+    """Records and estimated spots in one table of possible rest points, with confidence; toilets are none.
+
+    records: as normalised, without problem; estimated: record_id, name, lat, lon and category.
+    """
+    cols = ("record_id", "name", "lat", "lon")
+    own = records.where("problem is null and category <> 'public_toilet'").select(*cols, "category")
+    spots = estimated.where("category <> 'public_toilet'").select(*cols, F.lit(ESTIMATED_SPOT).alias("category"))
+    return own.unionByName(spots).withColumn("confidence", official_confidence(F.col("category")))
+
+
+def record_order(name: Column) -> list[Column]:
+    """The order in which records are written: dataset, record, name (after NFKC), coordinates, unknown ones as blank."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return [blank("dataset"), blank("record_id"), name, F.col("lat"), F.col("lon")]
+
+
 def require_rows(records: DataFrame) -> DataFrame:
     """Datasets of which no row is a record; publishing checks that there are none."""
     return records.groupBy("dataset").agg(F.count_if(F.col("problem").isNull()).alias("n")).where("n = 0")

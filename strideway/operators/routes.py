@@ -127,6 +127,16 @@ def explanations(flagged: DataFrame) -> DataFrame:
     return flagged.withColumn("advantages", good).withColumn("tradeoffs", costs).withColumn("warnings", warnings)
 
 
+def tallies(near: DataFrame, route: str = "route_id") -> DataFrame:
+    """What lies near each route: points by kind and by confidence, and how far the nearest of each kind is.
+
+    near: route, kind, confidence, distance_m. A kind that a route lacks has 0 points and no distance.
+    """
+    kinds, levels = ("toilet", "rest", "water", "indoor"), ("confirmed", "supported", "possible", "estimated")
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds] + [F.count_if(F.col("confidence") == c).alias(f"n_{c}") for c in levels]
+    return near.groupBy(route).agg(*counts, *[F.min(F.when(F.col("kind") == k, F.col("distance_m"))).alias(f"nearest_{k}_m") for k in kinds])
+
+
 #: What stands for several licences, and for none.
 MANY_LICENCES, NO_LICENCE = "複数ライセンス（sourcesを参照）", "ライセンス情報なし"
 

@@ -157,3 +157,13 @@ def slice_route(spans: DataFrame, segs: DataFrame, route: str = "route_id") -> D
     points = F.transform(gathered, lambda p: F.struct(p.lat.alias("lat"), p.lon.alias("lon")))
     fresh = F.filter(points, lambda p, i: (i == 0) | (p != F.element_at(points, F.greatest(i, F.lit(1)))))
     return met.groupBy(*spans.columns).agg(fresh.alias("points"))
+
+
+def first_of_union(nearest: DataFrame, group: str = "request_id", route: str = "route_id", key: str = "facility_id", most: int = 30) -> DataFrame:
+    """The nearest places of all routes of a group, each once, in the order of routes and places: the first so many.
+
+    nearest: group, route, key and place (as nearest_places numbers them).
+    """
+    once = nearest.groupBy(group, key).agg(F.min(F.struct(route, "place")).alias("_at"))
+    n = F.row_number().over(Window.partitionBy(group).orderBy("_at", key))
+    return once.withColumn("position", n).where(F.col("position") <= most).drop("_at")

@@ -13,6 +13,7 @@ from strideway.operators import candidates, cluster, ingest, linear, routes, spa
 from strideway.plans import bindings as b
 from strideway.plans.bindings import Tables
 from strideway.sources import writers
+from strideway.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,6 +136,11 @@ CTES = {
 }
 
 
+# places of records, and where they lie along the routes, by the same rules as facilities
+CTES["spot"] = "SELECT place_id AS spot_id, avg(lat) AS lat, avg(lon) AS lon FROM record JOIN member USING (record_id) GROUP BY 1"
+CTES["spot_pair"] = CTES["pair"].replace("facility f", "spot f").replace("facility_id", "spot_id")
+
+
 def sql(body: str, *needs: str) -> str:
     """body after the pieces that it needs, and those that these need."""
     wanted, stack = set(), list(needs)
@@ -642,3 +648,97 @@ def geojson_features(t):
     stops = stop.select("route_id", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("place"), writers.feature("Point", writers.lon_lat(F.col("lat"), F.col("lon")), featureType=F.lit("theoretical_rest_insertion"), route=F.col("route_id"), progress=rounded(F.col("insert_m"), 3), improvement=rounded(F.col("longest_m") - F.col("improved_m"), 3), ratio=rounded(F.col("improved_ratio"), 6), **origin).alias("feature"))
     features = functools.reduce(DataFrame.unionByName, [shape, gaps, points, stops])
     return writers.feature_collections(features, "route_id", ["kind", "place"])
+
+
+BANDS = {"000-050": (0, 50), "050-100": (50, 100), "100-150": (100, 150), "150-250": (150, 250), "250-350": (250, 350)}
+
+
+@query("spot_pair", f"""SELECT b.band, count(p.spot_id) AS n_places FROM (VALUES {', '.join(f"('{n}', {lo}, {hi})" for n, (lo, hi) in BANDS.items())}) b(band, lo, hi)
+LEFT JOIN (SELECT spot_id, min(distance_m) AS m FROM spot_pair GROUP BY 1) p ON m >= lo AND m < hi GROUP BY 1""")
+def place_distance_bands(t):
+    """Places of records by their distance to the nearest route; every band has a row."""
+    members = cluster.cluster_places(t.records, "record_id", "match_name", "match_address")
+    places = cluster.place_rollup(t.records, members, "record_id", "kind").select(F.col("place_id").alias("facility_id"), "lat", "lon")
+    near = spatial.project_points(staged(places, "places"), t.segments, routes.REST_M, max_latitude=b.MAX_LATITUDE).groupBy("facility_id").agg(F.min("distance_m").alias("m"))
+    inside = {n: F.count_if((F.col("m") >= lo) & (F.col("m") < hi)).alias(n) for n, (lo, hi) in BANDS.items()}
+    return near.agg(*inside.values()).unpivot([], list(BANDS), "band", "n_places")
+
+
+@query("record member", """SELECT place_id, coalesce(bool_or(large), false) AS any_large, coalesce(bool_or(open), false) AS any_open FROM (SELECT *, size > 40 AS large, CASE record_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS open FROM record)
+JOIN member USING (record_id) GROUP BY 1""")
+def place_flags(t):
+    own = t.records.withColumn("large", F.col("size") > 40).withColumn("open", F.when(F.col("record_id") % 3 == 0, True).when(F.col("record_id") % 3 == 1, False))
+    members = cluster.cluster_places(t.records, "record_id", "match_name", "match_address")
+    return cluster.place_rollup(own, members, "record_id", "kind", flags=("large", "open")).select("place_id", "any_large", "any_open")
+
+
+@query("close", """SELECT v AS record_id, min(c) AS place_id FROM (WITH RECURSIVE e AS (SELECT a_record_id AS a, b_record_id AS b FROM close WHERE metres <= 25 UNION SELECT b_record_id, a_record_id FROM close WHERE metres <= 25),
+reach(v, c) AS (SELECT a, a FROM e UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.c = e.a) SELECT * FROM reach) GROUP BY 1""")
+def proximity_groups(t):
+    return cluster.proximity_groups(t.records, "record_id")
+
+
+@query("placed route", """SELECT request_id, facility_id, CAST(n AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY first_at, facility_id) AS n FROM (SELECT request_id, facility_id, min({'r': route_id, 'p': place}) AS first_at FROM (
+SELECT request_id, p.route_id, facility_id, row_number() OVER (PARTITION BY p.route_id ORDER BY distance_m, (confidence = 'confirmed') DESC, (facility_id % 2 = 0) DESC, facility_id) AS place FROM placed p JOIN route r ON r.route_id = p.route_id WHERE kind = 'toilet') WHERE place <= 30 GROUP BY 1, 2)) WHERE n <= 30""")
+def nearest_of_request(t):
+    near = t.placed.where("kind = 'toilet'").select("route_id", "facility_id", "distance_m", (F.col("confidence") == "confirmed").alias("public"), (F.col("facility_id") % 2 == 0).alias("wheelchair"))
+    own = spatial.nearest_places(near).join(t.routes.select("route_id", "request_id").hint("merge"), "route_id")
+    return spatial.first_of_union(own).select("request_id", "facility_id", "position")
+
+
+TALLY_KINDS, TALLY_LEVELS = ("toilet", "rest", "water", "indoor"), ("confirmed", "supported", "possible", "estimated")
+
+
+@query("placed", "SELECT route_id, " + ", ".join([*[f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in TALLY_KINDS], *[f"count(*) FILTER (confidence = '{c}') AS n_{c}" for c in TALLY_LEVELS], *[d3(f"(min(distance_m) FILTER (kind = '{k}'))", f"nearest_{k}_m") for k in TALLY_KINDS]]) + " FROM placed GROUP BY 1")
+def route_tallies(t):
+    own = routes.tallies(t.placed)
+    return own.select(*[r3(c) if c.startswith("nearest_") else F.col(c) for c in own.columns])
+
+
+#: What the excluded places are told; the words are this library's own.
+REASON_TEXTS = {
+    "RANKED": "ranked among the candidates",
+    "EXISTING_STRICT_REST_DUPLICATE": "stands for a rest point that is there already",
+    "COORDINATE_SOURCE_ANOMALY": "shares its coordinate with unlike places",
+    "RESTRICTED_OR_SENSITIVE_FACILITY": "not a place for everyone",
+}
+
+
+@query("fac dup grp anomaly candidate", f"SELECT facility_id, e.reason, coalesce(v.text, e.reason) AS label FROM ({EXCLUDED}) e LEFT JOIN (VALUES {', '.join(f"('{c}', '{x}')" for c, x in REASON_TEXTS.items())}) v(code, text) ON v.code = e.reason WHERE e.reason IS NOT NULL")
+def labelled_exclusions(t):
+    labels = t.spark.createDataFrame(list(REASON_TEXTS.items()), "code string, text string")
+    return candidates.with_labels(excluded(t).where("reason is not null"), labels, "reason").select("facility_id", "reason", "label")
+
+
+@query("short", """SELECT request_id, n AS n_places, unnest(list_filter([CASE WHEN n <> 5 THEN 'count' END, CASE WHEN k < n THEN 'repeated_place' END, CASE WHEN p <> n OR lo <> 1 OR hi <> n THEN 'priorities' END], lambda x: x IS NOT NULL)) AS problem
+FROM (SELECT request_id, count(*) AS n, count(DISTINCT facility_id) AS k, count(DISTINCT visit_priority) AS p, min(visit_priority) AS lo, max(visit_priority) AS hi FROM short GROUP BY 1)""")
+def visit_plan_problems(t):
+    return candidates.visit_plan_problems(candidates.shortlist(regional(t), region="request_id"))
+
+
+@query("short facility", "SELECT CAST(visit_priority AS INT) AS priority, 'fv-' || s.facility_id AS verificationId, CAST(s.facility_id AS VARCHAR) AS candidateId, f.name, f.lat AS latitude, f.lon AS longitude, f.address, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in verify.TEMPLATE_COLUMNS[6:]) + " FROM short s JOIN facility f ON f.facility_id = s.facility_id")
+def verification_template(t):
+    own = candidates.shortlist(regional(t), region="request_id").select("facility_id", F.col("visit_priority").alias("priority"))
+    own = own.join(t.facilities.select("facility_id", "name", "lat", "lon", "address").hint("merge"), "facility_id")
+    return verify.template(own.withColumnRenamed("facility_id", "candidate_id"))
+
+
+@query("facility proj", "SELECT facility_id, name, lat, lon, kind, confidence FROM facility WHERE facility_id IN (SELECT facility_id FROM proj)")
+def published_facilities(t):
+    return writers.reduced(t.facilities, t.placed, "facility_id", private=("segment", "address", "dataset"))
+
+
+@query("raw_record", f"""SELECT d.dataset, v.problem, count(r.problem) AS n FROM (SELECT DISTINCT dataset FROM raw_record) d CROSS JOIN (VALUES {', '.join(f"('{p}')" for p in ingest.PROBLEMS)}) v(problem) LEFT JOIN (
+SELECT dataset, CASE WHEN trim(lat) = '' OR trim(lon) = '' THEN 'coordinate_blank' WHEN try_cast(lat AS DOUBLE) IS NULL THEN 'coordinate_not_numeric' WHEN try_cast(lat AS DOUBLE) NOT BETWEEN 20 AND 50 THEN 'coordinate_out_of_area' WHEN trim(name) = '' THEN 'id_or_name_blank' END AS problem FROM raw_record) r
+ON r.dataset = d.dataset AND r.problem = v.problem GROUP BY 1, 2""")
+def reject_profile(t):
+    return ingest.reject_profile(raw_typed(t))
+
+
+@query("facility", f"""SELECT 'facilities:' || no AS record_id, title AS name, try_cast(coalesce(nullif(trim(y), ''), nullif(trim(y_fixed), '')) AS DOUBLE) AS lat, try_cast(coalesce(nullif(trim(x), ''), nullif(trim(x_fixed), '')) AS DOUBLE) AS lon, 'public_facility' AS category, 'possible' AS confidence
+FROM ({b.SOURCES['facilities']}) WHERE coalesce(nullif(trim(y), ''), nullif(trim(y_fixed), '')) IS NOT NULL AND coalesce(nullif(trim(x), ''), nullif(trim(x_fixed), '')) IS NOT NULL
+UNION ALL SELECT 'stations:' || id, title, CAST(y AS DOUBLE), CAST(x AS DOUBLE), 'drinking_station', 'possible' FROM ({b.SOURCES['stations']}) WHERE y <> 'abc' AND x <> '10'
+UNION ALL SELECT 'spot:' || facility_id, name, lat, lon, 'estimated_rest_spot', 'estimated' FROM facility WHERE confidence = 'estimated' AND kind <> 'toilet'""")
+def rest_candidates(t):
+    spots = t.facilities.where("confidence = 'estimated'").select(F.concat(F.lit("spot:"), F.col("facility_id").cast("string")).alias("record_id"), "name", "lat", "lon", F.when(F.col("kind") == "toilet", "public_toilet").otherwise(F.col("kind")).alias("category"))
+    return ingest.rest_candidates(ingest.all_records(t.sources, b.SHAPES), spots)

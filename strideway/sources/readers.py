@@ -121,3 +121,87 @@ def snapshot_problems(routes: DataFrame, request: DataFrame, profiles: tuple[str
     whole = routes.agg(F.array_sort(F.collect_list("profile")).alias("p"), F.count_distinct("generated_at").alias("t"))
     of_set = F.explode(F.filter(F.array(F.when(F.col("p") != want, "profiles"), F.when(F.col("t") > 1, "generated_at")), lambda x: x.isNotNull()))
     return own.unionByName(whole.select(F.lit(None).cast("string").alias("route_id"), of_set.alias("problem")))
+
+
+PLACE = "struct<latitude:double,longitude:double>"
+SAVED = f"""schemaVersion int, snapshotId string, routeSetKind string, routingSchemaVersion string, coordinateOrder string, request struct<origin:{PLACE},destination:{PLACE},profiles:array<string>>,
+source struct<sourceType:string,provider:string,snapshotMethod:string,sourceUrl:string,license:string,attribution:string,capturedAt:string,usage:string>,
+routes array<struct<id:string,profile:string,name:string,provider:string,isFallback:boolean,distanceMeters:double,durationSeconds:double,durationMinutes:double,coordinates:array<array<double>>,sourceAttribution:string,generatedAt:string,
+restSpotIds:array<string>,walkingSegments:array<string>,steepSlopeCount:double,indoorRestCount:double,warnings:array<string>>>"""
+#: The profiles of a saved set, and what it must say of itself.
+SAVED_PROFILES = ("standard", "step_avoiding", "wheelchair_profile")
+SAVED_VALUES = {
+    "schemaVersion": 1,
+    "routeSetKind": "representative_dynamic_snapshot",
+    "routingSchemaVersion": "1",
+    "coordinateOrder": "latitude_longitude",
+    "source.sourceType": "openstreetmap_route",
+    "source.snapshotMethod": "one_time_public_worker_response",
+    "source.license": "ODbL",
+}
+ROUTE_PROVIDER, MAP_CREDIT = "openrouteservice", "OpenStreetMap"
+
+
+def saved_sets(spark: SparkSession, path: str) -> DataFrame:
+    """Saved sets of routes as they are, a row for each file; values of a wrong type are null."""
+    return spark.read.schema(SAVED).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def saved_set_problems(sets: DataFrame, key: str = "path", metres: float = 50.0) -> DataFrame:
+    """Every rule that a saved set breaks: key, route_id (null for rules of the set) and the rule's name.
+
+    A value that is missing breaks its rule. Rules of routes are judged for each route by itself.
+    """
+    from strideway.functions.geo import haversine
+    from strideway.functions.text import instant
+
+    there = lambda c: F.length(c) > 0
+    on_earth = lambda lat, lon: lat.between(-90, 90) & lon.between(-180, 180)
+    dated = lambda c: instant(c).isNotNull() & c.rlike(r"T\d{2}:\d{2}:\d{2}")
+    want = F.array(*map(F.lit, sorted(SAVED_PROFILES)))
+    each = lambda c: F.array_sort(c) == want
+    whole = lambda c: (c >= 0) & (c == F.floor(c))
+
+    def broken(rules: dict) -> F.Column:
+        return F.explode(F.filter(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in rules.items()]), lambda x: x.isNotNull()))
+
+    ids = F.transform("routes", lambda r: r["id"])
+    of_set = {name: F.col(name) == value for name, value in SAVED_VALUES.items()} | {
+        "snapshotId": there(F.col("snapshotId")),
+        "request.origin": on_earth(F.col("request.origin.latitude"), F.col("request.origin.longitude")),
+        "request.destination": on_earth(F.col("request.destination.latitude"), F.col("request.destination.longitude")),
+        "request.profiles": each(F.col("request.profiles")),
+        "routes": F.col("routes").isNotNull() & F.forall("routes", lambda r: r.isNotNull()),
+        "routes.count": F.size("routes") == len(SAVED_PROFILES),
+        "routes.profiles": each(F.transform("routes", lambda r: r["profile"])),
+        "routes.ids": F.size(F.array_distinct(ids)) == F.size(ids),
+        "source.provider": there(F.col("source.provider")),
+        "source.sourceUrl": F.col("source.sourceUrl").startswith("https://"),
+        "source.attribution": F.contains(F.col("source.attribution"), F.lit(MAP_CREDIT)),
+        "source.capturedAt": dated(F.col("source.capturedAt")),
+        "source.usage": there(F.col("source.usage")),
+    }
+    r, points = (lambda name: F.col(f"r.{name}")), F.col("r.coordinates")
+    end = lambda n, place: haversine(*[F.get(F.try_element_at(points, F.lit(n)), F.lit(i)) for i in (0, 1)], F.col(f"request.{place}.latitude"), F.col(f"request.{place}.longitude")) <= metres
+    of_route = {
+        "id": r("id") == r("profile"),
+        "profile": r("profile").isin(*SAVED_PROFILES),
+        "provider": r("provider") == ROUTE_PROVIDER,
+        "isFallback": ~r("isFallback"),
+        **{name: (r(name) > 0) & (r(name) < float("inf")) for name in ("distanceMeters", "durationSeconds", "durationMinutes")},
+        "name": there(r("name")),
+        "coordinates.count": F.size(points) >= 2,
+        "coordinates": F.forall(points, lambda p: (F.size(p) == 2) & on_earth(F.get(p, F.lit(0)), F.get(p, F.lit(1)))),
+        "start": end(1, "origin"),
+        "end": end(-1, "destination"),
+        "sourceAttribution": F.contains(r("sourceAttribution"), F.lit(MAP_CREDIT)),
+        "generatedAt": dated(r("generatedAt")),
+        "generatedAt.source": r("generatedAt") == F.col("source.capturedAt"),
+        "restSpotIds": r("restSpotIds").isNotNull(),
+        "walkingSegments": F.size("r.walkingSegments") > 0,
+        "steepSlopeCount": whole(r("steepSlopeCount")),
+        "indoorRestCount": whole(r("indoorRestCount")),
+        "warnings": F.forall("r.warnings", lambda w: w.isNotNull()),
+    }
+    routes = sets.select(key, "request", "source", F.explode("routes").alias("r"))
+    return sets.select(key, F.lit(None).cast("string").alias("route_id"), broken(of_set).alias("problem")).unionByName(routes.select(key, r("id").alias("route_id"), broken(of_route).alias("problem")))

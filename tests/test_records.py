@@ -217,3 +217,84 @@ def test_a_source_without_its_columns_is_refused(spark):
     assert found == [("d:2", None, "coordinate_blank", None), (None, 36.0, "id_or_name_blank", None), ("d:1", 35.0, None, None)]
     with pytest.raises(ValueError, match="lat2"):
         ingest.normalised(rows.drop("lat2"), shape)
+
+
+def saved_set():
+    """A saved set that breaks no rule."""
+    place = lambda y, x: {"latitude": y, "longitude": x}
+    route = {
+        "name": "n", "provider": "openrouteservice", "isFallback": False, "distanceMeters": 900.5, "durationSeconds": 700, "durationMinutes": 12, "coordinates": [[35.6, 139.7], [35.605, 139.705], [35.61, 139.71]],
+        "sourceAttribution": "by OpenStreetMap contributors", "generatedAt": "2026-01-02T03:04:05.000Z", "restSpotIds": [], "walkingSegments": [{"distanceMeters": 1}], "steepSlopeCount": 0, "indoorRestCount": 2, "warnings": [],
+    }
+    source = {
+        "sourceType": "openstreetmap_route", "provider": "p", "snapshotMethod": "one_time_public_worker_response", "sourceUrl": "https://example.org/", "license": "ODbL", "attribution": "OpenStreetMap", "capturedAt": "2026-01-02T03:04:05.000Z",
+        "usage": "u",
+    }
+    return {
+        "schemaVersion": 1, "snapshotId": "s", "routeSetKind": "representative_dynamic_snapshot", "routingSchemaVersion": "1", "coordinateOrder": "latitude_longitude",
+        "request": {"origin": place(35.6, 139.7), "destination": place(35.61, 139.71), "profiles": ["wheelchair_profile", "standard", "step_avoiding"]}, "source": source,
+        "routes": [route | {"id": p, "profile": p} for p in ("standard", "step_avoiding", "wheelchair_profile")],
+    }
+
+
+def test_saved_sets_rule_by_rule(spark, tmp_path):
+    """One rule is broken in each file; the sets' path tells which."""
+    changes = {
+        "fine": (lambda s: None, set()),
+        "version": (lambda s: s.update(schemaVersion=2), {(None, "schemaVersion")}),
+        "no_id": (lambda s: s.pop("snapshotId"), {(None, "snapshotId")}),
+        "origin": (lambda s: s["request"]["origin"].update(latitude=95), {(None, "request.origin"), *[(p, "start") for p in readers.SAVED_PROFILES]}),
+        "asked": (lambda s: s["request"].update(profiles=["standard", "standard", "step_avoiding"]), {(None, "request.profiles")}),
+        "two": (lambda s: s["routes"].pop(), {(None, "routes.count"), (None, "routes.profiles")}),
+        "none": (lambda s: s.pop("routes"), {(None, "routes"), (None, "routes.count"), (None, "routes.profiles"), (None, "routes.ids")}),
+        "twice": (lambda s: s["routes"][1].update(id="standard"), {(None, "routes.ids"), ("standard", "id")}),
+        "http": (lambda s: s["source"].update(sourceUrl="http://example.org/"), {(None, "source.sourceUrl")}),
+        "licence": (lambda s: s["source"].update(license="MIT"), {(None, "source.license")}),
+        "undated": (lambda s: s["source"].update(capturedAt="2026-02-30T03:04:05Z"), {(None, "source.capturedAt"), *[(p, "generatedAt.source") for p in readers.SAVED_PROFILES]}),
+        "fallback": (lambda s: s["routes"][0].update(isFallback=True), {("standard", "isFallback")}),
+        "zero": (lambda s: s["routes"][0].update(durationSeconds=0), {("standard", "durationSeconds")}),
+        "unnamed": (lambda s: s["routes"][2].update(name=""), {("wheelchair_profile", "name")}),
+        "one_point": (lambda s: s["routes"][0].update(coordinates=[[35.6, 139.7]]), {("standard", "coordinates.count"), ("standard", "end")}),
+        "odd_point": (lambda s: s["routes"][0]["coordinates"].insert(1, [35.6]), {("standard", "coordinates")}),
+        "far": (lambda s: s["routes"][1]["coordinates"].append([35.62, 139.71]), {("step_avoiding", "end")}),
+        "uncredited": (lambda s: s["routes"][1].update(sourceAttribution="someone"), {("step_avoiding", "sourceAttribution")}),
+        "later": (lambda s: s["routes"][1].update(generatedAt="2026-01-02T03:04:06Z"), {("step_avoiding", "generatedAt.source")}),
+        "no_walks": (lambda s: s["routes"][1].update(walkingSegments=[]), {("step_avoiding", "walkingSegments")}),
+        "half": (lambda s: s["routes"][1].update(steepSlopeCount=1.5), {("step_avoiding", "steepSlopeCount")}),
+        "no_rests": (lambda s: s["routes"][1].pop("restSpotIds"), {("step_avoiding", "restSpotIds")}),
+        "warning": (lambda s: s["routes"][1].update(warnings=[None]), {("step_avoiding", "warnings")}),
+    }
+    for name, (change, _) in changes.items():
+        saved = json.loads(json.dumps(saved_set()))  # routes of their own
+        change(saved)
+        (tmp_path / f"{name}.json").write_text(json.dumps(saved, indent=1))
+    found = {name: set() for name in changes}
+    for r in readers.saved_set_problems(readers.saved_sets(spark, str(tmp_path))).collect():
+        found[r["path"].rpartition("/")[2][:-5]].add((r["route_id"], r["problem"]))
+    assert found == {name: want for name, (_, want) in changes.items()}
+
+
+def test_visit_plans_with_wrong_counts_and_priorities(spark):
+    rows = [*[(1, i, i) for i in range(1, 6)], *[(2, i, i) for i in range(1, 5)], *[(3, min(i, 4), i) for i in range(1, 6)], *[(4, i, i + 1) for i in range(1, 6)], *[(5, i, 1) for i in range(1, 6)], *[(6, i, None) for i in range(1, 6)]]
+    found = candidates.visit_plan_problems(spark.createDataFrame(rows, "request_id long, facility_id long, visit_priority int")).collect()
+    assert {(r["request_id"], r["problem"]) for r in found} == {(2, "count"), (3, "repeated_place"), (4, "priorities"), (5, "priorities"), (6, "priorities")}
+
+
+def test_orders_of_templates_rejects_and_records(spark):
+    own = verify.template(spark.createDataFrame([("c", "n", 35.0, 139.0, None, None), ("b", "m", 35.0, 139.0, "a", 2), ("a", "k", 35.0, 139.0, "a", 2)], "candidate_id string, name string, lat double, lon double, address string, priority int"))
+    assert own.columns == ["priority", *verify.TEMPLATE_COLUMNS]
+    assert [r["verificationId"] for r in own.orderBy(*verify.template_order()).collect()] == ["fv-a", "fv-b", "fv-c"]
+    rejects = spark.createDataFrame([("v", "b", ["x"]), ("v", "a", ["y", "z"]), ("v", "a", ["x"]), (None, "z", ["x"])], "verification_id string, candidate_id string, reasons array<string>")
+    assert [(r["candidate_id"], r["reasons"][0]) for r in rejects.orderBy(*verify.reject_order()).collect()] == [("z", "x"), ("a", "x"), ("a", "y"), ("b", "x")]
+    records = spark.createDataFrame([(1, "b", "1", "n", 1.0, 1.0), (2, "a", None, "ｂ", 1.0, 1.0), (3, "a", None, "a", 1.0, 2.0), (4, "a", None, "ａ", 1.0, 1.0), (5, None, "9", "n", 1.0, 1.0)], "id int, dataset string, record_id string, name string, lat double, lon double")
+    assert [r["id"] for r in records.orderBy(*ingest.record_order(text.nfkc(F.col("name")))).collect()] == [5, 4, 3, 2, 1]
+
+
+def test_first_of_union_and_proximity_groups(spark):
+    from strideway.operators import spatial
+
+    rows = [(7, 1, 10, 1), (7, 1, 11, 2), (7, 2, 12, 1), (7, 2, 10, 2), (7, 2, 13, 3), (8, 3, 10, 1)]
+    found = spatial.first_of_union(spark.createDataFrame(rows, "request_id int, route_id int, facility_id int, place int"), most=3).collect()
+    assert {(r["request_id"], r["facility_id"], r["position"]) for r in found} == {(7, 10, 1), (7, 11, 2), (7, 12, 3), (8, 10, 1)}
+    points = spark.createDataFrame([(i, 35.0 + i * 2e-4, 139.0) for i in range(5)] + [(9, 36.0, 139.0)], "id int, lat double, lon double")
+    assert {(r["id"], r["place_id"]) for r in cluster.proximity_groups(points, "id").collect()} == {(i, 0) for i in range(5)}
