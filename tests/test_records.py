@@ -150,6 +150,8 @@ def test_publish_is_whole_or_nothing(spark, tmp_path):
         writers.publish({"a": b}, folder, "r3", {"rows_missing": a})
     current = {r["table_name"]: r["path"] for r in spark.read.parquet(f"{folder}/current").collect()}
     assert current["a"].endswith("r1/a") and current["b"].endswith("r2/b")
+    (tmp_path / "out" / "current").rename(tmp_path / "out" / "next")  # as a run leaves it that is cut off between the two pointers
+    assert writers.publish({"a": a, "b": spark.range(4).toDF("y")}, folder, "r4", {}) == [] and not (tmp_path / "out" / "next").exists()
     assert writers.difference(a, a.where("x > 0")).collect() == [(0, "first")]
 
 
