@@ -221,7 +221,7 @@ def skyline(rows: DataFrame, key: str, most: list[str], least: list[str], region
     for n in names:
         as_good, better = as_good & (F.col(f"b.o{n}") >= F.col(f"a.{n}")), better | (F.col(f"b.o{n}") > F.col(f"a.{n}"))
     best = a.join(b.hint("merge"), (F.col("a._region") == F.col("b._region")) & as_good & better, "left_anti").select("_key")
-    return rows.join(best.withColumn("on_skyline", F.lit(True)), rows[key] == F.col("_key"), "left").drop("_key").withColumn("on_skyline", F.coalesce("on_skyline", F.lit(False)))
+    return rows.join(best.withColumn("on_skyline", F.lit(True)).hint("merge"), rows[key] == F.col("_key"), "left").drop("_key").withColumn("on_skyline", F.coalesce("on_skyline", F.lit(False)))
 
 
 def shortlist(candidates: DataFrame, key: str = "facility_id", region: str | None = None, size: int = 5, robust: int = 3, hospitality: int = 3, name: str | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     Least labels of neighbours and of labels, round by round, each written to the shared folder that Spark names; the
     rounds follow the logarithm of the longest chain, and only nodes that have pairs take part.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = staged(edges.select(F.explode(ways).alias("e")).select("e.*").distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
     while True:
         near = both.join(labels.hint("merge"), both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
@@ -34,14 +35,38 @@ def same_text(column: str) -> Column:
     return F.coalesce((F.col(f"a_{column}") == F.col(f"b_{column}")) & (F.col(f"a_{column}") != ""), F.lit(False))
 
 
+def known(column: str) -> Column:
+    """The text, null where it is blank."""
+    return F.nullif(column, F.lit(""))
+
+
+def spots(records: DataFrame, key: str, *also: str) -> DataFrame:
+    """The places on the map where records are, each once (with each value of `also`): lat, lon, its first key and how many."""
+    finite = records.where("abs(lat) < double('infinity') and abs(lon) < double('infinity')")
+    return finite.groupBy("lat", "lon", *also).agg(F.min(key).alias("first"), F.count("*").alias("n"))
+
+
+def edges_at(records: DataFrame, key: str) -> DataFrame:
+    """a, b: each record with the first at its coordinate, instead of all with all."""
+    own = records.select("lat", "lon", F.col(key).alias("b")).join(spots(records, key).hint("merge"), ["lat", "lon"])
+    return own.where("first <> b").select(F.col("first").alias("a"), "b")
+
+
+def edges_near(points: DataFrame, metres: float, by: Column | None = None) -> DataFrame:
+    """a, b: first keys of spots within so many metres that agree."""
+    return close_pairs(points, "first", metres, by=by).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+
+
 def cluster_places(records: DataFrame, key: str, match: str, address: str, metres: float = 10.0) -> DataFrame:
     """key and place_id: records within so many metres with equal names or equal addresses, or within one metre, transitively.
 
-    match, address: normalised texts; blank ones equal nothing.
+    match, address: normalised texts; blank ones equal nothing. Records at one coordinate are one place anyway, so one of
+    them stands for all, and one for each text there: as many records as may be at one coordinate make no pairs.
     """
-    pairs = close_pairs(records.select(key, match, address, "lat", "lon"), key, metres)
-    edges = pairs.where((F.col("metres") <= 1) | same_text(match) | same_text(address))
-    return components(records, edges.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")), key)
+    edges = edges_at(records, key).unionByName(edges_near(spots(records, key), min(1.0, metres)))
+    for text in (match, address):
+        edges = edges.unionByName(edges_near(spots(records, key, text), metres, known(text)))
+    return components(records, edges, key)
 
 
 def place_rollup(records: DataFrame, members: DataFrame, key: str, kind: str, flags: tuple[str, ...] = ()) -> DataFrame:
@@ -61,8 +86,7 @@ def place_rollup(records: DataFrame, members: DataFrame, key: str, kind: str, fl
 
 def proximity_groups(records: DataFrame, key: str, metres: float = 25.0) -> DataFrame:
     """key and place_id of the records that lie, step by step, within so many metres of others; lone ones are left out."""
-    pairs = close_pairs(records.select(key, "lat", "lon"), key, metres)
-    edges = staged(pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")), "near")
+    edges = staged(edges_at(records, key).unionByName(edges_near(spots(records, key), metres)), "near")
     nodes = edges.select(F.col("a").alias(key)).union(edges.select("b")).distinct()
     return components(nodes, edges, key)
 
@@ -70,19 +94,23 @@ def proximity_groups(records: DataFrame, key: str, metres: float = 25.0) -> Data
 def duplicates_across(records: DataFrame, key: str, dataset: str, match: str, metres: float = 25.0, address: str | None = None) -> DataFrame:
     """Pairs of different datasets within so many metres with equal names, or equal addresses that aren't blank."""
     cols = [key, dataset, match, "lat", "lon", *([address] if address else [])]
-    pairs = close_pairs(records.select(*dict.fromkeys(cols)), key, metres).where(F.col(f"a_{dataset}") != F.col(f"b_{dataset}"))
-    reason = F.when(same_text(match), "same_name")
-    return pairs.withColumn("reason", reason.when(same_text(address), "same_address") if address else reason).where("reason is not null")
+    own, apart = records.select(*dict.fromkeys(cols)), F.col(f"a_{dataset}") != F.col(f"b_{dataset}")
+    named = close_pairs(own, key, metres, by=known(match)).where(apart).withColumn("reason", F.lit("same_name"))
+    if not address:
+        return named
+    return named.unionByName(close_pairs(own, key, metres, by=known(address)).where(apart & ~same_text(match)).withColumn("reason", F.lit("same_address")))
 
 
 def same_facility_pairs(records: DataFrame, key: str, name: str, address: str, metres: float = 25.0, prefix: int = 8, more: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within so many metres on the sphere with equal names, equal addresses, or one (long enough) address beginning with
     the other; name and address are normalised texts. Columns of `more` come along."""
-    pairs = close_pairs(records.select(key, name, address, "lat", "lon", *more), key, 1.05 * metres)
-    pairs = pairs.where(haversine(*map(F.col, ("a_lat", "a_lon", "b_lat", "b_lon"))) <= metres)
+    own = records.select(key, name, address, "lat", "lon", *more)
+    # equal addresses, and long ones of which one begins with the other, have the same beginning
+    pairs = close_pairs(own, key, 1.05 * metres, by=F.substring(known(address), 1, prefix)).where(~same_text(name))
+    near = haversine(*map(F.col, ("a_lat", "a_lon", "b_lat", "b_lon"))) <= metres
     a, b = F.coalesce(f"a_{address}", F.lit("")), F.coalesce(f"b_{address}", F.lit(""))
     begins = (F.length(a) >= prefix) & (F.length(b) >= prefix) & (a.startswith(b) | b.startswith(a))
-    return pairs.where(same_text(name) | same_text(address) | begins)
+    return close_pairs(own, key, 1.05 * metres, by=known(name)).unionByName(pairs.where(same_text(address) | begins)).where(near)
 
 
 def strict_duplicates(pairs: DataFrame, key: str, possible: str = "possible", strict: str = "strict") -> DataFrame:
@@ -102,7 +130,7 @@ def coordinate_anomalies(groups: DataFrame, key: str, name: str, address: str, p
     at = groups.withColumn("lat_r", F.floor(F.col("lat") * f + 0.5)).withColumn("lon_r", F.floor(F.col("lon") * f + 0.5))
     odd = at.groupBy("lat_r", "lon_r").agg(F.count_distinct(key).alias("k"), F.count_distinct(name).alias("n"), F.count_distinct(address).alias("a"))
     odd = odd.where((F.col("k") >= least) & (F.col("n") >= least) & (F.col("a") >= least)).select("lat_r", "lon_r")
-    return at.join(odd, ["lat_r", "lon_r"])
+    return at.join(odd.hint("merge"), ["lat_r", "lon_r"])
 
 
 def first_of_each(rows: DataFrame, by: list[Column], order: list[Column]) -> DataFrame:
@@ -120,21 +148,29 @@ def profile(records: DataFrame, dataset: str, columns: list[str], flags: list[st
     return records.groupBy(dataset).agg(*parts)
 
 
+def ambiguous_spots(records: DataFrame, members: DataFrame, key: str, metres: float = 25.0) -> DataFrame:
+    """Pairs of spots within so many metres that belong to different places: a_*, b_* of lat, lon, place_id, n; and metres."""
+    own = spots(records.select(key, "lat", "lon").join(members.select(key, "place_id").hint("merge"), key), key, "place_id")
+    return close_pairs(own, "first", metres).where("a_place_id <> b_place_id")
+
+
 def ambiguous_pairs(records: DataFrame, members: DataFrame, key: str, metres: float = 25.0) -> DataFrame:
-    """Pairs within so many metres whose records lie in different places."""
-    pairs = close_pairs(records.select(key, "lat", "lon"), key, metres)
-    a = members.select(F.col(key).alias(f"a_{key}"), F.col("place_id").alias("a_place"))
-    b = members.select(F.col(key).alias(f"b_{key}"), F.col("place_id").alias("b_place"))
-    return pairs.join(a.hint("merge"), f"a_{key}").join(b.hint("merge"), f"b_{key}").where("a_place <> b_place")
+    """a_, b_ of key, and metres: pairs within so many metres whose records lie in different places."""
+    own = records.select(key, "lat", "lon").join(members.select(key, "place_id").hint("merge"), key)
+    pairs = ambiguous_spots(records, members, key, metres)
+    for side in ("a", "b"):
+        pairs = pairs.join(own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]).hint("merge"), [f"{side}_lat", f"{side}_lon", f"{side}_place_id"])
+    a, b = F.col(f"a_{key}"), F.col(f"b_{key}")
+    return pairs.select(F.least(a, b).alias(f"a_{key}"), F.greatest(a, b).alias(f"b_{key}"), "metres")
 
 
 def audit(records: DataFrame, members: DataFrame, key: str, dataset: str, match: str) -> DataFrame:
     """One row of figures about the records and their places."""
-    places = records.join(members, key).groupBy("place_id").agg(F.count("*").alias("n"), F.count_distinct(dataset).alias("d"))
+    places = records.join(members.hint("merge"), key).groupBy("place_id").agg(F.count("*").alias("n"), F.count_distinct(dataset).alias("d"))
     a = records.agg(F.count("*").alias("n_records"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
     b = places.agg(F.count("*").alias("n_places"), F.count_if(F.col("n") > 1).alias("n_merged"), F.count_if(F.col("d") > 1).alias("n_across_datasets"))
     c = groups_by(records, key, [F.col("lat"), F.col("lon")]).agg(F.count("*").alias("n_same_coordinate"))
     d = groups_by(records.where(F.col(match) != ""), key, [F.col(match)]).agg(F.count("*").alias("n_same_name"))
-    e = ambiguous_pairs(records, members, key).agg(F.count("*").alias("n_ambiguous"))
+    e = ambiguous_spots(records, members, key).agg(F.coalesce(F.sum(F.col("a_n") * F.col("b_n")), F.lit(0)).alias("n_ambiguous"))
     # each side is one row
     return a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def on_stated_scale(placed: DataFrame, routes: DataFrame, route: str = "route_id") -> DataFrame:
     """placed with position_m: progress along the geometry, brought to the route's stated length (0 for a route of none)."""
     scaled = F.when(F.col("length_m") > 0, F.col("progress_m") / F.nullif("length_m", F.lit(0.0)) * F.col("stated_m")).otherwise(0.0)
-    return placed.join(routes.select(route, "length_m", "stated_m"), route).withColumn("position_m", scaled)
+    return placed.join(routes.select(route, "length_m", "stated_m").hint("merge"), route).withColumn("position_m", scaled)
 
 
 def gaps(positions: DataFrame, routes: DataFrame, point: str = "facility_id", route: str = "route_id", inside: bool = False) -> DataFrame:
@@ -21,7 +21,7 @@ def gaps(positions: DataFrame, routes: DataFrame, point: str = "facility_id", ro
     keys = [route] if isinstance(route, str) else list(route)
     rows = positions.select(*keys, F.col("position_m").alias("end_m"), F.col(point).cast("long").alias("ends_at"), F.lit(0).alias("_last"))
     if inside:
-        rows = rows.join(routes.select(*keys, "stated_m"), keys).where("end_m > 0 and end_m < stated_m").drop("stated_m")
+        rows = rows.join(routes.select(*keys, "stated_m").hint("merge"), keys).where("end_m > 0 and end_m < stated_m").drop("stated_m")
     ends = routes.select(*keys, F.col("stated_m").cast("double").alias("end_m"), F.lit(None).cast("long").alias("ends_at"), F.lit(1).alias("_last"))
     by = Window.partitionBy(*keys).orderBy("_last", "end_m", "ends_at")
     out = rows.unionByName(ends).withColumn("start_m", F.lag("end_m", 1, 0.0).over(by)).withColumn("ordinal", F.row_number().over(by))
@@ -54,7 +54,7 @@ def walking_segments(positions: DataFrame, routes: DataFrame, point: str = "faci
 
 def walks_of(gap_rows: DataFrame, routes: DataFrame, route: str = "route_id") -> DataFrame:
     """The gaps between rests as walks (see walking_segments)."""
-    rows = gap_rows.join(routes.select(route, "stated_m", "minutes"), route)
+    rows = gap_rows.join(routes.select(route, "stated_m", "minutes").hint("merge"), route)
     share = F.when(F.col("stated_m") > 0, F.col("gap_m") / F.nullif("stated_m", F.lit(0.0)) * F.col("minutes")).otherwise(0.0)
     return rows.select(
         route,
@@ -71,14 +71,14 @@ def continuity(walks: DataFrame, routes: DataFrame, route: str = "route_id") ->
     """The longest walk of each route, how far it is over the limit, and whether it is feasible; the limit is."""
     top = walks.groupBy(route).agg(F.max("walk_minutes").alias("max_minutes"), F.max("walk_m").alias("max_walk_m"), F.count("*").cast("int").alias("n_walks"))
     over = F.greatest(F.lit(0.0), F.col("max_minutes") - F.col("limit_minutes"))
-    return top.join(routes.select(route, "limit_minutes"), route).withColumn("over_minutes", over).withColumn("feasible", F.col("max_minutes") <= F.col("limit_minutes"))
+    return top.join(routes.select(route, "limit_minutes").hint("merge"), route).withColumn("over_minutes", over).withColumn("feasible", F.col("max_minutes") <= F.col("limit_minutes"))
 
 
 def strict_splits(walks: DataFrame, n_strict: DataFrame, route: str = "route_id", least_m: float = 0.0) -> DataFrame:
     """How many rests split a route in two walks of more than least_m each, no more than it has strict points."""
     by = Window.partitionBy(route).orderBy("ordinal")
     real = walks.withColumn("_next", F.lead("walk_m").over(by)).withColumn("_hit", F.col("ends_at_rest") & (F.col("walk_m") > least_m) & (F.col("_next") > least_m))
-    return real.groupBy(route).agg(F.count_if("_hit").alias("k")).join(n_strict, route, "left").select(route, F.least("k", F.coalesce("n_strict", F.lit(0))).cast("int").alias("n_splits"))
+    return real.groupBy(route).agg(F.count_if("_hit").alias("k")).join(n_strict.hint("merge"), route, "left").select(route, F.least("k", F.coalesce("n_strict", F.lit(0))).cast("int").alias("n_splits"))
 
 
 def insertion_gain(candidates: DataFrame, largest: DataFrame, route: str = "route_id") -> DataFrame:
@@ -88,7 +88,7 @@ def insertion_gain(candidates: DataFrame, largest: DataFrame, route: str = "rout
     gap; anywhere else (or at an end) nothing changes. Equally long gaps leave the longest as it is.
     """
     p, s, e = F.col("position_m"), F.col("gap_start_m"), F.col("gap_end_m")
-    met = candidates.join(largest.select(route, "gap_start_m", "gap_end_m", "longest_m", "second_m", F.col("stated_m").alias("_end")), route)
+    met = candidates.join(largest.select(route, "gap_start_m", "gap_end_m", "longest_m", "second_m", F.col("stated_m").alias("_end")).hint("merge"), route)
     inside = (p > 0) & (p < F.col("_end")) & (p > s) & (p < e)
     improved = F.when(inside, F.greatest(F.col("second_m"), p - s, e - p)).otherwise(F.col("longest_m"))
     return met.withColumn("improved_m", improved).withColumn("gross_m", F.greatest(F.lit(0.0), F.col("longest_m") - F.col("improved_m"))).drop("_end")

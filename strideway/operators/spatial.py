@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import DEGREE_M, PLANE_M_PER_LAT, PLANE_M_PER_LON, haversine, planar
@@ -15,18 +15,21 @@ from strideway.sources.staging import staged
 CELLS_PER_PIECE = 10
 
 
-def close_pairs(points: DataFrame, key: str, metres: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def close_pairs(points: DataFrame, key: str, metres: float, lat: str = "lat", lon: str = "lon", by: Column | None = None) -> DataFrame:
     """Unordered pairs of rows at most so many planar metres apart, once each: all columns as a_* and b_*, and metres.
 
-    One side is repeated for the cells around it; both sides are shuffled by cell.
+    One side is repeated for the cells around it; both sides are shuffled by cell. by: pairs have equal values of it too, and
+    rows where it is null have none. It is a key of the join, so a crowded cell makes only the pairs that agree.
     """
     row = points.withColumn("cy", F.floor(F.col(lat) * (PLANE_M_PER_LAT / metres))).withColumn("cx", F.floor(F.col(lon) * (PLANE_M_PER_LON / metres)))
-    a = row.select("cy", "cx", *[F.col(c).alias(f"a_{c}") for c in points.columns])
+    agree = [] if by is None else ["_by"]
+    row = row if by is None else row.withColumn("_by", by).where("_by is not null")
+    a = row.select("cy", "cx", *agree, *[F.col(c).alias(f"a_{c}") for c in points.columns])
     around = F.explode(F.array(*[F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    b = row.select(around.alias("c"), *[F.col(c).alias(f"b_{c}") for c in points.columns]).select("c.*", *[f"b_{c}" for c in points.columns])
+    b = row.select(around.alias("c"), *agree, *[F.col(c).alias(f"b_{c}") for c in points.columns]).select("c.*", *agree, *[f"b_{c}" for c in points.columns])
     apart = planar(F.col(f"a_{lat}"), F.col(f"a_{lon}"), F.col(f"b_{lat}"), F.col(f"b_{lon}"))
-    met = a.join(b.hint("merge"), ["cy", "cx"]).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    return met.drop("cy", "cx").withColumn("metres", apart).where(F.col("metres") <= metres)
+    met = a.join(b.hint("merge"), ["cy", "cx", *agree]).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+    return met.drop("cy", "cx", *agree).withColumn("metres", apart).where(F.col("metres") <= metres)
 
 
 def segments(vertices: DataFrame, route: str = "route_id", seq: str = "seq") -> DataFrame:
@@ -142,14 +145,14 @@ def at_progress(targets: DataFrame, segs: DataFrame, route: str = "route_id", ta
     lat, lon = (F.col(f"a_{x}") + (F.col(f"b_{x}") - F.col(f"a_{x}")) * t for x in ("lat", "lon"))
     place = F.struct("seq", lat.alias("lat"), lon.alias("lon"))
     end = F.struct("seq", F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon"))
-    met = targets.join(segs, route)
+    met = targets.join(segs.hint("merge"), route)
     found = met.groupBy(*targets.columns).agg(F.coalesce(F.min(F.when(hit, place)), F.max(end)).alias("p"))
     return found.select(*targets.columns, "p.lat", "p.lon")
 
 
 def slice_route(spans: DataFrame, segs: DataFrame, route: str = "route_id") -> DataFrame:
     """The part of the route from from_m to to_m as an array of points, clipped at both ends, without repeated points."""
-    met = spans.join(segs, route).where("start_m + length_m >= from_m and start_m <= to_m and length_m > 0")
+    met = spans.join(segs.hint("merge"), route).where("start_m + length_m >= from_m and start_m <= to_m and length_m > 0")
     at = lambda x, m: F.col(f"a_{x}") + (F.col(f"b_{x}") - F.col(f"a_{x}")) * ((m - F.col("start_m")) / F.col("length_m"))
     lo, hi = F.greatest("start_m", "from_m"), F.least(F.col("start_m") + F.col("length_m"), F.col("to_m"))
     ends = F.array(*[F.struct(F.col("seq"), F.lit(k).alias("k"), at("lat", m).alias("lat"), at("lon", m).alias("lon")) for k, m in ((0, lo), (1, hi))])

@@ -85,7 +85,7 @@ MAX_LATITUDE = 36.0
 #: What an address of the area has in it.
 WARD = "inner"
 #: Points of interest whose gaps are worked out in one pass.
-GAP_KINDS = ("strict", "rest", "water", "indoor", "near_toilet", "inside", "confirmed")
+GAP_KINDS = ("strict", "rest", "water", "indoor", "near_toilet", "confirmed")
 
 
 class Tables:
@@ -184,10 +184,10 @@ class Tables:
         """The gaps of each of GAP_KINDS along each route, in one pass. Water and indoor points count whatever their confidence."""
 
         def make() -> DataFrame:
-            strict, kind, end = F.col("confidence").isin("confirmed", "supported"), F.col("kind"), F.col("stated_m")
+            strict, kind = F.col("confidence").isin("confirmed", "supported"), F.col("kind")
             rest = strict & (kind != "water")
             near = (kind == "toilet") & (F.col("distance_m") <= routes.TOILET_M)
-            belongs = (strict, rest, kind == "water", kind == "indoor", near, strict & (F.col("position_m") > 0) & (F.col("position_m") < end), rest & (F.col("confidence") == "confirmed"))
+            belongs = (strict, rest, kind == "water", kind == "indoor", near, rest & (F.col("confidence") == "confirmed"))
             kinds = F.explode(routes.present(*[F.when(c, n) for n, c in zip(GAP_KINDS, belongs, strict=True)])).alias("poi")
             positions = self.placed.select("route_id", "facility_id", "position_m", kinds)
             every = self.routes.select("route_id", "stated_m", F.explode(F.array(*map(F.lit, GAP_KINDS))).alias("poi"))
@@ -242,7 +242,9 @@ class Tables:
 
     @property
     def largest(self) -> DataFrame:
-        return self.once("largest", lambda: linear.two_largest(self.gaps_of("inside"), ["route_id"]).join(self.routes.select("route_id", "stated_m").hint("merge"), "route_id"))
+        """The two largest gaps of each route between strict points that aren't at its ends."""
+        inside = self.strict.where("position_m > 0 and position_m < stated_m").select("route_id", "facility_id", "position_m")
+        return self.once("largest", lambda: linear.two_largest(linear.gaps(inside, self.routes), ["route_id"]).join(self.routes.select("route_id", "stated_m").hint("merge"), "route_id"))
 
     @property
     def pool(self) -> DataFrame:
@@ -299,7 +301,7 @@ class Tables:
 
         def make() -> DataFrame:
             places = self.groups.select("facility_id").join(self.anomalies.hint("merge"), "facility_id", "left_anti")
-            possible = self.placed.join(places.hint("merge"), "facility_id", "left_semi").drop("stated_m", "length_m")
+            possible = self.placed.where("confidence = 'possible'").join(places.hint("merge"), "facility_id", "left_semi").drop("stated_m", "length_m")
             return staged(candidates.route_metrics(linear.insertion_gain(possible, self.largest)), "metrics")
 
         return self.once("metrics", make)

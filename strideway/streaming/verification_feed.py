@@ -1,27 +1,34 @@
-"""Verification records as a stream: the latest of each candidate, kept in a table that each batch replaces."""
+"""Verification records as a stream: each batch adds its latest records to a table, and a reader takes the latest of all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from strideway.operators.verify import latest
 
-
-def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The latest record of each candidate over what is held and what has come; the same batch twice changes nothing."""
-    return latest(batch if state is None else state.unionByName(batch.select(*state.columns)))
+#: The batch that a compacted table begins with; those of a stream come after it.
+COMPACTED = -1
 
 
 def keep_latest(records: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Run the stream of valid, typed records; version N of the table is written to folder/N by batch N.
+    """Run the stream of valid, typed records; batch N writes the last record of each of its candidates to folder/batch=N.
 
-    A batch reads the version before its own, so one that is repeated after a failure writes the same rows again.
+    A batch reads and writes its own rows only, however much the table holds. One that is repeated after a failure writes its
+    own part again.
     """
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{folder}/{number - 1}") if number else None
-        fold(state, batch).write.mode("overwrite").parquet(f"{folder}/{number}")
+    def add(batch: DataFrame, number: int) -> None:
+        latest(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest record of each candidate over all batches: the last of the last ones, in whatever order they came."""
+    return latest(spark.read.parquet(folder).drop("batch"))
+
 
-    return records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact(spark: SparkSession, folder: str, target: str) -> None:
+    """Write the current records as the first part of another table; a new stream may go on there."""
+    current(spark, folder).write.mode("overwrite").parquet(f"{target}/batch={COMPACTED}")

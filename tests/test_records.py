@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideway.functions import text
-from strideway.operators import candidates, cluster, ingest, verify
+from strideway.operators import candidates, cluster, ingest, spatial, verify
 from strideway.sources import readers, writers
 
 
@@ -40,6 +40,33 @@ def test_clusters_are_transitive_and_do_not_depend_on_order(spark):
         assert {r["id"]: r["place_id"] for r in cluster.cluster_places(t, "id", "name", "address").collect()} == want
 
 
+def test_clusters_agree_with_all_pairs_and_crowded_coordinates_make_none(spark):
+    rng = random.Random(3)
+    spots = [(35.0 + rng.randrange(40) * 2e-5, 139.0 + rng.randrange(3) * 4e-6) for _ in range(40)]
+    rows = [(i, rng.choice(["", "x", "y", "z", None]), rng.choice(["", "p", "q", None]), *(spots[0] if i % 3 == 0 else rng.choice(spots))) for i in range(150)]
+    rows += [(200, "x", "p", None, 139.0), (201, "x", "p", float("nan"), 139.0), (202, "x", "p", float("nan"), 139.0), (203, "x", "p", float("inf"), 139.0), (204, "x", "p", float("inf"), 139.0)]
+    table = spark.createDataFrame(rows, "id long, name string, address string, lat double, lon double")
+    finite = table.where("id < 203")
+    pairs = spatial.close_pairs(finite, "id", 10.0).collect()
+    place = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for p in pairs:
+            if p["metres"] <= 1 or any(p[f"a_{c}"] and p[f"a_{c}"] == p[f"b_{c}"] for c in ("name", "address")):
+                place[p["a_id"]] = place[p["b_id"]] = min(place[p["a_id"]], place[p["b_id"]])
+    members = cluster.cluster_places(table, "id", "name", "address")
+    assert {r["id"]: r["place_id"] for r in members.collect()} == place
+    # a third of all rows at one coordinate, and no text is on so many pairs as they would make
+    edges = cluster.edges_at(table, "id").count() + sum(cluster.edges_near(cluster.spots(table, "id", c), 10.0, cluster.known(c)).count() for c in ("name", "address"))
+    assert edges < len(pairs) / 3
+    far = {(p["a_id"], p["b_id"]) for p in spatial.close_pairs(finite, "id", 25.0).collect() if place[p["a_id"]] != place[p["b_id"]]}
+    got = [(r["a_id"], r["b_id"]) for r in cluster.ambiguous_pairs(table, members, "id").collect()]
+    assert set(got) == far and len(got) == len(far)
+    own = finite.withColumn("dataset", F.col("id") % 2)
+    want = {(p["a_id"], p["b_id"]): "same_name" if p["a_name"] and p["a_name"] == p["b_name"] else "same_address" for p in spatial.close_pairs(own, "id", 25.0).collect() if p["a_dataset"] != p["b_dataset"] and any(p[f"a_{c}"] and p[f"a_{c}"] == p[f"b_{c}"] for c in ("name", "address"))}
+    got = [((r["a_id"], r["b_id"]), r["reason"]) for r in cluster.duplicates_across(own, "id", "dataset", "name", address="address").collect()]
+    assert dict(got) == want and len(got) == len(want)
+
+
 def test_same_facility_and_anomalies(spark):
     rows = [(1, "a", "Tokyo 1-2-3 East", 35.0, 139.0), (2, "b", "Tokyo 1-2-3 East 4F", 35.0001, 139.0), (3, "a", "", 35.00012, 139.0), (4, "c", "short", 35.0, 139.0), (5, "d", "shorter", 35.0, 139.0)]
     table = spark.createDataFrame(rows, "id long, name string, address string, lat double, lon double")

@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from strideway.streaming.verification_feed import keep_latest
+from strideway.streaming.verification_feed import compact, current, keep_latest
 
 SCHEMA = "candidate_id string, verification_id string, verified_at timestamp, seating boolean"
 
@@ -11,5 +11,9 @@ def test_batches_fold_into_the_latest(spark, tmp_path):
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         keep_latest(spark.readStream.schema(SCHEMA).parquet(source), folder, str(tmp_path / "check")).awaitTermination()
-    got = {r["candidate_id"]: r["verification_id"] for r in spark.read.parquet(f"{folder}/{n}").collect()}
-    assert got == {"c1": "v0", "c2": "v3", "c3": "v4"}
+    want = {"c1": "v0", "c2": "v3", "c3": "v4"}
+    assert n == 1 and {r["candidate_id"]: r["verification_id"] for r in current(spark, folder).collect()} == want
+    assert {r["candidate_id"] for r in spark.read.parquet(f"{folder}/batch=1").collect()} == {"c1", "c2", "c3"}
+    compact(spark, folder, folder + "-small")
+    kept = current(spark, folder + "-small")
+    assert kept.columns == current(spark, folder).columns and {r["candidate_id"]: r["verification_id"] for r in kept.collect()} == want
