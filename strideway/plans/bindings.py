@@ -137,12 +137,21 @@ class Tables:
     def segments(self) -> DataFrame:
         return self.once("segments", lambda: spatial.segments(self.vertices))
 
+    @property
+    def stored_segments(self) -> DataFrame:
+        """Segments written out, for what reads them more than once."""
+        return self.once("stored_segments", lambda: staged(self.segments, "segments"))
+
+    @property
+    def stored_facilities(self) -> DataFrame:
+        return self.once("stored_facilities", lambda: staged(self.facilities, "facilities"))
+
     @property
     def routes(self) -> DataFrame:
         """Routes three to a request, with stated length and time, and the wishes of the request."""
         if "routes" in self.made:
             return self.made["routes"]
-        own = spatial.route_lengths(self.segments).withColumn("stated_m", F.floor(F.col("length_m") + 0.5).cast("double"))
+        own = spatial.route_lengths(self.stored_segments).withColumn("stated_m", F.floor(F.col("length_m") + 0.5).cast("double"))
         own = own.withColumn("seconds", F.col("stated_m") / 1.2).withColumn("minutes", F.greatest(F.lit(1.0), F.floor(F.col("stated_m") / 72 + 0.5).cast("double")))
         group = F.floor(F.col("route_id") / 3).cast("long")
         own = own.withColumns(
@@ -164,8 +173,8 @@ class Tables:
         """Facilities on the routes within reach, with position_m on the stated scale and their own columns."""
 
         def make() -> DataFrame:
-            near = spatial.project_points(self.facilities, self.segments, routes.REST_M, max_latitude=MAX_LATITUDE)
-            return staged(linear.on_stated_scale(near, self.routes).join(self.facilities.drop("lat", "lon").hint("merge"), "facility_id"), "placed")
+            near = spatial.project_points(self.stored_facilities, self.stored_segments, routes.REST_M, max_latitude=MAX_LATITUDE)
+            return staged(linear.on_stated_scale(near, self.routes).join(self.stored_facilities.drop("lat", "lon", "name", "address").hint("merge"), "facility_id"), "placed")
 
         return self.once("placed", make)
 
@@ -249,7 +258,7 @@ class Tables:
     @property
     def pool(self) -> DataFrame:
         """Possible places of the area that could become rest points, with normalised name and address."""
-        own = self.facilities.withColumns({f"match_{c}": ascii_match_text(F.col(c), STRIPPED_FOR_FACILITIES) for c in ("name", "address")})
+        own = self.stored_facilities.withColumns({f"match_{c}": ascii_match_text(F.col(c), STRIPPED_FOR_FACILITIES) for c in ("name", "address")})
         own = own.withColumn("possible", (F.col("confidence") == "possible") & (F.col("kind") != "water") & F.contains("address", F.lit(WARD)))
         return self.once("pool", lambda: own.withColumn("strict", F.col("confidence").isin("confirmed", "supported")))
 
@@ -283,7 +292,7 @@ class Tables:
 
         def make() -> DataFrame:
             rules = {"restricted": "^HOUSEHOLD", "outdoor": "^BUILDING", "service": "^MACHINERY", "hospitality": "^AUTOMOBILE"}
-            of = self.members.join(self.facilities.select("facility_id", "dataset").hint("merge"), "facility_id")
+            of = self.members.join(self.stored_facilities.select("facility_id", "dataset").hint("merge"), "facility_id")
             of = of.groupBy(F.col("place_id").alias("facility_id")).agg(F.count("*").cast("int").alias("group_size"), F.array_sort(F.collect_set("dataset")).alias("datasets"))
             own = of.join(self.pool.drop("dataset").hint("merge"), "facility_id").withColumn("source_quality", candidates.source_quality(F.col("datasets")))
             return staged(candidates.classify(own, F.col("segment"), F.col("datasets"), rules), "groups")
