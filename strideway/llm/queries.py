@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_packing, op2_url_filter, op3_jaccard, op4_substring, op5_mixing, op6_quality, op7_line_dedup, op8_language, op9_exact_dedup, op10_token_files
+from . import (
+    op1_packing,
+    op2_url_filter,
+    op3_jaccard,
+    op4_substring,
+    op5_mixing,
+    op6_quality,
+    op7_line_dedup,
+    op8_language,
+    op9_exact_dedup,
+    op10_token_files,
+    op11_phrases,
+    op12_simhash,
+    op13_spelling,
+)
 from .common import table
 
 
@@ -63,6 +77,18 @@ def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_files.read_token_files(spark, uri)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrases.collocations(table(spark, sf_dir, "documents")).drop("n_left", "n_right")
+
+
+def op12_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filters": op2_url_filters,
@@ -74,6 +100,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup_query,
     "op10_token_files": op10_token_files_query,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_simhash_near_dedup": op12_simhash_query,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -143,9 +172,26 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
+OP11_SQL = rf"""
+WITH pieces AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),
+n AS (SELECT lang, count(*) AS n FROM places GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+candidates AS MATERIALIZED (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS c FROM candidates),
+scored AS (SELECT c.lang, c.phrase, c.a, min({{'score': (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f), 'c': c.c, 'l': x.f, 'r': y.f}}) AS s FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.c], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.c + 1:], ' ') GROUP BY ALL),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a AS longer FROM (SELECT lang, w, a, size, m, unnest(range(1, size - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < size)),
+left_in AS (SELECT s.* FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100::HUGEINT * i.longer >= 80::HUGEINT * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s.score DESC, a DESC, phrase) AS rank FROM left_in)
+SELECT lang, rank, phrase, a, s.l AS l, s.r AS r, n, s.score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
     "op3_jaccard_join": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_phrase_collocations": OP11_SQL,
 }
