@@ -14,6 +14,12 @@ STRIPPED_FOR_RECORDS = r"[\s　・,，.。()（）-]"
 STRIPPED_FOR_FACILITIES = r"[\s　・,，、()（）]"
 YES, NO = ("有", "○"), ("無", "×")
 WEEKDAY_SEPARATOR = " / "
+#: What is taken off the ends of a text: the white space and line ends of Unicode, and the byte order mark.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACES))
 
 
 @F.pandas_udf(StringType())
@@ -32,31 +38,31 @@ def ascii_match_text(c: Column, stripped: str = STRIPPED_FOR_RECORDS) -> Column:
 
 
 def nullable(c: Column, null_word: str | None = None) -> Column:
-    """Trimmed text; blank (or null_word) is null."""
-    t = F.trim(c)
+    """Trimmed text; blank (or exactly null_word) is null."""
+    t = trimmed(c)
     out = F.nullif(t, F.lit(""))
-    return F.when(F.lower(t) != null_word, out) if null_word else out
+    return F.nullif(out, F.lit(null_word)) if null_word else out
 
 
 def mark(c: Column) -> Column:
     """有 or ○ is true, 無 or × false, anything else unknown."""
-    t = F.trim(c)
+    t = trimmed(c)
     return F.when(t.isin(*YES), True).when(t.isin(*NO), False)
 
 
 def tristate(c: Column) -> Column:
-    """true and false in any case; anything else is null. What is neither blank nor `null` is an error."""
-    t = F.lower(F.trim(c))
+    """Exactly true or false; anything else is null. What is neither of them, nor blank, nor exactly `null`, is an error."""
+    t = trimmed(c)
     return F.when(t == "true", True).when(t == "false", False)
 
 
 def tristate_invalid(c: Column) -> Column:
-    return ~F.coalesce(F.lower(F.trim(c)), F.lit("")).isin("true", "false", "null", "")
+    return ~F.coalesce(trimmed(c), F.lit("")).isin("true", "false", "null", "")
 
 
 def number(c: Column) -> Column:
     """A plain decimal number, or null; the guard keeps out NaN, Infinity and type suffixes."""
-    t = F.trim(c)
+    t = trimmed(c)
     return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
 
 
@@ -85,8 +91,8 @@ def hours_between(start: Column, end: Column, note: Column) -> Column:
 
 
 def instant(c: Column) -> Column:
-    """An ISO date and time with an offset, on a real calendar day; anything else is null."""
-    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)?(Z|[+-]\d{2}:\d{2})$"
+    """An ISO date and time with seconds and an offset, on a real calendar day; anything else is null."""
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,3})?(Z|[+-]\d{2}:\d{2})$"
     return F.when(c.rlike(shape), F.try_to_timestamp(c))
 
 
@@ -94,7 +100,7 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(ts, F.expr("current_timezone()")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def evidence_ok(c: Column, urn_prefix: str = "urn:") -> Column:
+def evidence_ok(c: Column, urn_prefix: str) -> Column:
     """No reference at all, one under urn_prefix, or an https address."""
     return c.isNull() | c.startswith(urn_prefix) | F.coalesce(F.try_parse_url(c, F.lit("PROTOCOL")) == "https", F.lit(False))
 

@@ -37,7 +37,7 @@ def same_text(column: str) -> Column:
 
 def known(column: str) -> Column:
     """The text, null where it is blank."""
-    return F.nullif(column, F.lit(""))
+    return F.nullif(F.col(column), F.lit(""))
 
 
 def spots(records: DataFrame, key: str, *also: str) -> DataFrame:
@@ -125,10 +125,10 @@ def groups_by(records: DataFrame, key: str, by: list[Column], least: int = 2) ->
 
 
 def coordinate_anomalies(groups: DataFrame, key: str, name: str, address: str, places: int = 6, least: int = 3) -> DataFrame:
-    """The rows at one rounded coordinate where at least so many groups, names and addresses meet."""
+    """The rows at one rounded coordinate where at least so many groups, names and addresses meet; blank ones don't count."""
     f = float(10**places)
     at = groups.withColumn("lat_r", F.floor(F.col("lat") * f + 0.5)).withColumn("lon_r", F.floor(F.col("lon") * f + 0.5))
-    odd = at.groupBy("lat_r", "lon_r").agg(F.count_distinct(key).alias("k"), F.count_distinct(name).alias("n"), F.count_distinct(address).alias("a"))
+    odd = at.groupBy("lat_r", "lon_r").agg(F.count_distinct(key).alias("k"), F.count_distinct(known(name)).alias("n"), F.count_distinct(known(address)).alias("a"))
     odd = odd.where((F.col("k") >= least) & (F.col("n") >= least) & (F.col("a") >= least)).select("lat_r", "lon_r")
     return at.join(odd.hint("merge"), ["lat_r", "lon_r"])
 

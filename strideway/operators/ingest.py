@@ -48,6 +48,9 @@ class Shape:
     address: tuple[str, ...] = ()
     #: Columns of marks (yes or no signs), by the name they get; any that a source lacks is unknown.
     marks: tuple[tuple[str, str], ...] = ()
+    #: Whether rows outside the country's area are no records (toilets), and the name of places that have none (water).
+    in_area: bool = True
+    nameless: str | None = None
 
 
 MARKS = ("seating", "water", "wheelchair")
@@ -62,7 +65,8 @@ def normalised(rows: DataFrame, shape: Shape) -> DataFrame:
     of = lambda names: either(*map(F.col, names)) if names else F.lit(None).cast("string")
     more = {m: mark(F.col(marks[m])) if m in marks else F.lit(None).cast("boolean") for m in MARKS}
     own = rows.withColumn("dataset", F.lit(shape.dataset))
-    own = typed_records(own, of(shape.lat), of(shape.lon), of(shape.record_id), of(shape.name), address=of(shape.address), **more)
+    name = F.coalesce(of(shape.name), F.lit(shape.nameless)) if shape.nameless else of(shape.name)
+    own = typed_records(own, of(shape.lat), of(shape.lon), of(shape.record_id), name, shape.in_area, address=of(shape.address), **more)
     return own.withColumn("category", F.lit(shape.category)).withColumn("record_id", F.concat("dataset", F.lit(":"), "record_id"))
 
 
@@ -75,8 +79,8 @@ def reject_counts(records: DataFrame) -> DataFrame:
     return records.where("problem is not null").groupBy("dataset", "problem").agg(F.count("*").alias("n"))
 
 
-#: The reasons of record_problem, in its order.
-PROBLEMS = ("coordinate_blank", "coordinate_not_numeric", "coordinate_out_of_area", "id_or_name_blank")
+#: The reasons why a row is no record, in the order in which they are asked.
+PROBLEMS = ("coordinate_blank", "coordinate_not_numeric", "coordinate_out_of_area", "id_or_name_blank", "name_blank")
 
 
 def reject_profile(records: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def manifest(records: DataFrame, snapshots: DataFrame, datasets: DataFrame, prev
     snapshots: dataset, byte_size, content_sha256; datasets: dataset and what describes it.
     """
     counts = records.groupBy("dataset").agg(F.count_if(F.col("problem").isNull()).alias("n_records"), F.count_if(F.col("problem").isNotNull()).alias("n_rejected"))
-    rows = datasets.join(snapshots, "dataset").join(counts, "dataset", "left").withColumn("retrieved_at", retrieved_at)
+    rows = datasets.join(snapshots.hint("merge"), "dataset").join(counts.hint("merge"), "dataset", "left").withColumn("retrieved_at", retrieved_at)
     rows = rows.fillna(0, ["n_records", "n_rejected"])
     if previous is not None:
         rows = retained(rows, previous)
@@ -132,7 +136,7 @@ def manifest(records: DataFrame, snapshots: DataFrame, datasets: DataFrame, prev
 def retained(rows: DataFrame, previous: DataFrame) -> DataFrame:
     """rows with the previous retrieved_at where the content is the same as then."""
     old = previous.select("dataset", "content_sha256", F.col("retrieved_at").alias("_was"))
-    return rows.join(old, ["dataset", "content_sha256"], "left").withColumn("retrieved_at", F.coalesce("_was", "retrieved_at")).drop("_was")
+    return rows.join(old.hint("merge"), ["dataset", "content_sha256"], "left").withColumn("retrieved_at", F.coalesce("_was", "retrieved_at")).select(*rows.columns)
 
 
 def longest_prefix(ids: DataFrame, datasets: DataFrame, key: str = "source_id") -> DataFrame:
@@ -142,5 +146,5 @@ def longest_prefix(ids: DataFrame, datasets: DataFrame, key: str = "source_id")
     """
     parts = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.when(F.substring(key, i + 1, F.lit(1)).isin(":", "-", ""), F.substring(key, F.lit(1), i)))
     rows = ids.select(key, F.explode_outer(F.filter(parts, lambda p: p.isNotNull())).alias("_p"))
-    met = rows.join(datasets.select(F.col("dataset").alias("_p"), F.col("dataset")), "_p", "left")
+    met = rows.join(datasets.select(F.col("dataset").alias("_p"), F.col("dataset")).hint("merge"), "_p", "left")
     return met.groupBy(key).agg(F.max_by("dataset", F.when(F.col("dataset").isNotNull(), F.length("dataset"))).alias("dataset"))

@@ -186,7 +186,7 @@ def request_problem(requests: DataFrame, south: float = 35.0, north: float = 36.
 
 
 def request_key(version: str = "v1") -> Column:
-    """One hash for requests that a router would answer alike: coordinates to 5 places, and the options."""
+    """One hash for requests that a router answers alike: those of equal coordinates to 5 places. What the walker wishes of the
+    routes is judged afterwards and isn't in it."""
     micro = [F.floor(F.col(c) * 1e5 + 0.5).cast("long").cast("string") for c in ("from_lat", "from_lon", "to_lat", "to_lon")]
-    flags = [F.col(c).cast("string") for c in ("limit_minutes", "avoid_steep")]
-    return F.sha2(F.concat_ws("|", F.lit(version), *micro, *flags), 256)
+    return F.sha2(F.concat_ws("|", F.lit(version), *micro), 256)

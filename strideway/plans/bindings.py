@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.functions.text import STRIPPED_FOR_FACILITIES, ascii_match_text
-from strideway.operators import candidates, cluster, ingest, linear, routes, spatial
+from strideway.operators import candidates, cluster, ingest, linear, normalise, routes, spatial
+from strideway.sources import numbered
 from strideway.sources.staging import staged
 
 ROUTE_VERTEX = """
@@ -52,15 +53,18 @@ SELECT CASE WHEN event_id % 41 = 0 THEN '' WHEN event_id % 23 = 0 THEN concat('f
   CASE WHEN event_id % 31 = 0 THEN NULL ELSE concat('place ', CAST(user_id AS STRING)) END AS name,
   CASE WHEN event_id % 29 = 0 THEN 'abc' WHEN event_id % 59 = 0 THEN '61.5' ELSE concat('35.', CAST(60000 + event_id % 9000 AS STRING)) END AS lat,
   CASE WHEN event_id % 61 = 0 THEN '' ELSE concat('139.', CAST(60000 + event_id % 9000 AS STRING)) END AS lon,
-  CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 43 = 0 THEN '2026-02-30T10:00:00Z' ELSE concat('2026-0', CAST(1 + event_id % 9 AS STRING), '-1', CAST(event_id % 10 AS STRING), 'T0', CAST(user_id % 10 AS STRING), ':15:00Z') END AS verified_at,
-  CASE event_id % 5 WHEN 0 THEN 'on_site' WHEN 1 THEN 'combined' WHEN 2 THEN 'phone' WHEN 3 THEN '' ELSE 'hearsay' END AS method,
-  CASE event_id % 3 WHEN 0 THEN 'https://example.org/e' WHEN 1 THEN '' ELSE 'http://example.org/e' END AS evidence,
+  CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 47 = 0 THEN 'null' WHEN event_id % 67 = 0 THEN '2026-02-03T10:00Z' WHEN event_id % 43 = 0 THEN '2026-02-30T10:00:00Z' ELSE concat('2026-0', CAST(1 + event_id % 9 AS STRING), '-1', CAST(event_id % 10 AS STRING), 'T0', CAST(user_id % 10 AS STRING), ':15:00Z') END AS verified_at,
+  CASE event_id % 5 WHEN 0 THEN 'on_site_observation' WHEN 1 THEN 'combined_on_site_and_official' WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 'staff_confirmation' ELSE 'official_source_review' END WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '' END ELSE 'hearsay' END AS method,
+  CASE event_id % 6 WHEN 0 THEN 'https://example.org/e' WHEN 1 THEN '' WHEN 2 THEN 'http://example.org/e' WHEN 3 THEN 'urn:strideway:note-1' WHEN 4 THEN 'null' ELSE 'urn:other:note' END AS evidence,
   CASE WHEN event_id % 7 = 0 THEN '' ELSE 'walker' END AS verifier,
-  CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' WHEN 2 THEN '' ELSE 'null' END AS publicly_accessible,
+  CASE WHEN event_id % 71 = 0 THEN 'FALSE' WHEN event_id % 73 = 0 THEN 'NULL' WHEN event_id % 4 = 0 THEN 'true' WHEN event_id % 4 = 1 THEN 'false' WHEN event_id % 4 = 2 THEN '' ELSE 'null' END AS publicly_accessible,
   CASE event_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'maybe' ELSE 'true' END AS seating,
   'true' AS covered, '' AS water, 'false' AS toilet, CASE WHEN event_id % 53 = 0 THEN 'yes' ELSE 'true' END AS wheelchair
+  , row_number
 FROM events
 """
+#: The prefix of references that the records of this binding may give.
+EVIDENCE = "urn:strideway:"
 #: The datasets that the records of one brand stand for.
 RAW_RECORD = """
 SELECT p_brand AS dataset, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN 'north' WHEN p_partkey % 23 = 0 THEN '10.5' ELSE CAST(35 + p_size AS STRING) END AS lat,
@@ -71,12 +75,12 @@ FROM part
 SOURCES = {
     "toilets": """SELECT CAST(p_partkey AS STRING) AS id, p_name AS title, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE CAST(35 + p_size AS STRING) END AS y, '139.7' AS x, p_type AS place, CASE p_partkey % 4 WHEN 0 THEN '○' WHEN 1 THEN '×' WHEN 2 THEN '有' ELSE '' END AS wide FROM part""",
     "facilities": """SELECT CAST(c_custkey AS STRING) AS no, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '35.6' END AS y, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '139.7' END AS x, CASE WHEN c_custkey % 6 = 0 THEN '35.5' ELSE '' END AS y_fixed, CASE WHEN c_custkey % 6 = 0 THEN '139.5' ELSE '' END AS x_fixed, c_mktsegment AS city, CASE WHEN c_custkey % 2 = 0 THEN '有' ELSE '無' END AS seats FROM customer""",
-    "stations": """SELECT CAST(s_suppkey AS STRING) AS id, s_name AS title, CASE WHEN s_suppkey % 7 = 0 THEN 'abc' ELSE '35.65' END AS y, CASE WHEN s_suppkey % 5 = 0 THEN '10' ELSE '139.75' END AS x FROM supplier""",
+    "stations": """SELECT CAST(s_suppkey AS STRING) AS id, CASE WHEN s_suppkey % 11 = 0 THEN ' ' ELSE s_name END AS title, CASE WHEN s_suppkey % 7 = 0 THEN 'abc' ELSE '35.65' END AS y, CASE WHEN s_suppkey % 5 = 0 THEN '10' ELSE '139.75' END AS x FROM supplier""",
 }
 SHAPES = (
     ingest.Shape("toilets", "public_toilet", ("y",), ("x",), ("id",), ("title",), ("place",), (("wheelchair", "wide"),)),
-    ingest.Shape("facilities", "public_facility", ("y", "y_fixed"), ("x", "x_fixed"), ("no",), ("title",), ("city",), (("seating", "seats"),)),
-    ingest.Shape("stations", "drinking_station", ("y",), ("x",), ("id",), ("title",)),
+    ingest.Shape("facilities", "public_facility", ("y", "y_fixed"), ("x", "x_fixed"), ("no",), ("title",), ("city",), (("seating", "seats"),), in_area=False),
+    ingest.Shape("stations", "drinking_station", ("y",), ("x",), ("id",), ("title",), in_area=False, nameless=normalise.NAMELESS_WATER),
 )
 
 
@@ -123,7 +127,9 @@ class Tables:
 
     @property
     def verifications(self) -> DataFrame:
-        return self.once("verifications", lambda: self.bound(VERIFICATION, "events"))
+        """Each row with its place in the events' file, as if a heading stood in its first line."""
+        numbered_events = lambda: numbered.numbered(self.raw("events"), first=2)
+        return self.once("verifications", lambda: self.spark.sql(VERIFICATION.replace("FROM events", "FROM {events}"), events=numbered_events()))
 
     @property
     def raw_records(self) -> DataFrame:

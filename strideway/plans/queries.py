@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import rounded
-from strideway.operators import candidates, cluster, ingest, linear, routes, spatial, verify
+from strideway.operators import candidates, cluster, ingest, linear, ranks, routes, spatial, verify
 from strideway.plans import bindings as b
 from strideway.plans.bindings import Tables
 from strideway.sources import writers
@@ -34,7 +34,7 @@ CTES = {
     "facility": b.FACILITY,
     "record": b.TOILET_RECORD,
     "request": b.REQUEST,
-    "verification": b.VERIFICATION,
+    "verification": b.VERIFICATION.replace("FROM events", "FROM (SELECT *, event_id + 2 AS row_number FROM events)"),
     "raw_record": b.RAW_RECORD,
     "seg": """SELECT *, coalesce(sum(length_m) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m FROM (
   SELECT *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b_lat - a_lat) / 2), 2) + cos(radians(a_lat)) * cos(radians(b_lat)) * pow(sin(radians(b_lon - a_lon) / 2), 2))) AS length_m FROM (
@@ -92,7 +92,7 @@ CTES = {
   WHEN len(list_intersect(ds, ['shinjuku-public-facilities', 'daredemo-public_facilities', 'daredemo-transport'])) > 0 THEN 'official_public_access' WHEN list_contains(ds, 'daredemo-accommodation') OR segment LIKE 'AUTOMOBILE%' THEN 'private_hospitality'
   WHEN len(list_intersect(ds, ['daredemo-shopping', 'daredemo-dining', 'daredemo-leisure'])) > 0 THEN 'commercial_facility' ELSE 'uncertain_facility' END AS category
   FROM (SELECT place_id, count(*) AS n, list(DISTINCT dataset) AS ds FROM mem JOIN facility USING (facility_id) GROUP BY 1) g JOIN fac f ON f.facility_id = place_id) JOIN policy USING (category)""",
-    "anomaly": """SELECT facility_id FROM grp JOIN (SELECT floor(lat * 1e6 + 0.5) AS y, floor(lon * 1e6 + 0.5) AS x FROM grp GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT match_name) >= 3 AND count(DISTINCT match_address) >= 3) o ON floor(lat * 1e6 + 0.5) = y AND floor(lon * 1e6 + 0.5) = x""",
+    "anomaly": """SELECT facility_id FROM grp JOIN (SELECT floor(lat * 1e6 + 0.5) AS y, floor(lon * 1e6 + 0.5) AS x FROM grp GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT nullif(match_name, '')) >= 3 AND count(DISTINCT nullif(match_address, '')) >= 3) o ON floor(lat * 1e6 + 0.5) = y AND floor(lon * 1e6 + 0.5) = x""",
     "gain": """SELECT *, greatest(0, longest_m - improved_m) AS gross_m FROM (SELECT p.facility_id, p.route_id, p.distance_m, p.position_m, p.segment, t.longest_m,
   CASE WHEN position_m > 0 AND position_m < stated_m AND position_m > gap_start_m AND position_m < gap_end_m THEN greatest(second_m, position_m - gap_start_m, gap_end_m - position_m) ELSE longest_m END AS improved_m
   FROM placed p JOIN top t ON t.route_id = p.route_id AND t.kind = 'inside' WHERE p.facility_id IN (SELECT facility_id FROM grp) AND p.facility_id NOT IN (SELECT facility_id FROM anomaly))""",
@@ -127,11 +127,13 @@ CTES = {
   reach(v, c) AS (SELECT record_id, record_id FROM record UNION SELECT reach.v, both_ways.b FROM reach JOIN both_ways ON reach.c = both_ways.a) SELECT * FROM reach) GROUP BY 1""",
     "checked": """SELECT *, list_sort(list_filter([CASE WHEN vid IS NULL THEN 'missing_verification_id' END, CASE WHEN vid IS NOT NULL AND copies > 1 THEN 'duplicate_verification_id' END, CASE WHEN cid IS NULL THEN 'missing_candidate_id' END,
   CASE WHEN cid IS NOT NULL AND known IS NULL THEN 'unknown_candidate_id' END, CASE WHEN trim(coalesce(name, '')) = '' THEN 'missing_name' END, CASE WHEN coalesce(try_cast(lat AS DOUBLE), 0) NOT BETWEEN 20 AND 50 THEN 'invalid_latitude' END, CASE WHEN coalesce(try_cast(lon AS DOUBLE), 0) NOT BETWEEN 120 AND 155 THEN 'invalid_longitude' END,
-  CASE WHEN verified_at <> '' AND try_cast(verified_at AS TIMESTAMPTZ) IS NULL THEN 'invalid_verified_at' END, CASE WHEN method = 'hearsay' THEN 'invalid_verification_method' END, CASE WHEN evidence LIKE 'http:%' THEN 'invalid_evidence_reference' END,
-  CASE WHEN seating = 'maybe' THEN 'seating:invalid_tristate_boolean' END, CASE WHEN wheelchair = 'yes' THEN 'wheelchair:invalid_tristate_boolean' END], lambda x: x IS NOT NULL)) AS reasons FROM (
+  CASE WHEN verified_at NOT IN ('', 'null') AND (try_cast(verified_at AS TIMESTAMPTZ) IS NULL OR NOT regexp_matches(verified_at, 'T\\d\\d:\\d\\d:\\d\\d')) THEN 'invalid_verified_at' END,
+  CASE WHEN method NOT IN ('', 'null', 'on_site_observation', 'combined_on_site_and_official', 'official_source_review', 'staff_confirmation') THEN 'invalid_verification_method' END, CASE WHEN evidence NOT IN ('', 'null') AND NOT starts_with(evidence, 'urn:strideway:') AND NOT starts_with(evidence, 'https://') THEN 'invalid_evidence_reference' END,
+  CASE WHEN publicly_accessible NOT IN ('true', 'false', 'null', '') THEN 'publiclyAccessible:invalid_tristate_boolean' END, CASE WHEN seating NOT IN ('true', 'false', 'null', '') THEN 'seatingAvailable:invalid_tristate_boolean' END, CASE WHEN wheelchair NOT IN ('true', 'false', 'null', '') THEN 'wheelchairAccessible:invalid_tristate_boolean' END], lambda x: x IS NOT NULL)) AS reasons FROM (
   SELECT v.*, nullif(trim(verification_id), '') AS vid, nullif(trim(candidate_id), '') AS cid, k.known, count(*) OVER (PARTITION BY nullif(trim(verification_id), '')) AS copies FROM verification v LEFT JOIN (SELECT DISTINCT CAST(facility_id AS VARCHAR) AS known FROM facility) k ON k.known = nullif(trim(candidate_id), ''))""",
-    "valid": "SELECT *, try_cast(nullif(verified_at, '') AS TIMESTAMPTZ) AS seen_at, CASE lower(publicly_accessible) WHEN 'true' THEN true WHEN 'false' THEN false END AS acc, CASE lower(seating) WHEN 'true' THEN true WHEN 'false' THEN false END AS seat, nullif(method, '') AS how, nullif(verifier, '') AS who, nullif(evidence, '') AS proof FROM checked WHERE len(reasons) = 0",
-    "latest": """SELECT *, CASE WHEN seen_at IS NOT NULL AND who IS NOT NULL AND how = 'on_site' AND acc AND seat THEN 'confirmed' WHEN seen_at IS NOT NULL AND who IS NOT NULL AND how = 'combined' AND proof IS NOT NULL AND coalesce(acc, true) AND coalesce(seat, true) AND (coalesce(acc, false) OR coalesce(seat, false)) THEN 'supported' ELSE 'possible' END AS level
+    "valid": """SELECT *, try_cast(nullif(nullif(verified_at, ''), 'null') AS TIMESTAMPTZ) AS seen_at, CASE publicly_accessible WHEN 'true' THEN true WHEN 'false' THEN false END AS acc, CASE seating WHEN 'true' THEN true WHEN 'false' THEN false END AS seat, nullif(nullif(method, ''), 'null') AS how, nullif(verifier, '') AS who, nullif(nullif(evidence, ''), 'null') AS proof
+  FROM checked WHERE len(reasons) = 0""",
+    "latest": """SELECT *, CASE WHEN seen_at IS NOT NULL AND who IS NOT NULL AND how IN ('on_site_observation', 'combined_on_site_and_official') AND acc AND seat THEN 'confirmed' WHEN seen_at IS NOT NULL AND who IS NOT NULL AND how = 'combined_on_site_and_official' AND proof IS NOT NULL AND coalesce(acc, true) AND coalesce(seat, true) AND (coalesce(acc, false) OR coalesce(seat, false)) THEN 'supported' ELSE 'possible' END AS level
   FROM valid QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY seen_at DESC NULLS LAST, verification_id) = 1""",
 }
 
@@ -388,7 +390,7 @@ def preference_summary(t):
 
 
 def checked(t):
-    return verify.validate(t.verifications, t.facilities.select(F.col("facility_id").cast("string").alias("candidate_id")))
+    return verify.validate(t.verifications, t.facilities.select(F.col("facility_id").cast("string").alias("candidate_id")), b.EVIDENCE)
 
 
 @query("checked", "SELECT verification_id, candidate_id, array_to_string(reasons, ',') AS reasons, count(*) AS n FROM checked WHERE len(reasons) > 0 GROUP BY ALL")
@@ -397,6 +399,13 @@ def verification_rejects(t):
     return own.groupBy("verification_id", "candidate_id", "reasons").agg(F.count("*").alias("n"))
 
 
+@query("checked", "SELECT row_number, nullif(trim(verification_id), '') AS verification_id, nullif(trim(candidate_id), '') AS candidate_id, array_to_string(reasons, ':') AS reasons, row_number() OVER (ORDER BY coalesce(nullif(trim(verification_id), ''), ''), coalesce(nullif(trim(candidate_id), ''), ''), array_to_string(reasons, ':'), row_number) AS position FROM checked WHERE len(reasons) > 0")
+def rejected_rows(t):
+    """Each row at fault with its place in its file, and its position in the list of rejects."""
+    own = verify.rejects(checked(t))
+    return ranks.positions(own, verify.reject_order(), "position").withColumn("reasons", F.array_join("reasons", ":"))
+
+
 @query("verification", "SELECT trim(verification_id) AS verification_id, count(*) AS copies FROM verification WHERE trim(verification_id) <> '' GROUP BY 1 HAVING count(*) > 1")
 def duplicate_verifications(t):
     own = checked(t).where(F.array_contains("reasons", "duplicate_verification_id"))
@@ -404,10 +413,7 @@ def duplicate_verifications(t):
 
 
 def effective(t):
-    own = verify.typed(checked(t).where(F.size("reasons") == 0))
-    text = {c: F.nullif(F.trim(c), F.lit("")) for c in ("method", "verifier", "evidence")}
-    own = own.withColumns(text)
-    return own.withColumn("level", verify.confidence(*map(F.col, ("verified_at", "verifier", "method", "evidence", "publicly_accessible", "seating"))))
+    return verify.typed(checked(t).where(F.size("reasons") == 0))
 
 
 @query("latest", "SELECT candidate_id, verification_id, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS verified_at, acc AS publicly_accessible, seat AS seating, level FROM latest")
@@ -541,8 +547,8 @@ def shortlist_others(t):
 LICENCES = {"shinjuku-public-facilities": "CC BY 4.0", "daredemo-parks": "CC BY 4.0", "daredemo-shopping": "CC BY 4.0", "daredemo-accommodation": "ODbL 1.0"}
 
 
-@query("metric placed facility top", f"""SELECT route_id, floor(stated_m * 100 + 0.5) / 100 AS stated_m, floor(seconds / 60 * 100 + 0.5) / 100 AS minutes, floor(max_minutes * 100 + 0.5) / 100 AS max_minutes, floor(longest_m * 100 + 0.5) / 100 AS rest_gap_m, floor(toilet_gap_m * 100 + 0.5) / 100 AS toilet_gap_m, floor(water_gap_m * 100 + 0.5) / 100 AS water_gap_m,
-max_minutes <= limit_minutes AS feasible, network_ok, n_strict, n_possible, floor((gap_start_m + gap_end_m) / 2 * 100 + 0.5) / 100 AS insert_m, coalesce(array_to_string(ds, ','), '') AS datasets, CASE WHEN coalesce(len(ls), 0) = 0 THEN 'ライセンス情報なし' WHEN len(ls) = 1 THEN ls[1] ELSE '複数ライセンス（sourcesを参照）' END AS licence
+@query("metric placed facility top", f"""SELECT route_id, floor(stated_m * 1000 + 0.5) / 1000 AS stated_m, floor(seconds / 60 * 1000 + 0.5) / 1000 AS minutes, floor(max_minutes * 1000 + 0.5) / 1000 AS max_minutes, floor(longest_m * 1000 + 0.5) / 1000 AS rest_gap_m, floor(toilet_gap_m * 1000 + 0.5) / 1000 AS toilet_gap_m, floor(water_gap_m * 1000 + 0.5) / 1000 AS water_gap_m,
+max_minutes <= limit_minutes AS feasible, network_ok, n_strict, n_possible, floor((gap_start_m + gap_end_m) / 2 * 1000 + 0.5) / 1000 AS insert_m, coalesce(array_to_string(ds, ','), '') AS datasets, CASE WHEN coalesce(len(ls), 0) = 0 THEN 'ライセンス情報なし' WHEN len(ls) = 1 THEN ls[1] ELSE '複数ライセンス（sourcesを参照）' END AS licence
 FROM metric JOIN (SELECT route_id, gap_start_m, gap_end_m FROM top WHERE kind = 'rest') i USING (route_id) LEFT JOIN (SELECT route_id, list_sort(list(DISTINCT dataset)) AS ds, list_sort(list(DISTINCT licence) FILTER (licence IS NOT NULL)) AS ls FROM placed JOIN (SELECT facility_id, dataset FROM facility) f USING (facility_id)
 LEFT JOIN (VALUES {', '.join(f"('{d}', '{c}')" for d, c in LICENCES.items())}) v(name, licence) ON name = dataset GROUP BY 1) s USING (route_id)""")
 def route_snapshot(t):
@@ -550,9 +556,9 @@ def route_snapshot(t):
     manifest = t.spark.createDataFrame(list(LICENCES.items()), "dataset string, licence string")
     own = t.evaluated.join(routes.source_summary(t.placed, manifest).hint("merge"), "route_id", "left")
     stop = linear.insertion_suggestion(linear.two_largest(t.gaps_of("rest"), ["route_id"])).select("route_id", "insert_m")
-    two = lambda c, name: rounded(c, 2).alias(name)
+    three = lambda c, name: rounded(c, 3).alias(name)
     named = {"stated_m": F.col("stated_m"), "minutes": F.col("seconds") / 60, "max_minutes": F.col("max_minutes"), "rest_gap_m": F.col("longest_m"), "toilet_gap_m": F.col("toilet_gap_m"), "water_gap_m": F.col("water_gap_m"), "insert_m": F.col("insert_m")}
-    return own.join(stop.hint("merge"), "route_id").select("route_id", *[two(c, n) for n, c in named.items()], (F.col("max_minutes") <= F.col("limit_minutes")).alias("feasible"), "network_ok", "n_strict", "n_possible", F.coalesce(F.array_join("datasets", ","), F.lit("")).alias("datasets"), F.coalesce("licence", F.lit(routes.NO_LICENCE)).alias("licence"))
+    return own.join(stop.hint("merge"), "route_id").select("route_id", *[three(c, n) for n, c in named.items()], (F.col("max_minutes") <= F.col("limit_minutes")).alias("feasible"), "network_ok", "n_strict", "n_possible", F.coalesce(F.array_join("datasets", ","), F.lit("")).alias("datasets"), F.coalesce("licence", F.lit(routes.NO_LICENCE)).alias("licence"))
 
 
 MARKED = {"wheelchair": "CASE WHEN wide IN ('○', '有') THEN true WHEN wide = '×' THEN false END", "seating": "seats = '有'"}
@@ -561,7 +567,7 @@ MARKED = {"wheelchair": "CASE WHEN wide IN ('○', '有') THEN true WHEN wide =
 @query("", f"""SELECT 'toilets' AS dataset, 'toilets:' || id AS record_id, title AS name, try_cast(y AS DOUBLE) AS lat, try_cast(x AS DOUBLE) AS lon, place AS address, CAST(NULL AS BOOLEAN) AS seating, CAST(NULL AS BOOLEAN) AS water, {MARKED['wheelchair']} AS wheelchair, 'public_toilet' AS category,
 CASE WHEN y = '' THEN 'coordinate_blank' WHEN try_cast(y AS DOUBLE) NOT BETWEEN 20 AND 50 THEN 'coordinate_out_of_area' END AS problem FROM ({b.SOURCES['toilets']})
 UNION ALL SELECT 'facilities', 'facilities:' || no, title, try_cast(coalesce(nullif(trim(y), ''), y_fixed) AS DOUBLE), try_cast(coalesce(nullif(trim(x), ''), x_fixed) AS DOUBLE), city, {MARKED['seating']}, NULL, NULL, 'public_facility', CASE WHEN trim(y) = '' AND y_fixed = '' THEN 'coordinate_blank' END FROM ({b.SOURCES['facilities']})
-UNION ALL SELECT 'stations', 'stations:' || id, title, try_cast(y AS DOUBLE), try_cast(x AS DOUBLE), NULL, NULL, NULL, NULL, 'drinking_station', CASE WHEN y = 'abc' THEN 'coordinate_not_numeric' WHEN x = '10' THEN 'coordinate_out_of_area' END FROM ({b.SOURCES['stations']})""")
+UNION ALL SELECT 'stations', 'stations:' || id, coalesce(nullif(trim(title), ''), '名称不明の給水地点'), try_cast(y AS DOUBLE), try_cast(x AS DOUBLE), NULL, NULL, NULL, NULL, 'drinking_station', CASE WHEN y = 'abc' THEN 'coordinate_not_numeric' END FROM ({b.SOURCES['stations']})""")
 def source_records(t):
     """All sources of the catalogue in one table, each by its own columns; what is no record keeps its reason."""
     return ingest.all_records(t.sources, b.SHAPES)
@@ -574,7 +580,7 @@ def request_validation(t):
     return routes.request_problem(t.requests).select("request_id", "code", "problem")
 
 
-@query("request", """SELECT key, count(*) AS n, min(request_id) AS first_id FROM (SELECT request_id, sha256(concat_ws('|', 'v1', CAST(floor(from_lat * 1e5 + 0.5) AS BIGINT), CAST(floor(from_lon * 1e5 + 0.5) AS BIGINT), CAST(floor(to_lat * 1e5 + 0.5) AS BIGINT), CAST(floor(to_lon * 1e5 + 0.5) AS BIGINT), limit_minutes, avoid_steep)) AS key
+@query("request", """SELECT key, count(*) AS n, min(request_id) AS first_id FROM (SELECT request_id, sha256(concat_ws('|', 'v1', CAST(floor(from_lat * 1e5 + 0.5) AS BIGINT), CAST(floor(from_lon * 1e5 + 0.5) AS BIGINT), CAST(floor(to_lat * 1e5 + 0.5) AS BIGINT), CAST(floor(to_lon * 1e5 + 0.5) AS BIGINT))) AS key
 FROM (SELECT * REPLACE (floor(from_lat * 1000) / 1000 AS from_lat, floor(from_lon * 1000) / 1000 AS from_lon) FROM request)) GROUP BY 1""")
 def request_dedupe(t):
     coarse = t.requests.withColumns({c: F.floor(F.col(c) * 1000) / 1000 for c in ("from_lat", "from_lon")})
@@ -737,7 +743,7 @@ def reject_profile(t):
 
 @query("facility", f"""SELECT 'facilities:' || no AS record_id, title AS name, try_cast(coalesce(nullif(trim(y), ''), nullif(trim(y_fixed), '')) AS DOUBLE) AS lat, try_cast(coalesce(nullif(trim(x), ''), nullif(trim(x_fixed), '')) AS DOUBLE) AS lon, 'public_facility' AS category, 'possible' AS confidence
 FROM ({b.SOURCES['facilities']}) WHERE coalesce(nullif(trim(y), ''), nullif(trim(y_fixed), '')) IS NOT NULL AND coalesce(nullif(trim(x), ''), nullif(trim(x_fixed), '')) IS NOT NULL
-UNION ALL SELECT 'stations:' || id, title, CAST(y AS DOUBLE), CAST(x AS DOUBLE), 'drinking_station', 'possible' FROM ({b.SOURCES['stations']}) WHERE y <> 'abc' AND x <> '10'
+UNION ALL SELECT 'stations:' || id, coalesce(nullif(trim(title), ''), '名称不明の給水地点'), CAST(y AS DOUBLE), CAST(x AS DOUBLE), 'drinking_station', 'possible' FROM ({b.SOURCES['stations']}) WHERE y <> 'abc'
 UNION ALL SELECT 'spot:' || facility_id, name, lat, lon, 'estimated_rest_spot', 'estimated' FROM facility WHERE confidence = 'estimated' AND kind <> 'toilet'""")
 def rest_candidates(t):
     spots = t.facilities.where("confidence = 'estimated'").select(F.concat(F.lit("spot:"), F.col("facility_id").cast("string")).alias("record_id"), "name", "lat", "lon", F.when(F.col("kind") == "toilet", "public_toilet").otherwise(F.col("kind")).alias("category"))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideway.functions.text import trimmed
+from strideway.sources import numbered as row_numbers
+
 POINT = "struct<lat:double,lon:double>"
 ROUTES = "routes array<struct<id:string,name:string,profile:string,coordinates:array<array<double>>,distanceMeters:double,durationSeconds:double,steepSlopeCount:int>>, generatedAt string"
 RESPONSE = "struct<features:array<struct<geometry:struct<coordinates:array<array<double>>>,properties:struct<summary:struct<distance:double,duration:double>,segments:array<struct<steps:array<struct<distance:double,duration:double,instruction:string>>>>,extras:struct<steepness:struct<values:array<array<int>>>>>>>>"
@@ -31,23 +34,72 @@ class MissingHeaders(ValueError):
     pass
 
 
-def read_csv(spark: SparkSession, dataset: Dataset) -> DataFrame:
+class MalformedFile(ValueError):
+    """A file whose last quote isn't closed, or that has nothing but separators."""
+
+
+#: Encodings in which no part of another character has the byte of a quote, so that lines of bytes can be counted.
+BYTEWISE = ("UTF_8", "US_ASCII", "ISO_8859_1", "SHIFT_JIS", "SJIS", "EUC_JP", "WINDOWS_31J")
+SEPARATORS = ',\r\n"'
+
+
+def plain_name(encoding: str) -> str:
+    return encoding.upper().replace("-", "_")
+
+
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Shift_JIS is one of the charsets that Spark takes only with spark.sql.legacy.javaCharsets, which then stays set in the session."""
+    if plain_name(encoding) in ("SHIFT_JIS", "SJIS", "EUC_JP", "WINDOWS_31J"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def csv_problems(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """file and problem of CSV files that can't be read: `unclosed_quote`, or `empty`.
+
+    A quote opens and closes wherever it stands, and a doubled one changes nothing, so quotes are closed where their number is even.
+    Empty is a file of nothing but separators, quotes and line ends. Files whose encoding keeps ASCII bytes apart are counted line by line
+    by many tasks; others, as UTF-16, are decoded whole.
+    """
+    allow_charset(spark, encoding)
+    # the driver's own list of the files, as scans leave out those without a byte
+    every = spark.createDataFrame([(f,) for f in spark.read.format("binaryFile").load(path).inputFiles()], "file string")
+    if plain_name(encoding) in BYTEWISE:
+        lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    else:
+        lines = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("text"))
+    quotes = F.octet_length("text") - F.octet_length(F.replace("text", F.lit('"'), F.lit("")))
+    filled = F.translate("text", SEPARATORS + "\ufeff", "") != ""
+    # paths of the two readers differ in how they write the scheme's slashes
+    place = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    counted = lines.groupBy(place("file").alias("_place")).agg(F.sum(quotes).alias("quotes"), F.bool_or(filled).alias("filled"))
+    met = every.withColumn("_place", place("file")).join(counted.hint("merge"), "_place", "left")
+    problem = F.when(F.col("quotes") % 2 == 1, "unclosed_quote").when(~F.coalesce("filled", F.lit(False)), "empty")
+    return met.select("file", problem.alias("problem")).where("problem is not null")
+
+
+def read_csv(spark: SparkSession, dataset: Dataset, numbered: bool = False) -> DataFrame:
     """All fields as trimmed text (missing ones empty), rows that aren't blank, and dataset; extra columns are kept.
 
-    Shift_JIS needs spark.sql.legacy.javaCharsets, which is set for the session where a dataset asks for it.
+    numbered adds row_number, a record's place in its file: 2 for the first after the heading, blank rows not counted. Cells beyond the
+    headings are dropped. A file with an unclosed quote, or an empty one, raises MalformedFile with its name; required headings that are
+    missing raise MissingHeaders. Quoted cells may hold line ends, so a file is read by one task.
     """
-    if dataset.encoding.upper().replace("-", "_") in ("SHIFT_JIS", "SJIS"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    allow_charset(spark, dataset.encoding)
+    if bad := csv_problems(spark, dataset.path, dataset.encoding).limit(20).collect():
+        raise MalformedFile(f"{dataset.key}: " + ", ".join(f"{r['file']} ({r['problem']})" for r in bad))
     rows = spark.read.csv(dataset.path, header=True, multiLine=True, quote='"', escape='"', encoding=dataset.encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="\u0000")
-    rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
-    if missing := [h for h in dataset.required if h not in rows.columns]:
+    names = [c.lstrip("\ufeff").strip() for c in rows.columns]
+    if missing := [h for h in dataset.required if h not in names]:
         raise MissingHeaders(f"{dataset.key}: {', '.join(missing)}")
-    trimmed = rows.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns])
-    filled = F.concat(*[F.col(f"`{c}`") for c in trimmed.columns]) != ""
-    return trimmed.where(filled).withColumn("dataset", F.lit(dataset.key))
+    cells = {n: F.coalesce(trimmed(F.col(f"`{c}`")), F.lit("")) for c, n in zip(rows.columns, names, strict=True)}
+    filled = rows.where(F.concat(*cells.values()) != "")
+    if numbered:
+        placed = row_numbers.numbered(row_numbers.located(filled).select(*[v.alias(n) for n, v in cells.items()], "_file", "_part", "_id"), first=2)
+        return placed.select(*[F.col(f"`{n}`") for n in cells], "row_number").withColumn("dataset", F.lit(dataset.key))
+    return filled.select(*[v.alias(n) for n, v in cells.items()]).withColumn("dataset", F.lit(dataset.key))
 
 
-def snapshots(spark: SparkSession, path: str) -> DataFrame:
+def snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files as they are: path, bytes and SHA-256 of the content."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))

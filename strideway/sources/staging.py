@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of so many rows at most are sent to all executors where bounded() asks; longer ones meet the other side by a merge join.
+FEW_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(small: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written table as one side of a join: broadcast if a count says that it has few rows, else merged."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small.hint("merge")

@@ -25,10 +25,10 @@ def test_csv_in_three_encodings(spark, tmp_path):
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("ＡＢ（c）・ d-e", " ", "有", "TRUE", "maybe", "1e3", "NaN", "202403", "20243", "2026-02-28T10:00:00+09:00", "2026-02-30T10:00:00Z", "=1")], ", ".join(f"c{i} string" for i in range(12)))
+    row = spark.createDataFrame([("ＡＢ（c）・ d-e", " ", "有", "true", "FALSE", "1e3", "NaN", "202403", "20243", "2026-02-28T10:00:00+09:00", "2026-02-30T10:00:00Z", "=1")], ", ".join(f"c{i} string" for i in range(12)))
     c = [F.col(f"c{i}") for i in range(12)]
     got = row.select(text.match_text(c[0]), text.nullable(c[1]), text.mark(c[2]), text.tristate(c[3]), text.tristate_invalid(c[4]), text.number(c[5]), text.number(c[6]), text.year_month(c[7]), text.year_month(c[8]), text.iso_text(text.instant(c[9])), text.instant(c[10]), text.formula_safe(c[11]), text.compact_id(c[0], c[1]), text.opening_hours(c[2], c[1], c[2], c[3])).first()
-    assert list(got) == ["abcde", None, True, True, True, 1000.0, None, "2024-03", None, "2026-02-28T01:00:00.000Z", None, "'=1", "ＡＢcd-e-0", "有 / TRUE"]
+    assert list(got) == ["abcde", None, True, True, True, 1000.0, None, "2024-03", None, "2026-02-28T01:00:00.000Z", None, "'=1", "ＡＢcd-e-0", "有 / true"]
 
 
 def test_clusters_are_transitive_and_do_not_depend_on_order(spark):
@@ -76,18 +76,18 @@ def test_same_facility_and_anomalies(spark):
 
 def test_verification_reasons_and_latest(spark):
     cols = ("verification_id", "candidate_id", "name", "lat", "lon", "verified_at", "method", "verifier", "evidence", *verify.FLAGS)
-    good = ("v1", "c1", "n", "35", "139", "2026-01-02T03:04:05Z", "on_site", "w", "https://x.example/", "true", "true", "", "", "", "null")
-    rows = [good, ("v2", *good[1:5], "", "combined", *good[7:10], "", *good[11:]), ("v3", "c9", *good[2:]), ("v4", *good[1:3], "NaN", "10", "2026-02-30T03:04:05Z", "hearsay", "w", "http://x.example/", "perhaps", *good[10:]), ("v5", *good[1:]), ("v5", *good[1:])]
+    good = ("v1", "c1", "n", "35", "139", "2026-01-02T03:04:05Z", "on_site_observation", "w", "https://x.example/", "true", "true", "", "", "", "null")
+    rows = [good, ("v2", *good[1:5], "null", "combined_on_site_and_official", *good[7:10], "null", *good[11:]), ("v3", "c9", *good[2:]), ("v4", *good[1:3], "NaN", "10", "2026-02-30T03:04:05Z", "hearsay", "w", "http://x.example/", "perhaps", *good[10:]), ("v5", *good[1:]), ("v5", *good[1:])]
     table = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
     known = spark.createDataFrame([("c1",)], "candidate_id string")
     found = {}
-    for r in verify.validate(table, known).collect():
+    for r in verify.validate(table, known, "urn:mine:").collect():
         found.setdefault(r["verification_id"], []).append(r["reasons"])
     assert found["v1"] == [[]] and found["v2"] == [[]] and found["v3"] == [["unknown_candidate_id"]] and found["v5"] == [["duplicate_verification_id"]] * 2
-    assert found["v4"] == [["invalid_evidence_reference", "invalid_latitude", "invalid_longitude", "invalid_verification_method", "invalid_verified_at", "publicly_accessible:invalid_tristate_boolean"]]
-    valid = verify.typed(verify.validate(table, known).where(F.size("reasons") == 0))
+    assert found["v4"] == [["invalid_evidence_reference", "invalid_latitude", "invalid_longitude", "invalid_verification_method", "invalid_verified_at", "publiclyAccessible:invalid_tristate_boolean"]]
+    valid = verify.typed(verify.validate(table, known, "urn:mine:").where(F.size("reasons") == 0))
     assert [r["verification_id"] for r in verify.latest(valid).collect()] == ["v1"]
-    level = valid.select("verification_id", verify.confidence(*[F.nullif(F.col(c), F.lit("")) if c != "verified_at" else F.col(c) for c in ("verified_at", "verifier", "method", "evidence")], F.col("publicly_accessible"), F.col("seating")).alias("l"))
+    level = valid.select("verification_id", F.col("level").alias("l"))
     assert {r["verification_id"]: r["l"] for r in level.collect()} == {"v1": "confirmed", "v2": "possible"}
 
 
@@ -313,7 +313,7 @@ def test_orders_of_templates_rejects_and_records(spark):
     own = verify.template(spark.createDataFrame([("c", "n", 35.0, 139.0, None, None), ("b", "m", 35.0, 139.0, "a", 2), ("a", "k", 35.0, 139.0, "a", 2)], "candidate_id string, name string, lat double, lon double, address string, priority int"))
     assert own.columns == ["priority", *verify.TEMPLATE_COLUMNS]
     assert [r["verificationId"] for r in own.orderBy(*verify.template_order()).collect()] == ["fv-a", "fv-b", "fv-c"]
-    rejects = spark.createDataFrame([("v", "b", ["x"]), ("v", "a", ["y", "z"]), ("v", "a", ["x"]), (None, "z", ["x"])], "verification_id string, candidate_id string, reasons array<string>")
+    rejects = spark.createDataFrame([(2, "v", "b", ["x"]), (3, "v", "a", ["y", "z"]), (4, "v", "a", ["x"]), (5, None, "z", ["x"])], "row_number long, verification_id string, candidate_id string, reasons array<string>")
     assert [(r["candidate_id"], r["reasons"][0]) for r in rejects.orderBy(*verify.reject_order()).collect()] == [("z", "x"), ("a", "x"), ("a", "y"), ("b", "x")]
     records = spark.createDataFrame([(1, "b", "1", "n", 1.0, 1.0), (2, "a", None, "ｂ", 1.0, 1.0), (3, "a", None, "a", 1.0, 2.0), (4, "a", None, "ａ", 1.0, 1.0), (5, None, "9", "n", 1.0, 1.0)], "id int, dataset string, record_id string, name string, lat double, lon double")
     assert [r["id"] for r in records.orderBy(*ingest.record_order(text.nfkc(F.col("name")))).collect()] == [5, 4, 3, 2, 1]
