@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import haversine
-from strideway.operators.spatial import close_pairs
-from strideway.sources.staging import staged
+from strideway.operators.spatial import close_pairs, meeting
+from strideway.sources.staging import drop_staged, staged
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key and place_id, the smallest key that pairs (a, b) connect it with; nodes without pairs stand alone.
 
     Least labels of neighbours and of labels, round by round, each written to the shared folder that Spark names; the
-    rounds follow the logarithm of the longest chain, and only nodes that have pairs take part.
+    rounds follow the logarithm of the longest chain, and only nodes that have pairs take part. A round's table goes with the next.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = staged(edges.select(F.explode(ways).alias("e")).select("e.*").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
+    written = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
     while True:
+        labels = written.select("v", "c")
         near = both.join(labels.hint("merge"), both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
         lower = labels.join(near.hint("merge"), "v").select("v", F.least("c", "n").alias("c"), F.col("c").alias("was"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("to"))
         new = staged(lower.join(jump.hint("merge"), "c").select("v", F.least("c", "to").alias("c"), (F.least("c", "to") < F.col("was")).alias("changed")), "labels")
-        labels = new.select("v", "c")
-        if not new.where("changed").limit(1).count():
-            found = labels.select(F.col("v").alias(key), F.col("c").alias("place_id"))
+        changed = new.where("changed").limit(1).count()
+        drop_staged(written)
+        written = new
+        if not changed:
+            drop_staged(both)
+            found = written.select(F.col("v").alias(key), F.col("c").alias("place_id"))
             return nodes.select(key).join(found.hint("merge"), key, "left").select(key, F.coalesce("place_id", key).alias("place_id"))
 
 
@@ -113,10 +119,44 @@ def same_facility_pairs(records: DataFrame, key: str, name: str, address: str, m
     return close_pairs(own, key, 1.05 * metres, by=known(name)).unionByName(pairs.where(same_text(address) | begins)).where(near)
 
 
-def strict_duplicates(pairs: DataFrame, key: str, possible: str = "possible", strict: str = "strict") -> DataFrame:
-    """key of the possible candidates that make a pair with a strict one; pairs carry both flags."""
-    side = lambda x, y: pairs.where(F.col(f"{x}_{possible}") & F.col(f"{y}_{strict}")).select(F.col(f"{x}_{key}").alias(key))
-    return side("a", "b").unionByName(side("b", "a")).distinct()
+def beginnings(text: str, prefix: int) -> Column:
+    """A text itself, and its beginnings of `prefix` characters or more."""
+    t = F.col(text)
+    shorter = F.transform(F.sequence(F.lit(prefix), F.length(t) - 1), lambda n: F.substring(t, F.lit(1), n))
+    return F.when(F.length(t) > prefix, F.concat(F.array(t), shorter)).otherwise(F.array(t))
+
+
+def same_facility_links(records: DataFrame, key: str, name: str, address: str, metres: float = 25.0, prefix: int = 8) -> DataFrame:
+    """a, b: links that connect what same_facility_pairs() connects, without its pairs.
+
+    One record stands for all of a text at a coordinate, and the others are linked to it: as many as may be there make as many links. A
+    longer address meets a shorter one where it is looked up under its own beginnings, so addresses that only begin alike make none.
+    """
+    links = []
+    for text in (name, address):
+        own = records.select("lat", "lon", text, F.col(key).alias("b")).where(known(text).isNotNull())
+        at = spots(records, key, text).where(known(text).isNotNull())
+        links.append(own.join(at.hint("merge"), ["lat", "lon", text]).select(F.col("first").alias("a"), "b"))
+        row = at.select("lat", "lon", "first", F.col(text).alias("by"))
+        longer = row if text == name else at.select("lat", "lon", "first", F.explode(beginnings(text, prefix)).alias("by"))
+        links.append(meeting(row, longer, metres).select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
+    return functools.reduce(DataFrame.unionByName, links).where("a <> b")
+
+
+def strict_twins(records: DataFrame, key: str, name: str, address: str, possible: str = "possible", strict: str = "strict", metres: float = 25.0, prefix: int = 8) -> DataFrame:
+    """key of the possible records that stand for the same facility as a strict one (see same_facility_pairs); no record is both.
+
+    It asks whether there is one, spot by spot, and makes no pairs.
+    """
+    found = []
+    for text in (name, address):
+        mine, theirs = (spots(records.where(flag), key, text).select("lat", "lon", F.col(text).alias("text")).where(known("text").isNotNull()) for flag in (possible, strict))
+        whole, parts = F.col("text").alias("by"), F.explode(beginnings("text", prefix)).alias("by")
+        ways = [(whole, whole)] if text == name else [(whole, parts), (parts, whole)]
+        met = [meeting(mine.select("lat", "lon", "text", x), theirs.select("lat", "lon", y), metres, "left_semi").select("lat", "lon", F.col("text").alias(text)) for x, y in ways]
+        hit = functools.reduce(DataFrame.unionByName, met).distinct()
+        found.append(records.where(possible).join(hit.hint("merge"), ["lat", "lon", text], "left_semi").select(key))
+    return found[0].unionByName(found[1]).distinct()
 
 
 def groups_by(records: DataFrame, key: str, by: list[Column], least: int = 2) -> DataFrame:

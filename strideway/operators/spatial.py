@@ -32,6 +32,25 @@ def close_pairs(points: DataFrame, key: str, metres: float, lat: str = "lat", lo
     return met.drop("cy", "cx", *agree).withColumn("metres", apart).where(F.col("metres") <= metres)
 
 
+def meeting(left: DataFrame, right: DataFrame, metres: float, how: str = "inner") -> DataFrame:
+    """Rows of two tables (lat, lon, by) with equal `by` at most so many metres apart on the sphere: columns as a_* and b_*.
+
+    how: inner, or left_semi for the rows of left (as they are) that meet any. Rows where `by` is null meet none. The right side is repeated
+    for the cells around it, which are a little wider than the distance.
+    """
+    wide = 1.05 * metres
+    cell = {"_cy": F.floor(F.col("lat") * (PLANE_M_PER_LAT / wide)), "_cx": F.floor(F.col("lon") * (PLANE_M_PER_LON / wide))}
+    a, b = (t.where("by is not null").withColumns(cell) for t in (left, right))
+    around = F.explode(F.array(*[F.struct((F.col("_cy") + dy).alias("_by_y"), (F.col("_cx") + dx).alias("_by_x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    b = b.withColumn("_c", around).select("_c.*", *[F.col(c).alias(f"b_{c}") for c in right.columns])
+    a = a.select("_cy", "_cx", *[F.col(c).alias(f"a_{c}") for c in left.columns])
+    near = haversine(*map(F.col, ("a_lat", "a_lon", "b_lat", "b_lon"))) <= metres
+    met = a.join(b.hint("merge"), (F.col("_cy") == F.col("_by_y")) & (F.col("_cx") == F.col("_by_x")) & (F.col("a_by") == F.col("b_by")) & near, how)
+    if how == "left_semi":
+        return met.select(*[F.col(f"a_{c}").alias(c) for c in left.columns])
+    return met.drop("_cy", "_cx", "_by_y", "_by_x")
+
+
 def segments(vertices: DataFrame, route: str = "route_id", seq: str = "seq") -> DataFrame:
     """Vertices as segments: a_lat, a_lon, b_lat, b_lon, length_m, and start_m, the length before it."""
     by = Window.partitionBy(route).orderBy(seq)

@@ -268,15 +268,10 @@ class Tables:
         own = own.withColumn("possible", (F.col("confidence") == "possible") & (F.col("kind") != "water") & F.contains("address", F.lit(WARD)))
         return self.once("pool", lambda: own.withColumn("strict", F.col("confidence").isin("confirmed", "supported")))
 
-    @property
-    def same_facility(self) -> DataFrame:
-        rows = self.pool.where("possible or strict")
-        return self.once("same", lambda: staged(cluster.same_facility_pairs(rows, "facility_id", "match_name", "match_address", more=("possible", "strict")), "same-facility"))
-
     @property
     def duplicates(self) -> DataFrame:
         """Possible places that stand for a strict point which is there already."""
-        return self.once("duplicates", lambda: staged(cluster.strict_duplicates(self.same_facility, "facility_id"), "duplicates"))
+        return self.once("duplicates", lambda: staged(cluster.strict_twins(self.pool, "facility_id", "match_name", "match_address"), "duplicates"))
 
     @property
     def members(self) -> DataFrame:
@@ -284,10 +279,8 @@ class Tables:
 
         def make() -> DataFrame:
             left = self.pool.where("possible").join(self.duplicates.hint("merge"), "facility_id", "left_anti")
-            edges = self.same_facility.where("a_possible and b_possible").select(F.col("a_facility_id").alias("a"), F.col("b_facility_id").alias("b"))
-            for side in ("a", "b"):
-                edges = edges.join(self.duplicates.withColumnRenamed("facility_id", side).hint("merge"), side, "left_anti")
-            return staged(cluster.components(left, edges, "facility_id"), "members")
+            links = cluster.same_facility_links(left, "facility_id", "match_name", "match_address")
+            return staged(cluster.components(left, links, "facility_id"), "members")
 
         return self.once("members", make)
 

@@ -27,7 +27,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write the rows out once and read them back: what is used several times is computed once, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete tables that staged() wrote, when nothing reads them any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(small: DataFrame, most: int = FEW_ROWS) -> DataFrame:

@@ -224,11 +224,28 @@ def test_primary_route_is_one_that_counts(spark):
     assert (found[2]["counts"], found[2]["any_gain"]) == (False, False)
 
 
-def test_strict_duplicates_by_address_beginnings(spark):
-    rows = [(1, "a", "1-2-3 east road", 35.0, 139.0, True, False), (2, "b", "1-2-3 east road 4f", 35.0001, 139.0, False, True), (3, "c", "1-2-3 east road", 35.01, 139.0, True, False), (4, "b", "", 35.0001, 139.0001, True, False)]
+def test_links_and_twins_agree_with_all_pairs(spark):
+    rng = random.Random(8)
+    spots = [(35.0 + rng.randrange(12) * 1e-4, 139.0 + rng.randrange(4) * 1e-4) for _ in range(25)]
+    address = ["", None, "short", "shorter", "1-2-3 east", "1-2-3 east 4f", "1-2-3 east 4f 2", "1-2-3 west", "1-2-3 ea"]
+    rows = [(i, rng.choice(["", None, "x", "y", "z"]) if i % 2 else f"n{i}", rng.choice(address), *rng.choice(spots), i % 3 > 0, i % 3 == 0) for i in range(160)]
+    rows += [(200, "x", "1-2-3 east", None, 139.0, True, False), (201, "x", "1-2-3 east", float("nan"), 139.0, True, False)]
     table = spark.createDataFrame(rows, "id long, name string, address string, lat double, lon double, possible boolean, strict boolean")
-    pairs = cluster.same_facility_pairs(table, "id", "name", "address", more=("possible", "strict"))
-    assert {r["id"] for r in cluster.strict_duplicates(pairs, "id").collect()} == {1, 4}
+    pairs = cluster.same_facility_pairs(table.where("id < 200"), "id", "name", "address", more=("possible", "strict")).collect()
+    place = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for p in pairs:
+            place[p["a_id"]] = place[p["b_id"]] = min(place[p["a_id"]], place[p["b_id"]])
+    links = cluster.same_facility_links(table, "id", "name", "address")
+    assert {r["id"]: r["place_id"] for r in cluster.components(table, links, "id").collect()} == place and len(set(place.values())) > 5
+    twins = {p[f"{x}_id"] for p in pairs for x, y in ("ab", "ba") if p[f"{x}_possible"] and p[f"{y}_strict"]}
+    assert {r["id"] for r in cluster.strict_twins(table, "id", "name", "address").collect()} == twins and 0 < len(twins) < 100
+
+
+def test_a_crowd_at_one_point_makes_one_link_each(spark):
+    crowd = spark.range(100_000).selectExpr("id", "'cafe' AS name", "'1-2-3 east road' AS address", "35.0D AS lat", "139.0D AS lon", "id > 0 AS possible", "id = 0 AS strict")
+    assert cluster.same_facility_links(crowd, "id", "name", "address").count() == 2 * 99_999
+    assert cluster.strict_twins(crowd, "id", "name", "address").count() == 99_999
 
 
 def test_latest_of_groups(spark):
