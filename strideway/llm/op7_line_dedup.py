@@ -1,10 +1,13 @@
 """Removal of repeated chunks of lines, with boundaries that the lines themselves choose.
 
-A rolling hash over the hashes of a line and its next one says whether a chunk begins there: of SPARED places all but one.
-The same lines thus make the same chunks wherever they stand, and a chunk holds the lines that chose it and no others, so a
-run of two equal lines is missed only where its own hash spares it. Chunks overlap, and longer passages are runs of them. A
-chunk that stands anywhere before (in a smaller doc_id, or further up) is removed: hashes pick candidates, and their bytes
-decide. From the ends of such a run the removal can be extended line by line, as far as the lines equal those around the
+A rolling hash over the hashes of a document's lines says where a boundary stands, wherever these lines are and whatever is around them.
+A chunk goes from one boundary to the next and holds the lines of both: so it is chosen by its own lines alone, has two at
+least, and the same lines make the same chunk in every document. One rule leaves every other short run between its boundaries, so
+there are four: windows of one line (three times, by other hashes) and of two. A document's first and last lines are boundaries of
+every rule.
+
+A chunk that stands anywhere before (in a smaller doc_id, or further up) is removed: hashes pick candidates, and their bytes
+decide. From the ends of a removed chunk the removal can be extended line by line, as far as the lines equal those around the
 occurrence that stays.
 
 Rows are told apart by doc_id and a hash of their text.
@@ -22,20 +25,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, drop_stash, fresh, parted, rolled, ship, slices, stash, word_hashes
+from .common import column, drop_stash, fresh, mixed, parted, rolled, ship, slices, stash, word_hashes
 
-#: Lines in the rolling hash and in a chunk; one place in so many begins no chunk.
-ROLL, SPARED = 2, 16
+#: The boundary rules: lines in the rolling hash, the mean distance of boundaries, and what tells rules with equal windows apart.
+RULES = ((1, 2, 0x1), (1, 2, 0x1234567), (1, 2, 0x9999), (2, 2, 0xABCDEF))
 KEY = ["doc_id", "print"]
-CHUNK = "doc_id long, print long, first int, h long, h2 long"
-#: Lines that are compared on each side of a run of chunks at first; twice as many in each further round, for what is equal so far.
-WINDOW = 2
+CHUNK = "doc_id long, print long, first int, n int, h long, h2 long"
+#: Lines that are compared on each side of a chunk at first; twice as many in each further round, for what is equal so far.
+WINDOW = 4
 AROUND = ", before array<binary>, after array<binary>"
+KINDS = {"first": pa.int32(), "n": pa.int32(), "h": pa.int64(), "h2": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
 
 
-def chunk_starts(lines: list[bytes]) -> np.ndarray:
-    """The first lines of the chunks."""
-    return np.flatnonzero(rolled(word_hashes(lines), ROLL) % np.uint64(SPARED))
+def line_chunks(lines: list[bytes], rules: tuple[tuple[int, int, int], ...] = RULES) -> list[tuple[int, int]]:
+    """(first line, lines) of the chunks of all rules, each once, in order."""
+    hashes, out = word_hashes(lines), set()
+    for width, spacing, salt in rules:
+        ends = len(lines) - width + 1
+        if ends > 1:
+            hit = mixed(rolled(hashes, width) ^ np.uint64(salt)) % np.uint64(spacing) == 0
+            hit[[0, -1]] = True
+            at = np.flatnonzero(hit)
+            out.update(zip(at[:-1].tolist(), (at[1:] + width - at[:-1]).tolist(), strict=True))
+    return sorted(out)
+
+
+def arrow_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64() if n in KEY else KINDS[n] for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def hashed_chunks(docs: DataFrame) -> DataFrame:
@@ -44,66 +61,56 @@ def hashed_chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                n, first, prints = [], [], []
+                n, found, prints = [], [], []
                 for text in column(part, "text"):
                     lines = text.split(b"\n")
-                    own = chunk_starts(lines).tolist()
+                    own = line_chunks(lines)
                     n.append(len(own))
-                    first += own
-                    prints += [xxhash.xxh3_128_digest(b"\n".join(lines[a : a + ROLL])) for a in own]
-                if first:
-                    h = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
+                    found += own
+                    prints += [xxhash.xxh3_128_digest(b"\n".join(lines[a : a + k])) for a, k in own]
+                if found:
+                    h, place = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2), np.array(found, np.int32)
                     own = [part.column(c).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))) for c in KEY]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(first, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], [*KEY, "first", "h", "h2"])
+                    yield pa.RecordBatch.from_arrays([*own, *[pa.array(c.copy()) for c in (place[:, 0], place[:, 1], h[:, 0], h[:, 1])]], [*KEY, "first", "n", "h", "h2"])
 
     return docs.where("doc_id is not null").select(*KEY, "text").mapInArrow(run, CHUNK)
 
 
-def around(lines: list[bytes], first: int, skip: int, size: int) -> tuple[list[bytes], list[bytes]]:
+def around(lines: list[bytes], first: int, n: int, skip: int, size: int) -> tuple[list[bytes], list[bytes]]:
     """128-bit digests of `size` lines before a chunk, nearest first, and of as many after it, without the nearest `skip`."""
-    end = first + ROLL + skip
+    end = first + n + skip
     sides = lines[max(0, first - skip - size) : max(0, first - skip)][::-1], lines[end : end + size]
     return tuple([hashlib.blake2b(x, digest_size=16).digest() for x in side] for side in sides)
 
 
 def chunk_texts(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, print, text, chunks (first, h, h2); their bytes, and digests of the lines around them.
-
-    Where the next chunk on a side is repeated too there are none: that chunk tells about those lines itself.
-    """
+    """docs: doc_id, print, text, chunks (first, n, h, h2); each chunk with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc, print_, text, chunks in zip(*(column(part, c) for c in (*KEY, "text", "chunks")), strict=True):
-                    lines, firsts = text.split(b"\n"), {c["first"] for c in chunks}
-                    for c in chunks:
-                        a = c["first"]
-                        before, after = around(lines, a, 0, WINDOW)
-                        rows.append((doc, print_, a, c["h"], c["h2"], b"\n".join(lines[a : a + ROLL]), [] if a - 1 in firsts else before, [] if a + 1 in firsts else after))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*KEY, "first", "h", "h2", "chunk", "before", "after"])
+                    lines = text.split(b"\n")
+                    rows += [(doc, print_, c["first"], c["n"], c["h"], c["h2"], b"\n".join(lines[c["first"] : c["first"] + c["n"]])) for c in chunks]
+                yield arrow_rows(rows, [*KEY, "first", "n", "h", "h2", "chunk"])
 
-    return docs.select(*KEY, "text", "chunks").mapInArrow(run, CHUNK + ", chunk binary" + AROUND)
+    return docs.select(*KEY, "text", "chunks").mapInArrow(run, CHUNK + ", chunk binary")
 
 
 def farther(docs: DataFrame, skip: int, size: int) -> DataFrame:
-    """docs: doc_id, print, text, firsts (of chunks); digests of the lines around them."""
+    """docs: doc_id, print, text, places (first and n of chunks); digests of the lines around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, print_, text, firsts in zip(*(column(part, c) for c in (*KEY, "text", "firsts")), strict=True):
+                for doc, print_, text, places in zip(*(column(part, c) for c in (*KEY, "text", "places")), strict=True):
                     lines = text.split(b"\n")
-                    rows += [(doc, print_, a, *around(lines, a, skip, size)) for a in firsts]
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*KEY, "first", "before", "after"])
+                    rows += [(doc, print_, p["first"], p["n"], *around(lines, p["first"], p["n"], skip, size)) for p in places]
+                yield arrow_rows(rows, [*KEY, "first", "n", "before", "after"])
 
-    return docs.select(*KEY, "text", "firsts").mapInArrow(run, "doc_id long, print long, first int" + AROUND)
+    return docs.select(*KEY, "text", "places").mapInArrow(run, "doc_id long, print long, first int, n int" + AROUND)
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -115,35 +122,40 @@ def agreement(a: Column, b: Column) -> Column:
 def extended(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """doc_id, print, first and lines of removed chunks with the lines around them that equal those around the chunk that stays.
 
-    gone: doc_id, print, first, before, after and keep (doc_id, print, first, before, after). Whatever goes equals lines at a
-    smaller place, so the first of equal lines stays. A side ends at an unlike line, an end of either document, or the next
-    removed chunk; rounds with windows twice as long go on until every side has ended.
+    gone: doc_id, print, first, n and keep (doc_id, print, first). Removed chunks that touch make a run; upwards its first chunk is
+    compared with the one that stays for it, downwards the one that ends last. Whatever goes equals lines at a smaller place, so the
+    first of equal lines stays. A side ends at an unlike line, an end of either document, or the next run; rounds with
+    windows twice as long go on until every side has ended.
     """
-    key, kept_key = [*KEY, "first"], ["k_doc", "k_print", "k_first"]
-    of_keep = [F.col(f"keep.{c}").alias(k) for c, k in zip(key, kept_key, strict=True)]
-    rows = gone.select(*key, *of_keep, agreement(F.col("before"), F.col("keep.before")).alias("up"), agreement(F.col("after"), F.col("keep.after")).alias("down"))
-    rows = rows.groupBy(*key).agg(F.min(F.struct(*kept_key, "up", "down")).alias("m")).select(*key, "m.*")
-    by = Window.partitionBy(*KEY).orderBy("first")
-    rows = rows.withColumn("floor", F.coalesce(F.lag(F.col("first") + ROLL).over(by), F.lit(0))).withColumn("ceiling", F.lead("first").over(by))
-    found, reached, used = [stash(rows, "reach")], WINDOW, []
+    key, kept_key = [*KEY, "first", "n"], ["k_doc", "k_print", "k_first", "n"]
+    end, by = F.col("first") + F.col("n"), Window.partitionBy(*KEY).orderBy("first", "n")
+    rows = gone.select(*key, *[F.col(f"keep.{c}").alias(k) for c, k in zip(key[:3], kept_key[:3], strict=True)])
+    rows = rows.withColumn("floor", F.coalesce(F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    rows = rows.withColumn("opens", F.col("first") > F.col("floor")).withColumn("run", F.sum(F.col("opens").cast("int")).over(by))
+    rows = rows.withColumn("ceiling", F.min(F.when(F.col("opens"), F.col("first"))).over(by.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("closes", F.row_number().over(Window.partitionBy(*KEY, "run").orderBy(end.desc(), "first")) == 1)
+    rows = rows.withColumn("floor", F.greatest("floor", F.lit(0))).withColumns({"up": F.lit(0), "down": F.lit(0)}).drop("run")
+    found, reached, size, used = [stash(rows, "reach")], 0, WINDOW, []
     while True:
-        up = (F.col("up") == reached) & (F.col("first") - F.col("up") > F.col("floor"))
-        down = (F.col("down") == reached) & (F.col("ceiling").isNull() | (F.col("first") + ROLL + F.col("down") < F.col("ceiling")))
+        up = F.col("opens") & (F.col("up") == reached) & (F.col("first") - F.col("up") > F.col("floor"))
+        down = F.col("closes") & (F.col("down") == reached) & (F.col("ceiling").isNull() | (end + F.col("down") < F.col("ceiling")))
         left = found[-1].where(up | down)
         if not left.limit(1).count():
             break
         places = left.select(*key).union(left.select(*kept_key)).distinct()
-        places = stash(places.groupBy(*KEY).agg(F.collect_list("first").alias("firsts")), "reach-places")
-        size = 2 * reached
+        places = stash(places.groupBy(*KEY).agg(F.collect_list(F.struct("first", "n")).alias("places")), "reach-places")
         sides = farther(parted(docs, places)[0].join(places.hint("shuffle_hash"), KEY), reached, size)
         sides = stash(sides.groupBy(*key).agg(F.min(F.struct("before", "after")).alias("s")), "reach-sides")
         kept = sides.select(*[F.col(c).alias(k) for c, k in zip(key, kept_key, strict=True)], F.col("s").alias("k"))
         met = left.join(sides.hint("merge"), key).join(kept.hint("merge"), kept_key)
         grown = [(F.col(c) + F.when(open_, agreement(F.col(f"s.{side}"), F.col(f"k.{side}"))).otherwise(0)).alias(c) for c, open_, side in (("up", up, "before"), ("down", down, "after"))]
-        found.append(stash(met.select(*key, *kept_key, *grown, "floor", "ceiling"), "reach"))
+        found.append(stash(met.select(*key, *kept_key[:3], *grown, "floor", "ceiling", "opens", "closes"), "reach"))
         used += [places, sides]
-        reached += size
-    out = [f.select(*KEY, (F.col("first") - F.col("up")).alias("first"), (F.lit(ROLL) + F.col("up") + F.col("down")).alias("lines")) for f in found]
+        reached, size = reached + size, 2 * (reached + size)
+    # the next run bounds what a window holds beyond it
+    first = F.greatest(F.col("first") - F.col("up"), F.least("first", "floor"))
+    last = F.least(end + F.col("down"), F.when(F.col("ceiling").isNotNull(), F.greatest("ceiling", end)))
+    out = [f.select(*KEY, first.alias("first"), (last - first).cast("int").alias("lines")) for f in found]
     out = stash(functools.reduce(DataFrame.unionByName, out), "extended")
     drop_stash(*found, *used)
     return out
@@ -177,17 +189,20 @@ def repeated_chunks(docs: DataFrame, extend: bool = True) -> DataFrame:
     """docs: doc_id, print, text. doc_id and print to gone, the chunks that stand before, as (first, lines); with extend, with
     the equal lines around them."""
     place = F.struct(*KEY, "first")
+    # rows that are equal in all, doc_id too, are one
     chunks = stash(hashed_chunks(docs), "chunks")
     often = chunks.groupBy("h", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h", "h2")
     # one chunk may stand in most documents: a merge join of written tables is split where it is hot
     often = stash(often, "repeated-hashes")
     candidates = chunks.join(often.hint("merge"), ["h", "h2"], "left_semi")
-    candidates = stash(candidates.groupBy(*KEY).agg(F.collect_set(F.struct("first", "h", "h2")).alias("chunks")), "candidates")
+    candidates = stash(candidates.groupBy(*KEY).agg(F.collect_set(F.struct("first", "n", "h", "h2")).alias("chunks")), "candidates")
     found = parted(docs, candidates)[0].join(candidates.hint("shuffle_hash"), KEY)
     texts = stash(chunk_texts(found), "chunk-texts")
-    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct(*KEY, "first", "before", "after")).alias("keep")), "same-chunks")
-    gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.struct("keep.doc_id", "keep.print", "keep.first"))
-    ranges = extended(docs, gone) if extend else gone.withColumn("lines", F.lit(ROLL))
+    same = stash(texts.groupBy("h", "h2", "chunk").agg(F.min(place).alias("keep")), "same-chunks")
+    gone = texts.join(same.hint("merge"), ["h", "h2", "chunk"]).where(place != F.col("keep"))
+    # a repeated row brings the same chunk once more
+    gone = gone.groupBy(*KEY, "first", "n").agg(F.min("keep").alias("keep"))
+    ranges = extended(docs, gone) if extend else gone.withColumn("lines", F.col("n"))
     gone = stash(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone")
     drop_stash(chunks, often, candidates, texts, same, *[ranges] * extend)
     return gone

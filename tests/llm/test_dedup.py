@@ -214,30 +214,61 @@ def test_perfect_hash_is_minimal():
     assert (op9_exact_dedup.slots(keys[2000:], levels) < 2000).all()
 
 
+def brute_chunks(lines):
+    """The chunks of all boundary rules, worked out line by line with plain numbers."""
+    import xxhash
+
+    def mix(h):
+        for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * k & (1 << 64) - 1
+        return h ^ h >> 33
+
+    h, out = [int.from_bytes(xxhash.xxh64_digest(x), "little") for x in lines], set()
+    for width, spacing, salt in op7_line_dedup.RULES:
+        last, begin = len(lines) - width, None
+        for i in range(last + 1):
+            v = 0
+            for x in h[i : i + width]:
+                v = (v * 0x9E3779B97F4A7C15 + x) & (1 << 64) - 1
+            if i in (0, last) or mix(mix(v) ^ salt) % spacing == 0:
+                if begin is not None:
+                    out.add((begin, i + width - begin))
+                begin = i
+    return sorted(out)
+
+
 def brute_lines(rows, extend):
     """What line_dedup removes, row by row: chunks by their bytes, then line by line around them."""
     names = {}  # rows by (doc_id, hash of the text), in the order of that hash
     for i, t in rows:
         if i is not None and t is not None:
             names[i, signed(t)] = t.encode().split(b"\n")
-    first, starts = {}, {k: op7_line_dedup.chunk_starts(x).tolist() for k, x in names.items()}
+    first, chunks = {}, {k: brute_chunks(x) for k, x in names.items()}
     for k in sorted(names):
-        for a in starts[k]:
-            first.setdefault(tuple(names[k][a : a + 2]), (*k, a))
+        for a, n in chunks[k]:
+            first.setdefault(tuple(names[k][a : a + n]), (*k, a))
     out = {}
     for k, lines in names.items():
-        gone = set()
-        for a in starts[k]:
-            *other, b = first[tuple(lines[a : a + 2])]
+        gone, runs = set(), []
+        for a, n in chunks[k]:
+            place = first[tuple(lines[a : a + n])]
+            if place != (*k, a):
+                gone |= set(range(a, a + n))
+                if not runs or a > max(x + m for x, m, _ in runs[-1]):
+                    runs.append([])
+                runs[-1].append((a, n, place))
+        for i, run in enumerate(runs if extend else []):
+            floor = max(x + m for x, m, _ in runs[i - 1]) if i else 0
+            ceiling = runs[i + 1][0][0] if i + 1 < len(runs) else len(lines)
+            a, _, (*other, b) = run[0]
+            while a > floor and b > 0 and lines[a - 1] == names[tuple(other)][b - 1]:
+                a, b = a - 1, b - 1
+                gone.add(a)
+            a, n, (*other, b) = min(run, key=lambda x: (-x[0] - x[1], x[0]))
             theirs = names[tuple(other)]
-            if (*k, a) == (*other, b):
-                continue
-            lo, hi = 0, 0
-            while extend and a - lo > 0 and b - lo > 0 and lines[a - lo - 1] == theirs[b - lo - 1]:
-                lo += 1
-            while extend and a + 2 + hi < len(lines) and b + 2 + hi < len(theirs) and lines[a + 2 + hi] == theirs[b + 2 + hi]:
-                hi += 1
-            gone |= set(range(a - lo, a + 2 + hi))
+            while a + n < ceiling and b + n < len(theirs) and lines[a + n] == theirs[b + n]:
+                gone.add(a + n)
+                n += 1
         out[k] = gone
     return out
 
@@ -274,7 +305,6 @@ def test_lines_against_brute_force(docs, extend):
         gone = brute[i, signed(t)] if i is not None and t is not None else set()
         kept = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
         want.append((i, len(lines), len(gone), hashlib.sha256((kept or "").encode()).hexdigest(), kept))
-    # an extension ends at the next removed chunk, so it may stop sooner than brute force, where the rest goes with that chunk
     assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["n_lines"], x["n_removed"], x["kept_sha256"], x["kept_text"])) for x in found)
     texts = op7_line_dedup.line_dedup_texts(d.withColumn("_print", F.lit(1)).withColumn("_gone", F.lit(2)), extend)
     assert texts.columns == [*d.columns, "_print", "_gone"]
@@ -309,6 +339,16 @@ def test_recall_of_repeated_lines(spark):
 
 
 def test_boundaries_shift_with_the_lines():
+    """Lines before and after change no chunk but those at the ends, and a chunk has two lines at least."""
     lines = [f"line {i}".encode() for i in range(60)]
-    moved = op7_line_dedup.chunk_starts([b"x", b"y", b"z", *lines]) - 3
-    assert op7_line_dedup.chunk_starts(lines).tolist() == moved[moved >= 0].tolist()
+    own, moved = op7_line_dedup.line_chunks(lines), op7_line_dedup.line_chunks([b"x", b"y", b"z", *lines, b"u"])
+    inside = lambda chunks: {(a, n) for a, n in chunks if a > 0 and a + n < 60}
+    assert inside(own) == inside({(a - 3, n) for a, n in moved}) and min(n for _, n in own) >= 2
+    assert own == brute_chunks(lines) and 3 < max(n for _, n in own) and op7_line_dedup.line_chunks([b"one"]) == []
+
+
+def test_chunks_are_few_for_their_lines():
+    """The rules together make fewer than two chunks for a line, of more than two lines on average."""
+    lines = [f"line {i}".encode() for i in range(5000)]
+    chunks = op7_line_dedup.line_chunks(lines)
+    assert len(chunks) < 1.8 * len(lines) and sum(n for _, n in chunks) > 2.5 * len(chunks)
