@@ -2,8 +2,9 @@
 
 Labelled pages make a host's share of good pages. It is shrunk towards its registered domain's, that towards its
 suffix's, that towards the share over all pages, each time with a beta prior whose strength is fitted by moments to how
-much the children of one parent differ. A page is blocked when even the upper bound of its host's posterior is below the share of
-good pages over all hosts, so the limit moves with the outcomes and not with how strict their labels are.
+much the children of one parent differ. A page is blocked when even the upper bound of its host's posterior is below a stated part of
+the share of good pages over all hosts: hosts that are a little worse than the average stay, however sure their share becomes
+as pages grow, and the limit moves with the outcomes and not with how strict their labels are.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from .common import ascii_lower, stash
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path begins with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: A host is blocked when mean + Z standard deviations of its posterior stay below the overall share of good pages, times MARGIN.
-Z, MARGIN = 1.0, 1.0
-#: A page is good when fewer than one of so many visible words' worth of signs like # * $ % | stand in it.
-WORDS_PER_SIGN = 10
-#: Priors are worth so many pages at least and at most.
+#: A host is blocked when mean + Z standard deviations of its posterior stay below the overall share of good pages, times TOLERANCE.
+Z, TOLERANCE = 2.0, 0.9
+#: What the query takes for a bad page, as the tables have no labels: one of these signs for so many visible words or fewer.
+SIGNS, WORDS_PER_SIGN = "[#*$%|]", 10
+#: Priors are worth so many pages at least and at most: the first keeps a few pages from deciding, the second is where children of one
+#: parent differ by no more than chance. Both hold at any number of pages.
 WEAKEST, STRONGEST = 4.0, 1000.0
-#: Suffixes of two labels under which names are registered, unless the caller gives a longer list; any other suffix is the last label.
+#: Suffixes of two labels under which names are registered; a table of more can be given instead. Any other suffix is the last label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn")
 
 
@@ -34,13 +36,23 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def levels(hosts: DataFrame, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
-    """suffix and domain of each host: its last label (or a known pair of labels), and one label more."""
+def levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """suffix and domain of each host: the longest known suffix that it ends with (its last label, if none), and one label more.
+
+    suffixes: a table with the column suffix, lower-case, of two labels or more; LONG_SUFFIXES if there is none. Every end of a host is
+    looked up, so the join is one of equality.
+    """
+    if suffixes is None:
+        suffixes = hosts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, LONG_SUFFIXES))).alias("suffix"))
     name = F.regexp_replace("host", r"(^.*@)|(:[0-9]*$)", "")
-    two = F.substring_index(name, ".", -2)
-    suffix = F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(name, ".", -1))
-    labels = F.size(F.split(suffix, r"\."))
-    return hosts.withColumn("suffix", suffix).withColumn("domain", F.when(labels == 2, F.substring_index(name, ".", -3)).otherwise(two))
+    labels = F.split(name, r"\.")
+    own = stash(hosts.withColumn("_name", name), "named-hosts")
+    ends = own.select("host", F.explode(F.when(F.size(labels) > 2, F.sequence(F.lit(-2), 1 - F.size(labels))).otherwise(F.array(F.lit(-2)))).alias("k"), "_name")
+    ends = ends.select("host", F.expr("substring_index(_name, '.', k)").alias("suffix"), F.col("k"))
+    known = ends.join(suffixes.select("suffix").distinct().hint("merge"), "suffix").groupBy("host").agg(F.min("k").alias("_k"))
+    k = F.coalesce("_k", F.lit(-1))
+    found = own.join(known.hint("merge"), "host", "left").withColumn("_k", k)
+    return found.withColumn("suffix", F.expr("substring_index(_name, '.', _k)")).withColumn("domain", F.expr("substring_index(_name, '.', _k - 1)")).drop("_name", "_k")
 
 
 def posterior(rows: DataFrame, mean: str, strength: float) -> DataFrame:
@@ -61,7 +73,7 @@ def prior_strength(rows: DataFrame, mean: str) -> float:
     return STRONGEST if share <= 1 / (STRONGEST + 1) else max(WEAKEST, 1 / share - 1)
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """host to n, k, mean and upper bound of its share of good pages, and the share over all hosts.
 
     pages: page_id and url; outcomes: page_id and good (boolean), at most a row for each page, any of them missing. A host
@@ -70,13 +82,13 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes: tuple[
     seen = pages.select("page_id", url_host(F.col("url")).alias("host"))
     best = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     counted = seen.join(best.hint("merge"), "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.count_if(F.col("good")).alias("k"))
-    hosts = stash(levels(counted, long_suffixes), "hosts")
+    hosts = stash(levels(counted, suffixes), "hosts")
     domains = stash(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
-    suffixes = stash(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
-    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    ends = stash(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
+    whole = ends.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     n, k = whole["n"] or 0, whole["k"] or 0
     share = lambda rows, name: rows.withColumn(name, F.col("a") / (F.col("a") + F.col("b"))).drop("n", "k", "a", "b")
-    s = suffixes.withColumn("p", F.lit((k + 1) / (n + 2)))
+    s = ends.withColumn("p", F.lit((k + 1) / (n + 2)))
     s = share(posterior(s, "p", prior_strength(s, "p")).drop("p"), "p_suffix")
     d = stash(domains.join(s.hint("merge"), "suffix"), "domain-priors")
     d = share(posterior(d, "p_suffix", prior_strength(d, "p_suffix")).drop("p_suffix", "suffix"), "p_domain")
@@ -92,17 +104,19 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
         F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
         for v, h, p in rules
     ]
-    return fits[0] if len(fits) == 1 else F.greatest(*fits)
+    none = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
+    return F.greatest(*fits, none) if fits else none
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, margin: float = MARGIN, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, tolerance: float = TOLERANCE, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the reputation behind it (mean, upper, overall), a row for each row of pages.
 
     A url that is null or has no :// has an empty host and path, and the reputation of the empty host. Repeated rows and
     null page_ids are judged like any other. Other columns of either table are ignored; empty tables give no rows, and no
-    outcomes at all leave every host at the overall share of one half, with an upper bound above it, which is allowed.
+    outcomes at all leave every host at the overall share of one half, with an upper bound above it, which is allowed. Without rules the
+    reputation decides alone.
     """
-    reputation = stash(host_reputation(pages, outcomes, long_suffixes), "reputation")
+    reputation = stash(host_reputation(pages, outcomes, suffixes), "reputation")
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     # one host may have most pages: a merge join is split where it is hot
@@ -111,18 +125,19 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, st
         "host",
         "path",
         F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("upper") < F.col("overall") * margin, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("_rule.verdict", F.when(F.col("upper") < F.col("overall") * tolerance, "block").otherwise("allow")).alias("verdict"),
         "mean",
         "upper",
         "overall",
     )
 
 
-def page_outcomes(pages: DataFrame) -> DataFrame:
+def page_outcomes(pages: DataFrame, signs: str = SIGNS, words_per_sign: int = WORDS_PER_SIGN) -> DataFrame:
     """page_id and good: whether few signs stand among a page's visible words; null html has no outcome.
 
-    Visible is what is left without scripts, styles and tags. A page without words is good.
+    A stand-in for labels, which the reputation takes from any table of page_id and good. Visible is what is left without scripts,
+    styles and tags. A page without words is good.
     """
     seen = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</(script|style)>|<[^>]*>", " ")
-    few = F.regexp_count(seen, F.lit("[#*$%|]")) * WORDS_PER_SIGN <= F.regexp_count(seen, F.lit(r"[^\x20\x09-\x0D]+"))
+    few = F.regexp_count(seen, F.lit(signs)) * words_per_sign <= F.regexp_count(seen, F.lit(r"[^\x20\x09-\x0D]+"))
     return pages.select("page_id", few.alias("good"))

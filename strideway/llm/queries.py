@@ -136,10 +136,10 @@ h0 AS (SELECT hosts.*, p_domain AS p FROM hosts JOIN d USING (domain)),
 h1 AS (SELECT coalesce(floor(sum((k - n * p) ** 2 - n * (p * (1 - p))) / nullif(sum(n * (n - 1) * (p * (1 - p))), 0) * 1e6 + 0.5), 0) / 1e6 AS r FROM h0),
 h2 AS (SELECT CASE WHEN r <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(4.0, 1 / r - 1) END::DOUBLE AS m FROM h1),
 h3 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h0, h2),
-h AS (SELECT host, a / (a + b) AS mean, a / (a + b) + 1.0 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS overall FROM h3),
+h AS (SELECT host, a / (a + b) AS mean, a / (a + b) + 2.0 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS overall FROM h3),
 ruled AS (SELECT page_id, host, path, (SELECT max({'n': length(r.h || r.p), 'rule': r.h || r.p, 'verdict': r.verdict}) FROM rules r
     WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)) AS r FROM parsed)
-SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN upper < overall THEN 'block' ELSE 'allow' END) AS verdict, floor(mean * 1e6 + 0.5) / 1e6 AS mean, floor(upper * 1e6 + 0.5) / 1e6 AS upper
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN upper < overall * 0.9 THEN 'block' ELSE 'allow' END) AS verdict, floor(mean * 1e6 + 0.5) / 1e6 AS mean, floor(upper * 1e6 + 0.5) / 1e6 AS upper
 FROM ruled JOIN h USING (host)
 """
 

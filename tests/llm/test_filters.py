@@ -44,13 +44,54 @@ def test_reputation_shrinks_and_blocks(spark):
     assert found["one.info"]["verdict"] == "allow"  # one bad page is no reputation
 
 
-def test_real_tables_get_both_verdicts(spark):
-    """At a tenth of the driver's largest scale some pages that no rule fits are blocked by their host, and most are not."""
+def shares(spark, hosts, n):
+    """Pages of hosts (name, share of good ones), n to each, with outcomes that come as close to the share as they can."""
+    named = spark.createDataFrame(hosts, "host string, share double")
+    rows = named.crossJoin(spark.range(n)).selectExpr("concat(host, '-', id) AS page", "host", "id", "floor((id + 1) * share) > floor(id * share) AS good")
+    rows = rows.selectExpr("xxhash64(page) AS page_id", "concat('http://', host, '/', id) AS url", "good", "repeat('x', 5) AS html", "host")
+    return rows, rows.select("page_id", "good")
+
+
+@pytest.mark.parametrize("n", [10, 100, 10_000])
+def test_hosts_like_the_others_are_never_blocked_and_bad_ones_are(spark, n):
+    """Whatever the number of pages: of equal hosts, and of hosts that differ by a few hundredths, none; far worse ones, all."""
+    equal = [(f"h{i}.net", 0.9) for i in range(30)]
+    near = [(f"h{i}.net", 0.9 + 0.002 * i) for i in range(30)]
+    for hosts in (equal, near):
+        pages, good = shares(spark, hosts, n)
+        assert op2_url_filter.url_filter(pages, good, rules=()).where("verdict = 'block'").count() == 0
+    if n > 10:
+        pages, good = shares(spark, [*near, *[(f"bad{i}.info", 0.3) for i in range(4)]], n)
+        found = op2_url_filter.url_filter(pages, good, rules=()).where("verdict = 'block'").select("host").distinct().collect()
+        assert {x["host"] for x in found} == {f"bad{i}.info" for i in range(4)}
+
+
+def test_verdicts_of_the_real_tables_are_rules_or_tolerance(spark):
+    """Their hosts are alike, so what no rule fits stays; and it follows from the bound in each row."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    found = op2_url_filter.url_filter(pages, op2_url_filter.page_outcomes(pages)).where("rule is null").collect()
-    blocked = sum(x["verdict"] == "block" for x in found)
-    assert 0 < blocked < len(found) / 2
-    assert all((x["verdict"] == "block") == (x["upper"] < x["overall"]) for x in found)
+    found = op2_url_filter.url_filter(pages, op2_url_filter.page_outcomes(pages)).collect()
+    assert {x["verdict"] for x in found} == {"allow", "block"}
+    free = [x for x in found if x["rule"] is None]
+    assert len(free) > 100 and all((x["verdict"] == "block") == (x["upper"] < x["overall"] * op2_url_filter.TOLERANCE) for x in free)
+    assert min(x["mean"] for x in free) > 0.8 and all(x["verdict"] == "allow" for x in free)
+
+
+def test_suffixes_of_a_table(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "co.uk", "b.co.uk:80", "x.y.city.kawasaki.jp", "me@a.com", "com", "", "a.b.example.com")], "host string")
+    of = lambda suffixes=None: {x["host"]: (x["suffix"], x["domain"]) for x in op2_url_filter.levels(hosts, suffixes).collect()}
+    plain = {"me@a.com": ("com", "a.com"), "com": ("com", "com"), "": ("", ""), "a.b.example.com": ("com", "example.com")}
+    assert of() == plain | {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "b.co.uk:80": ("co.uk", "b.co.uk"), "x.y.city.kawasaki.jp": ("jp", "kawasaki.jp")}
+    more = spark.createDataFrame([("city.kawasaki.jp",), ("kawasaki.jp",), ("kawasaki.jp",)], "suffix string")
+    assert of(more)["x.y.city.kawasaki.jp"] == ("city.kawasaki.jp", "y.city.kawasaki.jp") and of(more)["a.b.co.uk"] == ("uk", "co.uk")
+
+
+def test_very_long_html_and_repeated_pages(spark):
+    rows = [(1, "http://a.net/", "word " * 200_000), (1, "http://a.net/2", "# " * 200_000), (2, "http://b.net/", None), (None, "http://b.net/", "<script>" + "#" * 100_000 + "</script> one"), (3, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    outcomes = {(x["page_id"], x["good"]) for x in op2_url_filter.page_outcomes(pages).collect()}
+    assert outcomes == {(1, True), (1, False), (2, None), (None, True), (3, True)}
+    found = op2_url_filter.url_filter(pages, op2_url_filter.page_outcomes(pages), rules=())
+    assert found.count() == 5 and {x["n_rows"] for x in found.groupBy("page_id").agg(F.count("*").alias("n_rows")).where("page_id = 1").collect()} == {2}
 
 
 def test_of_rules_as_long_the_verdict_of_the_last_in_order_wins(spark):
