@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strideway.functions.text import STRIPPED_FOR_FACILITIES, ascii_match_text
 from strideway.operators import candidates, cluster, ingest, linear, normalise, routes, spatial
 from strideway.sources import numbered
+from strideway.sources.catalogue import SOURCES as CATALOGUE, WIDE_DOOR
 from strideway.sources.staging import staged
 
 ROUTE_VERTEX = """
@@ -84,6 +85,24 @@ SHAPES = (
 )
 
 
+#: The driver's tables under the headings of one source for each normaliser: table, and the SQL of each heading's cells.
+LAT_CELL = "CASE WHEN {k} % 17 = 0 THEN '' WHEN {k} % 19 = 0 THEN 'abc' WHEN {k} % 23 = 0 THEN '61.5' ELSE concat('35.', CAST({k} % 90 + 10 AS STRING)) END"
+LON_CELL = "CASE WHEN {k} % 29 = 0 THEN ' ' ELSE concat('139.', CAST({k} % 80 + 11 AS STRING)) END"
+OPEN_DATA = {
+    "shinjuku-public": ("part", "p_partkey", {"ID": "CASE WHEN p_partkey % 31 = 0 THEN '' ELSE CAST(p_partkey AS STRING) END", "名称": "p_name", "所在地_連結表記": "CASE WHEN p_size % 5 = 0 THEN '' ELSE p_type END", "緯度": LAT_CELL, "経度": LON_CELL, "車椅子使用者用トイレ有無": "CASE p_partkey % 3 WHEN 0 THEN '有' WHEN 1 THEN '無' ELSE '' END", "利用開始時間": "CASE WHEN p_size % 3 = 0 THEN '' ELSE '0900' END", "利用終了時間": "CASE WHEN p_size % 4 = 0 THEN '' ELSE '1700' END", "利用可能時間特記事項": "CASE WHEN p_size % 7 = 0 THEN p_brand ELSE '' END"}),
+    "tokyo-public-accessible": ("customer", "c_custkey", {"管理者種別番号": "CAST(c_nationkey AS STRING)", "部局番号": "CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '7' END", "施設通し番号": "CAST(c_custkey AS STRING)", "施設名": "CASE WHEN c_custkey % 37 = 0 THEN ' ' ELSE c_name END", "トイレ名": "CASE WHEN c_custkey % 3 = 0 THEN '東' ELSE '' END", "設置フロア": "CASE WHEN c_custkey % 4 = 0 THEN '1F' ELSE '' END", "市区町村・番地": "c_mktsegment", "緯度": LAT_CELL, "経度": LON_CELL, WIDE_DOOR: "CASE c_custkey % 3 WHEN 0 THEN '○' WHEN 1 THEN '×' ELSE '' END", "月曜日": "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '9-17' END", "火曜日": "CASE WHEN c_custkey % 2 = 0 THEN '9-17' ELSE '10-16' END", "データの作成年月": "CASE WHEN c_custkey % 6 = 0 THEN '2024' ELSE '202405' END"}),
+    "tokyo-station-accessible": ("supplier", "s_suppkey", {"管理者種別番号": "CAST(s_nationkey AS STRING)", "鉄道駅通し番号": "CAST(s_suppkey AS STRING)", "鉄道会社名": "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '鉄道' END", "鉄道駅名": "CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END", "市区町村・番地": "CAST(s_nationkey AS STRING)", "緯度": LAT_CELL, "経度": LON_CELL, WIDE_DOOR: "'○'"}),
+    "tokyo-drinking-stations": ("supplier", "s_suppkey", {"緯度": LAT_CELL, "経度": LON_CELL, "施設名称": "CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END", "所在地": "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '西 1-2' END", "水飲み栓設置場所": "''", "入場料等": "''", "タイプ": "''"}),
+    "shinjuku-public-facilities": ("customer", "c_custkey", {"ID": "CAST(c_custkey AS STRING)", "名称": "CASE WHEN c_custkey % 41 = 0 THEN '' ELSE c_name END", "所在地_連結表記": "c_mktsegment", "緯度": LAT_CELL, "経度": LON_CELL}),
+    "daredemo-parks": ("part", "p_partkey", {"施設名": "CASE WHEN p_partkey % 43 = 0 THEN '' ELSE p_name END", "市区町村名": "p_brand", "町丁目名": "CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END", "全国地方公共団体コード": "CASE WHEN p_size % 9 = 0 THEN '' ELSE '131041' END", "緯度": "CASE WHEN p_size % 2 = 0 THEN '' ELSE '36' END", "緯度_加工": LAT_CELL, "経度": "''", "経度_加工": LON_CELL, "車いすの貸出の可否": "CASE p_partkey % 3 WHEN 0 THEN '有' WHEN 1 THEN '無' ELSE '○' END", "対応可能日時（曜日や時間帯等）": "CASE WHEN p_size % 4 = 0 THEN '毎日' ELSE '' END"}),
+}
+
+
+def open_data_sql(key: str, quote: str) -> str:
+    table, number, cells = OPEN_DATA[key]
+    return "SELECT " + ", ".join(f"{sql.format(k=number)} AS {quote}{heading}{quote}" for heading, sql in cells.items()) + f" FROM {table}"
+
+
 #: All coordinates made here lie south of it.
 MAX_LATITUDE = 36.0
 #: What an address of the area has in it.
@@ -139,6 +158,10 @@ class Tables:
     def sources(self) -> dict[str, DataFrame]:
         return {n: self.bound(q, t) for (n, q), t in zip(SOURCES.items(), ("part", "customer", "supplier"), strict=True)}
 
+    @property
+    def open_data(self) -> dict[str, DataFrame]:
+        return {key: self.bound(open_data_sql(key, "`"), table) for key, (table, *_) in OPEN_DATA.items()}
+
     @property
     def segments(self) -> DataFrame:
         return self.once("segments", lambda: spatial.segments(self.vertices))

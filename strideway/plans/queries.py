@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import rounded
-from strideway.operators import candidates, cluster, ingest, linear, ranks, routes, spatial, verify
+from strideway.operators import candidates, cluster, ingest, linear, normalise, ranks, routes, spatial, verify
 from strideway.plans import bindings as b
 from strideway.plans.bindings import Tables
 from strideway.sources import writers
@@ -573,6 +573,41 @@ def source_records(t):
     return ingest.all_records(t.sources, b.SHAPES)
 
 
+def plain_id(*parts: str) -> str:
+    """SQL of an id out of parts: blank ones as 0, without anything but letters, digits and -."""
+    return "regexp_replace(concat_ws('-', " + ", ".join(f"coalesce(nullif({p}, ''), '0')" for p in parts) + r"), '[^\p{L}\p{N}-]', '', 'g')"
+
+
+NUMBER_TEXT = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+YES_NO = "CASE {0} WHEN '有' THEN true WHEN '○' THEN true WHEN '無' THEN false WHEN '×' THEN false END"
+FACILITY_NAME = "{0} || CASE WHEN \"トイレ名\" <> '' THEN ' ' || \"トイレ名\" ELSE '' END || CASE WHEN \"設置フロア\" <> '' THEN '（' || \"設置フロア\" || '）' ELSE '' END"
+CATALOGUE_SQL = {
+    "shinjuku-public": ("'shinjuku-' || \"ID\"", '"名称"', '"所在地_連結表記"', "toilet", YES_NO.format('"車椅子使用者用トイレ有無"'), "CASE WHEN \"利用開始時間\" <> '' OR \"利用終了時間\" <> '' THEN coalesce(nullif(\"利用開始時間\", ''), '不明') || '〜' || coalesce(nullif(\"利用終了時間\", ''), '不明') || CASE WHEN \"利用可能時間特記事項\" <> '' THEN '（' || \"利用可能時間特記事項\" || '）' ELSE '' END END", "NULL", '"ID" = \'\'', "id_or_name_blank"),
+    "tokyo-public-accessible": (plain_id("'tokyo-public'", '"管理者種別番号"', '"部局番号"', "''", '"施設通し番号"', "''"), FACILITY_NAME.format('trim("施設名")'), '"市区町村・番地"', "toilet", YES_NO.format(f'"{b.WIDE_DOOR}"'), "CASE WHEN \"月曜日\" IN ('', \"火曜日\") THEN \"火曜日\" ELSE \"月曜日\" || ' / ' || \"火曜日\" END", "CASE WHEN length(\"データの作成年月\") = 6 THEN \"データの作成年月\"[:4] || '-' || \"データの作成年月\"[5:] END", 'trim("施設名") = \'\'', "name_blank"),
+    "tokyo-station-accessible": (plain_id("'tokyo-station'", '"管理者種別番号"', '"鉄道駅通し番号"', "''"), "trim(\"鉄道会社名\" || ' ' || coalesce(nullif(\"鉄道駅名\", ''), '鉄道駅'))", '"市区町村・番地"', "toilet", "true", "NULL", "NULL", "false", "name_blank"),
+    "tokyo-drinking-stations": (plain_id("'tokyo-drinking-stations'", '"施設名称"', '"所在地"', NUMBER_TEXT.format("y"), NUMBER_TEXT.format("x")), "coalesce(nullif(\"施設名称\", ''), '名称不明の給水地点')", '"所在地"', "drinking_station", "NULL", "NULL", "'2025-09-16'", "false", ""),
+    "shinjuku-public-facilities": ("'shinjuku-facility-' || \"ID\"", '"名称"', '"所在地_連結表記"', "public_facility", "NULL", "NULL", "'2025-12-12'", '"名称" = \'\'', "id_or_name_blank"),
+    "daredemo-parks": (plain_id("'daredemo-parks'", '"施設名"', '"全国地方公共団体コード"', NUMBER_TEXT.format("y"), NUMBER_TEXT.format("x")), '"施設名"', '"市区町村名" || "町丁目名"', "barrier_free_facility", "CASE \"車いすの貸出の可否\" WHEN '有' THEN true WHEN '無' THEN false END", '"対応可能日時（曜日や時間帯等）"', "'2025-05-26'", '"施設名" = \'\'', "name_blank"),
+}
+
+
+def catalogue_select(key: str) -> str:
+    record_id, name, address, category, wheelchair, hours, updated, missing, reason = CATALOGUE_SQL[key]
+    lat, lon = ("coalesce(nullif(\"緯度\", ''), \"緯度_加工\")", "coalesce(nullif(\"経度\", ''), \"経度_加工\")") if key == "daredemo-parks" else ('"緯度"', '"経度"')
+    area = "WHEN y NOT BETWEEN 20 AND 50 OR x NOT BETWEEN 120 AND 155 THEN 'coordinate_out_of_area'" if category == "toilet" else ""
+    needed = f"WHEN {missing} THEN '{reason}'" + (" WHEN \"名称\" = '' THEN 'id_or_name_blank'" if key == "shinjuku-public" else "") if reason else ""
+    return f"""SELECT '{key}' AS dataset, {record_id} AS record_id, {name} AS name, y AS lat, x AS lon, nullif({address}, '') AS address, '{category}' AS category, {wheelchair}::BOOLEAN AS wheelchair, nullif({hours}::VARCHAR, '') AS opening_hours, {updated}::VARCHAR AS updated,
+CASE WHEN trim({lat}) = '' OR trim({lon}) = '' THEN 'coordinate_blank' WHEN y IS NULL OR x IS NULL THEN 'coordinate_not_numeric' {area} {needed} END AS problem
+FROM (SELECT *, try_cast({lat} AS DOUBLE) AS y, try_cast({lon} AS DOUBLE) AS x FROM ({b.open_data_sql(key, '"')}))"""
+
+
+@query("", "SELECT * REPLACE (CASE WHEN problem IS NULL THEN record_id END AS record_id) FROM (" + " UNION ALL ".join(map(catalogue_select, CATALOGUE_SQL)) + ")")
+def catalogue_records(t):
+    """One source for each normaliser of the catalogue, under its own headings; what is no record keeps its reason."""
+    own = normalise.all_normalised(t.open_data, tuple(s for s in b.CATALOGUE if s.key in b.OPEN_DATA))
+    return own.select("dataset", F.when(F.col("problem").isNull(), F.col("record_id")).alias("record_id"), "name", "lat", "lon", "address", "category", "wheelchair", "opening_hours", "updated", "problem")
+
+
 @query("request", """SELECT request_id, CAST(CASE WHEN from_lat IS NULL THEN 400 WHEN to_lat > 90 THEN 400 WHEN to_lat > 36 THEN 422 WHEN m < 1 THEN 400 WHEN m > 8000 THEN 422 WHEN limit_minutes NOT IN (5, 10, 15) THEN 400 WHEN prefer_indoor IS NULL THEN 400 END AS INT) AS code,
 CASE WHEN from_lat IS NULL THEN 'not_finite' WHEN to_lat > 90 THEN 'out_of_range' WHEN to_lat > 36 THEN 'outside_area' WHEN m < 1 THEN 'same_place' WHEN m > 8000 THEN 'too_far' WHEN limit_minutes NOT IN (5, 10, 15) THEN 'limit_minutes' WHEN prefer_indoor IS NULL THEN 'preferences' END AS problem
 FROM (SELECT *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(to_lat - from_lat) / 2), 2) + cos(radians(from_lat)) * cos(radians(to_lat)) * pow(sin(radians(to_lon - from_lon) / 2), 2))) AS m FROM request)""")
