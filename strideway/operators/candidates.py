@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions.geo import rounded
-from strideway.sources.staging import staged
+from strideway.operators.ranks import positions
+from strideway.sources.staging import drop_staged, staged
 
 #: Access categories with their prior, penalty, need for caution and eligibility.
 POLICIES = (
@@ -118,9 +120,11 @@ def rank_order(key: str) -> list[Column]:
 
 
 def rank_candidates(scored: DataFrame, key: str = "facility_id", region: str | None = None, most: int | None = None) -> DataFrame:
-    """priority from 1 within each region; `most` keeps the first so many."""
-    by = Window.partitionBy(*([region] if region else [F.lit(0)])).orderBy(*rank_order(key))
-    out = scored.withColumn("priority", F.row_number().over(by))
+    """priority from 1 within each region, or over the whole table without one task that holds it; `most` keeps the first so many."""
+    if region:
+        out = scored.withColumn("priority", F.row_number().over(Window.partitionBy(region).orderBy(*rank_order(key))))
+    else:
+        out = positions(scored, rank_order(key), "priority")
     return out.where(F.col("priority") <= most) if most else out
 
 
@@ -158,8 +162,10 @@ def scenario_ranks(candidates: DataFrame, key: str = "facility_id", region: str
     own = candidates.drop("adjusted_r", "ratio_r").withColumnRenamed("adjusted_m", "adjusted_r").withColumnRenamed("adjusted_ratio", "ratio_r")
     crossed = own.crossJoin(F.broadcast(weight_scenarios(candidates.sparkSession)))
     scored = with_score(crossed, {k: F.col(f"w_{k}") for k in WEIGHTS})
-    by = Window.partitionBy("scenario", *([region] if region else [])).orderBy(*rank_order(key))
-    return scored.withColumn("rank", F.row_number().over(by)).select(*([region] if region else []), key, "scenario", "score", "rank")
+    if not region:
+        return positions(scored, rank_order(key), "rank", by=["scenario"]).select(key, "scenario", "score", F.col("rank").cast("int").alias("rank"))
+    by = Window.partitionBy("scenario", region).orderBy(*rank_order(key))
+    return scored.withColumn("rank", F.row_number().over(by)).select(region, key, "scenario", "score", "rank")
 
 
 def rank_stability(ranks: DataFrame, key: str = "facility_id", region: str | None = None) -> DataFrame:
@@ -200,28 +206,50 @@ def undominated(values: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Parts whose skylines one task merges, and rows that a part holds before it drops what they dominate.
+FAN_IN, HELD_ROWS = 16, 50_000
+
+
 def skyline(rows: DataFrame, key: str, most: list[str], least: list[str], region: str | None = None) -> DataFrame:
     """rows with on_skyline: no other row of the region is as good everywhere and better somewhere.
 
-    First each partition drops what its own rows dominate; the few that are left are then compared with each other.
+    Whatever is dominated among some rows is dominated among all, so partial skylines are merged like sums: each partition keeps its own,
+    then FAN_IN partitions' at a time are merged by region, level by level, until one is left. A task holds FAN_IN partial skylines of
+    a region, never the region's rows, and no rows are paired by a join.
     """
     axes = [*[F.col(c).cast("double").alias(f"_{c}") for c in most], *[(-F.col(c)).cast("double").alias(f"_{c}") for c in least]]
     names = [f"_{c}" for c in (*most, *least)]
-    own = rows.select(F.col(key).alias("_key"), (F.col(region) if region else F.lit("")).cast("string").alias("_region"), *axes)
+    where = F.col(region).cast("string") if region else F.lit("")
+    own = rows.select(F.col(key).alias("_key"), where.alias("_region"), *axes, F.lit(0).alias("_part"))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        return part[undominated(part[names].to_numpy())]
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId()
+        held = None
         for batch in batches:
-            for _, part in batch.groupby("_region"):
-                yield part[undominated(part[names].to_numpy())]
+            held = batch if held is None else pd.concat([held, batch])
+            if len(held) > HELD_ROWS:
+                held = pd.concat([best(p) for _, p in held.groupby("_region", dropna=False)])
+                if len(held) > HELD_ROWS // 2:  # many regions, or few that are dominated
+                    yield held.assign(_part=number)
+                    held = None
+        if held is not None and len(held):
+            yield pd.concat([best(p) for _, p in held.groupby("_region", dropna=False)]).assign(_part=number)
 
     left = staged(own.mapInPandas(local, own.schema), "skyline")
-    a, b = left.alias("a"), left.select("_region", *[F.col(n).alias(f"o{n}") for n in names]).distinct().alias("b")
-    as_good = F.lit(True)
-    better = F.lit(False)
-    for n in names:
-        as_good, better = as_good & (F.col(f"b.o{n}") >= F.col(f"a.{n}")), better | (F.col(f"b.o{n}") > F.col(f"a.{n}"))
-    best = a.join(b.hint("merge"), (F.col("a._region") == F.col("b._region")) & as_good & better, "left_anti").select("_key")
-    return rows.join(best.withColumn("on_skyline", F.lit(True)).hint("merge"), rows[key] == F.col("_key"), "left").drop("_key").withColumn("on_skyline", F.coalesce("on_skyline", F.lit(False)))
+    parts = left.agg(F.max("_part").alias("n")).first()["n"] or 0
+    while True:
+        parts //= FAN_IN
+        merged = staged(left.withColumn("_part", F.floor(F.col("_part") / FAN_IN).cast("int")).groupBy("_region", "_part").applyInPandas(best, own.schema), "skyline")
+        drop_staged(left)
+        left = merged
+        if not parts:
+            break
+    found = left.select("_key", "_region", F.lit(True).alias("on_skyline"))
+    met = rows.withColumn("_where", where).join(found.hint("merge"), (rows[key] == F.col("_key")) & F.col("_where").eqNullSafe(F.col("_region")), "left")
+    return met.drop("_key", "_region", "_where").withColumn("on_skyline", F.coalesce("on_skyline", F.lit(False)))
 
 
 def shortlist(candidates: DataFrame, key: str = "facility_id", region: str | None = None, size: int = 5, robust: int = 3, hospitality: int = 3, name: str | None = None) -> DataFrame:

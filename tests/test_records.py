@@ -114,6 +114,29 @@ def test_saved_ranking(spark):
     assert {r["id"]: r["rank"] for r in ranks.where("scenario = 'baseline'").collect()}["shinjuku-131041000179"] == 1
 
 
+def test_partial_skylines_merge_level_by_level(spark):
+    """More partitions than one task merges, and a region of half a million rows whose skyline is small."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "a", "b"]), rng.randrange(30), rng.randrange(30), rng.randrange(30)) for i in range(600)]
+    table = spark.createDataFrame(rows, "id long, region string, a int, b int, c int").repartition(candidates.FAN_IN * 3)
+    beats = lambda x, y: x[1] == y[1] and x[2] >= y[2] and x[3] >= y[3] and x[4] <= y[4] and x[2:] != y[2:]
+    got = candidates.skyline(table, "id", ["a", "b"], ["c"], region="region")
+    assert {r["id"] for r in got.where("on_skyline").collect()} == {y[0] for y in rows if not any(beats(x, y) for x in rows)} and got.count() == len(rows)
+    large = spark.range(500_000).selectExpr("id", "id % 1009 AS a", "(id * 7919) % 1013 AS b", "(id * 104729) % 1019 AS c")
+    top = candidates.skyline(large, "id", ["a", "b"], ["c"]).where("on_skyline")
+    assert top.agg(F.max("a"), F.max("b"), F.min("c")).first()[:] == (1008, 1012, 0) and top.count() < 5000
+    assert candidates.skyline(large.where("a < 0"), "id", ["a", "b"], ["c"]).count() == 0
+
+
+def test_ranks_without_regions(spark):
+    rng = random.Random(5)
+    cols = ("score", "adjusted_r", "ratio_r", "covered_routes", "distance_r")
+    rows = [(i, *(float(rng.randrange(4)) for _ in cols)) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols))
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[1], -r[2], -r[3], -r[4], r[5], r[0]))]
+    assert [r["id"] for r in candidates.rank_candidates(table, "id", most=40).orderBy("priority").collect()] == want[:40]
+
+
 def test_skyline_is_that_of_all_pairs(spark):
     r = random.Random(2)
     rows = [(i, i % 3, r.randrange(6), r.randrange(6), r.randrange(6)) for i in range(150)]
