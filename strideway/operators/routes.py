@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +154,67 @@ def source_summary(near: DataFrame, manifest: DataFrame, route: str = "route_id"
     return out.withColumn("licence", F.when(n == 1, F.element_at("licences", 1)).when(n > 1, MANY_LICENCES).otherwise(NO_LICENCE))
 
 
+#: How the source of a routing service's line is described.
+ROUTE_SOURCE = {
+    "source_type": "openstreetmap_route",
+    "dataset": "openstreetmap-openrouteservice-route",
+    "provider": "openrouteservice / OpenStreetMap contributors",
+    "dataset_name": "OpenRouteService経路候補（OpenStreetMap由来）",
+    "licence": "ODbL 1.0（OpenStreetMapデータ。openrouteserviceの利用条件も適用）",
+    "attribution": "© OpenStreetMap contributors / openrouteservice",
+    "page": "https://www.openstreetmap.org/copyright",
+    "resource": None,
+}
+#: What every analysis says of its figures.
+ANALYSIS_WARNINGS = (
+    "距離は推定直線距離またはデモルート総距離へ正規化したルート沿い推定距離です。",
+    "実際の徒歩経路、施設の利用可否、入館条件、安全性を保証しません。",
+    "理論上の休憩地点追加候補は、実在する設置可能場所を保証しません。",
+)
+SOURCE_COLUMNS = tuple(ROUTE_SOURCE)
+
+
+def point_sources(points: DataFrame, manifest: DataFrame, route: str = "route_id") -> DataFrame:
+    """The descriptor of each point's own dataset: route and SOURCE_COLUMNS, maybe more than once.
+
+    points: route, dataset, provider, dataset_name, licence and verified (whether someone checked it there); manifest: dataset, licence, page and
+    resource. A point without a dataset has none; what it doesn't say of its licence the manifest does.
+    """
+    of = manifest.select("dataset", F.col("licence").alias("_licence"), "page", "resource")
+    own = points.where("dataset is not null").join(of.hint("merge"), "dataset", "left").withColumn("licence", F.coalesce("licence", "_licence", F.lit(NO_LICENCE)))
+    kind = F.when(F.col("verified"), "field_verification").otherwise("official_open_data")
+    credit = F.concat("provider", F.lit("「"), "dataset_name", F.lit("」 ("), "licence", F.lit(")"))
+    return own.withColumn("source_type", kind).withColumn("attribution", credit).select(route, *SOURCE_COLUMNS)
+
+
+def listed_sources(ids: DataFrame, manifest: DataFrame, route: str = "route_id") -> DataFrame:
+    """Descriptors of the datasets that official ids name: an id's dataset is what stands before its first `:`.
+
+    ids: route and source_id; manifest: dataset, provider, dataset_name, licence, attribution, page and resource. Datasets that the manifest
+    lacks have none.
+    """
+    own = ids.select(route, F.substring_index("source_id", ":", 1).alias("dataset")).distinct().join(manifest.hint("merge"), "dataset")
+    return own.withColumn("source_type", F.lit("official_open_data")).select(route, *SOURCE_COLUMNS)
+
+
+def route_sources(routes: DataFrame, *origins: DataFrame, route: str = "route_id") -> DataFrame:
+    """What each route's analysis rests on: sources (structs of SOURCE_COLUMNS, each once), dataset_ids, attributions and warnings, all in order.
+
+    origins: route and SOURCE_COLUMNS, of whatever origin; the routing service is added to each route. Sources are one if kind, dataset,
+    provider and name agree; of those the first in the order of the other columns stays. routes: route and warnings (an array, maybe null).
+    """
+    line = routes.select(route, *[F.lit(v).cast("string").alias(c) for c, v in ROUTE_SOURCE.items()])
+    key = ["source_type", "dataset", "provider", "dataset_name"]
+    rest = F.struct(*[c for c in SOURCE_COLUMNS if c not in key])
+    every = functools.reduce(DataFrame.unionByName, [*origins, line]).groupBy(route, *key).agg(F.min(rest).alias("_rest"))
+    one = F.struct(*[F.col(c) if c in key else F.col(f"_rest.{c}").alias(c) for c in (*key, *[c for c in SOURCE_COLUMNS if c not in key])])
+    lists = every.groupBy(route).agg(F.array_sort(F.collect_list(one)).alias("sources"))
+    distinct = lambda c: F.array_sort(F.array_distinct(F.transform("sources", lambda s: s[c])))
+    said = F.array_sort(F.array_distinct(F.filter(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array(*map(F.lit, ANALYSIS_WARNINGS))), lambda w: w != "")))
+    out = routes.select(route, said.alias("warnings")).join(lists.hint("merge"), route)
+    return out.withColumn("dataset_ids", distinct("dataset")).withColumn("attributions", distinct("attribution"))
+
+
 def preference_summary(ranked: DataFrame, request: str = "request_id") -> DataFrame:
     """Whether any route, and whether the top one, meets the wishes of a request."""
     return ranked.groupBy(request).agg(F.bool_or("meets").alias("any_meets"), F.min_by("meets", "rank").alias("top_meets"), (~F.bool_or("meets")).alias("none_meets"))

@@ -534,9 +534,37 @@ def shortlist(t):
     return candidates.shortlist(regional(t), region="request_id").select("request_id", "facility_id", "visit_priority", "category", "role")
 
 
-@query("short", "SELECT facility_id, CAST(visit_priority AS INT) AS visit_priority, 'fv-' || facility_id AS verification_id, detour_class, conservative_m, CAST(NULL AS VARCHAR) AS notes FROM short")
+def in_sql(texts: dict[str, str], column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
+
+
+ROLE_SQL = "CASE WHEN tier = 1 THEN 'clear_public_verification' WHEN detour_class = 'robust' THEN 'robust_improvement' WHEN clarity = 3 THEN 'clear_public_verification' ELSE 'boundary_model_check' END"
+
+
+@query("short facility measured", f"""SELECT request_id, CAST(visit_priority AS INT) AS "confirmationPriority", 'fv-' || s.facility_id AS "verificationId", CAST(s.facility_id AS VARCHAR) AS "candidateId", f.name, f.address, f.lat AS latitude, f.lon AS longitude, category AS "facilityCategory", r.ids AS "targetRouteIds",
+distance_r AS "distanceToRouteMeters", optimistic_m AS "optimisticImprovementMeters", lower_m AS "lowerBoundImprovementMeters", conservative_m AS "conservativeProxyImprovementMeters", top_rate AS "top5AppearanceRate",
+{in_sql(candidates.DETOUR_TEXTS, 'detour_class')} || '。' || replace({in_sql(candidates.STABILITY_TEXTS, 'stability')}, '%s', regexp_replace(printf('%.2f', floor(top_rate * 10000 + 0.5) / 100), '\\.?0+$', '')) || '。' AS "stabilityDescription",
+{in_sql(candidates.ROLE_TEXTS, f'({ROLE_SQL})')} AS "selectionReason", CASE WHEN category IN ('private_hospitality', 'commercial_facility') THEN '{candidates.PRIVATE_CAUTION}' ELSE '{candidates.GENERAL_CAUTION}' END AS caution, {', '.join(f'CAST(NULL AS VARCHAR) AS "{c}"' for c in candidates.RESULT_COLUMNS)}
+FROM short s JOIN facility f ON f.facility_id = s.facility_id JOIN (SELECT facility_id, array_to_string(list_sort(list(route_id)), '|') AS ids FROM measured WHERE counts GROUP BY 1) r ON r.facility_id = s.facility_id""")
 def visit_plan(t):
-    return candidates.visit_plan(candidates.shortlist(regional(t), region="request_id")).select("facility_id", "visit_priority", "verification_id", "detour_class", "conservative_m", "notes")
+    helped = t.metrics.where("counts").groupBy("facility_id").agg(F.collect_set("route_id").alias("route_ids"))
+    plan = candidates.visit_plan(candidates.shortlist(regional(t), region="request_id"), t.facilities, helped)
+    return plan.withColumn("targetRouteIds", F.array_join(F.transform("targetRouteIds", lambda r: r.cast("string")), "|"))
+
+
+@query("scored", """SELECT facility_id, array_to_string(list_filter(['POSITIVE_DETOUR_ADJUSTED_IMPROVEMENT', CASE WHEN adjusted_r < 50 THEN 'MARGINAL_DETOUR_ADJUSTED_IMPROVEMENT' END, CASE WHEN distance_r <= 50 THEN 'CLOSE_TO_DYNAMIC_ROUTE_50M' WHEN distance_r <= 100 THEN 'CLOSE_TO_DYNAMIC_ROUTE_100M' END, CASE WHEN covered_routes > 1 THEN 'MULTIPLE_DYNAMIC_ROUTES' END,
+CASE WHEN category = 'public_outdoor_space' THEN 'PUBLIC_OUTDOOR_PRIORITY' END, CASE WHEN category = 'public_service_facility' THEN 'PUBLIC_SERVICE_PRIORITY' END, CASE WHEN source_quality = 3 THEN 'HIGH_OFFICIAL_SOURCE_QUALITY' END, CASE WHEN group_size > 1 THEN 'DEDUPLICATED_FACILITY' END, 'NO_EXISTING_STRICT_DUPLICATE',
+CASE WHEN category = 'private_hospitality' THEN 'PRIVATE_ACCESS_CONFIRMATION_NEEDED' END, CASE WHEN category = 'commercial_facility' THEN 'COMMERCIAL_ACCESS_CONFIRMATION_NEEDED' END], lambda x: x IS NOT NULL), ',') AS reasons FROM scored""")
+def selection_reasons(t):
+    """Why each ranked candidate was chosen, as codes in their order."""
+    return t.scored.select("facility_id", F.array_join(candidates.selection_reasons(), ",").alias("reasons"))
+
+
+@query("grp", """SELECT facility_id, CASE category WHEN 'restricted_or_sensitive' THEN 'RESTRICTED_OR_SENSITIVE_NAME' WHEN 'public_outdoor_space' THEN 'OFFICIAL_PARK_DATASET' WHEN 'public_service_facility' THEN 'PUBLIC_SERVICE_NAME' WHEN 'official_public_access' THEN 'OFFICIAL_PUBLIC_FACILITY_DATASET'
+WHEN 'private_hospitality' THEN 'PRIVATE_HOSPITALITY_DATASET' WHEN 'commercial_facility' THEN 'COMMERCIAL_DATASET' ELSE 'UNKNOWN_ACCESS_PURPOSE' END AS reason FROM grp""")
+def category_reasons(t):
+    """What each place's category was read from."""
+    return t.groups.select("facility_id", candidates.category_reason(F.col("category"), F.col("datasets")).alias("reason"))
 
 
 @query("stable short", "SELECT request_id, facility_id, baseline_rank FROM (SELECT request_id, facility_id, CAST(baseline_rank AS INT) AS baseline_rank FROM stable) s WHERE NOT EXISTS (SELECT 1 FROM short x WHERE x.request_id = s.request_id AND x.facility_id = s.facility_id)")
@@ -561,6 +589,31 @@ def route_snapshot(t):
     return own.join(stop.hint("merge"), "route_id").select("route_id", *[three(c, n) for n, c in named.items()], (F.col("max_minutes") <= F.col("limit_minutes")).alias("feasible"), "network_ok", "n_strict", "n_possible", F.coalesce(F.array_join("datasets", ","), F.lit("")).alias("datasets"), F.coalesce("licence", F.lit(routes.NO_LICENCE)).alias("licence"))
 
 
+MANIFEST = {d: (f"{d} office", f"{d} list", c, f"https://example.org/{d}", None) for d, c in LICENCES.items()}
+
+
+@query("route placed facility", f"""SELECT * FROM (WITH m AS (SELECT * FROM (VALUES {', '.join(f"('{d}', '{p}', '{n}', '{c}', '{u}', CAST(NULL AS VARCHAR))" for d, (p, n, c, u, _) in MANIFEST.items())}) v(dataset, provider, dataset_name, licence, page, resource)),
+near AS (SELECT route_id, f.facility_id, f.dataset, f.confidence FROM placed p JOIN facility f ON f.facility_id = p.facility_id),
+every AS (SELECT route_id, CASE WHEN confidence = 'confirmed' THEN 'field_verification' ELSE 'official_open_data' END AS source_type, n.dataset, 'Office of ' || n.dataset AS provider, n.dataset || ' records' AS dataset_name, coalesce(CASE WHEN facility_id % 4 = 0 THEN 'CC0' END, m.licence, 'ライセンス情報なし') AS licence, m.page, m.resource FROM near n LEFT JOIN m ON m.dataset = n.dataset),
+named AS (SELECT route_id, source_type, dataset, provider, dataset_name, licence, provider || '「' || dataset_name || '」 (' || licence || ')' AS attribution, page, resource FROM every
+UNION ALL SELECT DISTINCT route_id, 'official_open_data', m.dataset, m.provider, m.dataset_name, m.licence, m.provider || '「' || m.dataset_name || '」（' || m.licence || '）', m.page, m.resource FROM near n JOIN m ON m.dataset = CASE WHEN facility_id % 3 = 0 THEN n.dataset ELSE 'daredemo-parks' END
+UNION ALL SELECT route_id, {', '.join('CAST(NULL AS VARCHAR)' if v is None else f"'{v}'" for v in routes.ROUTE_SOURCE.values())} FROM route),
+once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY route_id, source_type, dataset, provider, dataset_name ORDER BY licence, attribution, page NULLS FIRST, resource NULLS FIRST) = 1)
+SELECT route_id, count(*) AS n_sources, array_to_string(list(source_type || ':' || dataset || ':' || licence ORDER BY source_type, dataset, provider, dataset_name), '|') AS sources, array_to_string(list_sort(list(DISTINCT dataset)), '|') AS dataset_ids, array_to_string(list_sort(list(DISTINCT attribution)), '|') AS attributions,
+array_to_string(list_sort(list_distinct(list_concat(CASE WHEN any_value(route_id) % 2 = 0 THEN ['source warning'] ELSE [] END, [{', '.join(f"'{w}'" for w in routes.ANALYSIS_WARNINGS)}]))), '|') AS warnings FROM once GROUP BY 1)""")
+def route_sources(t):
+    """What each route's analysis rests on: its points' datasets, those that their official ids name, and the routing service."""
+    rows = [(d, p, n, c, f"{p}「{n}」（{c}）", u, r) for d, (p, n, c, u, r) in MANIFEST.items()]
+    manifest = t.spark.createDataFrame(rows, "dataset string, provider string, dataset_name string, licence string, attribution string, page string, resource string")
+    near = t.placed.select("route_id", "facility_id", "dataset", "confidence")
+    points = near.select("route_id", "dataset", F.concat(F.lit("Office of "), "dataset").alias("provider"), F.concat("dataset", F.lit(" records")).alias("dataset_name"), F.when(F.col("facility_id") % 4 == 0, "CC0").alias("licence"), (F.col("confidence") == "confirmed").alias("verified"))
+    official = F.concat(F.when(F.col("facility_id") % 3 == 0, F.col("dataset")).otherwise("daredemo-parks"), F.lit(":"), F.col("facility_id").cast("string"))
+    own = t.routes.select("route_id", F.when(F.col("route_id") % 2 == 0, F.array(F.lit("source warning"))).alias("warnings"))
+    found = routes.route_sources(own, routes.point_sources(points, manifest), routes.listed_sources(near.select("route_id", official.alias("source_id")), manifest))
+    text = F.transform("sources", lambda s: F.concat_ws(":", s["source_type"], s["dataset"], s["licence"]))
+    return found.select("route_id", F.size("sources").cast("long").alias("n_sources"), F.array_join(text, "|").alias("sources"), *[F.array_join(c, "|").alias(c) for c in ("dataset_ids", "attributions", "warnings")])
+
+
 MARKED = {"wheelchair": "CASE WHEN wide IN ('○', '有') THEN true WHEN wide = '×' THEN false END", "seating": "seats = '有'"}
 
 

@@ -175,8 +175,17 @@ def test_shortlist_is_the_greedy_one(spark, seed):
     rows = [{"id": i, "on_skyline": r.random() < 0.8, "detour_class": r.choice(["robust", "marginal", "sensitive", "ineffective"]), "category": r.choice(["private_hospitality"] * 4 + ["public_service_facility", "commercial_facility"]), "top_rate": r.choice([0.2, 0.8, 1.0]), "conservative_m": float(r.randrange(5)), "baseline_rank": r.randrange(9)} for i in range(14)]
     got = candidates.shortlist(spark.createDataFrame(rows), key="id").orderBy("visit_priority").collect()
     assert [x["id"] for x in got] == brute_shortlist(rows)
-    plan = candidates.visit_plan(candidates.shortlist(spark.createDataFrame(rows), key="id"), key="id")
-    assert plan.count() == len(got) and plan.where("notes is not null").count() == 0
+
+
+def test_a_visit_plan_has_the_fixed_columns(spark):
+    row = (7, 1, 2, "private_hospitality", "robust_improvement", "robust", "resilient_top5", 0.8667, 12.0, 40.0, 30.0, 20.0)
+    short = spark.createDataFrame([row], "facility_id long, request_id long, visit_priority int, category string, role string, detour_class string, stability string, top_rate double, distance_r double, optimistic_m double, adjusted_m double, conservative_m double")
+    places = spark.createDataFrame([(7, "n", None, 35.0, 139.0)], "facility_id long, name string, address string, lat double, lon double")
+    plan = candidates.visit_plan(short, places, spark.createDataFrame([(7, [3, 1])], "facility_id long, route_ids array<long>"))
+    assert plan.columns == ["request_id", *candidates.PLAN_COLUMNS, *candidates.RESULT_COLUMNS] and len(plan.columns) == 1 + 17 + 14
+    x = plan.first()
+    assert (x["verificationId"], x["targetRouteIds"], x["caution"]) == ("fv-7", [1, 3], candidates.PRIVATE_CAUTION)
+    assert x["stabilityDescription"] == "検討した迂回条件でも改善が残る（往復直線proxy控除後も正）。検討した15設定の86.67%で上位5。" and x["notes"] is None
 
 
 def test_sinks(spark, tmp_path):
