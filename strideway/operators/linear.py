@@ -40,6 +40,34 @@ def two_largest(gap_rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Metres of a route that one task looks at for gaps.
+STRETCH_M = 5000.0
+
+
+def largest_gaps(positions: DataFrame, routes: DataFrame, route: str = "route_id", stretch: float = STRETCH_M) -> DataFrame:
+    """What two_largest() gives of gaps(), without a route's positions in one task.
+
+    Stretches of a route give their first and last position and the two largest gaps between; these are put in order and merged, a value for
+    each stretch: a gap across stretches lies between the last position of one and the first of the next. positions: route and
+    position_m, from 0 to the route's stated_m; routes: route and stated_m.
+    """
+    gap = lambda start, end: F.struct((start - end).alias("less"), start.alias("start"), end.alias("end"))
+    own = positions.select(route, "position_m", F.floor(F.col("position_m") / stretch).alias("_k"))
+    by = Window.partitionBy(route, "_k").orderBy("position_m")
+    own = own.withColumn("_gap", gap(F.lag("position_m").over(by), F.col("position_m")))
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy(route, "_k").orderBy(F.col("_gap.less").asc_nulls_last(), "_gap.start", "_gap.end")))
+    inner = F.collect_list(F.when((F.col("_n") <= 2) & F.col("_gap.less").isNotNull(), F.col("_gap")))
+    parts = own.groupBy(route, "_k").agg(F.min("position_m").alias("first"), F.max("position_m").alias("last"), inner.alias("gaps"))
+    parts = parts.groupBy(route).agg(F.array_sort(F.collect_list(F.struct("_k", "first", "last", "gaps"))).alias("p"))
+    met = routes.select(route, F.col("stated_m").cast("double").alias("stated_m")).join(parts.hint("merge"), route, "left").withColumn("p", F.coalesce("p", F.expr("array()").cast(parts.schema["p"].dataType)))
+    lasts = F.concat(F.array(F.lit(0.0)), F.transform("p", lambda x: x["last"]))
+    firsts = F.concat(F.transform("p", lambda x: x["first"]), F.array("stated_m"))
+    across = F.zip_with(lasts, firsts, gap)
+    top = F.array_sort(F.concat(across, F.flatten(F.transform("p", lambda x: x["gaps"]))))
+    met = met.withColumn("_a", F.get(top, F.lit(0))).withColumn("_b", F.get(top, F.lit(1)))
+    return met.select(route, F.col("_a.start").alias("gap_start_m"), F.col("_a.end").alias("gap_end_m"), (-F.col("_a.less")).alias("longest_m"), F.coalesce(-F.col("_b.less"), F.lit(0.0)).alias("second_m"))
+
+
 def insertion_suggestion(largest: DataFrame) -> DataFrame:
     """The middle of the largest gap, and the longest gap after a stop there."""
     improved = F.greatest(F.col("longest_m") / 2, F.col("second_m"))

@@ -13,6 +13,8 @@ from strideway.sources.staging import staged
 
 #: A segment that is longer than so many cells is cut, so that its box stays narrow.
 CELLS_PER_PIECE = 10
+#: Vertices of a route that one task works out.
+BLOCK = 8192
 
 
 def close_pairs(points: DataFrame, key: str, metres: float, lat: str = "lat", lon: str = "lon", by: Column | None = None) -> DataFrame:
@@ -51,12 +53,28 @@ def meeting(left: DataFrame, right: DataFrame, metres: float, how: str = "inner"
     return met.drop("_cy", "_cx", "_by_y", "_by_x")
 
 
-def segments(vertices: DataFrame, route: str = "route_id", seq: str = "seq") -> DataFrame:
-    """Vertices as segments: a_lat, a_lon, b_lat, b_lon, length_m, and start_m, the length before it."""
-    by = Window.partitionBy(route).orderBy(seq)
-    rows = vertices.select(route, seq, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.lead("lat").over(by).alias("b_lat"), F.lead("lon").over(by).alias("b_lon")).where("b_lat is not null")
-    rows = rows.withColumn("length_m", haversine(*map(F.col, ("a_lat", "a_lon", "b_lat", "b_lon"))))
-    return rows.withColumn("start_m", F.coalesce(F.sum("length_m").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+def segments(vertices: DataFrame, route: str = "route_id", seq: str = "seq", block: int = BLOCK) -> DataFrame:
+    """Vertices as segments: a_lat, a_lon, b_lat, b_lon, length_m, and start_m, the length before it.
+
+    seq: whole numbers in the order of a route's vertices. A route is worked out in blocks of so many of them, so one route with most of the
+    vertices is many tasks: a block's last vertex leads to the first of the next block, and its lengths begin after those of the
+    blocks before; only a row for each block is put in order. A route of one vertex has one segment of no length, so that points still have a
+    distance to it.
+    """
+    keys = [route, "_block"]
+    rows = vertices.select(route, seq, "lat", "lon", F.floor(F.col(seq) / block).alias("_block"))
+    order, by = Window.partitionBy(route).orderBy("_block"), Window.partitionBy(*keys).orderBy(seq)
+    heads = rows.groupBy(*keys).agg(F.min_by(F.struct("lat", "lon"), seq).alias("_head"), F.count("*").alias("_n"))
+    alone = (F.col("_n") == 1) & F.lag("_block").over(order).isNull() & F.lead("_block").over(order).isNull()
+    heads = heads.select(*keys, F.coalesce(F.lead("_head").over(order), F.when(alone, F.col("_head"))).alias("_next"))
+    ends = [F.coalesce(F.lead(c).over(by), F.when(F.lead(seq).over(by).isNull(), F.col(f"_next.{c}"))).alias(f"b_{c}") for c in ("lat", "lon")]
+    cut = rows.join(heads.hint("merge"), keys).select(*keys, seq, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *ends).where("b_lat is not null")
+    cut = cut.withColumn("length_m", haversine(*map(F.col, ("a_lat", "a_lon", "b_lat", "b_lon"))))
+    before = F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = cut.groupBy(*keys).agg(F.sum("length_m").alias("_m")).select(*keys, before.alias("_start"))
+    inside = F.coalesce(F.sum("length_m").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    own = cut.withColumn("_inside", inside).join(starts.hint("merge"), keys)
+    return own.select(route, seq, "a_lat", "a_lon", "b_lat", "b_lon", "length_m", (F.col("_start") + F.col("_inside")).alias("start_m"))
 
 
 def route_lengths(segs: DataFrame, route: str = "route_id") -> DataFrame:

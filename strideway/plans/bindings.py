@@ -282,7 +282,7 @@ class Tables:
     def largest(self) -> DataFrame:
         """The two largest gaps of each route between strict points that aren't at its ends."""
         inside = self.strict.where("position_m > 0 and position_m < stated_m").select("route_id", "facility_id", "position_m")
-        return self.once("largest", lambda: linear.two_largest(linear.gaps(inside, self.routes), ["route_id"]).join(self.routes.select("route_id", "stated_m").hint("merge"), "route_id"))
+        return self.once("largest", lambda: linear.largest_gaps(inside, self.routes).join(self.routes.select("route_id", "stated_m").hint("merge"), "route_id"))
 
     @property
     def pool(self) -> DataFrame:

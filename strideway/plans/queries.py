@@ -38,7 +38,7 @@ CTES = {
     "raw_record": b.RAW_RECORD,
     "seg": """SELECT *, coalesce(sum(length_m) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m FROM (
   SELECT *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b_lat - a_lat) / 2), 2) + cos(radians(a_lat)) * cos(radians(b_lat)) * pow(sin(radians(b_lon - a_lon) / 2), 2))) AS length_m FROM (
-  SELECT route_id, seq, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon FROM route_vertex WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE b_lat IS NOT NULL)""",
+  SELECT route_id, seq, lat AS a_lat, lon AS a_lon, coalesce(lead(lat) OVER w, CASE WHEN lag(seq) OVER w IS NULL THEN lat END) AS b_lat, coalesce(lead(lon) OVER w, CASE WHEN lag(seq) OVER w IS NULL THEN lon END) AS b_lon FROM route_vertex WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE b_lat IS NOT NULL)""",
     "route": """SELECT *, stated_m / 1.2 AS seconds, greatest(1.0, floor(stated_m / 72 + 0.5)) AS minutes, route_id // 3 AS request_id, ['standard', 'step_avoiding', 'wheelchair_profile'][route_id % 3 + 1] AS profile,
   route_id % 4 AS steep_count, [5, 10, 15][(route_id // 3) % 3 + 1] AS limit_minutes, (route_id // 3) % 2 = 0 AS require_toilet, (route_id // 3) % 3 = 0 AS avoid_steep, (route_id // 3) % 4 < 2 AS avoid_steps, (route_id // 3) % 5 = 0 AS prefer_indoor
   FROM (SELECT route_id, sum(length_m) AS length_m, count(*) AS n_segments, floor(sum(length_m) + 0.5) AS stated_m FROM seg GROUP BY 1)""",

@@ -119,7 +119,8 @@ def vertices(routes: DataFrame, key: str = "id") -> DataFrame:
 def routing_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     """A routing service's stored answers as routes: axes swapped, steps in one list, steep stretches counted.
 
-    valid is false where geometry or summary is missing; such rows keep their other columns.
+    Stated metres are rounded to whole ones. valid is false where there is no vertex, or length or time are missing or no finite numbers; such
+    rows keep their other columns.
     """
     f = F.try_element_at(F.from_json(body, RESPONSE).getField("features"), F.lit(1))
     steep = F.filter(f["properties"]["extras"]["steepness"]["values"], lambda v: F.abs(v[2]) >= STEEP)
@@ -128,14 +129,14 @@ def routing_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     out = responses.withColumns(
         {
             "points": points,
-            "stated_m": f["properties"]["summary"]["distance"],
+            "stated_m": F.floor(f["properties"]["summary"]["distance"] + 0.5).cast("double"),
             "seconds": seconds,
             "minutes": F.greatest(F.lit(1), F.floor(seconds / 60 + 0.5).cast("int")),
             "steps": F.flatten(F.transform(f["properties"]["segments"], lambda s: s["steps"])),
             "steep_count": F.coalesce(F.size(steep), F.lit(0)),
         }
     )
-    ok = (F.size("points") >= 2) & F.col("stated_m").isNotNull() & F.col("seconds").isNotNull()
+    ok = (F.size("points") >= 1) & F.col("stated_m").isNotNull() & F.col("seconds").isNotNull()
     return out.withColumn("minutes", F.when(F.col("seconds").isNotNull(), F.col("minutes"))).withColumn("valid", F.coalesce(ok, F.lit(False))).drop(body)
 
 

@@ -133,3 +133,29 @@ def test_request_rules_in_order(spark):
     table = spark.createDataFrame(rows, "request_id int, from_lat double, from_lon double, to_lat double, to_lon double, limit_minutes int, require_toilet boolean, avoid_steep boolean, prefer_indoor boolean")
     found = {r["request_id"]: (r["code"], r["problem"]) for r in routes.request_problem(table).collect()}
     assert found == {1: (None, None), 2: (400, "not_finite"), 3: (400, "out_of_range"), 4: (422, "outside_area"), 5: (400, "same_place"), 6: (422, "too_far"), 7: (400, "limit_minutes"), 8: (400, "preferences")}
+
+
+def test_a_long_route_is_cut_into_blocks(spark):
+    """One route has most vertices; blocks change nothing, and a route of one vertex keeps it."""
+    rng = random.Random(2)
+    rows = [(1, i, 35 + i * 1e-4 + rng.random() * 1e-4, 139 + rng.random() * 1e-3) for i in range(700)] + [(r, 3 * i, 35 + rng.random(), 139.0) for r in range(2, 9) for i in range(r)] + [(9, 64, 35.0, 139.0), (10, 5, 35.0, 139.0), (10, 800, 35.1, 139.0)]
+    table = spark.createDataFrame(rows, "route_id long, seq int, lat double, lon double").repartition(5)
+    whole = {(r["route_id"], r["seq"]): r for r in spatial.segments(table, block=1 << 20).collect()}
+    parts = spatial.segments(table, block=16)
+    found = {(r["route_id"], r["seq"]): r for r in parts.collect()}
+    assert found.keys() == whole.keys() and len(found) == 699 + sum(r - 1 for r in range(2, 9)) + 2
+    for k, r in whole.items():
+        assert [found[k][c] for c in ("a_lat", "b_lat", "a_lon", "b_lon", "length_m")] == [r[c] for c in ("a_lat", "b_lat", "a_lon", "b_lon", "length_m")] and abs(found[k]["start_m"] - r["start_m"]) < 1e-6
+    assert (found[9, 64]["length_m"], found[9, 64]["b_lat"]) == (0.0, 35.0)
+    near = spatial.project_points(spark.createDataFrame([(1, 35.001, 139.0)], "facility_id long, lat double, lon double"), parts.where("route_id = 9"), 350.0).collect()
+    assert [(r["route_id"], round(r["distance_m"]), r["progress_m"]) for r in near] == [(9, 111, 0.0)]
+
+
+@pytest.mark.parametrize("stretch", [7.0, 50.0, 1e6])
+def test_largest_gaps_merge_like_one_window(spark, stretch):
+    rng = random.Random(3)
+    rows = [(1, i, float(rng.randrange(1000))) for i in range(400)] + [(r, i, float(rng.randrange(0, 200, 5))) for r in range(2, 30) for i in range(r % 7)]
+    positions = spark.createDataFrame(rows, "route_id long, facility_id long, position_m double")
+    lengths = spark.createDataFrame([(r, 1000.0 if r == 1 else 200.0) for r in range(1, 33)] + [(40, 0.0)], "route_id long, stated_m double")
+    want = {tuple(r) for r in linear.two_largest(linear.gaps(positions, lengths), ["route_id"]).collect()}
+    assert {tuple(r) for r in linear.largest_gaps(positions, lengths, stretch=stretch).collect()} == want and len(want) == 33
