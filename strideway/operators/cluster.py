@@ -214,3 +214,45 @@ def audit(records: DataFrame, members: DataFrame, key: str, dataset: str, match:
     e = ambiguous_spots(records, members, key).agg(F.coalesce(F.sum(F.col("a_n") * F.col("b_n")), F.lit(0)).alias("n_ambiguous"))
     # each side is one row
     return a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)
+
+
+#: What an audit groups records by, in its order.
+AUDIT_KINDS = ("identical_coordinate", "proximity_10m", "proximity_25m", "name_match", "address_match", "same_facility", "across_datasets")
+
+
+def audit_members(records: DataFrame, members: DataFrame, key: str, dataset: str, match: str, address: str) -> DataFrame:
+    """kind, group_id (the group's smallest key) and key: every group of two records or more that an audit lists, a row for each record in it.
+
+    A group may have most of the records, so its members stay rows. Blank names and addresses make no group.
+    """
+
+    def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
+        sizes = rows.groupBy(*by).agg(F.min(key).alias("group_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        return rows.select(*by, key).join(sizes.hint("merge"), by)
+
+    places = records.select(key, dataset).join(members.select(key, "place_id").hint("merge"), key)
+    across = places.groupBy("place_id").agg(F.count_distinct(dataset).alias("_d")).where("_d > 1").select("place_id")
+    near = lambda metres: proximity_groups(records, key, metres).withColumnRenamed("place_id", "group_id")
+    found = (
+        grouped(records.where("lat is not null and lon is not null"), ["lat", "lon"]), near(10.0), near(25.0), grouped(records.where(F.col(match) != ""), [match]), grouped(records.where(F.col(address) != ""), [address]),
+        grouped(places, ["place_id"]), grouped(places.join(across.hint("merge"), "place_id", "left_semi"), ["place_id"]),
+    )
+    return functools.reduce(DataFrame.unionByName, [f.select(F.lit(k).alias("kind"), "group_id", key) for k, f in zip(AUDIT_KINDS, found, strict=True)])
+
+
+def audit_counts(groups: DataFrame) -> DataFrame:
+    """kind, n_groups, n_records and largest (records of the largest group) of audit_members(), a row for each kind, with zeros."""
+    sizes = groups.groupBy("kind", "group_id").agg(F.count("*").alias("n"))
+    counted = sizes.groupBy("kind").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_records"), F.max("n").alias("largest"))
+    kinds = groups.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, AUDIT_KINDS))).alias("kind"))
+    return kinds.join(counted.hint("merge"), "kind", "left").fillna(0)
+
+
+def dataset_rates(records: DataFrame, dataset: str, columns: list[str], flags: list[str] = (), area: Column | None = None) -> DataFrame:
+    """Of each dataset: records, those in the area, the share of records that lack each column, and of each flag how many are true, false and unknown."""
+    inside = F.count_if(F.coalesce(area, F.lit(False))) if area is not None else F.count("*")
+    parts = [F.count("*").alias("n_records"), inside.alias("n_in_area")]
+    parts += [(F.count_if(F.col(c).isNull()) / F.count("*")).alias(f"{c}_blank") for c in (*columns, *flags)]
+    for c in flags:
+        parts += [F.count_if(F.col(c)).alias(f"{c}_true"), F.count_if(~F.col(c)).alias(f"{c}_false"), F.count_if(F.col(c).isNull()).alias(f"{c}_unknown")]
+    return records.groupBy(dataset).agg(*parts)

@@ -772,6 +772,45 @@ def proximity_groups(t):
     return cluster.proximity_groups(t.records, "record_id")
 
 
+def reached(metres: int) -> str:
+    return f"""SELECT v AS record_id, min(c) AS group_id FROM (WITH RECURSIVE e AS (SELECT a_record_id AS a, b_record_id AS b FROM close WHERE metres <= {metres} UNION SELECT b_record_id, a_record_id FROM close WHERE metres <= {metres}),
+reach(v, c) AS (SELECT a, a FROM e UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.c = e.a) SELECT * FROM reach) GROUP BY 1"""
+
+
+AUDIT_SQL = f"""SELECT 'identical_coordinate' AS kind, min(record_id) OVER w AS group_id, record_id, count(*) OVER w AS n FROM record WINDOW w AS (PARTITION BY lat, lon)
+UNION ALL SELECT 'proximity_10m', group_id, record_id, 2 FROM ({reached(10)}) UNION ALL SELECT 'proximity_25m', group_id, record_id, 2 FROM ({reached(25)})
+UNION ALL SELECT 'name_match', min(record_id) OVER w, record_id, count(*) OVER w FROM record WHERE match_name <> '' WINDOW w AS (PARTITION BY match_name)
+UNION ALL SELECT 'address_match', min(record_id) OVER w, record_id, count(*) OVER w FROM record WHERE match_address <> '' WINDOW w AS (PARTITION BY match_address)
+UNION ALL SELECT 'same_facility', min(record_id) OVER w, record_id, count(*) OVER w FROM member WINDOW w AS (PARTITION BY place_id)
+UNION ALL SELECT 'across_datasets', min(record_id) OVER w, record_id, n FROM (SELECT m.place_id, m.record_id, d AS n FROM member m JOIN (SELECT place_id, count(DISTINCT dataset) AS d FROM member JOIN record USING (record_id) GROUP BY 1) x ON x.place_id = m.place_id WHERE d > 1) WINDOW w AS (PARTITION BY place_id)"""
+
+
+def audited(t):
+    members = cluster.cluster_places(t.records, "record_id", "match_name", "match_address")
+    return cluster.audit_members(t.records, members, "record_id", "dataset", "match_name", "match_address")
+
+
+@query("record close member", f"SELECT kind, group_id, record_id FROM ({AUDIT_SQL}) WHERE n > 1")
+def audit_groups(t):
+    """Every group that an audit lists, with its records."""
+    return audited(t)
+
+
+@query("record close member", f"""SELECT v.kind, count(g) AS n_groups, coalesce(sum(k), 0)::BIGINT AS n_records, coalesce(max(k), 0) AS largest FROM (VALUES {', '.join(f"('{k}')" for k in cluster.AUDIT_KINDS)}) v(kind)
+LEFT JOIN (SELECT kind, group_id AS g, count(*) AS k FROM ({AUDIT_SQL}) WHERE n > 1 GROUP BY 1, 2) s ON s.kind = v.kind GROUP BY 1""")
+def audit_counts(t):
+    return cluster.audit_counts(audited(t))
+
+
+@query("record", """SELECT dataset, count(*) AS n_records, count(*) FILTER (coalesce(kind, '') LIKE '%BRASS%') AS n_in_area, floor(count(*) FILTER (match_address = '') / count(*) * 1e6 + 0.5) / 1e6 AS address_blank, floor(count(*) FILTER (open IS NULL) / count(*) * 1e6 + 0.5) / 1e6 AS open_blank,
+count(*) FILTER (open) AS open_true, count(*) FILTER (NOT open) AS open_false, count(*) FILTER (open IS NULL) AS open_unknown FROM (SELECT *, CASE record_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS open FROM record) GROUP BY 1""")
+def audit_rates(t):
+    """What each dataset says of its records, and how much it leaves blank."""
+    own = t.records.withColumn("open", F.when(F.col("record_id") % 3 == 0, True).when(F.col("record_id") % 3 == 1, False)).withColumn("address", cluster.known("match_address"))
+    rates = cluster.dataset_rates(own, "dataset", ["address"], ["open"], F.contains("kind", F.lit("BRASS")))
+    return rates.withColumns({c: rounded(F.col(c), 6) for c in ("address_blank", "open_blank")})
+
+
 @query("placed route", """SELECT request_id, facility_id, CAST(n AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY first_at, facility_id) AS n FROM (SELECT request_id, facility_id, min({'r': route_id, 'p': place}) AS first_at FROM (
 SELECT request_id, p.route_id, facility_id, row_number() OVER (PARTITION BY p.route_id ORDER BY distance_m, (confidence = 'confirmed') DESC, (facility_id % 2 = 0) DESC, facility_id) AS place FROM placed p JOIN route r ON r.route_id = p.route_id WHERE kind = 'toilet') WHERE place <= 30 GROUP BY 1, 2)) WHERE n <= 30""")
 def nearest_of_request(t):
