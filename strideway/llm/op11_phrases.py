@@ -10,7 +10,9 @@ Level by level, the shards' counts are summed, and only phrases that are frequen
 beginning is frequent too. What a shard is told is its own share of them, never the whole list:
 1. Words by language and shard; those that are rare overall end a phrase, like a mark.
 2. Each shard's transform.
-3. Phrases of two, three, ... words: rows of (shard, place, count) meet by phrase, one row for each shard and phrase, so that
+3. Pairs of words, most of which are rare overall: shards deal their counts out packed, by a short hash of the pair, and are
+   told by one bit each which of the hashes are frequent. Unlike pairs with one hash only let a rare pair through.
+4. Phrases of two, three, ... words: rows of (shard, place, count) meet by phrase, one row for each shard and phrase, so that
    no phrase is hot; the smallest (shard, place) names the phrase.
 """
 
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stash, partitions, ship, slices, stash
+from .common import drop_stash, mixed, partitions, ship, slices, stash
 
 MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2000
 #: A phrase goes when a longer one around it stands at least so many times for each 100 of its own.
@@ -39,6 +41,8 @@ MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 #: A name holds the number of its shard and its place there: so many bits for shards within a task, and for places.
 SHARD_BITS, PLACE_BITS = 12, 31
 EMPTY = np.empty(0, np.int64)
+#: Bits of a pair's short hash, and words of the corpus for each range of hashes that one task sums up.
+HASH_BITS, RANGE_WORDS = 40, 4_000_000
 
 
 def pieces(text: bytes, most: int = SHARD_BYTES // 4) -> Iterator[bytes]:
@@ -171,37 +175,110 @@ def indexes(rows: DataFrame) -> DataFrame:
     return rows.select("shard", "ids", "alive").mapInArrow(run, "shard long, bwt binary, names binary")
 
 
-def longer(index: DataFrame, alive: DataFrame | None) -> DataFrame:
+def short_hashes(word: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return mixed(word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.view(np.uint64)) >> np.uint64(64 - HASH_BITS)
+
+
+def packed_steps(h: np.ndarray) -> bytes:
+    """Numbers in order, as the steps between them."""
+    return zstandard.compress(np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[: HASH_BITS // 8].tobytes(), 1)
+
+
+def unpacked_steps(b: bytes) -> np.ndarray:
+    low = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(HASH_BITS // 8, -1)
+    whole = np.zeros((8, low.shape[1]), np.uint8)
+    whole[: len(low)] = low
+    return np.cumsum(whole.T.copy().view("<u8").ravel())
+
+
+def pairs(bwt: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A shard's pairs of words in the order of their short hashes: symbol, interval of the second word, place, count; hash."""
+    count = np.bincount(bwt, minlength=len(names) + 1)
+    symbol, owner, place, n, start = extended(bwt, np.cumsum(count)[:-1], count[1:])
+    h = short_hashes(names[symbol - 1], names[owner])
+    order = np.argsort(h, kind="stable")
+    return symbol[order], owner[order], place[order], n[order], h[order]
+
+
+def frequent_hashes(index: DataFrame, least: int, ranges: int) -> DataFrame:
+    """shard and bits: for each range of hashes, which of the shard's pairs there have a hash that is frequent over all shards."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *_, n, h = pairs(unpacked(batch.column("bwt")[i].as_buffer().to_pybytes()), np.frombuffer(batch.column("names")[i].as_buffer(), "<i8"))
+                part = range_of(h, ranges)
+                cuts = np.searchsorted(part, np.arange(ranges + 1))
+                held = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+                n = np.minimum(n, least).astype("<u4") if least > 255 else np.minimum(n, least).astype(np.uint8)
+                cols = [[packed_steps(h[cuts[r] : cuts[r + 1]]) for r in held], [zstandard.compress(n[cuts[r] : cuts[r + 1]].tobytes(), 1) for r in held]]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([batch.column("shard")[i].as_py()] * len(held), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], ["part", "shard", "hashes", "counts"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        hashes = [unpacked_steps(x) for x in table.column("hashes").to_pylist()]
+        kind = np.dtype("<u4") if least > 255 else np.dtype(np.uint8)
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(x), kind) for x in table.column("counts").to_pylist()])
+        every, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        enough = (np.bincount(which, counts, len(every)) >= least)[which]
+        ends = np.cumsum([len(h) for h in hashes])
+        bits = [np.packbits(x).tobytes() for x in np.split(enough, ends[:-1])]
+        return pa.table({"part": table.column("part"), "shard": table.column("shard"), "n": pa.array([len(h) for h in hashes], pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    dealt = index.select("shard", "bwt", "names").mapInArrow(deal, "part int, shard long, hashes binary, counts binary")
+    found = dealt.groupBy("part").applyInArrow(settle, "part int, shard long, n int, bits binary")
+    return found.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "n", "bits"))).alias("bits"))
+
+
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges of equal width, in order."""
+    return (h >> np.uint64(HASH_BITS - 24)).astype(np.int64) * ranges >> 24
+
+
+def kept_pairs(index: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs of words whose hash is frequent, as longer() gives longer phrases; Spark leaves out the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bwt, names = unpacked(batch.column("bwt")[i].as_buffer().to_pybytes()), np.frombuffer(batch.column("names")[i].as_buffer(), "<i8")
+                symbol, owner, place, n, _ = pairs(bwt, names)
+                known = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in batch.column("bits")[i].as_py() or ()]
+                often = np.concatenate(known) if known else EMPTY
+                for rows in phrase_batches(batch.column("shard")[i].as_py(), place, n, names[symbol - 1], names[owner]):
+                    yield rows.append_column("often", pa.array(often[: rows.num_rows].astype(bool)))
+                    often = often[rows.num_rows :]
+
+    rows = index.join(bits.hint("merge"), "shard")
+    return rows.select("shard", "bwt", "names", "bits").mapInArrow(run, PHRASE + ", often boolean").where("often").drop("often").withColumn("start", F.col("word"))
+
+
+PHRASE = "shard long, place int, c int, word long, rest long"
+
+
+def phrase_batches(shard: int, place: np.ndarray, n: np.ndarray, *names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cols = [pa.array(np.full(len(n), shard)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, names)]
+    whole = pa.RecordBatch.from_arrays(cols, ["shard", "place", "c", "word", "rest", "start"][: len(cols)])
+    for a in range(0, whole.num_rows, 100_000):
+        yield whole.slice(a, 100_000)
+
+
+def longer(index: DataFrame, alive: DataFrame) -> DataFrame:
     """Each shard's phrases of one word more: shard, place, c, word and rest (the phrase after it), and start (that before its last
-    word). alive: shard, phrases (place, c, name); None: all single words."""
-    single = alive is None
-    rows = index if single else index.join(alive.hint("merge"), "shard")
+    word). alive: shard, phrases (place, c, name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 bwt, names = unpacked(batch.column("bwt")[i].as_buffer().to_pybytes()), np.frombuffer(batch.column("names")[i].as_buffer(), "<i8")
-                if single:
-                    count = np.bincount(bwt, minlength=len(names) + 1)
-                    lo, count, name = np.cumsum(count)[:-1], count[1:], names
-                else:
-                    known = batch.column("phrases")[i].values
-                    lo, count, name = (np.asarray(known.field(c)).astype(np.int64) for c in ("place", "c", "name"))
-                    order = np.argsort(lo)
-                    lo, count, name = lo[order], count[order], name[order]
+                known = batch.column("phrases")[i].values
+                lo, count, name = (np.asarray(known.field(c)).astype(np.int64) for c in ("place", "c", "name"))
+                order = np.argsort(lo)
+                lo, count, name = lo[order], count[order], name[order]
                 symbol, owner, place, n, start = extended(bwt, lo, count)
                 own = start >= 0
-                symbol, owner, place, n, start = symbol[own], owner[own], place[own], n[own], start[own]
-                shard = pa.array(np.full(len(n), batch.column("shard")[i].as_py()))
-                cols = [shard, pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(names[symbol - 1]), pa.array(name[owner])]
-                cols += [] if single else [pa.array(name[start])]
-                whole = pa.RecordBatch.from_arrays(cols, ["shard", "place", "c", "word", "rest", "start"][: len(cols)])
-                for a in range(0, whole.num_rows, 100_000):
-                    yield whole.slice(a, 100_000)
+                yield from phrase_batches(batch.column("shard")[i].as_py(), place[own], n[own], names[symbol[own] - 1], name[owner[own]], name[start[own]])
 
-    schema = "shard long, place int, c int, word long, rest long" + ", start long" * (not single)
-    out = rows.select("shard", "bwt", "names", *["phrases"] * (not single)).mapInArrow(run, schema)
-    return out.withColumn("start", F.col("word")) if single else out
+    return index.join(alive.hint("merge"), "shard").select("shard", "bwt", "names", "phrases").mapInArrow(run, PHRASE + ", start long")
 
 
 def named(shard: str, place: str) -> Column:
@@ -227,22 +304,30 @@ def phrases(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MAX_WORDS
     totals = stash(words.groupBy("lang").agg(F.sum("c").alias("n")), "word-totals")
     alive = stash(frequent(words.select("shard", "lang", "local", "word", "c"), ["lang", "word"], "local", least), "frequent-words")
     own = lambda df, place: df.where(F.col("name") == named("shard", place))
-    levels = [own(alive, "local").select("name", "lang", F.array("word").alias("words"), "f")]
+    levels = [stash(own(alive, "local").select("name", "lang", F.array("word").alias("words"), "f"), "phrase-level")]
     lists = alive.groupBy("shard").agg(F.collect_list(F.struct("local", "name")).alias("alive"))
     index = stash(indexes(shards.where("local = -1").select("shard", "ids").join(lists.hint("merge"), "shard")), "shard-indexes")
-    drop_stash(shards)
-    found, links, used = None, [], [alive]
-    for _ in range(1, most_words):
-        known = None if found is None else found.groupBy("shard").agg(F.collect_list(F.struct("place", "c", "name")).alias("phrases"))
-        found = stash(frequent(longer(index, known), ["word", "rest"], "place", least), "frequent-phrases")
-        used.append(found)
-        new = own(found, "place").select("name", "word", "rest", "start", "f")
-        links.append(new.select("rest", "start", F.lit(len(levels)).alias("size")))
+    # what each shard holds goes as soon as the next level has it
+    drop_stash(shards, alive)
+    found, links = None, []
+    for size in range(2, most_words + 1):
+        if found is None:
+            ranges = 1 + (totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // RANGE_WORDS
+            new = kept_pairs(index, frequent_hashes(index, least, ranges))
+        else:
+            new = longer(index, found.groupBy("shard").agg(F.collect_list(F.struct("place", "c", "name")).alias("phrases")))
+        new = stash(frequent(new, ["word", "rest"], "place", least), "frequent-phrases")
+        if found is not None:
+            drop_stash(found)
+        found = new
+        links.append(stash(own(found, "place").select("name", "word", "rest", "start", "f", F.lit(size - 1).alias("size")), "phrase-links"))
         first = levels[0].select(F.col("name").alias("word"), F.col("words").alias("w"))
         rest = levels[-1].select(F.col("name").alias("rest"), "lang", F.col("words").alias("r"))
-        level = new.join(first.hint("merge"), "word").join(rest.hint("merge"), "rest").select("name", "lang", F.concat("w", "r").alias("words"), "f")
+        level = links[-1].join(first.hint("merge"), "word").join(rest.hint("merge"), "rest").select("name", "lang", F.concat("w", "r").alias("words"), "f")
         levels.append(stash(level, "phrase-level"))
-        used.append(levels[-1])
+    if found is not None:
+        drop_stash(found)
+    drop_stash(index)
     # names tell phrases of one size apart
     whole = functools.reduce(DataFrame.unionByName, levels).withColumn("size", F.size("words"))
     if links:
@@ -253,7 +338,7 @@ def phrases(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MAX_WORDS
         whole = whole.withColumn("n_left", F.lit(0)).withColumn("n_right", F.lit(0))
     whole = whole.select("lang", F.array_join("words", " ").alias("phrase"), "words", "size", "f", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_left", "n_right")])
     out = stash(whole, "phrases")
-    drop_stash(index, *used)
+    drop_stash(*levels, *links)
     return out, totals
 
 
