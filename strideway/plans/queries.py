@@ -213,7 +213,7 @@ def distance_bands(t):
     band = F.when(m < 50, "000-050").when(m < 100, "050-100").when(m < 150, "100-150").when(m < 250, "150-250").when(m < 350, "250-350")
     names = t.spark.createDataFrame([(x,) for x in ("000-050", "050-100", "100-150", "150-250", "250-350")], "band string")
     counted = near.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
-    return names.join(counted, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
+    return names.join(counted.hint("merge"), "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("close", f"SELECT a_record_id, b_record_id, {d3('metres')} FROM close WHERE metres <= 10")
@@ -490,7 +490,7 @@ def exclusion_counts(t):
     """Every reason has a row, with 0 where it doesn't occur."""
     n = excluded(t).groupBy(F.coalesce("reason", F.lit("RANKED")).alias("reason")).agg(F.count("*").alias("n"))
     names = t.spark.createDataFrame([(c,) for c in ("RANKED", *candidates.EXCLUSIONS)], "reason string")
-    return names.join(n, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+    return names.join(n.hint("merge"), "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("dup", "SELECT facility_id FROM dup")
@@ -718,7 +718,7 @@ def first_of_duplicates(t):
 def geojson_features(t):
     line = t.segments.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", writers.lon_lat(F.col("a_lat"), F.col("a_lon")).alias("c")))).alias("v"))
     shape = line.select("route_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), writers.feature("LineString", F.transform("v", lambda x: x.c), route=F.col("route_id")).alias("feature"))
-    spots = t.strict.select("route_id", "facility_id", "position_m", "confidence").join(t.facilities.select("facility_id", "lat", "lon"), "facility_id")
+    spots = t.strict.select("route_id", "facility_id", "position_m", "confidence").join(t.facilities.select("facility_id", "lat", "lon").hint("merge"), "facility_id")
     points = spots.select("route_id", F.lit(2).alias("kind"), F.col("facility_id").alias("place"), writers.feature("Point", writers.lon_lat(F.col("lat"), F.col("lon")), facility=F.col("facility_id"), confidence=F.col("confidence"), progress=rounded(F.col("position_m"), 3)).alias("feature"))
 
     # the longest gaps, on the geometry's scale to be sliced; a route without length keeps its whole line
@@ -727,11 +727,11 @@ def geojson_features(t):
     at = functools.reduce(DataFrame.unionByName, [p.select("route_id", F.lit(n).alias("gap"), F.lit(k).cast("long").alias("place"), "facility_id", "position_m") for k, (n, p) in enumerate(kinds)])
     each = r.crossJoin(F.broadcast(t.spark.createDataFrame([(n, k) for k, (n, _) in enumerate(kinds)], "gap string, place long")))  # three rows
     keys = ["route_id", "gap", "place"]
-    top = linear.two_largest(linear.gaps(at, each, route=keys), keys).join(r, "route_id").persist()
+    top = staged(linear.two_largest(linear.gaps(at, each, route=keys), keys).join(r.hint("merge"), "route_id"), "gap-tops")
     on_line = lambda m: F.when(F.col("stated_m") > 0, m / F.nullif("stated_m", F.lit(0.0)) * F.col("length_m")).otherwise(0.0)
     spans = top.select(*keys, "gap_start_m", "gap_end_m", "longest_m", on_line(F.col("gap_start_m")).alias("from_m"), on_line(F.col("gap_end_m")).alias("to_m"))
     cut = spatial.slice_route(spans, t.segments).select(*keys, F.transform("points", lambda p: writers.lon_lat(p.lat, p.lon)).alias("cut"))
-    gone = spans.join(cut, keys, "left").join(line, "route_id")
+    gone = spans.join(cut.hint("merge"), keys, "left").join(line.hint("merge"), "route_id")
     origin = {"sourceType": F.lit("derived"), "generatedBy": F.lit("strideway"), "sourceDatasetIds": F.array(F.lit("events"), F.lit("customer"))}
     gaps = gone.select(
         "route_id", F.lit(1).alias("kind"), "place",

@@ -167,3 +167,13 @@ def test_a_form_of_field_checks_is_judged_row_by_row(spark, tmp_path):
         (10, "v-8", ["duplicate_verification_id"]),
         (9, "v-8", ["duplicate_verification_id", "invalid_evidence_reference", "invalid_latitude", "invalid_verified_at", "missing_name", "unknown_candidate_id"]),
     ]
+
+
+def test_points_of_geojson_files(spark, tmp_path):
+    """Axes are swapped, properties stay text, and a file without features has no rows."""
+    point = '{"type":"Feature","geometry":{"type":"Point","coordinates":[139.7,35.6]},"properties":{"name":"水","public":true,"n":3,"none":null}}'
+    (tmp_path / "a.geojson").write_text(f'{{"type":"FeatureCollection",\n"features":[{point},\n{point.replace("35.6", "35.7")}]}}')
+    (tmp_path / "b.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    found = readers.geojson_points(spark, str(tmp_path)).orderBy("lat").collect()
+    assert [(r["lat"], r["lon"]) for r in found] == [(35.6, 139.7), (35.7, 139.7)]
+    assert found[0]["properties"] == {"name": "水", "public": "true", "n": "3", "none": None}
