@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,17 +96,20 @@ def projected(rows: DataFrame) -> DataFrame:
     return out.withColumn("distance_m", distance).drop("_k", "_px", "_py", "_dx", "_dy", "_s", "_ex", "_ey")
 
 
-def boxed_segments(points: DataFrame, segs: DataFrame, metres: float, max_latitude: float = 60.0) -> DataFrame:
+def boxed_segments(points: DataFrame, segs: DataFrame, metres: float | str, max_latitude: float = 60.0) -> DataFrame:
     """Each point with the segments whose boxes, grown by so many metres, hold it: all columns of both, distance_m and t.
 
-    Every segment within that distance is among them, and some that are farther. Both tables must lie within max_latitude of the equator: cells are made for where a degree of longitude is shortest.
+    Every segment within that distance is among them, and some that are farther. metres may name a column of both tables: then rows with
+    equal values of it meet, each within its own. Both tables must lie within max_latitude of the equator: cells are made for where a
+    degree of longitude is shortest.
     """
-    cell_y, cell_x = metres / 2 / DEGREE_M, metres / 2 / (DEGREE_M * math.cos(math.radians(max_latitude)))
+    by = [metres] if isinstance(metres, str) else []
+    reach = F.col(metres) if by else F.lit(float(metres))
+    cell_y, cell_x = reach / (2 * DEGREE_M), reach / (2 * DEGREE_M * math.cos(math.radians(max_latitude)))
     grow_y, grow_x = 2.001 * cell_y, 2.001 * cell_x
-    piece = F.explode(F.sequence(F.lit(0), F.floor(F.col("length_m") / (CELLS_PER_PIECE * metres / 2)).cast("int")))
-    n = F.floor(F.col("length_m") / (CELLS_PER_PIECE * metres / 2)) + 1
+    last = F.floor(F.col("length_m") / (CELLS_PER_PIECE * reach / 2))
     part = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (F.col("_piece") + k) / F.col("_n")
-    boxes = segs.withColumn("_n", n).withColumn("_piece", piece)
+    boxes = segs.withColumn("_n", last + 1).withColumn("_piece", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     boxes = boxes.select(
         *segs.columns,
         (F.least(part("a_lat", "b_lat", 0), part("a_lat", "b_lat", 1)) - grow_y).alias("_y0"),
@@ -118,7 +120,7 @@ def boxed_segments(points: DataFrame, segs: DataFrame, metres: float, max_latitu
     cells = lambda lo, hi, size: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
     boxes = boxes.withColumn("_cy", cells("_y0", "_y1", cell_y)).withColumn("_cx", cells("_x0", "_x1", cell_x))
     own = points.withColumn("_cy", F.floor(F.col("lat") / cell_y)).withColumn("_cx", F.floor(F.col("lon") / cell_x))
-    met = own.join(boxes.hint("merge"), ["_cy", "_cx"]).where("lat between _y0 and _y1 and lon between _x0 and _x1")
+    met = own.join(boxes.hint("merge"), ["_cy", "_cx", *by]).where("lat between _y0 and _y1 and lon between _x0 and _x1")
     # a long segment's pieces overlap; one row of them is enough, and more do no harm to a minimum
     return projected(met.drop("_cy", "_cx", "_y0", "_y1", "_x0", "_x1"))
 
@@ -148,31 +150,37 @@ def nearest_places(near: DataFrame, k: int = 30, route: str = "route_id", point:
     return near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
-def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame, first_metres: float = 400.0, rounds: int | None = None, point: str = "facility_id", route: str = "route_id") -> DataFrame:
-    """Each route's nearest point at whatever distance: the radius doubles for routes that have found none.
+def nearest_any_distance(routes: DataFrame, points: DataFrame, segs: DataFrame, first_metres: float = 400.0, point: str = "facility_id", route: str = "route_id", seq: str = "seq") -> DataFrame:
+    """Each route's nearest point at whatever distance: distance_m and the point, of equally near ones the smallest.
 
-    A point within the radius is nearer than any that the radius leaves out, so the first found is the nearest. The last
-    radius covers the box around all points and segments, so a route has null only where there are no points, it has no
-    segments, or `rounds`, if given, ends the search before.
+    A table of the cells that points lie in, from fine to coarse, tells of each route's first vertex the finest size at which a cell beside its
+    own has a point; so some point is within a few cells of that size, and one join with that reach for each route finds the nearest. The jobs
+    are as many whatever the distance. A route has null only where there are no points or it has no segments.
     """
     finite = "abs(lat) < double('infinity') and abs(lon) < double('infinity')"
+    points = points.where(finite)
     ends = segs.select(F.explode(F.array(*[F.struct(F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for e in "ab"])).alias("p")).select("p.*")
-    box = points.select("lat", "lon").where(finite).unionByName(ends.where(finite)).agg(*[f(c).alias(f.__name__ + c) for c in ("lat", "lon") for f in (F.min, F.max)]).first()
-    if box["minlat"] is None or not points.where(finite).limit(1).count():
+    box = points.select("lat", "lon").unionByName(ends.where(finite)).agg(*[f(c).alias(f.__name__ + c) for c in ("lat", "lon") for f in (F.min, F.max)]).first()
+    if box["minlat"] is None:
         return routes.select(route, F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast(points.schema[point].dataType).alias(point))
-    reach = 1.01 * DEGREE_M * math.hypot(box["maxlat"] - box["minlat"], box["maxlon"] - box["minlon"])
+    extent = DEGREE_M * max(box["maxlat"] - box["minlat"], box["maxlon"] - box["minlon"], 1e-9)
     highest = min(89.9, max(60.0, abs(box["minlat"]), abs(box["maxlat"])))
-    found, left, metres = None, routes.select(route), first_metres
-    for n in itertools.count(1):
-        own = project_points(points, segs.join(left, route, "left_semi"), metres, point, route, highest).groupBy(route).agg(F.min(F.struct("distance_m", point)).alias("n"))
-        own = own.select(route, F.col("n.distance_m").alias("distance_m"), F.col(f"n.{point}").alias(point))
-        own = staged(own, "nearest")
-        found = own if found is None else found.unionByName(own)
-        left = staged(left.join(own.select(route), route, "left_anti"), "left")
-        if metres >= reach or n == rounds or not left.limit(1).count():
-            break
-        metres *= 2
-    return routes.select(route).join(found, route, "left")
+    narrow = math.cos(math.radians(highest))
+    # so many sizes that the coarsest cell is as wide as everything there is
+    sizes = [first_metres * 2**k for k in range(max(1, math.ceil(math.log2(extent / first_metres)) + 2))]
+    sized = F.explode(F.array(*map(F.lit, sizes))).alias("_size")
+    cell = lambda: (F.floor(F.col("lat") / (F.col("_size") / DEGREE_M)).alias("_cy"), F.floor(F.col("lon") / (F.col("_size") / (DEGREE_M * narrow))).alias("_cx"))
+    occupied = points.select("lat", "lon", sized).select("_size", *cell()).distinct()
+    seeds = segs.groupBy(route).agg(F.min_by(F.struct(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")), seq).alias("s")).select(route, "s.*", sized).select(route, "_size", *cell())
+    beside = F.explode(F.array(*[F.struct((F.col("_cy") + dy).alias("_cy"), (F.col("_cx") + dx).alias("_cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])).alias("_c")
+    met = seeds.select(route, "_size", beside).select(route, "_size", "_c.*").join(occupied.hint("merge"), ["_size", "_cy", "_cx"])
+    # two cells each way, where a degree of longitude is longest
+    reach = staged(met.groupBy(route).agg((F.min("_size") * 2 * math.hypot(1, 1 / narrow)).alias("_reach")), "reach")
+    used = reach.select("_reach").distinct()  # one for each size at most
+    own = points.select(point, "lat", "lon").crossJoin(F.broadcast(used))
+    near = boxed_segments(own, segs.join(reach.hint("merge"), route), "_reach", highest)
+    found = near.groupBy(route).agg(F.min(F.struct("distance_m", point)).alias("n")).select(route, "n.distance_m", f"n.{point}")
+    return routes.select(route).join(found.hint("merge"), route, "left")
 
 
 def at_progress(targets: DataFrame, segs: DataFrame, route: str = "route_id", target: str = "target_m") -> DataFrame:

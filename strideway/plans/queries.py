@@ -140,6 +140,8 @@ CTES = {
 
 # places of records, and where they lie along the routes, by the same rules as facilities
 CTES["spot"] = "SELECT place_id AS spot_id, avg(lat) AS lat, avg(lon) AS lon FROM record JOIN member USING (record_id) GROUP BY 1"
+# every toilet against every segment, whatever the distance
+CTES["toilet_pair"] = CTES["pair"].split("FROM facility f JOIN seg s ON")[0] + "FROM facility f JOIN seg s ON f.kind = 'toilet') f)))"
 CTES["spot_pair"] = CTES["pair"].replace("facility f", "spot f").replace("facility_id", "spot_id")
 
 
@@ -199,6 +201,13 @@ def nearest_per_route_topk(t):
     return near.withColumn("place", n).where("place <= 5").select("route_id", "facility_id", "place", r3("distance_m"))
 
 
+@query("toilet_pair", f"SELECT route_id, {d3('n.distance_m', 'distance_m')}, n.facility_id AS facility_id FROM (SELECT route_id, min({{'distance_m': distance_m, 'facility_id': facility_id}}) AS n FROM toilet_pair GROUP BY 1)")
+def nearest_toilet(t):
+    """Each route's nearest toilet, at whatever distance."""
+    toilets = t.facilities.where("kind = 'toilet'")
+    return spatial.nearest_any_distance(t.stored_segments.select("route_id").distinct(), toilets, t.stored_segments).select("route_id", r3("distance_m"), "facility_id")
+
+
 @query("placed", f"SELECT route_id, facility_id, CAST(n AS INT) AS place, {d3('distance_m')} FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY distance_m, (confidence = 'confirmed') DESC, (facility_id % 2 = 0) DESC, facility_id) AS n FROM placed WHERE kind = 'toilet') WHERE n <= 30")
 def nearest_places(t):
     near = t.placed.where("kind = 'toilet'").select("route_id", "facility_id", "distance_m", (F.col("confidence") == "confirmed").alias("public"), (F.col("facility_id") % 2 == 0).alias("wheelchair"))

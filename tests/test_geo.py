@@ -82,7 +82,7 @@ def test_nearest_at_any_distance(spark):
     routes_ = segs.select("route_id").distinct()
     found = spatial.nearest_any_distance(routes_, places(spark, (35.05, 139.0), (35.2, 139.0)), segs).first()
     assert found["facility_id"] == 0 and found["distance_m"] == pytest.approx(5560, rel=0.01)
-    assert spatial.nearest_any_distance(routes_, places(spark).limit(0), segs, rounds=2).first()["distance_m"] is None
+    assert spatial.nearest_any_distance(routes_, places(spark).limit(0), segs).first()["distance_m"] is None
 
 
 @pytest.mark.parametrize("lat", [37.0, 68.0])
@@ -159,3 +159,17 @@ def test_largest_gaps_merge_like_one_window(spark, stretch):
     lengths = spark.createDataFrame([(r, 1000.0 if r == 1 else 200.0) for r in range(1, 33)] + [(40, 0.0)], "route_id long, stated_m double")
     want = {tuple(r) for r in linear.two_largest(linear.gaps(positions, lengths), ["route_id"]).collect()}
     assert {tuple(r) for r in linear.largest_gaps(positions, lengths, stretch=stretch).collect()} == want and len(want) == 33
+
+
+def test_nearest_agrees_with_brute_force_near_and_far(spark):
+    """Routes among the points, a few kilometres off, and a world away; the same jobs for all."""
+    rng = random.Random(5)
+    spots = [(i, 35 + rng.random() * 0.2, 139 + rng.random() * 0.2) for i in range(40)] + [(99, -20.0, 10.0)]
+    lines = {r: [(35 + rng.random() * 0.2, 139 + rng.random() * 0.2) for _ in range(5)] for r in range(8)} | {8: [(36.4, 139.0), (36.5, 139.2)], 9: [(-45.0, -60.0), (-45.1, -60.1)], 10: [(35.1, 139.1)]}
+    table = spark.createDataFrame([(r, i, *p) for r, ps in lines.items() for i, p in enumerate(ps)], "route_id long, seq int, lat double, lon double")
+    points = spark.createDataFrame([*spots, (77, None, 1.0), (78, float("nan"), 1.0)], "facility_id long, lat double, lon double")
+    segs = spatial.segments(table)
+    every = spatial.projected(points.where("facility_id not in (77, 78)").crossJoin(segs)).groupBy("route_id").agg(F.min(F.struct("distance_m", "facility_id")).alias("n"))
+    want = {r["route_id"]: (round(r["n"]["distance_m"], 6), r["n"]["facility_id"]) for r in every.collect()}
+    found = {r["route_id"]: (round(r["distance_m"], 6), r["facility_id"]) for r in spatial.nearest_any_distance(segs.select("route_id").distinct(), points, segs).collect()}
+    assert found == want and len(found) == 11
