@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideway.functions import labels
 from strideway.functions.geo import rounded
 from strideway.operators import candidates, cluster, ingest, linear, normalise, ranks, routes, spatial, verify
 from strideway.plans import bindings as b
@@ -570,10 +571,11 @@ def selection_reasons(t):
 
 
 @query("grp", """SELECT facility_id, CASE category WHEN 'restricted_or_sensitive' THEN 'RESTRICTED_OR_SENSITIVE_NAME' WHEN 'public_outdoor_space' THEN 'OFFICIAL_PARK_DATASET' WHEN 'public_service_facility' THEN 'PUBLIC_SERVICE_NAME' WHEN 'official_public_access' THEN 'OFFICIAL_PUBLIC_FACILITY_DATASET'
-WHEN 'private_hospitality' THEN 'PRIVATE_HOSPITALITY_DATASET' WHEN 'commercial_facility' THEN 'COMMERCIAL_DATASET' ELSE 'UNKNOWN_ACCESS_PURPOSE' END AS reason FROM grp""")
+WHEN 'private_hospitality' THEN 'PRIVATE_HOSPITALITY_DATASET' WHEN 'commercial_facility' THEN 'COMMERCIAL_DATASET' ELSE 'UNKNOWN_ACCESS_PURPOSE' END AS reason, """ + in_sql(labels.CATEGORIES, 'category') + " AS label, " + in_sql(labels.CATEGORY_CAUTIONS, 'category') + " AS caution FROM grp")
 def category_reasons(t):
-    """What each place's category was read from."""
-    return t.groups.select("facility_id", candidates.category_reason(F.col("category"), F.col("datasets")).alias("reason"))
+    """What each place's category was read from, its text, and what a visitor should ask there."""
+    category = F.col("category")
+    return t.groups.select("facility_id", candidates.category_reason(category, F.col("datasets")).alias("reason"), labels.labelled(category, labels.CATEGORIES).alias("label"), labels.labelled(category, labels.CATEGORY_CAUTIONS).alias("caution"))
 
 
 @query("stable short", "SELECT request_id, facility_id, baseline_rank FROM (SELECT request_id, facility_id, CAST(baseline_rank AS INT) AS baseline_rank FROM stable) s WHERE NOT EXISTS (SELECT 1 FROM short x WHERE x.request_id = s.request_id AND x.facility_id = s.facility_id)")
@@ -837,19 +839,9 @@ def route_tallies(t):
     return own.select(*[r3(c) if c.startswith("nearest_") else F.col(c) for c in own.columns])
 
 
-#: What the excluded places are told; the words are this library's own.
-REASON_TEXTS = {
-    "RANKED": "ranked among the candidates",
-    "EXISTING_STRICT_REST_DUPLICATE": "stands for a rest point that is there already",
-    "COORDINATE_SOURCE_ANOMALY": "shares its coordinate with unlike places",
-    "RESTRICTED_OR_SENSITIVE_FACILITY": "not a place for everyone",
-}
-
-
-@query("fac dup grp anomaly candidate", f"SELECT facility_id, e.reason, coalesce(v.text, e.reason) AS label FROM ({EXCLUDED}) e LEFT JOIN (VALUES {', '.join(f"('{c}', '{x}')" for c, x in REASON_TEXTS.items())}) v(code, text) ON v.code = e.reason WHERE e.reason IS NOT NULL")
+@query("fac dup grp anomaly candidate", f"SELECT facility_id, e.reason, coalesce(v.text, e.reason) AS label FROM ({EXCLUDED}) e LEFT JOIN (VALUES {', '.join(f"('{c}', '{x}')" for c, x in labels.EXCLUSION_REASONS.items())}) v(code, text) ON v.code = e.reason WHERE e.reason IS NOT NULL")
 def labelled_exclusions(t):
-    labels = t.spark.createDataFrame(list(REASON_TEXTS.items()), "code string, text string")
-    return candidates.with_labels(excluded(t).where("reason is not null"), labels, "reason").select("facility_id", "reason", "label")
+    return candidates.with_labels(excluded(t).where("reason is not null"), labels.table(t.spark, labels.EXCLUSION_REASONS), "reason").select("facility_id", "reason", "label")
 
 
 @query("short", """SELECT request_id, n AS n_places, unnest(list_filter([CASE WHEN n <> 5 THEN 'count' END, CASE WHEN k < n THEN 'repeated_place' END, CASE WHEN p <> n OR lo <> 1 OR hi <> n THEN 'priorities' END], lambda x: x IS NOT NULL)) AS problem

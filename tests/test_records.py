@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strideway.functions import text
+from strideway.functions import labels, text
 from strideway.operators import candidates, cluster, ingest, spatial, verify
 from strideway.sources import readers, writers
 
@@ -376,3 +376,12 @@ def test_first_of_union_and_proximity_groups(spark):
     assert {(r["request_id"], r["facility_id"], r["position"]) for r in found} == {(7, 10, 1), (7, 11, 2), (7, 12, 3), (8, 10, 1)}
     points = spark.createDataFrame([(i, 35.0 + i * 2e-4, 139.0) for i in range(5)] + [(9, 36.0, 139.0)], "id int, lat double, lon double")
     assert {(r["id"], r["place_id"]) for r in cluster.proximity_groups(points, "id").collect()} == {(i, 0) for i in range(5)}
+
+
+def test_every_code_has_a_text(spark):
+    assert set(labels.EXCLUSION_REASONS) == set(candidates.EXCLUSIONS) and set(labels.SELECTION_REASONS) == set(candidates.SELECTION_REASONS)
+    assert set(labels.CATEGORIES) == set(labels.CATEGORY_CAUTIONS) == {p[0] for p in candidates.POLICIES}
+    assert set(labels.CATEGORY_REASONS) == {*candidates.CATEGORY_REASONS.values(), candidates.BARRIER_FREE_LISTING}
+    codes = spark.createDataFrame([("PUBLIC_SERVICE_NAME",), ("unknown",)], "c string")
+    assert [r[0] for r in codes.select(labels.labelled(F.col("c"), labels.CATEGORY_REASONS)).collect()] == ["名称から区役所・出張所・観光案内等の一般利用目的を確認できる", "unknown"]
+    assert labels.table(spark, labels.EXCLUSION_REASONS).count() == 6
