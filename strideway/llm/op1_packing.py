@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, ship, slices, stash
+from .common import buckets, fresh, ship, slices, stash
 from .tokens import default_tokenizer, encoder, with_end
 
 CAPACITY = 4096
@@ -96,33 +96,30 @@ def plan_best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[int, int
 def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """pieces with sequence_id and offset: the sequence that holds a piece and its place there.
 
-    pieces: a length from 1 to capacity and the columns of `order`; all its columns are kept. Its rows must be the same
-    when read again (a written table). Rows that agree in `order` and length are alike, so either may take either slot.
-    One length may belong to most pieces: ranks are counted in buckets of a length, which are laid end to end.
+    pieces: a length from 1 to capacity and the columns of `order`; all its columns are kept, whatever their names, but for its own
+    sequence_id and offset, which are replaced. Its rows must be the same when read again (a written table). Rows that agree in
+    `order` and length are alike, so either may take either slot. One length may belong to most pieces: ranks are counted in
+    buckets of a length, which are laid end to end.
     """
     spark = pieces.sparkSession
     n_buckets = 2 * buckets(spark)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
-    counts = stash(dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "length-counts")
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy(*order)
-    ranked = (
-        dealt.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(counts.hint("merge"), ["length", "_bucket"])
-        .withColumn("_rank", F.col("_rank") + F.col("_before"))
-    )
+    bucket, rank, n, before = (fresh(pieces, f"_{c}") for c in ("bucket", "rank", "n", "before"))
+    plan_columns = {c.split()[0]: fresh(pieces, f"_plan_{c.split()[0]}") for c in PLAN.split(", ")}
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
+    counts = stash(dealt.groupBy("length", bucket).agg(F.count("*").alias(n)), "length-counts")
+    lengths = {r["length"]: r[n] for r in counts.groupBy("length").agg(F.sum(n).alias(n)).collect()}
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", bucket, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("length", bucket).orderBy(*order)
+    ranked = dealt.withColumn(rank, F.row_number().over(within) - 1).join(counts.hint("merge"), ["length", bucket]).withColumn(rank, F.col(rank) + F.col(before))
     # the plan's rows follow the number of lengths, which capacity bounds
-    plan = spark.createDataFrame(plan_best_fit(lengths, capacity), PLAN).withColumnRenamed("length", "_length")
-    slot = F.col("_rank") - F.col("rank_from")
-    return ranked.join(
-        F.broadcast(plan),
-        (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")),
-    ).select(
-        *pieces.columns,
-        (F.col("first_sequence") + F.floor(slot / F.col("in_each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + F.pmod(slot, F.col("in_each")) * F.col("length")).cast("long").alias("offset"),
+    plan = spark.createDataFrame(plan_best_fit(lengths, capacity), PLAN).withColumnsRenamed(plan_columns)
+    p = {k: F.col(v) for k, v in plan_columns.items()}
+    slot = F.col(rank) - p["rank_from"]
+    return ranked.join(F.broadcast(plan), (F.col("length") == p["length"]) & (F.col(rank) >= p["rank_from"]) & (F.col(rank) < p["rank_to"])).select(
+        *[c for c in pieces.columns if c not in ("sequence_id", "offset")],
+        (p["first_sequence"] + F.floor(slot / p["in_each"])).cast("long").alias("sequence_id"),
+        (p["at"] + F.pmod(slot, p["in_each"]) * F.col("length")).cast("long").alias("offset"),
     )
 
 
