@@ -1,7 +1,7 @@
 """Token ids in binary shard files: each document a zstandard frame of its own under one shared dictionary.
 
 A shard holds the frames of a range of documents in ascending doc_id order, then an index row for each document
-(doc_id or null, offset, bytes, ids) and a footer with the index's place and the dictionary's hash. The manifest, a
+(doc_id or null, offset, bytes, ids, and ids before it) and a footer with the index's place and the dictionary's hash. The manifest, a
 table beside the shards, names the files of the tasks that succeeded with their counts, so a shard that a lost or
 repeated task left behind is never read. Files are opened with pyarrow.fs, by the same URI on driver and executors.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, ship, slices
 from .tokens import default_tokenizer, encoder, with_end
 
-MAGIC = b"STRDTOK1"
-INDEX = np.dtype([("known", "<u1"), ("doc_id", "<i8"), ("offset", "<i8"), ("bytes", "<i8"), ("n_tokens", "<i8")])
+MAGIC = b"STRDTOK2"
+INDEX = np.dtype([("known", "<u1"), ("doc_id", "<i8"), ("offset", "<i8"), ("bytes", "<i8"), ("n_tokens", "<i8"), ("start", "<i8")])
 #: The dictionary is trained on so many documents at most, on so many slices of each with so many ids, and has so many bytes at most.
 SAMPLE_DOCS, SAMPLE_SLICES, SAMPLE_IDS, DICTIONARY_BYTES = 512, 8, 512, 65536
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, index_at long, dictionary_sha256 string"
@@ -104,6 +104,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, s
                 index.append(rows)
         if name:
             rows = np.concatenate(index)
+            rows["start"] = np.cumsum(rows["n_tokens"]) - rows["n_tokens"]
             out.write(rows.tobytes() + at.to_bytes(8, "little") + len(rows).to_bytes(8, "little") + bytes.fromhex(sha) + MAGIC)
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_docs": len(rows), "n_tokens": total, "index_at": at, "dictionary_sha256": sha}], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("index_at", pa.int64()), ("dictionary_sha256", pa.string())]))
@@ -113,9 +114,10 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, s
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
-def read_index(source: fs.FileSystem, file: str, at: int, n: int) -> np.ndarray:
+def read_index(source: fs.FileSystem, file: str, at: int, first: int, n: int) -> np.ndarray:
+    """n rows of a shard's index, which begins at `at`, from its row `first`; no others are read."""
     with source.open_input_file(file) as f:
-        f.seek(at)
+        f.seek(at + first * INDEX.itemsize)
         return np.frombuffer(f.read(n * INDEX.itemsize), INDEX)
 
 
@@ -143,9 +145,8 @@ def read_token_files(spark: SparkSession, uri: str, block: int = 4096, keep_ids:
                     if hashlib.sha256(words).hexdigest() != sha:
                         raise ValueError(f"the dictionary of {uri} is not the one its shards were written with")
                     unpackers[sha] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words))
-                index = read_index(source, f"{base}/{r['file']}", r["index_at"], min(r["n_docs"], r["first"] + block))
-                start = r["base"] + np.cumsum(index["n_tokens"]) - index["n_tokens"]
-                own, start = index[r["first"] :], start[r["first"] :]
+                own = read_index(source, f"{base}/{r['file']}", r["index_at"], r["first"], min(r["n_docs"] - r["first"], block))
+                start = r["base"] + own["start"]
                 with source.open_input_file(f"{base}/{r['file']}") as f:
                     f.seek(int(own["offset"][0]))
                     data = memoryview(f.read(int(own["bytes"].sum())))

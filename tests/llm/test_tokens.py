@@ -59,6 +59,36 @@ def test_packing(docs, whole):
     assert op1_packing.pack_documents(docs([])).count() == 0
 
 
+def test_packing_of_pieces_with_clashing_columns(spark):
+    """Whatever the pieces' other columns are called, they stay as they are; own places are replaced."""
+    names = ["at", "rank_from", "rank_to", "in_each", "first_sequence", "_bucket", "_rank", "_n", "_before", "_plan_at", "_length"]
+    rows = spark.range(200).selectExpr("id AS doc_id", "0 AS piece", "id % 40 + 1 AS length", "-1L AS sequence_id", *[f"id * {i + 2} AS {c}" for i, c in enumerate(names)])
+    found = op1_packing.best_fit_pack(rows, 50)
+    assert found.columns == ["doc_id", "piece", "length", *names, "sequence_id", "offset"]
+    got = found.collect()
+    assert len(got) == 200 and all(x[c] == x["doc_id"] * (i + 2) for x in got for i, c in enumerate(names))
+    held = {}
+    for x in got:
+        held.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    assert all(sorted(v)[0][0] == 0 and sum(n for _, n in v) <= 50 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:], strict=False)) for v in held.values()) and -1 not in held
+
+
+def test_an_index_is_read_from_the_row_that_is_asked_for(docs, spark):
+    uri = op10_token_files.new_folder(spark)
+    op10_token_files.write_token_files(docs([(i, "some words " * (i % 7)) for i in range(60)]), uri, shards=2)
+    manifest = spark.read.parquet(f"{uri}/manifest").orderBy("shard").collect()
+    source, base = op10_token_files.opened(uri)
+    for m in manifest:
+        whole = op10_token_files.read_index(source, f"{base}/{m['file']}", m["index_at"], 0, m["n_docs"])
+        assert whole["start"].tolist() == (np.cumsum(whole["n_tokens"]) - whole["n_tokens"]).tolist()
+        part = op10_token_files.read_index(source, f"{base}/{m['file']}", m["index_at"], 5, 4)
+        assert part.tolist() == whole[5:9].tolist()
+    very_long = docs([(1, "word " * 60_000), (2, None), (3, "x")])
+    uri = op10_token_files.new_folder(spark)
+    op10_token_files.write_token_files(very_long, uri)
+    assert [(x["start"], x["n_tokens"]) for x in op10_token_files.read_token_files(spark, uri, block=1).orderBy("doc_id").collect()] == [(0, 60_001), (60_001, 1), (60_002, 2)]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_best_fit_one_by_one(seed):
     r = random.Random(seed)
