@@ -68,6 +68,16 @@ def test_grid_join_finds_what_all_pairs_find(spark, metres):
     assert {(x["facility_id"], round(x["distance_m"], 6)) for x in shuffled.collect()} == want
 
 
+def test_the_nearer_of_two_segments_wins_by_less_than_a_micrometre(spark):
+    # 111.19492664 m to the way out, a third of a micrometre less to the way back
+    segs = spatial.segments(line(spark, (0.001, -0.001), (0.001, 0.001), (-0.001 + 3e-12, 0.001), (-0.001 + 3e-12, -0.001)))
+    found = spatial.project_points(places(spark, (0, 0)), segs, 350.0).first()
+    assert found["seq"] == 2 and found["progress_m"] > 400
+    # equally near ones: the earlier
+    there_and_back = spatial.segments(line(spark, (0.001, -0.001), (0.001, 0.001), (0.001, -0.001)))
+    assert spatial.project_points(places(spark, (0, 0)), there_and_back, 350.0).first()["seq"] == 0
+
+
 def test_close_pairs_are_those_of_all_pairs(spark):
     r = random.Random(5)
     rows = [(i, 35.0 + r.randrange(60) * 3e-5, 139.0 + r.randrange(60) * 3e-5) for i in range(200)]
