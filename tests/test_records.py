@@ -385,3 +385,13 @@ def test_every_code_has_a_text(spark):
     codes = spark.createDataFrame([("PUBLIC_SERVICE_NAME",), ("unknown",)], "c string")
     assert [r[0] for r in codes.select(labels.labelled(F.col("c"), labels.CATEGORY_REASONS)).collect()] == ["名称から区役所・出張所・観光案内等の一般利用目的を確認できる", "unknown"]
     assert labels.table(spark, labels.EXCLUSION_REASONS).count() == 6
+
+
+def test_groups_are_found_among_coordinates_and_not_among_records(spark, monkeypatch):
+    rows = [(i, "a", "b", 35.0 + i % 2 * 5e-5, 139.0) for i in range(200)] + [(500, "a", "b", 36.0, 139.0), (501, "a", "b", None, None)]
+    table = spark.createDataFrame(rows, "id long, name string, address string, lat double, lon double")
+    seen, own = [], cluster.components
+    monkeypatch.setattr(cluster, "components", lambda nodes, edges, key: seen.append((nodes.count(), edges.distinct().count())) or own(nodes, edges, key))
+    assert {(r["id"], r["place_id"]) for r in cluster.proximity_groups(table, "id").collect()} == {(i, 0) for i in range(200)}
+    assert {(r["id"], r["place_id"]) for r in cluster.cluster_places(table, "id", "name", "address").collect()} == {(i, 0) for i in range(200)} | {(500, 500), (501, 501)}
+    assert seen == [(3, 1), (3, 1)]
