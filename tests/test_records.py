@@ -395,3 +395,22 @@ def test_groups_are_found_among_coordinates_and_not_among_records(spark, monkeyp
     assert {(r["id"], r["place_id"]) for r in cluster.proximity_groups(table, "id").collect()} == {(i, 0) for i in range(200)}
     assert {(r["id"], r["place_id"]) for r in cluster.cluster_places(table, "id", "name", "address").collect()} == {(i, 0) for i in range(200)} | {(500, 500), (501, 501)}
     assert seen == [(3, 1), (3, 1)]
+
+
+def test_components_of_a_wide_net_leave_little_to_the_next_round(spark, monkeypatch):
+    n, rows, own = 40, {}, cluster.staged
+    key = lambda y, x: (y * n + x) * 7919 % 1601
+    links = [(key(y, x), key(y + dy, x + dx)) for y in range(n) for x in range(n) for dy, dx in ((0, 1), (1, 0)) if max(y + dy, x + dx) < n and not (x == 20 and dx)]
+
+    def counted(df, name):
+        out = own(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "staged", counted)
+    nodes = spark.createDataFrame([(key(y, x),) for y in range(n) for x in range(n)], "id long")
+    found = dict(map(tuple, cluster.components(nodes, spark.createDataFrame(links, "a long, b long"), "id").collect()))
+    halves = [[key(y, x) for y in range(n) for x in range(n) if (x <= 20) == left] for left in (True, False)]
+    assert all({found[k] for k in half} == {min(half)} for half in halves)
+    # each two rounds leave half of the keys at most, and so no round is as large as the first
+    assert rows["edges"][-1] == 0 and all(b < a / 2 for a, b in zip(rows["edges"], rows["edges"][1:]))
