@@ -183,3 +183,26 @@ def test_nearest_agrees_with_brute_force_near_and_far(spark):
     want = {r["route_id"]: (round(r["n"]["distance_m"], 6), r["n"]["facility_id"]) for r in every.collect()}
     found = {r["route_id"]: (round(r["distance_m"], 6), r["facility_id"]) for r in spatial.nearest_any_distance(segs.select("route_id").distinct(), points, segs).collect()}
     assert found == want and len(found) == 11
+
+
+def metres_between(a, b):
+    (y, x), (v, u) = (map(math.radians, p) for p in (a, b))
+    return 2 * 6371000.0 * math.asin(math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2))
+
+
+def test_whole_segments_are_segments(spark):
+    rng = random.Random(5)
+    rows = [(r, i, rng.uniform(35.6, 35.7), rng.uniform(139.6, 139.7)) for r, n in ((1, 1), (2, 2), (3, 40)) for i in range(n)]
+    table = spark.createDataFrame(rows, "route_id long, seq int, lat double, lon double")
+    found, want = spatial.whole_segments(table), spatial.segments(table)
+    assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_meeting_finds_all_that_is_near(spark):
+    rng = random.Random(6)
+    rows = [(i, 35.69 + rng.uniform(-0.002, 0.002), 139.7 + rng.uniform(-0.002, 0.002), f"t{i % 3}") for i in range(400)]
+    table = spark.createDataFrame([*rows, (400, None, 139.7, "t1"), (401, 35.69, float("nan"), "t1")], "id long, lat double, lon double, by string")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[3] == b[3] and metres_between(a[1:3], b[1:3]) <= 25}
+    met = spatial.meeting(table, table, 25.0)
+    assert {(r["a_id"], r["b_id"]) for r in met.collect()} == want and len(want) > 400
+    assert {r["id"] for r in spatial.meeting(table, table, 25.0, "left_semi").collect()} == {a for a, _ in want}
